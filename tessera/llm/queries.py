@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, neardup, store, urlfilter, warc
+from . import decontaminate, media, mixing, neardup, store, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    sample = toxicity.labelled_sample(docs, _read(spark, sf_dir, "labels").filter(~held_out), "doc_id", "toxic", "text")
+    model = toxicity.learn(store.written(sample, "labelled"), "text", "label")
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -110,7 +119,7 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op6_decontamination, op7_url_filter, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op5_toxicity, op6_decontamination, op7_url_filter, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
