@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, neardup, store, toxicity, urlfilter, warc
+from . import decontaminate, media, mixing, neardup, pii, store, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.personal_data(docs, "doc_id", "text"), "doc_id", "text")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -119,7 +124,7 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op5_toxicity, op6_decontamination, op7_url_filter, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
