@@ -1,7 +1,68 @@
-"""placeholder"""
+"""From documents to a training mix, in five stages that are each written as Parquet and read again.
+
+A stage gets (spark, docs, sf_dir) and works on all that its predecessor kept. Documents keep their columns up to the
+last stage, which adds those of the mix. Rows with a null doc_id pass the filters unless their text is rejected.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, neardup, pii, store, toxicity
+
+#: the scores come from a model fitted on this run's labelled rows; SQL can't express that
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score is 0.5 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    sample = store.written(toxicity.labelled_sample(docs, labels, "doc_id", "toxic", "text"), "labelled")
+    return docs.filter(toxicity.score(F.col("text"), toxicity.learn(sample, "text", "label")) < 0.5)
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: the one with the least doc_id. Of repeated rows one stays."""
+    found = store.written(neardup.duplicate_classes(docs, "doc_id", "text"), "near-duplicates")
+    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold passages of benchmark items."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(store.written(found.filter("contaminated").select("doc_id"), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by its kind; n_chars follows."""
+    out = pii.redacted(docs, store.written(pii.personal_data(docs), "personal-data"))
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws the mix: documents once for each epoch that takes them, with n_tokens and the columns of the mix."""
+    return mixing.mixed(docs.withColumn("n_tokens", mixing.token_count(F.col("text"))), mixing.Mix())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_out),
+    ("near_duplicates", near_duplicates_out),
+    ("decontamination", benchmark_out),
+    ("personal_data", personal_data_out),
+    ("mixing", mixed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store.written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -141,3 +141,19 @@ def digests(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     out = base.join(each, base[id_col].eqNullSafe(each["s_id"]) & (base["mark"] == each["s_mark"]), "left")
     none = F.lit("")
     return out.select(id_col, *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS], F.sha2(F.coalesce("base_list", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
+
+
+def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every span of text_col replaced by its kind in brackets, as in [EMAIL]; spans that touch or overlap
+    become one, named by the first. All rows and columns stay; texts without spans are unchanged, null stays null."""
+    at = Window.partitionBy(id_col, "mark").orderBy("start", F.desc("end"), "kind")
+    before = F.max("end").over(at.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = spans.withColumn("before", before).withColumn("island", island).groupBy(id_col, "mark", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), "kind")).alias("kind"))
+    cuts = merged.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
+    rows = docs.join(cuts, docs[id_col].eqNullSafe(cuts["_id"]) & (F.xxhash64(docs[text_col]) == cuts["_mark"]), "left")
+    kept_from = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1).getField("end")).cast("int")
+    piece = lambda c, i: F.concat(F.substring(text_col, kept_from(i) + 1, (c.start - kept_from(i)).cast("int")), F.lit("["), F.upper(c.kind), F.lit("]"))
+    tail = F.expr(f"substring(`{text_col}`, cast(element_at(_cuts, -1).end as int) + 1)")
+    text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform("_cuts", piece), ""), tail))
+    return rows.withColumn(text_col, text).select(*docs.columns)
