@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, neardup, pii, store, toxicity, urlfilter, warc
+from . import decontaminate, interpolation, media, mixing, neardup, pii, store, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(docs, pii.personal_data(docs, "doc_id", "text"), "doc_id", "text")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    rows = interpolation.scored(docs, remainder != 2, "doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -124,7 +132,7 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op9_lm_scoring, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
