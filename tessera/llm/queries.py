@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, interpolation, media, mixing, neardup, pii, store, toxicity, urlfilter, warc
+from . import decontaminate, interpolation, licenses, media, mixing, neardup, pii, store, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = licenses.license_paragraphs(docs, "doc_id", "text").filter(F.col("family") != licenses.UNKNOWN)
+    each = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"))
+    return docs.select("doc_id").join(each, "doc_id", "left").select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -132,7 +139,7 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op9_lm_scoring, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op4_license_scan, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op9_lm_scoring, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
