@@ -1,0 +1,10 @@
+"""Queries over the base tables, one for each operator, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    """name -> (query, SQL or None)."""
+    from . import intervals
+
+    return {**intervals.QUERIES}
