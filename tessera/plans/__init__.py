@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """name -> (query, SQL or None)."""
-    from . import intervals
+    from . import intervals, segments
 
-    return {**intervals.QUERIES}
+    return {**intervals.QUERIES, **segments.QUERIES}

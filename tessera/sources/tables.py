@@ -80,11 +80,11 @@ def mock_words(assets: DataFrame, key: str, duration: str) -> DataFrame:
 def silences_of_log(logs: DataFrame, key: str, line: str) -> DataFrame:
     """Silent ranges from a detector's log: each silence_start meets the first later silence_end; ends are used once
     and in order, ranges need end > start, times are rounded to milliseconds."""
-    number = r"(-?[0-9]+(?:\.[0-9]+)?)"
+    number = r"\s*([0-9]*\.?[0-9]+)"
     found = logs.select(
         F.col(key).alias("key"),
-        F.transform(F.regexp_extract_all(line, F.lit("silence_start: " + number), F.lit(1)), lambda x: x.cast("double")).alias("starts"),
-        F.transform(F.regexp_extract_all(line, F.lit("silence_end: " + number), F.lit(1)), lambda x: x.cast("double")).alias("ends"),
+        F.transform(F.regexp_extract_all(line, F.lit("silence_start:" + number), F.lit(1)), lambda x: x.cast("double")).alias("starts"),
+        F.transform(F.regexp_extract_all(line, F.lit("silence_end:" + number), F.lit(1)), lambda x: x.cast("double")).alias("ends"),
     )
     # the pointer into ends only moves forward, so this is a fold over the starts
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_sec:double,end_sec:double>>").alias("out"))
@@ -102,7 +102,7 @@ def media_type(mime: Column, filename: Column) -> Column:
     """Kind of a file: by its MIME type's prefix, else by its suffix, else unknown."""
     suffix = F.lower(F.regexp_extract(filename, r"(\.[^./]+)$", 1))
     #: fixed values
-    kinds = {"video": [".mp4", ".mov", ".mkv", ".webm", ".avi", ".m4v"], "audio": [".mp3", ".wav", ".aac", ".m4a", ".ogg", ".flac"], "image": [".jpg", ".jpeg", ".png", ".webp", ".gif"]}
+    kinds = {"video": [".mp4", ".mov", ".avi", ".mkv", ".webm"], "audio": [".mp3", ".wav", ".aac", ".m4a"], "image": [".png", ".jpg", ".jpeg", ".gif", ".webp"]}
     out = F.lit("unknown")
     for kind, suffixes in reversed(kinds.items()):
         out = F.when(suffix.isin(suffixes), kind).otherwise(out)
