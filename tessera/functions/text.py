@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.params import EDITOR_FILLERS, FILLERS, STOP_WORDS
@@ -63,15 +63,18 @@ def latin_share(text: Column) -> Column:
     return F.when(letters == 0, 1.0).otherwise(F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / F.greatest(letters, F.lit(1)))
 
 
-def concept_tokens(text: Column) -> Column:
-    """The four most frequent tokens of three letters or more that aren't stop words, ties by first place; else the
-    first three tokens; else "general"."""
-    every = tokens(text)
-    content = F.filter(every, lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS))
-    used = F.when(F.size(content) > 0, content).otherwise(F.slice(every, 1, 3))
-    ranked = F.array_sort(F.transform(F.array_distinct(used), lambda t: F.struct((-F.size(F.filter(used, lambda u: u == t))).alias("n"), F.array_position(used, t).alias("at"), t.alias("t"))))
-    named = F.transform(F.slice(ranked, 1, 4), lambda r: r.t)
-    return F.when(F.size(used) == 0, F.array(F.lit("general"))).otherwise(named)
+def with_concepts(rows: DataFrame, text: str, out: str = "concepts") -> DataFrame:
+    """Adds a text's concepts: its four most frequent tokens of three letters or more that aren't stop words, ties by
+    first place; else its first three tokens; else "general". Made in steps, so that no step repeats another's work."""
+    rows = rows.withColumn("_every", tokens(F.col(text)))
+    rows = rows.withColumn("_used", F.filter("_every", lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS)))
+    rows = rows.withColumn("_used", F.when(F.size("_used") > 0, F.col("_used")).otherwise(F.slice("_every", 1, 3)))
+    rows = rows.withColumn("_sorted", F.array_sort("_used"))
+    # the places where a token's run begins in sorted order give its count
+    count = lambda t: F.array_position(F.reverse("_sorted"), t) + F.array_position("_sorted", t)
+    rows = rows.withColumn("_ranked", F.transform(F.array_distinct("_used"), lambda t: F.struct((count(t) - F.size("_sorted") - 2).alias("n"), F.array_position("_used", t).alias("at"), t.alias("t"))))
+    named = F.transform(F.slice(F.array_sort("_ranked"), 1, 4), lambda r: r.t)
+    return rows.withColumn(out, F.when(F.size("_used") == 0, F.array(F.lit("general"))).otherwise(named)).drop("_every", "_used", "_sorted", "_ranked")
 
 
 def concept_text(concepts: Column) -> Column:
@@ -84,11 +87,11 @@ def entities(text: Column) -> Column:
     return first_of_each(F.filter(found, lambda x: F.length(F.trim(x)) >= 3), 8)
 
 
-def expanded_queries(chunk: Column, concept: Column, concepts: Column, most: int = 6) -> Column:
-    """Search queries for a chunk: concept, its first three tokens, three entities alone and with two tokens, and the
-    chunk's first four tokens; each once."""
+def expanded_queries(chunk: Column, concept: Column, concepts: Column, named: Column, most: int = 6) -> Column:
+    """Search queries for a chunk: concept, its first three tokens, three of its entities (named) alone and with two
+    tokens, and the chunk's first four tokens; each once."""
     with_tokens = lambda e: F.when(F.size(concepts) > 0, F.array(e, F.concat_ws(" ", e, F.array_join(F.slice(concepts, 1, 2), " ")))).otherwise(F.array(e))
-    named = F.flatten(F.transform(F.slice(entities(chunk), 1, 3), with_tokens))
+    named = F.flatten(F.transform(F.slice(named, 1, 3), with_tokens))
     return first_of_each(F.concat(F.array(concept, F.array_join(F.slice(concepts, 1, 3), " ")), named, F.array(F.array_join(F.slice(tokens(chunk), 1, 4), " "))), most)
 
 

@@ -32,14 +32,14 @@ def duration(clips: DataFrame, key: str) -> DataFrame:
 def transition_layout(clips: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Starts of clips that overlap the one before by their transition: its length is raw_sec within [0, 45 % of the
     shorter of the two]. Rounding is part of the recurrence, so this folds over each key's ordered clips: they are
-    one timeline's, gathered into an array."""
+    one timeline's, gathered into an array. Halves of a millisecond go up, whatever their last bits."""
     item = F.struct(*order, "clip_id", clip_seconds().alias("d"), F.coalesce("raw_sec", F.lit(0.0)).alias("raw"))
     rows = clips.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
     empty = F.struct(F.lit(0.0).alias("start"), F.lit(None).cast("double").alias("d"), F.array().cast("array<struct<clip_id:bigint,render_start_sec:double,transition_sec:double>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         lap = F.when(s.d.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(x.raw, 0.45 * F.least(s.d, x.d))))
-        start = F.when(s.d.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.round(s.start + s.d - lap, 3)))
+        start = F.when(s.d.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.round(s.start + s.d - lap + 1e-9, 3)))
         made = F.array(F.struct(x.clip_id.alias("clip_id"), start.alias("render_start_sec"), lap.alias("transition_sec")))
         return F.struct(start.alias("start"), x.d.alias("d"), F.concat(s.out, made).alias("out"))
 

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """name -> (query, SQL or None)."""
-    from . import intervals, segments
+    from . import intervals, ranking, segments, streams, timeline
 
-    return {**intervals.QUERIES, **segments.QUERIES}
+    return {**intervals.QUERIES, **segments.QUERIES, **ranking.QUERIES, **timeline.QUERIES, **streams.QUERIES}

@@ -36,10 +36,10 @@ def s13_spread_words(spark, sf_dir):
 
 
 def s12_mock_words(spark, sf_dir):
-    return rounded(mock_words(table(spark, sf_dir, "part").filter("p_partkey % 10 = 0"), "p_partkey", "p_size"), "key", "seq", "text")
+    return rounded(mock_words(table(spark, sf_dir, "part"), "p_partkey", "p_size"), "key", "seq", "text")
 
 
-S12 = """WITH d AS (SELECT p_partkey AS key, greatest(p_size::DOUBLE, 3.0) AS dur FROM part WHERE p_partkey % 10 = 0),
+S12 = """WITH d AS (SELECT p_partkey AS key, greatest(p_size::DOUBLE, 3.0) AS dur FROM part),
 n AS (SELECT key, dur, greatest(8, CAST(round_even(dur * 2.2, 0) AS INT)) AS n FROM d), w AS (SELECT key, dur, dur / n AS step, unnest(range(0, n))::INT AS i FROM n)
 SELECT key, i + 1 AS seq, ['this', 'is', 'a', 'generated', 'transcript', 'preview', 'edit', 'the', 'text', 'to', 'cut', 'the', 'video', 'automatically'][i % 14 + 1] AS text,
   round(i * step, 3) AS start_sec, round(least(dur, i * step + greatest(0.08, step * 0.82)), 3) AS end_sec FROM w"""
@@ -65,10 +65,10 @@ SENT = SPLIT.format(out="sent", src="talk", gap=1.1, size=12, ends=AFTER, least=
 
 
 def w14_captions(spark, sf_dir):
-    return sg.captions(talk(spark, sf_dir).filter("key % 3 = 0"))
+    return sg.captions(talk(spark, sf_dir))
 
 
-W14 = rf"""WITH RECURSIVE {TALK}, o AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY start_sec, seq) AS k, trim(text) AS text, start_sec, end_sec FROM talk WHERE key % 3 = 0),
+W14 = rf"""WITH RECURSIVE {TALK}, o AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY start_sec, seq) AS k, trim(text) AS text, start_sec, end_sec FROM talk),
 f AS (
   SELECT key, k, 1 AS cap, 1 AS n, text AS acc, start_sec AS a, end_sec AS b FROM o WHERE k = 1
   UNION ALL SELECT key, k, CASE WHEN cut THEN cap + 1 ELSE cap END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN text ELSE acc || ' ' || text END, CASE WHEN cut THEN s ELSE a END, e
