@@ -10,6 +10,8 @@ import uuid
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir. Only where that is unset, as in
@@ -31,9 +33,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later plans start from the files, so nothing is computed twice and
     a lost executor costs only the tasks it was running."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    # texts are long: the usual ten thousand rows a batch are too many for a Python worker beside the JVM
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(min(int(before or BATCH_ROWS), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

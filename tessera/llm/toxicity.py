@@ -30,12 +30,14 @@ N_FEATURES = 6
 @dataclass(frozen=True)
 class Params:
     """sample: labelled rows that a model is fitted on at most (in expectation; drawn by a hash of the id). window:
-    words on each side of a hit that its context is. stem: lengths of word beginnings tried as terms."""
+    words on each side of a hit that its context is. stem: lengths of word beginnings tried as terms. least_texts and least_share:
+    toxic texts that have a term, at least, and their share of all toxic ones."""
 
     sample: int = 20_000
     window: int = 8
     stem: tuple[int, int] = (4, 8)
     least_texts: int = 3
+    least_share: float = 0.006
     most_terms: int = 2_000
     penalty: float = 1.0
 
@@ -86,7 +88,8 @@ class Trie:
     def nearest(self, word: str) -> tuple[int, str] | None:
         """The nearest term within its allowed distance (of several, the first by name), by running the Levenshtein
         automaton of word through the trie. A state of the automaton is its set of (place in word, edits so far)."""
-        most, n, best = 2, len(word), None
+        n, best = len(word), None
+        most = 2 if n >= 7 else 1
         stack = [(self.root, _closed({(0, 0)}, n, most))]
         while stack:
             node, state = stack.pop()
@@ -204,23 +207,26 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, params: Params = P
         seen = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                words = set(WORD.findall((text or "").lower()))
+                words = set(WORD.findall(text.lower()))
                 seen[label].update({w[:k] + "*" for w in words for k in range(low, min(high, len(w) - 1) + 1)} | words)
-            if len(seen[0]) > 1_000_000:
+            if len(seen[0]) > 250_000:
                 yield pd.DataFrame([(t, seen[1][t], n) for t, n in seen[0].items()], columns=["term", "toxic", "clean"])
                 seen[0].clear()
                 yield pd.DataFrame([(t, n, 0) for t, n in seen[1].items()], columns=["term", "toxic", "clean"])
                 seen[1].clear()
         yield pd.DataFrame([(t, seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys()], columns=["term", "toxic", "clean"])
 
-    counts = rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # near copies count once: of texts with one least run of five words, one stands for all
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
+    apart = rows.filter("text is not null").withColumn("w", F.split("text", r"\s+")).select("text", "label", F.array_min(runs).alias("run")).groupBy("run", "label").agg(F.min("text").alias("text"))
+    counts = apart.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # terms that chance would put this high fewer than once among all that are tried: 2 ln(terms) of the likelihood ratio
     n = F.col("toxic") + F.col("clean")
     share = n_toxic / (n_toxic + n_clean)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
     ratio = 2 * (part("toxic", share) + part("clean", 1 - share))
     tried = rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("c")).agg(F.sum("c").alias("c")).first()["c"]
-    strong = counts.filter((F.col("toxic") >= params.least_texts) & (F.col("toxic") > 9 * share / (1 - share) * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
+    strong = counts.filter((F.col("toxic") >= max(params.least_texts, params.least_share * n_toxic)) & (F.col("toxic") >= 19 * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
     found = {r["term"]: (r["toxic"], r["clean"]) for r in strong.orderBy(F.desc("toxic"), "term").limit(20 * params.most_terms).collect()}
     model.terms, model.stems = _lexicon(found, n_toxic, n_clean, params)
 
