@@ -27,7 +27,7 @@ class Mix:
 
 def token_count(text: Column) -> Column:
     """Words between white space; null and blank texts have none."""
-    return F.coalesce(F.when(F.length(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))) > 0, F.size(F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " "))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_totals(rows: DataFrame, source_col: str, tokens_col: str) -> DataFrame:
