@@ -7,6 +7,7 @@ an epoch; an epoch's blocks are taken in order until the source's part of the bu
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,9 +48,9 @@ def tempered(totals: DataFrame, mix: Mix, steps: int = 3, width: int = 64) -> fl
     for step in range(steps):
         grid = [low + (high - low) * i / width for i in range(width + 1)]
         # one pass: for every exponent a, the sums that give its entropy and its largest repetition
-        shares = base.select("t", (F.col("t") / float(whole["top"])).alias("s"), F.explode(F.array(*[F.lit(a) for a in [*grid, 1.0, 0.0]])).alias("a")).withColumn("w", F.pow("s", "a"))
+        shares = base.select("t", (F.col("t") / float(whole["top"])).alias("s"), F.explode(F.array(*[F.lit(a) for a in sorted({*grid, 0.0, 1.0})])).alias("a")).withColumn("w", F.pow("s", "a"))
         sums = shares.groupBy("a").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max(F.col("w") / F.col("t")).alias("most"))
-        got = {r["a"]: (float(_ln(r["z"]) - r["wl"] / r["z"]), mix.budget * whole["all"] * r["most"] / r["z"]) for r in sums.collect()}
+        got = {r["a"]: (float(math.log(r["z"]) - r["wl"] / r["z"]), mix.budget * whole["all"] * r["most"] / r["z"]) for r in sums.collect()}
         natural, equal = got[1.0][0], got[0.0][0]
         target = natural + mix.entropy * (equal - natural)
         if got[1.0][1] > mix.repeats * (1 + 1e-12):
@@ -65,12 +66,6 @@ def tempered(totals: DataFrame, mix: Mix, steps: int = 3, width: int = 64) -> fl
     return best
 
 
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def mixed(rows: DataFrame, mix: Mix, source_col: str = "source", tokens_col: str = "n_tokens", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The rows in the mix: every row once for each epoch that takes it, with mix_epoch, mix_block and mix_order (a
     position key within the source's epoch) and mix_weight (its source's weight).
