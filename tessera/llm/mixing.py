@@ -83,7 +83,7 @@ def mixed(rows: DataFrame, mix: Mix, source_col: str = "source", tokens_col: str
     rows = rows.drop(*[c for c in ("mix_epoch", "mix_block", "mix_order", "mix_weight") if c in rows.columns])
     totals = source_totals(rows, source_col, tokens_col)
     power = tempered(totals, mix)
-    sums = totals.filter("tokens > 0").agg(F.sum("tokens").alias("all_tokens"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(power))).alias("z"))
+    sums = totals.filter("tokens > 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"), F.coalesce(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(power))), F.lit(1.0)).alias("z"))
     parts = (
         totals.crossJoin(F.broadcast(sums))  # one row
         .withColumn("mix_weight", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(power)) / F.col("z")).otherwise(0.0))

@@ -152,7 +152,8 @@ class Matcher:
 
 def hits(text: str, matcher: Matcher) -> list[tuple[str, str, float, bool, float, float]]:
     """(word, term, weight, misspelled, quotation 0 to 1, abuse 0 to 1) of each hit, and the window scores it got."""
-    tokens = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
+    text = text.lower()  # WORD takes A-Z as separators
+    tokens = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
     found = [(i, got) for i, (_, _, w) in enumerate(tokens) if (got := matcher(w)) is not None and got[0] > 0]
     places, out, window = {i for i, _ in found}, [], matcher.model.window
     for i, (weight, misspelled, term) in found:
