@@ -27,7 +27,7 @@ def table(spark, sf_dir, name):
 
 def docs(spark, texts, extra=False):
     rows = [(i, t, "x", 1) if extra else (i, t) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOCS + ", text_a string, n int" * 0 + (", node string, n int" if extra else ""))
+    return spark.createDataFrame(rows, DOCS + (", node string, n int" if extra else ""))
 
 
 def spaced(text):
@@ -199,15 +199,12 @@ def test_nearest_is_levenshtein():
     def far(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
-            row = [i] + [0] * len(b) if False else [i, *row[1:]] if False else _next(row, x, b, i)
+            below = [i]
+            for j, y in enumerate(b, 1):
+                below.append(min(row[j] + 1, below[-1] + 1, row[j - 1] + (x != y)))
+            row = below
         return row[-1]
 
-    def _next(row, x, b, i):
-        out = [i]
-        for j, y in enumerate(b, 1):
-            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
-        return out
-
     terms = ["abcde", "abcd", "bcdeabcde", "eeeee", "aabbccdde"]
     trie = toxicity.Trie(terms)
     for _ in range(2000):
@@ -233,9 +230,9 @@ def test_toxicity(spark):
     df = spark.createDataFrame(toxic_rows(), "doc_id long, text string, toxic int")
     model = toxicity.learn(df, "text", "toxic")
     assert set(model.terms) == {"blorfing", "grundwad", "snivelok"}
-    tests = ["you are a blorfing", "you are a blorfign one", "plain text here", "", None, "BLORFING!!", "x " * 50_000 + "grundwad"]
+    tests = ["you are a blorfing", "you are a blorfimg one", "plain text here", "", None, "BLORFING!!", "x " * 50_000 + "grundwad"]
     got = docs(spark, tests, True).withColumn("s", toxicity.score(F.col("text"), model)).orderBy("doc_id").collect()
-    assert [r.s >= 0.5 for r in got] == [True, False, False, False, False, True, True]
+    assert [r.s >= 0.5 for r in got] == [True, True, False, False, False, True, True]
     assert got[1].s > got[2].s == got[3].s == got[4].s and all(0 <= r.s <= 1 for r in got)
     model.variants["blorfimg"] = 0.6 * model.terms["blorfing"]
     quoted, abused = (toxicity.hits(t, toxicity.Matcher(model))[0] for t in ('he said "blorfing" once', "you blorfing!"))
