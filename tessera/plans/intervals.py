@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals as iv
-from tessera.params import Cut
 from tessera.sources.tables import event_words, table
 
 #: event gaps are hours, so thresholds are too
