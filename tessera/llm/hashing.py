@@ -7,8 +7,11 @@ end between words, so memory follows the block and not the column or the longest
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -114,6 +117,17 @@ def word_hashes(column: pa.Array, with_words: bool = False):
     return (hashes, cuts, words) if with_words else (hashes, cuts)
 
 
+def small_slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to about most bytes in these string columns, or of one row where that has more."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for k in columns:
+        size += pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 _GRAM = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

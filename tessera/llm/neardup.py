@@ -3,12 +3,16 @@
 A document is the set of its word shingles. Documents with one set are one class, so exact copies cost one row. The
 classes enter several trees; in a tree a class follows, at every node, branches chosen by the node, and goes to the
 child that its minwise token there selects. Nodes of a few classes are compared exhaustively. Members of larger nodes
-are compared with the node's leaders, then those that are still in different components go deeper. So dense groups
-become one component in a few rounds without forming their pairs, and sparse nodes fall apart as they branch.
-
-Recall: a pair of Jaccard similarity s stays together in a child with probability s. With two branches at each node
-the chance r that a tree fails a pair at any depth solves r = (1 - s (1 - r))^2; at s = 0.75 it is 1/9, and five
-trees miss a pair that sits at the threshold in deep nodes with probability 2e-5, less in shallow ones. Links are
+are compared with the node's leaders; then those that are still in different components are bounded: what a class
+shares with no other member it can't share with a partner, so most members of sparse nodes, and most outliers of dense
+ones, can be shown to have no partner there. The rest is compared with the least peculiar members, and goes deeper. So
+dense groups become one component in a few rounds without forming their pairs, and sparse nodes fall apart.
+
+Recall: a pair of Jaccard similarity s stays together in a child with probability s. A tree's root has two branches, so
+alone it fails a pair at s = 0.75 with probability 1/16. Deeper nodes have 1 / s branches on average: then pairs at the
+threshold are lost and doubled in balance, and less similar ones die out. Two levels down a tree finds a pair at the
+threshold with probability 0.85, three levels down with 0.78; four trees miss it with probability 5e-4 and 2e-3. More
+similar pairs are missed far less, and a component is missed only if all links that hold it together are. Links are
 confirmed on full sets.
 """
 
@@ -25,19 +29,24 @@ from pyspark.sql import functions as F
 from . import hashing, store
 
 
+#: members that all others of a large node are compared with, at each level
+LEADERS = 3
+
+
 @dataclass(frozen=True)
 class Join:
     """percent: the least similarity of a link. width: words a shingle. coordinates: minwise tokens kept for each
-    document. leaf: nodes of up to so many classes are compared exhaustively. screen: pairs that agree in fewer of the
-    coordinates than this share aren't confirmed; at the threshold, a pair falls below 0.5 with probability 1e-6."""
+    document. leaf: nodes with up to so many classes outside
+    their largest component are compared exhaustively. screen: pairs that agree in fewer of the
+    coordinates than this share aren't confirmed; at the threshold, a pair falls below 78 of 128 with probability 2e-4."""
 
     percent: int = 75
     width: int = 5
-    trees: int = 5
+    trees: int = 4
     branches: int = 2
-    coordinates: int = 64
-    leaf: int = 8
-    screen: float = 0.5
+    coordinates: int = 128
+    leaf: int = 48
+    screen: float = 0.617
     seed: int = 11
 
 
@@ -50,8 +59,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataF
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in hashing.small_slices(batch, (1,)):
                 sets, cuts = hashing.shingle_sets(part.column(1), join.width)
                 n, sizes = part.num_rows, np.diff(cuts)
                 full = np.flatnonzero(sizes)
@@ -77,60 +85,96 @@ def class_keys(sets: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     return [row.tobytes() if size else None for row, size in zip(out, np.diff(cuts), strict=True)]
 
 
-def _child(node: Column, branch: int, sig: Column, join: Join) -> Column:
-    """The child of a node that a class goes to by one branch: the node chooses the coordinate."""
-    chosen = F.pmod(F.xxhash64(node, F.lit(branch), F.lit(join.seed)), F.lit(join.coordinates)).cast("int")
-    return F.xxhash64(node, F.lit(branch), F.get(sig, chosen))
+def _children(rows: DataFrame, join: Join, more: float, *also: str) -> DataFrame:
+    """(node, cid) rows of the children of (node, cid, sig) rows, with the columns in also. A node has one branch and, with probability more, each
+    further one; it also chooses the coordinate whose minwise token selects the child that a class goes to."""
 
+    def child(branch: int) -> Column:
+        chosen = F.xxhash64("node", F.lit(branch), F.lit(join.seed))
+        there = F.xxhash64("node", F.lit(branch), F.get("sig", F.pmod(chosen, F.lit(join.coordinates)).cast("int")))
+        return there if not branch or more >= 1 else F.when(F.pmod(F.shiftright(chosen, 20), F.lit(1000)) < int(1000 * more), there)
 
-def _children(rows: DataFrame, join: Join) -> DataFrame:
-    """(node, sid) rows of all children, from rows with node, sid and sig."""
-    return rows.select("sid", F.explode(F.array(*[_child(F.col("node"), b, F.col("sig"), join) for b in range(join.branches)])).alias("node"))
+    nodes = F.array(*[child(b) for b in range(join.branches)])
+    return rows.select("cid", *also, F.explode(nodes).alias("node")).filter("node is not null")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have at least percent of their union in common. texts: sid, text."""
-    both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose full shingle sets have at least percent of their union in common. texts: cid, text."""
+    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                (x, xc), (y, yc) = (hashing.shingle_sets(part.column(k), width) for k in (2, 3))
+            for part in hashing.small_slices(batch, (2, 3)):
+                sides = []
+                for ids, texts in ((0, 2), (1, 3)):  # a text's set is made once
+                    _, first, back = np.unique(part.column(ids).to_numpy(), return_index=True, return_inverse=True)
+                    sides.append((*hashing.shingle_sets(part.column(texts).take(pa.array(first)), width), back))
+                (x, xc, xi), (y, yc, yi) = sides
                 keep = []
-                for i in range(part.num_rows):
-                    one, two = x[xc[i] : xc[i + 1]], y[yc[i] : yc[i + 1]]
-                    common = len(np.intersect1d(one, two, assume_unique=True))
+                for i, j in zip(xi.tolist(), yi.tolist(), strict=True):
+                    one, two = x[xc[i] : xc[i + 1]], y[yc[j] : yc[j + 1]]
+                    place = np.searchsorted(one, two)
+                    place[place == len(one)] = 0
+                    common = int((one[place] == two).sum())
                     keep.append(100 * common >= percent * (len(one) + len(two) - common))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
+
+
+def _kept(df: DataFrame, name: str, few: int = 50_000) -> DataFrame:
+    """df, written. A table of few rows is worked on in one task from there on: shuffling it would cost more."""
+    out = store.written(df, name)
+    return out.coalesce(1) if out.count() <= few else out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(sid, component) for every end of the links: the least sid that it is connected with.
-
-    Each round gives every node the least neighbour, follows that pointer once more, and contracts the links; stars
-    end after one round and the number of nodes at least halves in each. All steps are pre-aggregated joins."""
-    edges = store.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label, first = None, True
-    while first or not edges.isEmpty():
-        least = edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        least = store.written(least, "pointers")
-        hop = store.written(least.join(least.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p")), "pointers")
-        if first:
-            label = hop.select(F.col("a").alias("sid"), F.col("p").alias("component"))
+    """(cid, component) for every end of the links (a, b): the least id that it is connected with.
+
+    Each round gives every node its least neighbour, follows that pointer once more, and contracts the links; stars
+    end after one round and the number of nodes at least halves in each. All steps are pre-aggregated or joins."""
+    edges = _kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    label = None
+    while label is None or not edges.isEmpty():
+        least = _kept(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")), "pointers")
+        hop = _kept(least.join(least.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p")), "pointers")
+        if label is None:
+            label = hop.select(F.col("a").alias("cid"), F.col("p").alias("component"))
         else:
-            label = store.written(
-                label.join(hop.select(F.col("a").alias("component"), "p"), "component", "left").select("sid", F.coalesce("p", "component").alias("component")), "labels"
-            )
-        edges = store.written(
-            edges.join(hop, "a").select(F.col("p").alias("x"), F.col("b").alias("a")).join(hop, "a").select(F.col("x").alias("a"), F.col("p").alias("b")).filter("a <> b").distinct(), "edges"
-        )
-        first = False
+            label = _kept(label.join(hop.withColumnRenamed("a", "component"), "component", "left").select("cid", F.coalesce("p", "component").alias("component")), "labels")
+        moved = edges.join(hop, "a").select(F.col("p").alias("x"), F.col("b").alias("a")).join(hop, "a")
+        edges = _kept(moved.select(F.col("x").alias("a"), F.col("p").alias("b")).filter("a <> b").distinct(), "edges")
     return label
 
 
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """comp, a table of (cid, component), after more links."""
+    if comp is None:
+        return components(links)
+    more = components(_placed(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = comp.join(more.select(F.col("cid").alias("component"), F.col("component").alias("to")), "component", "left")
+    return _kept(moved.select("cid", F.coalesce("to", "component").alias("component")).union(more.join(comp, "cid", "left_anti")), "components")
+
+
+def _placed(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs that aren't in one component, with their components ca and cb."""
+    for x in "ab":
+        pairs = pairs.join(comp.select(F.col("cid").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return pairs.filter("ca <> cb")
+
+
+def _nodes(rows: DataFrame, level: int) -> DataFrame:
+    """For each node with classes of several components: the number of its classes outside its largest component
+    (minor), that component, and the least hash of a member for each leader."""
+    leaders = [F.min(f"h{k}").alias(f"h{k}") for k in range(LEADERS)]
+    if level == 1:  # each class is still its own component
+        found = rows.groupBy("node").agg((F.count("*") - 1).alias("minor"), F.min("component").alias("major"), *leaders)
+    else:
+        parts = rows.groupBy("node", "component").agg(F.count("*").alias("m"), *leaders)
+        found = parts.groupBy("node").agg((F.sum("m") - F.max("m")).alias("minor"), F.max_by("component", F.struct("m", "component")).alias("major"), *leaders)
+    return found.filter("minor > 0").select("node", "minor", "major", *[F.col(f"h{k}").alias(f"l{k}") for k in range(LEADERS)])
+
+
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id and kept.
 
@@ -141,71 +185,109 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty table gives an empty one. Only the two named columns are read.
     """
     sigs = store.written(signatures(docs, id_col, text_col, join), "signatures")
-    classes = store.written(sigs.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.first("sig").alias("sig")), "classes")
+    classes = sigs.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = store.written(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", "least", "n", "sig"), "classes")
     texts_of = docs.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text"))
 
-    comp: DataFrame | None = None  # (sid, component) of classes that have links
-    links: DataFrame | None = None
+    comp: DataFrame | None = None  # (cid, component) of classes that have links
+    tested: DataFrame | None = None  # pairs that were compared by their minwise tokens
+    texts, kin = None, classes  # (cid, text) and the classes that are still in some node
     start = F.array(*[F.lit(t).cast("long") for t in range(join.trees)])
-    frontier = _children(classes.select("sid", "sig", F.explode(start).alias("node")), join)
-    # salts order the members of a node at random, apart from other nodes
-    ordered = [F.min(F.struct(F.xxhash64("node", "sid", F.lit(s)), "sid")).getField("sid").alias(f"leader{s}") for s in (1, 2)]
-    level = 0
+    frontier, level = _children(classes.select("cid", "sig", F.explode(start).alias("node")), join, 1.0).withColumn("odd", F.lit(0).cast("long")), 0
     while True:
         level += 1
-        frontier = store.written(frontier, f"nodes-{level}")
-        rows = frontier.withColumn("component", F.col("sid"))
-        if comp is not None:
-            rows = frontier.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        mixed = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), *ordered).filter("n > 1 and c0 <> c1").drop("c0", "c1")
-        members = store.written(rows.join(mixed, "node"), f"members-{level}")
+        rows = _kept(frontier, f"nodes-{level}")
+        rows = rows.withColumn("component", F.col("cid")) if comp is None else rows.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        rows = rows.withColumns({f"h{k}": F.shiftleft("odd", 40) + F.shiftrightunsigned(F.xxhash64("node", "cid", F.lit(k)), 24) for k in range(LEADERS)})
+        members = store.written(rows.join(_nodes(rows, level), "node"), f"members-{level}")
         if members.isEmpty():
             break
-        small, large = members.filter(F.col("n") <= join.leaf), members.filter(F.col("n") > join.leaf)
-        one, two = (small.select("node", F.col("sid").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        pairs = one.join(two, "node").filter("a < b and ca <> cb").select("a", "b")
-        for leader in ("leader1", "leader2"):
-            pairs = pairs.union(large.filter(F.col("sid") != F.col(leader)).select(F.least("sid", leader).alias("a"), F.greatest("sid", leader).alias("b")))
-        near = _screened(pairs.distinct(), classes, join)
-        if comp is not None:  # pairs that are connected by now need no test
-            near = near.join(comp.select(F.col("sid").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("sid").alias("b"), F.col("component").alias("cb")), "b", "left")
-            near = near.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        near = store.written(near, f"pairs-{level}")
+        small, large = members.filter(F.col("minor") <= join.leaf), members.filter(F.col("minor") > join.leaf)
+        minors = small.filter("component <> major").select("node", F.col("cid").alias("x"), F.col("component").alias("cx"))
+        pairs = minors.join(small.select("node", F.col("cid").alias("y"), F.col("component").alias("cy")), "node").filter("cx <> cy")
+        lead = large.filter(" or ".join(f"h{k} = l{k}" for k in range(LEADERS))).select("node", F.col("cid").alias("x"), F.col("component").alias("cx"))
+        pairs = pairs.unionByName(large.select("node", F.col("cid").alias("y"), F.col("component").alias("cy")).join(lead, "node").filter("cx <> cy"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if level > 1:  # from here on most pairs come again at the next level: none is compared twice
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = store.written(pairs, f"pairs-{level}")
+            tested = pairs if tested is None else tested.union(pairs)
+        near = store.written(_screened(pairs, kin, join), f"near-{level}")
+        if texts is None:
+            texts = _texts(members.select("cid").distinct(), classes, texts_of, join.width)
         if not near.isEmpty():
-            found = store.written(similar(near, _texts(near, classes, texts_of, join.width), join.width, join.percent), f"links-{level}")
-            links = found if links is None else links.union(found)
-            comp = components(links)
-        frontier = _children(large.select("node", "sid").join(classes.select("sid", "sig"), "sid"), join)
-        if level > 1 and large.isEmpty():
+            found = store.written(similar(near, texts, join.width, join.percent), f"links-{level}")
+            if not found.isEmpty():
+                comp = _joined(comp, found)
+        left = _kept(_possible(large.select("node", "cid"), comp, kin, texts, join), f"possible-{level}")
+        if left.isEmpty():
             break
+        if level == 1:  # from here on only these matter
+            crowd = left.select("cid").distinct()
+            texts, kin = (_kept(t.join(crowd, "cid", "left_semi"), "crowd") for t in (texts, kin))
+        frontier = left if level == 1 else _children(left.join(kin.select("cid", "sig"), "cid"), join, 1 / join.percent * 100 - 1, "odd")
 
-    named = classes.select("sid", "least") if comp is None else classes.join(comp, "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
+    named = classes.select("cid", "sid", "least", F.col("cid").alias("component"))
     if comp is not None:
-        named = named.join(named.groupBy("component").agg(F.min("least").alias("name")), "component").select("sid", F.col("name").alias("component_id"))
+        named = classes.join(comp, "cid", "left").select("sid", "least", F.coalesce("component", "cid").alias("component"))
+        named = named.join(named.groupBy("component").agg(F.min("least").alias("name")), "component")
     else:
-        named = named.select("sid", F.col("least").alias("component_id"))
-    out = sigs.select("id", "sid", "n_shingles").join(named, "sid", "left")
+        named = named.withColumn("name", F.col("least"))
+    out = sigs.select("id", "sid", "n_shingles").join(named.select("sid", F.col("name").alias("component_id")), "sid", "left")
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _possible(rows: DataFrame, comp: DataFrame | None, classes: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The (node, cid) rows that could still be linked to another component's member of their node, with odd, the number
+    of shingles that no other class in rows has.
+
+    A class of n shingles has at most o = n - odd in common with any other. For a partner of m shingles the similarity
+    is at most m / n if m <= o, and o / (n + m - o) otherwise: both reach the threshold p only for
+    p n <= m <= o (1 + 1 / p) - n. Rows whose node has no other member of such a size go; no link is lost."""
+    placed = rows if comp is None else rows.join(comp, "cid", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "cid") if comp is not None else F.col("cid"))
+    mixed = placed.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("node")
+    crowd = _kept(rows.join(mixed, "node"), "crowd")
+    crowd_texts = texts.join(crowd.select("cid").distinct(), "cid", "left_semi")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in hashing.small_slices(batch, (1,), 1 << 20):
+                sets, cuts = hashing.shingle_sets(part.column(1), join.width)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), np.diff(cuts)))], names=["shingle", "cid"])
+
+    shingles = crowd_texts.mapInArrow(task, "shingle long, cid long").groupBy("shingle").agg(F.count("*").alias("m"), F.min("cid").alias("cid")).filter("m = 1")
+    odd = shingles.groupBy("cid").agg(F.count("*").alias("odd"))
+    bounds = classes.select("cid", "n").join(crowd.select("cid").distinct(), "cid", "left_semi").join(odd, "cid", "left").withColumn("odd", F.coalesce("odd", F.lit(0)))
+    p = join.percent
+    bounds = bounds.withColumns({"low": F.ceil(F.col("n") * p / 100), "high": F.floor((F.col("n") - F.col("odd")) * (100 + p) / p - F.col("n"))})
+    sized = crowd.join(_kept(bounds, "bounds"), "cid")
+    sizes = sized.groupBy("node", "n").agg(F.count("*").alias("m")).groupBy("node").agg(F.collect_list(F.struct("n", "m")).alias("sizes"))
+    fits = F.exists("sizes", lambda z: (z.n >= F.col("low")) & (z.n <= F.col("high")) & ((z.n != F.col("n")) | (z.m > 1)))
+    return sized.filter("low <= high").join(sizes, "node").filter(fits).select("node", "cid", "odd")
+
+
 def _screened(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    sig = {x: classes.select(F.col("sid").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
+    sig = {x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
+    sized = 100 * F.least("n_a", "n_b") >= join.percent * F.greatest("n_a", "n_b")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(sig["a"], "a").join(sig["b"], "b").filter(agree >= int(join.screen * join.coordinates)).select("a", "b")
+    return pairs.join(sig["a"], "a").join(sig["b"], "b").filter(sized).filter(agree >= int(join.screen * join.coordinates)).select("a", "b")
 
 
-def _texts(pairs: DataFrame, classes: DataFrame, texts_of: DataFrame, width: int) -> DataFrame:
-    """(sid, text) for the classes in pairs. Rows whose id is that of a class but whose text isn't are left out."""
-    wanted = store.written(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "least"), "sid").select("sid", "least"), "wanted")
-    found = texts_of.filter(F.col("text").isNotNull()).join(wanted, texts_of["least"].eqNullSafe(wanted["least"])).select("sid", "text")
+def _texts(cids: DataFrame, classes: DataFrame, texts_of: DataFrame, width: int) -> DataFrame:
+    """(cid, text) for these classes. Rows whose id is that of a class but whose text isn't are left out. The texts are
+    shuffled once, whatever the number of classes: broadcasting these would not do at a larger size."""
+    wanted = store.written(classes.select("cid", "sid", "least").join(cids, "cid", "left_semi"), "wanted")
+    texts_of = texts_of.filter(F.col("text").isNotNull())
+    found = texts_of.join(wanted.hint("shuffle_merge"), texts_of["least"].eqNullSafe(wanted["least"])).select("cid", "sid", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys = class_keys(*hashing.shingle_sets(part.column(1), width))
-                yield part.filter(pa.array([k == s for k, s in zip(keys, part.column(0).to_pylist(), strict=True)], pa.bool_()))
+            for part in hashing.small_slices(batch, (2,)):
+                keys = class_keys(*hashing.shingle_sets(part.column(2), width))
+                yield part.filter(pa.array([k == s for k, s in zip(keys, part.column(1).to_pylist(), strict=True)], pa.bool_())).select([0, 2])
 
-    checked = store.written(found.mapInArrow(task, "sid binary, text string"), "texts")
-    return checked.groupBy("sid").agg(F.first("text").alias("text"))
+    checked = found.mapInArrow(task, "cid long, text string")
+    return store.written(checked.groupBy("cid").agg(F.first("text").alias("text")), "texts")
