@@ -38,7 +38,7 @@ class Plan:
     are merged, that a bucket gets at most on average. held: one of so many training texts is held out for the
     mixture weights. iterations of EM. Context buckets are the binary logarithms of the contexts' counts."""
 
-    chunk_tokens: int = 2_000_000
+    chunk_tokens: int = 1_000_000
     bucket_keys: int = 2_000_000
     held: int = 10
     iterations: int = 50
