@@ -1,7 +1,7 @@
 """Hashes of the words of whole Arrow string columns, by numpy over the columns' bytes.
 
 A word's hash is a polynomial in its bytes (each first mapped to a random 64-bit number), from one running sum over
-the bytes, and then mixed; no object is made for a word. Columns are worked on in blocks of about a megabyte that
+the bytes, and then mixed; no object is made for a word. Columns are worked on in blocks of about a quarter of a megabyte that
 end between words, so memory follows the block and not the column or the longest text.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: \x20 and \x09-\x0D
 SPACE = np.zeros(256, bool)
@@ -117,7 +117,7 @@ def word_hashes(column: pa.Array, with_words: bool = False):
     return (hashes, cuts, words) if with_words else (hashes, cuts)
 
 
-def small_slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of up to about most bytes in these string columns, or of one row where that has more."""
     size = np.zeros(batch.num_rows, np.int64)
     for k in columns:

@@ -45,7 +45,7 @@ class Join:
     trees: int = 4
     branches: int = 2
     coordinates: int = 128
-    leaf: int = 48
+    leaf: int = 32
     screen: float = 0.617
     seed: int = 11
 
@@ -122,7 +122,7 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
-def _kept(df: DataFrame, name: str, few: int = 50_000) -> DataFrame:
+def _kept(df: DataFrame, name: str, few: int = 25_000) -> DataFrame:
     """df, written. A table of few rows is worked on in one task from there on: shuffling it would cost more."""
     out = store.written(df, name)
     return out.coalesce(1) if out.count() <= few else out
@@ -225,7 +225,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
         if level == 1:  # from here on only these matter
             crowd = left.select("cid").distinct()
-            texts, kin = (_kept(t.join(crowd, "cid", "left_semi"), "crowd") for t in (texts, kin))
+            texts, kin = store.written(texts.join(crowd, "cid", "left_semi"), "texts"), _kept(kin.join(crowd, "cid", "left_semi"), "kin")
         frontier = left if level == 1 else _children(left.join(kin.select("cid", "sig"), "cid"), join, 1 / join.percent * 100 - 1, "odd")
 
     named = classes.select("cid", "sid", "least", F.col("cid").alias("component"))
