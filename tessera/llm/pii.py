@@ -1,8 +1,9 @@
 """Personal data in texts, in DataFrame operations only: patterns of four kinds, and bootstrapped contexts.
 
-Matches of the four patterns are seeds. A seed's word before it and its shape are a lexical pattern; patterns that
-nearly always hold seeds pass confidence on to their other fillers, these to their other patterns, and so on for a few
-rounds over the graph of patterns and values. Fillers that end with a high confidence are identifiers too.
+Matches of the four patterns are seeds. The word before a seed and the class of its shape are a lexical pattern, and so
+are that word and the exact shape: a context counts by the better of the two. Patterns that nearly always hold seeds
+pass confidence on to their other fillers, these to their other patterns, and so on for a few rounds over the graph of
+patterns and values. Fillers that end with a high confidence are identifiers too, of whatever shape in their class.
 """
 
 from __future__ import annotations
@@ -76,12 +77,18 @@ def _spans(texts: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).select("id", "mark", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before")
 
 
-def _lexical(before: Column, value: Column) -> Column:
-    """The last word before a match, lower-cased, and the match's shape (letters as a, digits as 9, at most two of them
-    a run); null without a word."""
-    word = F.regexp_extract(F.lower(before), r"(\S+)\s*$", 1)
+def _word(before: Column) -> Column:
+    """The last word before a match, lower-cased; empty without one."""
+    return F.regexp_extract(F.lower(before), r"(\S+)\s*$", 1)
+
+
+def _lexical(word: Column, value: Column) -> Column:
+    """The patterns of a match after word: with its class (what has an at sign, four dotted numbers, or digits: under 7,
+    to 13 or more), and with its shape (letters as a, digits as 9, at most two of them a run)."""
+    n = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    kind = F.when(F.instr(value, "@") > 0, "@").when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "quad").when(n < 7, "short").when(n <= 13, "digits").otherwise("long")
     masked = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
-    return F.when(word != "", F.concat(word, F.lit(" "), F.regexp_replace(masked, "(9{2})9+", "$1")))
+    return F.array(F.concat_ws(" ", word, F.lit("class"), kind), F.concat_ws(" ", word, F.lit("shape"), F.regexp_replace(masked, "(9{2})9+", "$1")))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Bootstrap = Bootstrap()) -> DataFrame:
@@ -104,14 +111,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     following = F.min(F.when(F.col("kind") < 4, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     free = spans.withColumns({"reach": reach, "next": following}).filter((F.col("kind") == 4) & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
 
-    known = seeds.select("kind", "value", _lexical(F.col("before"), F.col("value")).alias("pattern"), F.lit(1.0).alias("sure"))
-    unknown = store.written(free.select("id", "mark", "start", "end", "value", _lexical(F.col("before"), F.col("value")).alias("pattern")), "fillers")
-    edges = known.union(unknown.select(F.lit(None).cast("int").alias("kind"), "value", "pattern", F.lit(0.0).alias("sure"))).filter("pattern is not null").distinct()
+    known = seeds.select("kind", "value", _word(F.col("before")).alias("word"), F.lit(1.0).alias("sure"))
+    unknown = store.written(free.select("id", "mark", "start", "end", "value", _word(F.col("before")).alias("word")), "fillers")
+    edges = known.union(unknown.select(F.lit(None).cast("int").alias("kind"), "value", "word", F.lit(0.0).alias("sure"))).filter("word <> ''").distinct()
+    edges = edges.select("kind", "value", "word", "sure", F.explode(_lexical(F.col("word"), F.col("value"))).alias("pattern"))
     edges = store.written(edges, "pattern-edges")
     seeded = edges.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("sure").alias("sure")).filter(F.col("seeds") >= plan.support)
     sizes = edges.join(seeded.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
     seeded = store.written(seeded.join(sizes, "pattern").withColumn("belief", F.col("sure") / (F.col("n") + plan.doubt)), "patterns")
-    open_edges = edges.filter("kind is null").select("pattern", "value")
+    open_edges = edges.filter("kind is null").select("pattern", "word", "value")
     values = None
     for turn in range(plan.rounds):
         beliefs = seeded
@@ -119,7 +127,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             gained = open_edges.join(values, "value").groupBy("pattern", "kind").agg(F.sum("sure").alias("gain"))
             beliefs = seeded.join(gained, ["pattern", "kind"], "left").withColumn("belief", (F.col("sure") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + plan.doubt))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9)))))
-        values = store.written(open_edges.join(beliefs.select("pattern", "kind", "belief"), "pattern").groupBy("value", "kind").agg((1 - doubt).alias("sure")), f"values-{turn}")
+        contexts = open_edges.join(beliefs.select("pattern", "kind", "belief"), "pattern").groupBy("value", "kind", "word").agg(F.max("belief").alias("belief"))
+        values = store.written(contexts.groupBy("value", "kind").agg((1 - doubt).alias("sure")), f"values-{turn}")
     best = values.groupBy("value").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"), F.max("sure").alias("sure")).filter(F.col("sure") >= plan.threshold)
     added = unknown.join(best.select("value", "kind"), "value").select("id", "mark", "kind", "start", "end", "value", F.lit(False).alias("base")).distinct()
     out = seeds.select("id", "mark", "kind", "start", "end", "value", F.lit(True).alias("base")).union(added)

@@ -346,6 +346,13 @@ def test_contexts_find_more(spark):
     assert found <= {(40, "email", "someone@localhost")}
 
 
+def test_contexts_find_other_shapes(spark):
+    texts = [f"call phone: +1 555 {i:03d} 0{i % 10}99 now" for i in range(100, 140)] + ["call phone: (555) 777-1234 now", "order number (555) 777-9999 now"]
+    texts += [f"mail: user{i}@site.org" for i in range(40)] + ["mail: someone@localhost", "see a@b here", "phone: other@localhost"]
+    found = {(r.doc_id, r.kind, r.value) for r in pii.personal_data(docs(spark, texts)).filter("not base").collect()}
+    assert found == {(40, "phone", "(555) 777-1234"), (82, "email", "someone@localhost")}
+
+
 # 9
 
 
