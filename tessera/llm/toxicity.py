@@ -44,11 +44,13 @@ class Params:
 
 @dataclass
 class Model:
-    """terms: word -> weight; stems: word beginning -> weight; variants: misspelling -> weight, as the labelled texts
+    """terms: word -> weight; stems: word beginning -> weight; covered: words that begin with a stem -> their own weight,
+    which their misspellings are looked up by; variants: misspelling -> weight, as the labelled texts
     have it; coefficients: of the features, intercept first."""
 
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    covered: dict[str, float] = field(default_factory=dict)
     variants: dict[str, float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=lambda: [-20.0] + [0.0] * N_FEATURES)
     window: int = 8
@@ -60,11 +62,25 @@ def allowed(term: str) -> int:
 
 
 class Trie:
-    """Terms as nested dicts; the key "" holds the term that ends at a node."""
+    """Terms as nested dicts; the key "" holds the term that ends at a node, and "*" the stem, after which any rest of
+    a word may follow."""
 
-    def __init__(self, terms) -> None:
+    def __init__(self, terms, stems=()) -> None:
         self.root: dict = {}
         self.parts: dict[int, list[tuple[int, int, set[str]]]] = {}
+        starts: dict[tuple[int, int], set[str]] = {}
+        for stem in stems:
+            node = self.root
+            for c in stem:
+                node = node.setdefault(c, {})
+            node["*"] = stem
+            k, n = allowed(stem), len(stem)
+            cuts = [n * j // (k + 1) for j in range(k + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for shift in range(-k, k + 1):
+                    if a + shift >= 0:
+                        starts.setdefault((a + shift, b + shift), set()).add(stem[a:b])
+        self.starts = [(a, b, texts) for (a, b), texts in starts.items()]
         shapes: dict[tuple[int, int, int], set[str]] = {}
         for term in terms:
             node = self.root
@@ -83,19 +99,19 @@ class Trie:
 
     def may_match(self, word: str) -> bool:
         """Cut into one part more than its edits, some part of a term is unharmed, at most that many places off."""
-        return any(word[a:b] in texts for a, b, texts in self.parts.get(len(word), ()))
+        return any(word[a:b] in texts for a, b, texts in self.parts.get(len(word), ())) or any(word[a:b] in texts for a, b, texts in self.starts)
 
     def nearest(self, word: str) -> tuple[int, str] | None:
-        """The nearest term within its allowed distance (of several, the first by name), by running the Levenshtein
-        automaton of word through the trie. A state of the automaton is its set of (place in word, edits so far)."""
+        """The nearest term, or stem of any beginning of word, within its allowed distance (of several, the first by
+        name), by running the Levenshtein automaton of word through the trie. A state of the automaton is its set of (place in word, edits so far)."""
         n, best = len(word), None
         most = 2 if n >= 7 else 1
         stack = [(self.root, _closed({(0, 0)}, n, most))]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    edits = min((e + n - i for i, e in state if e + n - i <= most), default=most + 1)
+                if c in ("", "*"):
+                    edits = min((e + n - i if c == "" else e for i, e in state), default=most + 1)
                     if edits <= allowed(child) and (best is None or (edits, child) < best):
                         best = (edits, child)
                     continue
@@ -126,7 +142,8 @@ class Matcher:
     """What a word is to the lexicon: None, or its weight, whether it is misspelled and the term."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.trie, self.known = model, Trie(model.terms), {}
+        self.model, self.trie, self.known = model, Trie({**model.terms, **model.covered}, model.stems), {}
+        self.weights = {**model.stems, **model.covered, **model.terms}
         self.lengths = sorted({len(s) for s in model.stems})
 
     def __call__(self, word: str):
@@ -145,7 +162,7 @@ class Matcher:
             if len(word) >= n and (weight := self.model.stems.get(word[:n])) is not None:
                 return weight, False, word[:n]
         if self.trie.may_match(word) and (near := self.trie.nearest(word)):
-            weight = self.model.variants.get(word, 0.6 * self.model.terms[near[1]])
+            weight = self.model.variants.get(word, 0.6 * self.weights[near[1]])
             return weight, True, near[1]
         return None
 
@@ -229,7 +246,7 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, params: Params = P
     tried = rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("c")).agg(F.sum("c").alias("c")).first()["c"]
     strong = counts.filter((F.col("toxic") >= max(params.least_texts, params.least_share * n_toxic)) & (F.col("toxic") >= 19 * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
     found = {r["term"]: (r["toxic"], r["clean"]) for r in strong.orderBy(F.desc("toxic"), "term").limit(20 * params.most_terms).collect()}
-    model.terms, model.stems = _lexicon(found, n_toxic, n_clean, params)
+    model.terms, model.stems, model.covered = _lexicon(found, n_toxic, n_clean, params)
 
     matcher = Matcher(model)
 
@@ -242,7 +259,7 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, params: Params = P
     for r in seen.groupBy("v").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect():
         near = matcher.trie.nearest(r["v"])
         odds = (r["toxic"] + 1.6) / (n_toxic + 2) * (n_clean + 2) / (r["n"] - r["toxic"] + 0.4)
-        model.variants[r["v"]] = min(0.6 * model.terms[near[1]], math.log(odds))
+        model.variants[r["v"]] = min(0.6 * matcher.weights[near[1]], math.log(odds))
 
     matcher = Matcher(model)
 
@@ -257,8 +274,9 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, params: Params = P
     return model
 
 
-def _lexicon(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, params: Params) -> tuple[dict[str, float], dict[str, float]]:
-    """Of nested beginnings and words, the longest that still stands for nearly all texts of the shorter ones."""
+def _lexicon(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, params: Params) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Of nested beginnings and words, the longest that still stands for nearly all texts of the shorter ones; and the
+    words that these beginnings cover."""
     longer: dict[str, int] = {}
     for term, (toxic, _) in found.items():
         body = term.rstrip("*")
@@ -269,12 +287,14 @@ def _lexicon(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, para
     kept = {t: c for t, c in found.items() if not t.endswith("*") or longer.get(t, 0) < 0.95 * c[0]}
     stems = {t[:-1] for t in kept if t.endswith("*")}
     weight = lambda c: math.log((c[0] + 0.5) / (n_toxic + 1)) - math.log((c[1] + 0.5) / (n_clean + 1))
-    out: tuple[dict[str, float], dict[str, float]] = ({}, {})
+    out: tuple[dict[str, float], dict[str, float], dict[str, float]] = ({}, {}, {})
     for term, c in sorted(kept.items(), key=lambda x: (-x[1][0], x[0])):
         body = term.rstrip("*")
         covered = any(body[:k] in stems for k in range(params.stem[0], len(body)))
         if not covered and len(out[0]) + len(out[1]) < params.most_terms:
             out[term.endswith("*")][body] = weight(c)
+        elif covered and term == body and len(out[2]) < params.most_terms:
+            out[2][body] = weight(c)
     return out
 
 

@@ -242,6 +242,24 @@ def test_toxicity(spark):
     assert docs(spark, tests).limit(0).select(toxicity.score(F.col("text"), model)).count() == 0
 
 
+def test_misspelled_inflections_of_stems(spark):
+    r, rows = random.Random(8), []
+    for i in range(600):
+        words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 8))) for _ in range(30)]
+        if i % 3 == 0:
+            words[r.randrange(30)] = "grabwusk" + r.choice(["ing", "ed", "er", "s", "able", "ish", "ers", "ful"])
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), "text", "toxic")
+    assert model.stems and not model.terms
+    matcher = toxicity.Matcher(model)
+    for word in ("grrabwusking", "gabwusked", "grabwvskful", "grabwuskling"):
+        assert (got := matcher(word)) is not None and got[0] > 0, word
+    assert matcher("garbanzos") is None and matcher("tesserae") is None
+    texts = ["so they are grabwusking us", "so they are grrabwusking us", "so they are walking to us"]
+    scored = [x.s for x in docs(spark, texts).select(toxicity.score(F.col("text"), model).alias("s")).collect()]
+    assert scored[0] > 0.5 and scored[1] > scored[2] + 0.1
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     d = spark.createDataFrame(toxic_rows(), "doc_id long, text string, toxic int")
     labels = d.select("doc_id", "toxic").union(spark.createDataFrame([(5, 1), (None, 1), (6, None)], "doc_id long, toxic int"))
