@@ -7,6 +7,7 @@ end between words, so memory follows the block and not the column or the longest
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18
+#: bytes of words that are hashed by the running sum
+LONG = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: \x20 and \x09-\x0D
 SPACE = np.zeros(256, bool)
@@ -63,8 +66,11 @@ def _block(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndar
     power, inverse = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * power[: len(data)], out=total[1:])
-    hashes = (total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(hashes), first, last
+    hashes = mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # polynomials of high degree modulo a power of two have words in common that differ: long ones get a digest
+    for k in np.flatnonzero(last - first > LONG).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, first, last
 
 
 def word_hashes(column: pa.Array, with_words: bool = False):

@@ -1,25 +1,28 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its word shingles. Documents with one set are one class, so exact copies cost one row. The
-classes enter several trees; in a tree a class follows, at every node, branches chosen by the node, and goes to the
-child that its minwise token there selects. Nodes of a few classes are compared exhaustively. Members of larger nodes
-are compared with the node's leaders; then those that are still in different components are bounded: what a class
-shares with no other member it can't share with a partner, so most members of sparse nodes, and most outliers of dense
-ones, can be shown to have no partner there. The rest is compared with the least peculiar members, and goes deeper. So
-dense groups become one component in a few rounds without forming their pairs, and sparse nodes fall apart.
-
-Recall: a pair of Jaccard similarity s stays together in a child with probability s. A tree's root has two branches, so
-alone it fails a pair at s = 0.75 with probability 1/16. Deeper nodes have 1 / s branches on average: then pairs at the
-threshold are lost and doubled in balance, and less similar ones die out. Two levels down a tree finds a pair at the
-threshold with probability 0.85, three levels down with 0.78; four trees miss it with probability 5e-4 and 2e-3. More
-similar pairs are missed far less, and a component is missed only if all links that hold it together are. Links are
-confirmed on full sets.
+classes enter several trees; in a tree a class follows, at every node, the branches that the node has, and goes to the
+child that its minwise token there selects. Nodes of up to `leaf` classes are compared exhaustively, in blocks; larger
+ones are compared with a few leaders, and their classes go on to the children.
+
+Comparing a node. Tasks hold the minwise tokens of a block of a node, one byte each, and find its candidates: pairs of
+different components that agree often enough and are of similar size. A cluster of candidates is handed on as a spanning
+tree of its best pairs, so a dense cluster of m classes costs m - 1 pairs and not their square. These are confirmed on
+full sets. Clusters that have other candidates and are still in different components then get their texts in one task,
+where each class outside the largest component is compared with all others on full sets. Texts are never dealt by pair
+beyond the trees.
+
+Recall. A pair of Jaccard similarity s shares a child with probability s. The root has two branches, deeper nodes 1 / s
+on average, so pairs at the threshold are neither lost nor doubled. With t trees a pair at the threshold is missed with
+probability (1 - f(g(..g(1)))) ** t, where g stands for a generation below the root's children and f for the root:
+1.5e-5 if those children are leaves, 5e-4 one generation down. Classes whose nodes lie deeper than the target recall
+allows enter further rounds of independent trees, until the product of the rounds' probabilities meets the target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,53 +31,75 @@ from pyspark.sql import functions as F
 
 from . import hashing, store
 
-
 #: members that all others of a large node are compared with, at each level
 LEADERS = 3
+#: shingles of a block: nodes of long texts are cut into more blocks
+HEAVY = 1 << 20
 
 
 @dataclass(frozen=True)
 class Join:
-    """percent: the least similarity of a link. width: words a shingle. coordinates: minwise tokens kept for each
-    document. leaf: nodes with up to so many classes outside
-    their largest component are compared exhaustively. screen: pairs that agree in fewer of the
-    coordinates than this share aren't confirmed; at the threshold, a pair falls below 78 of 128 with probability 2e-4."""
+    """percent: the least similarity of a link. width: words a shingle. trees: independent trees of a round. branches:
+    of each tree's root. coordinates: minwise tokens of a document. leaf: classes of a node that is compared
+    exhaustively. block: classes of a node that meet in one task. screen: pairs that agree in fewer of the coordinates
+    than this share aren't confirmed; at the threshold, a pair falls below 76 of 128 with probability 5e-5. recall: of
+    pairs at the threshold, the share to be found."""
 
     percent: int = 75
     width: int = 5
     trees: int = 4
     branches: int = 2
     coordinates: int = 128
-    leaf: int = 32
-    screen: float = 0.617
+    leaf: int = 4096
+    block: int = 512
+    screen: float = 0.59
+    recall: float = 0.998
     seed: int = 11
 
+    def missed(self, generations: int) -> float:
+        """The probability that all trees of a round lose a pair at the threshold whose leaves lie so many generations
+        below the root's children."""
+        s, q = self.percent / 100, 1.0
+        for _ in range(generations):
+            q = 1 - (1 - s * q) * (1 - s * q * min(1.0, 1 / s - 1))
+        return (1 - s * q) ** (self.branches * self.trees)
+
+    @property
+    def reach(self) -> int:
+        """The generations below the root's children that one round reaches at the target recall."""
+        return next((d for d in range(64) if self.missed(d + 1) > 1 - self.recall), 64)
+
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
-    """id, class (16 bytes that stand for the shingle set; null for an empty one), n_shingles and minwise tokens."""
-    schema = f"id {dict(docs.dtypes)[id_col]}, sid binary, n_shingles long, sig array<int>"
+    """id, mark (xxhash64 of the text), sid (16 bytes that stand for the shingle set; null for an empty one),
+    n_shingles, roots (a minwise token for each branch of the roots) and sig (a byte of each minwise token)."""
+    schema = f"id {dict(docs.dtypes)[id_col]}, mark long, sid binary, n_shingles long, roots array<int>, sig binary"
     draw = np.random.default_rng(join.seed)
     factors = draw.integers(0, 1 << 63, join.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = draw.integers(0, 1 << 64, join.coordinates, dtype=np.uint64)
+    first = min(join.trees * join.branches, join.coordinates)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in hashing.small_slices(batch, (1,)):
-                sets, cuts = hashing.shingle_sets(part.column(1), join.width)
+            for part in hashing.small_slices(batch, (2,)):
+                sets, cuts = hashing.shingle_sets(part.column(2), join.width)
                 n, sizes = part.num_rows, np.diff(cuts)
                 full = np.flatnonzero(sizes)
-                sig = np.zeros((n, join.coordinates), np.int32)
+                least = np.zeros((n, join.coordinates), np.uint32)
                 if len(full):
                     for k in range(join.coordinates):
                         tokens = ((sets * factors[k] + terms[k]) >> np.uint64(32)).astype(np.uint32)
-                        sig[full, k] = np.minimum.reduceat(tokens, cuts[:-1][full]).view(np.int32)
-                keys = class_keys(sets, cuts)
+                        least[full, k] = np.minimum.reduceat(tokens, cuts[:-1][full])
+                # the low bits: least tokens have small high ones
+                sigs = [row.tobytes() for row in (least & np.uint32(255)).astype(np.uint8)]
+                roots = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * first, pa.array(least[:, :first].ravel().view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * join.coordinates, pa.array(sig.ravel()))],
-                    names=["id", "sid", "n_shingles", "sig"],
+                    [part.column(0), part.column(1), pa.array(class_keys(sets, cuts), pa.binary()), pa.array(sizes, pa.int64()), roots, pa.array(sigs, pa.binary())],
+                    names=["id", "mark", "sid", "n_shingles", "roots", "sig"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(task, schema)
 
 
 def class_keys(sets: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
@@ -85,17 +110,105 @@ def class_keys(sets: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     return [row.tobytes() if size else None for row, size in zip(out, np.diff(cuts), strict=True)]
 
 
-def _children(rows: DataFrame, join: Join, more: float, *also: str) -> DataFrame:
-    """(node, cid) rows of the children of (node, cid, sig) rows, with the columns in also. A node has one branch and, with probability more, each
-    further one; it also chooses the coordinate whose minwise token selects the child that a class goes to."""
-
-    def child(branch: int) -> Column:
-        chosen = F.xxhash64("node", F.lit(branch), F.lit(join.seed))
-        there = F.xxhash64("node", F.lit(branch), F.get("sig", F.pmod(chosen, F.lit(join.coordinates)).cast("int")))
-        return there if not branch or more >= 1 else F.when(F.pmod(F.shiftright(chosen, 20), F.lit(1000)) < int(1000 * more), there)
-
-    nodes = F.array(*[child(b) for b in range(join.branches)])
-    return rows.select("cid", *also, F.explode(nodes).alias("node")).filter("node is not null")
+class Forest:
+    """Union-find over 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        a, b = self.root(x), self.root(y)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch], least: int = 4096, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """work on whole groups (rows that are equal in the first column, which sorts them), several at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= least or size >= most_bytes:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            group = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield work(whole.slice(0, cut))
+            held = [whole.slice(cut)]
+            rows, size = whole.num_rows - cut, held[0].nbytes
+    if rows:
+        yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def candidates(members: DataFrame, join: Join) -> DataFrame:
+    """Of (group, half, same, cid, component, n, sig) rows: (a, b, null) for the pairs of each cluster's spanning tree,
+    and (cid, null, cluster) for each member of a cluster that has candidate pairs beside its tree. Pairs of one half
+    count only where same holds."""
+    cut = int(join.screen * join.coordinates)
+    corner: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        sizes = np.diff(np.append(starts, len(group)))
+        two = starts[sizes == 2]
+        if len(two):
+            yield two, two + 1
+        i, j, n = [], [], 0
+        for at, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            if m not in corner:
+                if len(corner) > 64:
+                    corner.clear()
+                corner[m] = tuple(x.astype(np.int32) for x in np.triu_indices(m, 1))
+            i.append(corner[m][0] + at)
+            j.append(corner[m][1] + at)
+            n += len(i[-1])
+            if n >= 1 << 16:
+                yield np.concatenate(i), np.concatenate(j)
+                i, j, n = [], [], 0
+        if n:
+            yield np.concatenate(i), np.concatenate(j)
+
+    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
+        group, half, cid, component, n = (rows.column(k).to_numpy() for k in (0, 1, 3, 4, 5))
+        same = np.asarray(rows.column(2).to_numpy(zero_copy_only=False), bool)
+        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(len(cid), -1)
+        found = []
+        for i, j in pairs_of(group):
+            fits = (component[i] != component[j]) & ((half[i] != half[j]) | same[i]) & (100 * np.minimum(n[i], n[j]) >= join.percent * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            for at in range(0, len(i), 1 << 14):
+                x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                agree = np.count_nonzero(sig[x] == sig[y], axis=1)
+                near = agree >= cut
+                found.append((x[near], y[near], agree[near]))
+        i, j, agree = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+        # one order for a pair wherever it turns up: trees of several nodes then have their pairs in common
+        order = np.lexsort((hashing.mix64(a.view(np.uint64) * np.uint64(3) + b.view(np.uint64)), -agree))
+        forest, tree, loose = Forest(len(cid)), [], []
+        for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+            (tree if forest.join(x, y) else loose).append(k)
+        busy = {forest.root(int(i[k])) for k in loose}
+        rest = [(x, r) for x in np.unique(np.concatenate([i, j])).tolist() if (r := forest.root(x)) in busy] if busy else []
+        who = np.array([x for x, _ in rest], np.int64)
+        top = np.array([r for _, r in rest], np.int64)
+        key = hashing.mix64(group[top].view(np.uint64) ^ hashing.mix64(cid[top].view(np.uint64))).view(np.int64)
+        none = lambda m: pa.nulls(m, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([a[tree], cid[who]])), pa.concat_arrays([pa.array(b[tree]), none(len(who))]), pa.concat_arrays([none(len(tree)), pa.array(key)])], names=["a", "b", "cluster"]
+        )
+
+    rows = members.select("group", "half", "same", "cid", "component", "n", "sig").repartition("group").sortWithinPartitions("group")
+    return rows.mapInArrow(lambda batches: _by_group(batches, work), "a long, b long, cluster long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -122,10 +235,60 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
-def _kept(df: DataFrame, name: str, few: int = 25_000) -> DataFrame:
-    """df, written. A table of few rows is worked on in one task from there on: shuffling it would cost more."""
-    out = store.written(df, name)
-    return out.coalesce(1) if out.count() <= few else out
+def linked_in_clusters(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of (cluster, cid, component, text) rows, links (a, b) that join all components of a cluster which links join.
+    Every class outside a cluster's largest component is compared with all others on full sets."""
+
+    def one(cid: np.ndarray, component: np.ndarray, text: pa.Array) -> list[tuple[int, int]]:
+        sets, cuts = hashing.shingle_sets(text, width)
+        _, member = np.unique(component, return_inverse=True)
+        _, word = np.unique(sets, return_inverse=True)
+        sizes, there = np.diff(cuts), np.zeros(len(sets), np.int32)
+        forest, links = Forest(int(member.max()) + 1), []
+        for x in np.flatnonzero(member != np.bincount(member).argmax()).tolist():
+            own = word[cuts[x] : cuts[x + 1]]
+            there[own] = 1
+            common = np.add.reduceat(there[word], cuts[:-1])
+            there[own] = 0
+            linked = np.flatnonzero(100 * common >= percent * (sizes[x] + sizes - common))
+            _, first = np.unique(member[linked], return_index=True)
+            links += [(int(cid[x]), int(cid[y])) for y in linked[first] if forest.join(int(member[x]), int(member[y]))]
+        return links
+
+    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
+        cluster, cid, component = (rows.column(k).to_numpy() for k in range(3))
+        edges = [*np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1)).tolist(), len(cluster)]
+        links = [x for a, b in zip(edges, edges[1:], strict=False) for x in one(cid[a:b], component[a:b], rows.column(3).slice(a, b - a))]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    rows = rows.select("cluster", "cid", "component", "text").repartition("cluster").sortWithinPartitions("cluster")
+    return rows.mapInArrow(lambda batches: _by_group(batches, work, 512), "a long, b long")
+
+
+def _starred(links: DataFrame, most: int = 200_000) -> DataFrame:
+    """Links that connect the same: those that a task has at a time become stars around their least ends."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(ids))
+        for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True):
+            forest.join(x, y)
+        root = np.fromiter((forest.root(x) for x in range(len(ids))), np.int64, len(ids))
+        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], names=["a", "b"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield stars(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2)))
+                held, n = [], 0
+        if n:
+            yield stars(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2)))
+
+    return links.select("a", "b").mapInArrow(task, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,17 +296,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives every node its least neighbour, follows that pointer once more, and contracts the links; stars
     end after one round and the number of nodes at least halves in each. All steps are pre-aggregated or joins."""
-    edges = _kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    stars = store.written(_starred(links), "stars")
+    edges = stars.union(stars.select("b", "a")).distinct()
     label = None
     while label is None or not edges.isEmpty():
-        least = _kept(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")), "pointers")
-        hop = _kept(least.join(least.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p")), "pointers")
+        least = store.written(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")), "pointers")
+        hop = store.written(least.join(least.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p")), "pointers")
         if label is None:
             label = hop.select(F.col("a").alias("cid"), F.col("p").alias("component"))
         else:
-            label = _kept(label.join(hop.withColumnRenamed("a", "component"), "component", "left").select("cid", F.coalesce("p", "component").alias("component")), "labels")
+            label = store.written(label.join(hop.withColumnRenamed("a", "component"), "component", "left").select("cid", F.coalesce("p", "component").alias("component")), "labels")
         moved = edges.join(hop, "a").select(F.col("p").alias("x"), F.col("b").alias("a")).join(hop, "a")
-        edges = _kept(moved.select(F.col("x").alias("a"), F.col("p").alias("b")).filter("a <> b").distinct(), "edges")
+        edges = store.written(moved.select(F.col("x").alias("a"), F.col("p").alias("b")).filter("a <> b").distinct(), "edges")
     return label
 
 
@@ -153,7 +317,7 @@ def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     more = components(_placed(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     moved = comp.join(more.select(F.col("cid").alias("component"), F.col("component").alias("to")), "component", "left")
-    return _kept(moved.select("cid", F.coalesce("to", "component").alias("component")).union(more.join(comp, "cid", "left_anti")), "components")
+    return store.written(moved.select("cid", F.coalesce("to", "component").alias("component")).union(more.join(comp, "cid", "left_anti")), "components")
 
 
 def _placed(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -163,131 +327,152 @@ def _placed(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
-def _nodes(rows: DataFrame, level: int) -> DataFrame:
-    """For each node with classes of several components: the number of its classes outside its largest component
-    (minor), that component, and the least hash of a member for each leader."""
-    leaders = [F.min(f"h{k}").alias(f"h{k}") for k in range(LEADERS)]
-    if level == 1:  # each class is still its own component
-        found = rows.groupBy("node").agg((F.count("*") - 1).alias("minor"), F.min("component").alias("major"), *leaders)
-    else:
-        parts = rows.groupBy("node", "component").agg(F.count("*").alias("m"), *leaders)
-        found = parts.groupBy("node").agg((F.sum("m") - F.max("m")).alias("minor"), F.max_by("component", F.struct("m", "component")).alias("major"), *leaders)
-    return found.filter("minor > 0").select("node", "minor", "major", *[F.col(f"h{k}").alias(f"l{k}") for k in range(LEADERS)])
+def _in_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return rows.withColumn("component", F.col("cid"))
+    return rows.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+
+
+def _roots(kin: DataFrame, seed: int) -> DataFrame:
+    """(node, cid, n): the children of the trees' roots that each class goes to."""
+    return kin.select(F.posexplode("roots").alias("branch", "token"), "cid", "n").select(F.xxhash64(F.lit(seed), "branch", "token").alias("node"), "cid", "n")
+
+
+def _children(rows: DataFrame, kin: DataFrame, join: Join) -> DataFrame:
+    """(node, cid, n): the children of (node, cid) rows. A node has one branch and with probability 1 / s - 1 a second;
+    it also chooses the coordinate whose minwise token selects the child that a class goes to."""
+
+    def child(branch: int) -> Column:
+        chosen = F.xxhash64("node", F.lit(branch), F.lit(join.seed))
+        token = F.substring("sig", F.pmod(chosen, F.lit(join.coordinates)).cast("int") + 1, F.lit(1))
+        there = F.xxhash64("node", F.lit(branch), token)
+        return there if not branch else F.when(F.pmod(F.shiftright(chosen, 20), F.lit(1000)) < round(1000 * (100 / join.percent - 1)), there)
+
+    nodes = F.explode(F.array(child(0), child(1))).alias("node")
+    return rows.select("node", "cid").join(kin.select("cid", "n", "sig"), "cid").select(nodes, "cid", "n").filter("node is not null")
+
+
+def _members(frontier: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows of nodes that have classes of several components, with the node's number of classes (m), of shingles
+    (weight), and its leaders: the classes of the least hashes."""
+    rows = _in_components(frontier, comp)
+    leaders = [F.min_by("cid", F.xxhash64("node", "cid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
+    found = rows.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("component").alias("c0"), F.max("component").alias("c1"), *leaders)
+    return rows.join(found.filter("c0 <> c1").drop("c0", "c1"), "node")
+
+
+def _in_blocks(small: DataFrame, join: Join) -> DataFrame:
+    """Each member of a node of b blocks once for each of the b pairs of blocks that its own is in; same: where a block
+    is paired with itself."""
+    blocks = F.greatest(F.ceil(F.col("m") / join.block), F.ceil(F.col("weight") / HEAVY), F.lit(1)).cast("int")
+    rows = small.withColumn("blocks", blocks).withColumn("half", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.select("node", "cid", "component", "half", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select(F.xxhash64("node", F.least("half", "other"), F.greatest("half", "other")).alias("group"), "half", (F.col("half") == F.col("other")).alias("same"), "cid", "component")
+
+
+def _one_round(classes: DataFrame, comp: DataFrame | None, texts: DataFrame | None, gather: Callable[[DataFrame], DataFrame], join: Join) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, int]:
+    """One round of trees over classes: comp with its links, the texts it needed, the classes that went deeper than the
+    target recall allows (or None), and the generations that were reached."""
+    frontier, kin, level, deep = _roots(classes, join.seed), classes, 0, None
+    while True:
+        # rows of one component have nothing to look for; what a level found counts in the next
+        members = store.written(_members(frontier, comp), "members")
+        if members.isEmpty():
+            return comp, texts, deep, level
+        small, large = members.filter(F.col("m") <= join.leaf), members.filter(F.col("m") > join.leaf)
+        blocks = _in_blocks(small, join).join(kin.select("cid", "n", "sig"), "cid")
+        near = store.written(candidates(blocks, join), "candidates")
+        pairs, clusters = near.filter("b is not null").select("a", "b"), near.filter("b is null").select(F.col("a").alias("cid"), "cluster")
+        crowded = not large.isEmpty()
+        if crowded:
+            lead = F.explode(F.array(*[f"lead{k}" for k in range(LEADERS)])).alias("lead")
+            lead = large.select("cid", lead).filter("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+            pairs = pairs.union(_screened(lead, kin, join))
+        if texts is None:
+            needed = near.select("a").union(near.select("b")).union(large.select("cid")) if crowded else near.select("a").union(near.select("b"))
+            texts = store.written(gather(needed.toDF("cid").filter("cid is not null").distinct()), "texts")
+        links = store.written(similar(pairs.distinct(), texts, join.width, join.percent), "links")
+        if not links.isEmpty():
+            comp = _joined(comp, links)
+        left = _in_components(clusters, comp)
+        apart = left.groupBy("cluster").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("cluster")
+        left = store.written(left.join(apart, "cluster"), "clusters")
+        if not left.isEmpty():
+            links = store.written(linked_in_clusters(left.join(texts, "cid"), join.width, join.percent), "links")
+            if not links.isEmpty():
+                comp = _joined(comp, links)
+        if not crowded:
+            return comp, texts, deep, level
+        if not level:  # from here on only these matter
+            kin = store.written(kin.join(large.select("cid").distinct(), "cid", "left_semi"), "kin")
+        level += 1
+        rows = large.select("node", "cid")
+        if level == join.reach + 1:
+            deep = store.written(rows.select("cid").distinct(), "deep")
+        frontier = _children(rows, kin, join)
+
+
+def classes_of(sigs: DataFrame) -> DataFrame:
+    """A row for each shingle set: cid, sid, the row that stands for it (least and mark: the one with the least id),
+    n, roots and sig."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first")
+    found = sigs.filter("sid is not null").groupBy("sid").agg(first, F.first("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
+    return store.written(found.select(F.monotonically_increasing_id().alias("cid"), "sid", F.col("first.id").alias("least"), F.col("first.mark").alias("mark"), "n", "roots", "sig"), "classes")
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """One row for each row of docs: id_col, n_shingles, component_id and kept.
+    """One row for each row of docs: id_col, n_shingles, component_id, kept, mark (xxhash64 of the text) and first.
 
     component_id is the least id reachable over links, itself included, and kept says that it is the row's own. Rows
     without words (null, empty, blank) have no shingles, are linked with nothing and kept. Rows with a null id belong
     to components but don't name them; where a component has no other id, or for a row without words, component_id is
-    null, and rows with a null id are kept only if their component_id is null. Repeated ids stay separate rows. An
-    empty table gives an empty one. Only the two named columns are read.
+    null, and rows with a null id are kept only if their component_id is null. Ids may repeat: rows stay separate, and
+    kept may hold for several of a component. first holds for one (id, mark) of each component, the one with the least
+    id and then the least mark, and for rows without words; rows that are equal in both share it. An empty table gives
+    an empty one. Only the two named columns are read.
     """
     sigs = store.written(signatures(docs, id_col, text_col, join), "signatures")
-    classes = sigs.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = store.written(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", "least", "n", "sig"), "classes")
-    texts_of = docs.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text"))
-
-    comp: DataFrame | None = None  # (cid, component) of classes that have links
-    tested: DataFrame | None = None  # pairs that were compared by their minwise tokens
-    texts, kin = None, classes  # (cid, text) and the classes that are still in some node
-    start = F.array(*[F.lit(t).cast("long") for t in range(join.trees)])
-    frontier, level = _children(classes.select("cid", "sig", F.explode(start).alias("node")), join, 1.0).withColumn("odd", F.lit(0).cast("long")), 0
+    classes = classes_of(sigs)
+    rows_of = docs.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).filter("text is not null").withColumn("mark", F.xxhash64("text"))
+
+    def gather(cids: DataFrame) -> DataFrame:
+        """(cid, text). The texts are shuffled once, whatever the number of classes. Equal rows give one."""
+        wanted = store.written(classes.select("cid", "least", "mark").join(cids, "cid", "left_semi"), "wanted").hint("shuffle_merge")
+        found = rows_of.join(wanted, rows_of["least"].eqNullSafe(wanted["least"]) & (rows_of["mark"] == wanted["mark"]))
+        return found.groupBy("cid").agg(F.first("text").alias("text"))
+
+    comp, texts, kin, plan, missed = None, None, classes, join, 1.0
     while True:
-        level += 1
-        rows = _kept(frontier, f"nodes-{level}")
-        rows = rows.withColumn("component", F.col("cid")) if comp is None else rows.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        rows = rows.withColumns({f"h{k}": F.shiftleft("odd", 40) + F.shiftrightunsigned(F.xxhash64("node", "cid", F.lit(k)), 24) for k in range(LEADERS)})
-        members = store.written(rows.join(_nodes(rows, level), "node"), f"members-{level}")
-        if members.isEmpty():
+        comp, texts, deep, generations = _one_round(kin, comp, texts, gather, plan)
+        missed *= join.missed(generations)
+        if deep is None or missed <= 1 - join.recall:
             break
-        small, large = members.filter(F.col("minor") <= join.leaf), members.filter(F.col("minor") > join.leaf)
-        minors = small.filter("component <> major").select("node", F.col("cid").alias("x"), F.col("component").alias("cx"))
-        pairs = minors.join(small.select("node", F.col("cid").alias("y"), F.col("component").alias("cy")), "node").filter("cx <> cy")
-        lead = large.filter(" or ".join(f"h{k} = l{k}" for k in range(LEADERS))).select("node", F.col("cid").alias("x"), F.col("component").alias("cx"))
-        pairs = pairs.unionByName(large.select("node", F.col("cid").alias("y"), F.col("component").alias("cy")).join(lead, "node").filter("cx <> cy"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if level > 1:  # from here on most pairs come again at the next level: none is compared twice
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = store.written(pairs, f"pairs-{level}")
-            tested = pairs if tested is None else tested.union(pairs)
-        near = store.written(_screened(pairs, kin, join), f"near-{level}")
-        if texts is None:
-            texts = _texts(members.select("cid").distinct(), classes, texts_of, join.width)
-        if not near.isEmpty():
-            found = store.written(similar(near, texts, join.width, join.percent), f"links-{level}")
-            if not found.isEmpty():
-                comp = _joined(comp, found)
-        left = _kept(_possible(large.select("node", "cid"), comp, kin, texts, join), f"possible-{level}")
-        if left.isEmpty():
-            break
-        if level == 1:  # from here on only these matter
-            crowd = left.select("cid").distinct()
-            texts, kin = store.written(texts.join(crowd, "cid", "left_semi"), "texts"), _kept(kin.join(crowd, "cid", "left_semi"), "kin")
-        frontier = left if level == 1 else _children(left.join(kin.select("cid", "sig"), "cid"), join, 1 / join.percent * 100 - 1, "odd")
+        plan = replace(plan, seed=plan.seed + 1)  # fresh trees for these
+        again = signatures(texts.join(deep, "cid", "left_semi"), "cid", "text", plan)
+        kin = store.written(again.select(F.col("id").alias("cid"), F.col("n_shingles").alias("n"), "roots", "sig"), "kin")
 
-    named = classes.select("cid", "sid", "least", F.col("cid").alias("component"))
+    named = _in_components(classes.select("cid", "sid", "least", "mark"), comp)
+    first = F.struct(F.col("least").isNull().alias("no_id"), "least", "mark")
     if comp is not None:
-        named = classes.join(comp, "cid", "left").select("sid", "least", F.coalesce("component", "cid").alias("component"))
-        named = named.join(named.groupBy("component").agg(F.min("least").alias("name")), "component")
+        named = named.join(named.groupBy("component").agg(F.min(first).alias("first")), "component")
     else:
-        named = named.withColumn("name", F.col("least"))
-    out = sigs.select("id", "sid", "n_shingles").join(named.select("sid", F.col("name").alias("component_id")), "sid", "left")
-    out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _possible(rows: DataFrame, comp: DataFrame | None, classes: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """The (node, cid) rows that could still be linked to another component's member of their node, with odd, the number
-    of shingles that no other class in rows has.
-
-    A class of n shingles has at most o = n - odd in common with any other. For a partner of m shingles the similarity
-    is at most m / n if m <= o, and o / (n + m - o) otherwise: both reach the threshold p only for
-    p n <= m <= o (1 + 1 / p) - n. Rows whose node has no other member of such a size go; no link is lost."""
-    placed = rows if comp is None else rows.join(comp, "cid", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "cid") if comp is not None else F.col("cid"))
-    mixed = placed.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("node")
-    crowd = _kept(rows.join(mixed, "node"), "crowd")
-    crowd_texts = texts.join(crowd.select("cid").distinct(), "cid", "left_semi")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in hashing.small_slices(batch, (1,), 1 << 20):
-                sets, cuts = hashing.shingle_sets(part.column(1), join.width)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), np.diff(cuts)))], names=["shingle", "cid"])
-
-    shingles = crowd_texts.mapInArrow(task, "shingle long, cid long").groupBy("shingle").agg(F.count("*").alias("m"), F.min("cid").alias("cid")).filter("m = 1")
-    odd = shingles.groupBy("cid").agg(F.count("*").alias("odd"))
-    bounds = classes.select("cid", "n").join(crowd.select("cid").distinct(), "cid", "left_semi").join(odd, "cid", "left").withColumn("odd", F.coalesce("odd", F.lit(0)))
-    p = join.percent
-    bounds = bounds.withColumns({"low": F.ceil(F.col("n") * p / 100), "high": F.floor((F.col("n") - F.col("odd")) * (100 + p) / p - F.col("n"))})
-    sized = crowd.join(_kept(bounds, "bounds"), "cid")
-    sizes = sized.groupBy("node", "n").agg(F.count("*").alias("m")).groupBy("node").agg(F.collect_list(F.struct("n", "m")).alias("sizes"))
-    fits = F.exists("sizes", lambda z: (z.n >= F.col("low")) & (z.n <= F.col("high")) & ((z.n != F.col("n")) | (z.m > 1)))
-    return sized.filter("low <= high").join(sizes, "node").filter(fits).select("node", "cid", "odd")
+        named = named.withColumn("first", first)
+    out = sigs.select("id", "mark", "sid", "n_shingles").join(named.select("sid", "first"), "sid", "left")
+    name, empty = F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("first.least")), F.col("sid").isNull()
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", name.alias("component_id"), F.col("id").eqNullSafe(name).alias("kept"), "mark", (empty | (F.col("id").eqNullSafe(F.col("first.least")) & (F.col("mark") == F.col("first.mark")))).alias("first")
+    )
 
 
 def _screened(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs of similar size that agree often enough."""
     sig = {x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
-    sized = 100 * F.least("n_a", "n_b") >= join.percent * F.greatest("n_a", "n_b")
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(sig["a"], "a").join(sig["b"], "b").filter(sized).filter(agree >= int(join.screen * join.coordinates)).select("a", "b")
-
-
-def _texts(cids: DataFrame, classes: DataFrame, texts_of: DataFrame, width: int) -> DataFrame:
-    """(cid, text) for these classes. Rows whose id is that of a class but whose text isn't are left out. The texts are
-    shuffled once, whatever the number of classes: broadcasting these would not do at a larger size."""
-    wanted = store.written(classes.select("cid", "sid", "least").join(cids, "cid", "left_semi"), "wanted")
-    texts_of = texts_of.filter(F.col("text").isNotNull())
-    found = texts_of.join(wanted.hint("shuffle_merge"), texts_of["least"].eqNullSafe(wanted["least"])).select("cid", "sid", "text")
+    both = pairs.join(sig["a"], "a").join(sig["b"], "b").filter(100 * F.least("n_a", "n_b") >= join.percent * F.greatest("n_a", "n_b"))
+    cut = int(join.screen * join.coordinates)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in hashing.small_slices(batch, (2,)):
-                keys = class_keys(*hashing.shingle_sets(part.column(2), width))
-                yield part.filter(pa.array([k == s for k, s in zip(keys, part.column(1).to_pylist(), strict=True)], pa.bool_())).select([0, 2])
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(np.count_nonzero(one == two, axis=1) >= cut))
 
-    checked = found.mapInArrow(task, "cid long, text string")
-    return store.written(checked.groupBy("cid").agg(F.first("text").alias("text")), "texts")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")

@@ -79,7 +79,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP6_SQL = r"""

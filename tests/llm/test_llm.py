@@ -450,9 +450,27 @@ def test_near_duplicates(spark):
     passage = " ".join("p%d" % i for i in range(40))
     texts += [passage + " " + " ".join("q%d" % r.randrange(10**6) for _ in range(r.randint(30, 90))) for _ in range(150)]
     got = neardup.duplicate_classes(docs(spark, texts, True)).orderBy("doc_id").collect()
-    assert [tuple(x)[1:] for x in got] == near(texts)
-    small = neardup.duplicate_classes(docs(spark, texts), join=neardup.Join(leaf=4)).orderBy("doc_id").collect()
-    assert [tuple(x)[1:] for x in small] == near(texts)
+    assert [tuple(x)[1:4] for x in got] == near(texts)
+    assert all(x.first == x.kept for x in got)
+    # blocks of a few classes: clusters lie across several tasks; small leaves: nodes lie deep, and trees are repeated
+    for plan in (neardup.Join(block=7), neardup.Join(leaf=16, block=5)):
+        small = neardup.duplicate_classes(docs(spark, texts), join=plan).orderBy("doc_id").collect()
+        assert [tuple(x)[1:4] for x in small] == near(texts)
+
+
+def test_recall_by_depth():
+    plan = neardup.Join()
+    assert plan.missed(0) == pytest.approx(0.25**8) and plan.missed(1) < 1e-3 < plan.missed(2) and plan.reach == 1
+    assert all(plan.missed(d) < plan.missed(d + 1) < 1 for d in range(12))
+
+
+def test_long_words_differ():
+    word = "a"
+    for _ in range(12):  # the doubling word and its complement, which polynomials modulo 2 ** 64 can't tell apart
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes, _ = hashing.word_hashes(pa.array([word, other, word.upper()]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
 
 
 def test_near_duplicates_of_odd_rows(spark):
