@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-CHUNKS = "row_id string, record_type string, refers_to string, total_bytes long, chunk_no int, chunk_bytes long, payload_digest string, data binary"
+CHUNKS = "file string, record long, row_id string, record_type string, refers_to string, total_bytes long, chunk_no int, chunk_bytes long, payload_digest string, data binary"
 MANIFEST = "path string, n_records long, n_bytes long"
 READ_BLOCK = 1 << 18
 
@@ -41,12 +41,11 @@ def record_chunks(rows: DataFrame, id_col: str, uri_col: str, payload_col: str,
     firsts = base.filter(F.col("total") >= least_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     joined = base.join(firsts.filter("n > 1").select("sha", "first"), "sha", "left")
     revisit = F.coalesce(F.col("first") < F.col("id"), F.lit(False)) | (F.col("first").isNotNull() & F.col("id").isNull())
-    slices = F.transform(
-        F.sequence(F.lit(0), F.when(F.col("revisit"), 0).otherwise(F.greatest(F.ceil(F.col("total") / chunk_bytes) - 1, F.lit(0))).cast("int")),
-        lambda i: F.struct(i.alias("chunk_no"), F.when(F.col("revisit"), F.lit("").cast("binary")).otherwise(F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data")),
-    )
+    last = F.when(F.col("revisit"), 0).otherwise(F.greatest(F.ceil(F.col("total") / chunk_bytes) - 1, F.lit(0))).cast("int")
+    cut = F.when(F.col("revisit"), F.lit("").cast("binary")).otherwise(F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
     return (
         joined.withColumn("revisit", revisit)
+        .select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
         .select(
             F.col("id").cast("string").alias("row_id"),
             "uri",
@@ -54,14 +53,17 @@ def record_chunks(rows: DataFrame, id_col: str, uri_col: str, payload_col: str,
             "total",
             F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
             F.when(F.col("revisit"), F.col("first").cast("string")).alias("refers_to"),
-            F.explode(slices).alias("chunk"),
+            "chunk_no",
+            cut.alias("data"),
         )
-        .select("row_id", "uri", "sha", "total", "record_type", "refers_to", "chunk.chunk_no", "chunk.data")
     )
 
 
-def _head(row, content_bytes: int) -> bytes:
-    record = uuid.uuid5(uuid.NAMESPACE_URL, f"row:{row.row_id}")
+def _head(row, content_bytes: int, place: str) -> bytes:
+    """place: the record's own, in its file. A response is named by its id and payload, so that revisits can refer to
+    it; rows that are equal in both share that name."""
+    named = f"row:{row.row_id}:{row.sha}" if row.row_id is not None and row.record_type == "response" else place
+    record = uuid.uuid5(uuid.NAMESPACE_URL, named)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {row.record_type}",
@@ -76,7 +78,7 @@ def _head(row, content_bytes: int) -> bytes:
     if row.row_id is not None:
         lines.insert(3, f"X-Row-ID: {row.row_id}")
     if row.record_type == "revisit":
-        first = uuid.uuid5(uuid.NAMESPACE_URL, f"row:{row.refers_to}")
+        first = uuid.uuid5(uuid.NAMESPACE_URL, f"row:{row.refers_to}:{row.sha}")
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{first}>", f"X-Refers-To-Row-ID: {row.refers_to}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
@@ -115,7 +117,7 @@ def write_warc(chunks: DataFrame, folder: str, roll_bytes: int = 1 << 30, level:
                         out, records, part = fs.open_output_stream(f"{path}/{name.rpartition('/')[2]}", compression=None), 0, part + 1
                     records += 1
                     sink, sha = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
-                    out.write(sink.compress(_head(row, row.total if row.record_type == "response" else 0)))
+                    out.write(sink.compress(_head(row, row.total if row.record_type == "response" else 0, f"{name}#{records}")))
                 sha.update(row.data)
                 out.write(sink.compress(row.data))
                 last = row._replace(data=None)
@@ -165,7 +167,7 @@ class _Inflater:
 
 
 def read_warc(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool = True) -> DataFrame:
-    """Chunk rows of all records in the manifest's files. payload_digest is the SHA-1 (base32) of the payload up to
+    """Chunk rows of all records in the manifest's files, each with its file and its number there. payload_digest is the SHA-1 (base32) of the payload up to
     the end of the chunk; a full record's digest that differs from its header fails the task. Revisits yield one
     empty chunk with the digest and total_bytes that their header names. with_data=False leaves data null."""
 
@@ -174,13 +176,14 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool =
         for batch in batches:
             for uri in batch["path"]:
                 fs, path = store.filesystem(uri)
-                rows, held = [], 0
+                rows, held, number = [], 0, -1
                 with fs.open_input_stream(path, compression=None) as source:
                     stream = _Inflater(source)
                     while (head := stream.until(b"\r\n\r\n")) is not None:
                         fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().strip().split("\r\n")[1:])
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        common = (fields.get("X-Row-ID"), kind, fields.get("X-Refers-To-Row-ID"), int(fields["X-Payload-Length"]))
+                        number += 1
+                        common = (uri, number, fields.get("X-Row-ID"), kind, fields.get("X-Refers-To-Row-ID"), int(fields["X-Payload-Length"]))
                         left, chunk_no, sha = int(fields["Content-Length"]), 0, hashlib.sha1()
                         if not left:
                             rows.append((*common, 0, 0, digest, b"" if with_data else None))
@@ -197,7 +200,7 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool =
                                 yield pd.DataFrame(rows, columns=columns)
                                 rows, held = [], 0
                         if chunk_no and base32_sha1(sha.digest()) != digest:
-                            raise ValueError(f"record {common[0]} of {uri} doesn't have the digest it names")
+                            raise ValueError(f"record {number} of {uri} doesn't have the digest it names")
                         while len(stream.buffer) < 4 and stream.more():
                             pass
                         stream.buffer = stream.buffer[4:]
@@ -209,7 +212,8 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool =
 
 
 def record_table(chunks: DataFrame) -> DataFrame:
-    """One row a record from its chunk rows: the last chunk's running digest is the payload's."""
-    return chunks.groupBy("row_id", "record_type", "refers_to").agg(
+    """One row a record from its chunk rows: the last chunk's running digest is the payload's. Records are told apart by
+    their places in the files, so row ids may repeat or be null."""
+    return chunks.groupBy("file", "record", "row_id", "record_type", "refers_to").agg(
         F.max("total_bytes").alias("payload_bytes"), F.sum("chunk_bytes").alias("stored_bytes"), F.max_by("payload_digest", "chunk_no").alias("payload_digest"), F.count("*").alias("n_chunks")
     )
