@@ -1,9 +1,11 @@
 """Personal data in texts, in DataFrame operations only: patterns of four kinds, and bootstrapped contexts.
 
-Matches of the four patterns are seeds. The word before a seed and the class of its shape are a lexical pattern, and so
-are that word and the exact shape: a context counts by the better of the two. Patterns that nearly always hold seeds
-pass confidence on to their other fillers, these to their other patterns, and so on for a few rounds over the graph of
-patterns and values. Fillers that end with a high confidence are identifiers too, of whatever shape in their class.
+Matches of the four patterns are seeds, and so are key-like strings that are assigned to a name for secrets. What
+stands around a seed (a word before with its punctuation, two words, or one on each side), with the class of the seed's
+shape, makes its lexical patterns. Patterns and values then score each other for a few rounds: a pattern's belief
+is the part of its values that are sure, a value's score that of its surest pattern. Patterns that have gained enough sure values,
+seeds or not, take part in the next round, so what was found in one context leads to others. Values that end with a high
+score are identifiers too, wherever they stand.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from . import store
 
-KINDS = ("email", "ip", "card", "phone")
+#: the last kind has no pattern of its own: only contexts find it
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Each finds what its plain form finds from left to right. Look-behinds stand for "where a run begins", so a failing
 #: run is tried once and not again from each of its characters, and possessive groups need no stack.
 PATTERNS = (
@@ -25,18 +28,24 @@ PATTERNS = (
     r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
-#: what else could be an identifier: digits with separators, or something around an at sign
-FILLER = r"(?<![^\s\"'(<\[])(?:[+(]?[0-9][0-9() ./-]{5,40}[0-9](?![A-Za-z0-9])|[^\s@]{1,64}+@[^\s@]{1,255}+)"
-#: characters before a match that its context is taken from
+#: what else could be an identifier: digits with separators, something around an at sign, or letters mixed with digits
+FILLER = (
+    r"(?<![^\s\"'(<\[=:,;])(?:[+(]?[0-9][0-9() ./-]{5,40}[0-9](?![A-Za-z0-9])|[^\s@\"'<>]{1,64}+@[^\s@\"'<>]{1,255}+"
+    r"|(?=[A-Za-z_+/=.-]{0,200}+[0-9])(?=[0-9_+/=.-]{0,200}+[A-Za-z])[A-Za-z0-9_+/=.-]{6,200}+)"
+)
+OTHER = len(PATTERNS)
+#: fixed values: names that secrets are assigned to, right before the value
+ASSIGNED = r"(?i)(?<![\p{L}0-9])(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|secret[_ -]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
+#: characters around a match that its contexts are taken from
 CONTEXT = 60
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds of the pattern-value graph; a pattern's confidence is its values' over their number plus doubt; patterns
-    need support seeds; values of confidence at or over threshold are taken."""
+    """rounds of the pattern-value graph; a pattern's belief is the sure part of its values, of their number plus doubt;
+    patterns need support sure values; values with a pattern of belief threshold or more are taken."""
 
-    rounds: int = 3
+    rounds: int = 4
     doubt: float = 2.0
     support: int = 5
     threshold: float = 0.8
@@ -61,34 +70,36 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _spans(texts: DataFrame) -> DataFrame:
-    """id, mark, kind (a number; 4 for fillers), start, end (code points, end exclusive), value and before (the end of
-    what precedes), of all matches. A text is split at its matches; running sums of the pieces' lengths place them."""
+    """id, mark, kind (a number; OTHER for fillers), start, end (code points, end exclusive), value, and before and
+    after (the ends of what surrounds it), of all matches in (uid, id, mark, text) rows. A text is split at its matches;
+    running sums of the pieces' lengths place them."""
     here = (F.instr("text", "@") > 0, F.lit(True), F.lit(True), F.instr("text", "+") > 0, F.lit(True))
     finds = []
     for kind, (pattern, may) in enumerate(zip((*PATTERNS, FILLER), here, strict=True)):
-        pieces = F.transform(F.split("text", pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.substring(p, -CONTEXT, CONTEXT).alias("before")))
-        found = F.struct(F.lit(kind).alias("kind"), pieces.alias("p"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"))
+        split = F.split("text", pattern, -1)
+        pieces = F.transform(split, lambda p: F.struct(F.length(p).alias("n"), F.substring(p, -CONTEXT, CONTEXT).alias("before")))
+        heads = F.transform(F.slice(split, 2, F.size(split)), lambda p: F.substring(p, 1, CONTEXT))
+        found = F.struct(F.lit(kind).alias("kind"), pieces.alias("p"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), heads.alias("after"))
         finds.append(F.when(may & F.col("text").rlike(pattern), found))
-    rows = texts.select("id", "mark", F.explode(F.filter(F.array(*finds), lambda f: f.isNotNull())).alias("f"))
-    rows = rows.select("id", "mark", "f.kind", F.posexplode(F.arrays_zip(F.col("f.p").alias("p"), F.col("f.m").alias("m"))).alias("i", "z"))
-    rows = rows.filter("z.m is not null").select("id", "mark", "kind", "i", F.col("z.p.n").alias("n"), F.col("z.p.before").alias("before"), F.col("z.m").alias("value"))
-    place = Window.partitionBy("id", "mark", "kind").orderBy("i")
+    rows = texts.select("uid", "id", "mark", F.explode(F.filter(F.array(*finds), lambda f: f.isNotNull())).alias("f"))
+    rows = rows.select("uid", "id", "mark", "f.kind", F.posexplode(F.arrays_zip(F.col("f.p").alias("p"), F.col("f.m").alias("m"), F.col("f.after").alias("after"))).alias("i", "z"))
+    rows = rows.filter("z.m is not null").select("uid", "id", "mark", "kind", "i", F.col("z.p.n").alias("n"), F.col("z.p.before").alias("before"), F.col("z.after").alias("after"), F.col("z.m").alias("value"))
+    place = Window.partitionBy("uid", "kind").orderBy("i")
     end = F.sum(F.col("n") + F.length("value")).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("end", end).select("id", "mark", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before")
-
-
-def _word(before: Column) -> Column:
-    """The last word before a match, lower-cased; empty without one."""
-    return F.regexp_extract(F.lower(before), r"(\S+)\s*$", 1)
+    return rows.withColumn("end", end).select("id", "mark", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
 
 
-def _lexical(word: Column, value: Column) -> Column:
-    """The patterns of a match after word: with its class (what has an at sign, four dotted numbers, or digits: under 7,
-    to 13 or more), and with its shape (letters as a, digits as 9, at most two of them a run)."""
+def _lexical(before: Column, after: Column, value: Column) -> Column:
+    """The patterns of a match: the class of its shape (what has an at sign, four dotted numbers, letters mixed with
+    digits, or digits: under 7, to 13 or more), with the word before and the punctuation between, with two such words, and
+    with one on each side. Where there is no word on a side its patterns are missing."""
     n = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    kind = F.when(F.instr(value, "@") > 0, "@").when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "quad").when(n < 7, "short").when(n <= 13, "digits").otherwise("long")
-    masked = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
-    return F.array(F.concat_ws(" ", word, F.lit("class"), kind), F.concat_ws(" ", word, F.lit("shape"), F.regexp_replace(masked, "(9{2})9+", "$1")))
+    shape = F.when(F.instr(value, "@") > 0, "@").when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "quad").when(value.rlike("[A-Za-z]"), "mixed").when(n < 7, "short").when(n <= 13, "digits").otherwise("long")
+    left, two = (F.regexp_extract(F.lower(before), pattern, 1) for pattern in (r"(\p{L}+[^\p{L}\n]{0,6})$", r"(\p{L}+[^\p{L}\n]{1,6}\p{L}+[^\p{L}\n]{0,6})$"))
+    right = F.regexp_extract(F.lower(after), r"^([^\p{L}\n]{0,6}\p{L}+)", 1)
+    sides = (("left", left, F.lit("")), ("two", two, F.lit("")), ("both", F.when(right != "", left), right))
+    named = [F.when(a != "", F.concat_ws("\t", F.lit(name), shape, a, b)) for name, a, b in sides]
+    return F.filter(F.array(*named), lambda p: p.isNotNull())
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Bootstrap = Bootstrap()) -> DataFrame:
@@ -98,39 +109,42 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Matches are leftmost and don't overlap within a kind; addresses with parts over 255, cards that fail the Luhn check
     or have fewer than 14 or more than 19 digits, and phones with fewer than 10 or more than 15 are dropped. Added
-    spans never overlap a base span. Values and patterns are pre-aggregated before they meet, so a value or a word that
-    is everywhere is a row of each task.
+    spans never overlap a base span. A value that fits two kinds has the surer one, of ties the first as listed. Values
+    and patterns are pre-aggregated before they meet: a value or a context that is everywhere is one row of each task,
+    and what is joined is distinct values and patterns.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    spans = store.written(_spans(texts).filter((F.col("kind") == 4) | _valid(F.col("kind"), F.col("value"))).distinct(), "spans")
-    seeds = spans.filter("kind < 4")
+    # the number only tells rows apart until their matches have places
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    spans = store.written(_spans(texts).filter((F.col("kind") == OTHER) | _valid(F.col("kind"), F.col("value"))).distinct(), "spans")
+    seeds = spans.filter(F.col("kind") < OTHER)
 
     # fillers that no base span touches
     order = Window.partitionBy("id", "mark").orderBy("start", "kind")
-    reach = F.max(F.when(F.col("kind") < 4, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    following = F.min(F.when(F.col("kind") < 4, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    free = spans.withColumns({"reach": reach, "next": following}).filter((F.col("kind") == 4) & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
-
-    known = seeds.select("kind", "value", _word(F.col("before")).alias("word"), F.lit(1.0).alias("sure"))
-    unknown = store.written(free.select("id", "mark", "start", "end", "value", _word(F.col("before")).alias("word")), "fillers")
-    edges = known.union(unknown.select(F.lit(None).cast("int").alias("kind"), "value", "word", F.lit(0.0).alias("sure"))).filter("word <> ''").distinct()
-    edges = edges.select("kind", "value", "word", "sure", F.explode(_lexical(F.col("word"), F.col("value"))).alias("pattern"))
-    edges = store.written(edges, "pattern-edges")
-    seeded = edges.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("sure").alias("sure")).filter(F.col("seeds") >= plan.support)
-    sizes = edges.join(seeded.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
-    seeded = store.written(seeded.join(sizes, "pattern").withColumn("belief", F.col("sure") / (F.col("n") + plan.doubt)), "patterns")
-    open_edges = edges.filter("kind is null").select("pattern", "word", "value")
-    values = None
+    reach = F.max(F.when(F.col("kind") < OTHER, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(F.col("kind") < OTHER, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    free = spans.withColumns({"reach": reach, "next": following}).filter((F.col("kind") == OTHER) & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
+    key_like = F.col("before").rlike(ASSIGNED) & (F.length("value") >= 16) & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") & (F.instr("value", "@") == 0)
+    unknown = store.written(free.select("id", "mark", "start", "end", "value", _lexical(F.col("before"), F.col("after"), F.col("value")).alias("patterns"), F.when(key_like, OTHER).alias("kind")), "fillers")
+
+    known = seeds.select("value", "kind", _lexical(F.col("before"), F.col("after"), F.col("value")).alias("patterns"))
+    places = known.union(unknown.select("value", "kind", "patterns"))
+    edges = store.written(places.select("value", "kind", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
+    certain = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("sure")).distinct()
+    sizes = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+    open_edges = edges.filter("kind is null").join(certain.select("value").distinct(), "value", "left_anti").select("value", "pattern")
+    open_edges = store.written(open_edges, "open-edges")
+    sure = certain
     for turn in range(plan.rounds):
-        beliefs = seeded
-        if values is not None:  # what the fillers have gained counts for their patterns
-            gained = open_edges.join(values, "value").groupBy("pattern", "kind").agg(F.sum("sure").alias("gain"))
-            beliefs = seeded.join(gained, ["pattern", "kind"], "left").withColumn("belief", (F.col("sure") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + plan.doubt))
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9)))))
-        contexts = open_edges.join(beliefs.select("pattern", "kind", "belief"), "pattern").groupBy("value", "kind", "word").agg(F.max("belief").alias("belief"))
-        values = store.written(contexts.groupBy("value", "kind").agg((1 - doubt).alias("sure")), f"values-{turn}")
-    best = values.groupBy("value").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"), F.max("sure").alias("sure")).filter(F.col("sure") >= plan.threshold)
-    added = unknown.join(best.select("value", "kind"), "value").select("id", "mark", "kind", "start", "end", "value", F.lit(False).alias("base")).distinct()
+        # patterns: those with enough sure values, found ones included
+        gained = edges.select("pattern", "value").distinct().join(sure, "value").groupBy("pattern", "kind").agg(F.sum("sure").alias("sure"), F.count_if(F.col("sure") >= plan.threshold).alias("known")).filter(F.col("known") >= plan.support)
+        beliefs = gained.join(sizes, "pattern").select("pattern", "kind", (F.col("sure") / (F.col("n") + plan.doubt)).alias("belief"))
+        # values: the surest pattern that they fill. Weak ones don't add up: a number may stand after many words
+        scored = open_edges.join(beliefs, "pattern").groupBy("value", "kind").agg(F.max("belief").alias("sure"))
+        values = store.written(scored, f"values-{turn}")
+        sure = certain.union(values)
+    found = certain.filter(F.col("kind") == OTHER).union(values.filter(F.col("sure") >= plan.threshold))
+    kinds = found.groupBy("value").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"))
+    added = unknown.drop("kind").join(kinds, "value").select("id", "mark", "kind", "start", "end", "value", F.lit(False).alias("base")).distinct()
     out = seeds.select("id", "mark", "kind", "start", "end", "value", F.lit(True).alias("base")).union(added)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     return out.select(F.col("id").alias(id_col), "mark", name.alias("kind"), "start", "end", "value", "base")
@@ -142,14 +156,14 @@ def digests(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     rows = spans.withColumn("item", F.struct("start", order.alias("k"), "end", F.concat_ws(":", "kind", "start", "end").alias("t"), "base"))
     each = rows.groupBy(F.col(id_col).alias("s_id"), F.col("mark").alias("s_mark")).agg(
-        F.sort_array(F.collect_list("item")).alias("items"), *[F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS]
+        F.sort_array(F.collect_list("item")).alias("items"), *[F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS[:OTHER]]
     )
     listed = lambda items: F.array_join(F.transform(items, lambda x: x.t), ",")
     each = each.withColumns({"base_list": listed(F.filter("items", lambda x: x.base)), "spans": listed(F.col("items"))}).drop("items")
     base = docs.select(F.col(id_col), F.xxhash64(text_col).alias("mark"))
     out = base.join(each, base[id_col].eqNullSafe(each["s_id"]) & (base["mark"] == each["s_mark"]), "left")
     none = F.lit("")
-    return out.select(id_col, *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS], F.sha2(F.coalesce("base_list", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
+    return out.select(id_col, *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS[:OTHER]], F.sha2(F.coalesce("base_list", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
 
 
 def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,10 +173,15 @@ def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
     before = F.max("end").over(at.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     merged = spans.withColumn("before", before).withColumn("island", island).groupBy(id_col, "mark", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), "kind")).alias("kind"))
-    cuts = merged.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
-    rows = docs.join(cuts, docs[id_col].eqNullSafe(cuts["_id"]) & (F.xxhash64(docs[text_col]) == cuts["_mark"]), "left")
-    kept_from = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1).getField("end")).cast("int")
-    piece = lambda c, i: F.concat(F.substring(text_col, kept_from(i) + 1, (c.start - kept_from(i)).cast("int")), F.lit("["), F.upper(c.kind), F.lit("]"))
-    tail = F.expr(f"substring(`{text_col}`, cast(element_at(_cuts, -1).end as int) + 1)")
-    text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform("_cuts", piece), ""), tail))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    cuts = merged.groupBy(F.col(id_col).alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    # every span has a digit or an at sign: other texts stay where they are. The columns are a struct meanwhile, so that
+    # no name clashes
+    may = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
+    some = docs.filter(may).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = some.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_mark")), "left")
+    kept_from = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1).getField("end")).cast("int")
+    piece = lambda c, i: F.concat(F.substring("text", kept_from(i) + 1, (c.start - kept_from(i)).cast("int")), F.lit("["), F.upper(c.kind), F.lit("]"))
+    tail = F.expr("substring(text, cast(element_at(cuts, -1).end as int) + 1)")
+    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("cuts", piece), ""), tail))
+    new = [text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return docs.filter(~may).unionByName(rows.select(*new))
