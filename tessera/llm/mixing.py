@@ -13,22 +13,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+
+#: a block that is cut is looked at in 2 ** PIECES parts
+PIECES = 12
+
 
 @dataclass(frozen=True)
 class Mix:
     """budget: tokens to take, as a multiple of the tokens there are. entropy: the target as a part of the way from the
-    natural shares' entropy to that of equal shares. repeats: how many times a source may be gone through."""
+    natural shares' entropy to that of equal shares. repeats: how many times a source may be gone through. blocks: of
+    each source. broadcast: rows of the table of blocks, at most, for which it goes to every task."""
 
     budget: float = 1.0
     entropy: float = 0.5
     repeats: float = 4.0
     blocks: int = 256
+    broadcast: int = 100_000
     seed: int = 17
 
 
 def token_count(text: Column) -> Column:
     """Words between white space; null and blank texts have none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def source_totals(rows: DataFrame, source_col: str, tokens_col: str) -> DataFrame:
@@ -66,22 +73,34 @@ def tempered(totals: DataFrame, mix: Mix, steps: int = 3, width: int = 64) -> fl
     return best
 
 
-def mixed(rows: DataFrame, mix: Mix, source_col: str = "source", tokens_col: str = "n_tokens", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mixed(rows: DataFrame, mix: Mix, source_col: str = "source", tokens_col: str = "n_tokens", key_cols: tuple[str, ...] = ()) -> DataFrame:
     """The rows in the mix: every row once for each epoch that takes it, with mix_epoch, mix_block and mix_order (a
     position key within the source's epoch) and mix_weight (its source's weight).
 
     A source's part of the budget is weight * budget * all tokens. Blocks come in the order of a hash of (seed,
     source, epoch, block); in the block where the part is met, rows come in the order of a hash and are taken while
     the tokens before them fall short of it, so a source overshoots by less than one row. Rows without tokens are
-    taken with the position they have. A null source is a source like others. Equal rows are separate rows: ties in
-    the order are broken by key_cols, and full ties are taken together. Empty tables stay empty. Columns named like
-    the four new ones are replaced; others are kept.
-
-    Only the block where a part is met is put in order, one of mix.blocks for each source and epoch; the others are
-    kept or left by their block's totals, a table of at most blocks rows for each source and epoch.
+    taken with the position they have. A null source is a source like others. key_cols (all columns that can be hashed,
+    if empty) tell rows apart: rows that are equal in them have one position and are taken together. Empty tables stay
+    empty. Columns named like the four new ones are replaced; others are kept.
+
+    Rows stay where they are. What is shuffled are sums: by source and block, and for the one block of a source that is
+    cut, by part of it and then, for the part where the budget ends, by row (number, tokens). These give an epoch's
+    last position, and rows are compared with that. The table of blocks (mix.blocks for each source and epoch, at most)
+    is broadcast if it is counted to be small, and joined by shuffling beyond that.
     """
     rows = rows.drop(*[c for c in ("mix_epoch", "mix_block", "mix_order", "mix_weight") if c in rows.columns])
-    totals = source_totals(rows, source_col, tokens_col)
+
+    def unit(*c) -> Column:
+        return F.xxhash64(F.lit(mix.seed), *c)
+
+    def place(epoch: Column, key: Column) -> Column:
+        return F.shiftrightunsigned(unit(epoch, key), 1)  # not negative
+
+    key = unit(*(key_cols or [c for c, kind in rows.dtypes if "map<" not in kind]))
+    block = lambda key: F.pmod(key, F.lit(mix.blocks)).cast("int")
+    slim = store.written(rows.select(F.col(source_col).alias("b_source"), key.alias("key"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("t")), "mix-keys")
+    totals = store.written(source_totals(slim, "b_source", "t"), "source-totals")
     power = tempered(totals, mix)
     sums = totals.filter("tokens > 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"), F.coalesce(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(power))), F.lit(1.0)).alias("z"))
     parts = (
@@ -91,14 +110,9 @@ def mixed(rows: DataFrame, mix: Mix, source_col: str = "source", tokens_col: str
         .select(F.col("source").alias("_source"), "mix_weight", "part", (F.col("part") / F.greatest("tokens", F.lit(1))).alias("passes"))
         .withColumn("n_epochs", F.greatest(F.ceil(F.round("passes", 9)), F.lit(1)).cast("int"))
     )
-
-    def unit(*c) -> Column:
-        return F.xxhash64(F.lit(mix.seed), *c)
-
-    keyed = rows.withColumns({"_block": F.pmod(unit(*key_cols), F.lit(mix.blocks)).cast("int"), "_t": F.coalesce(F.col(tokens_col), F.lit(0)).cast("long")})
     blocks = (
-        keyed.groupBy(F.col(source_col).alias("b_source"), F.col("_block").alias("b_block"))
-        .agg(F.sum("_t").alias("b_tokens"))
+        slim.groupBy("b_source", block(F.col("key")).alias("b_block"))
+        .agg(F.sum("t").alias("b_tokens"))
         .join(parts, F.col("b_source").eqNullSafe(F.col("_source")))
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("n_epochs") - 1)))
     )
@@ -111,11 +125,29 @@ def mixed(rows: DataFrame, mix: Mix, source_col: str = "source", tokens_col: str
         .filter((F.col("before") < F.col("part")) | (F.col("b_tokens") == 0))
         .select("b_source", "b_block", "mix_epoch", "mix_weight", "rank", (F.col("part") - F.col("before")).alias("room"), (F.col("before") + F.col("b_tokens") <= F.col("part")).alias("full"))
     )
-    taken = keyed.join(blocks, F.col(source_col).eqNullSafe(F.col("b_source")) & (F.col("_block") == F.col("b_block")))
-    taken = taken.withColumns({"mix_block": F.col("rank") - 1, "mix_order": unit("mix_epoch", *key_cols)})
-    extra = ["_block", "_t", "b_source", "b_block", "rank", "room", "full", "_run"]
-    cut = taken.filter("not full")
-    # only the key columns are put in order; the rows come back by them
-    place = Window.partitionBy(source_col, "mix_epoch", "mix_block").orderBy("mix_order", *key_cols)
-    cut = cut.withColumn("_run", F.sum("_t").over(place.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("_t").over(Window.partitionBy(source_col, "mix_epoch", "mix_block", "mix_order", *key_cols)))
-    return taken.filter("full").drop(*extra).unionByName(cut.filter(F.col("_run") < F.col("room")).drop(*extra))
+    blocks = store.written(blocks, "mix-blocks")
+    few = blocks.count() <= mix.broadcast
+    ready = F.broadcast if few else (lambda df: df)
+
+    # where the part is met: by thousands of parts of the block, then by row
+    cut = blocks.filter("not full").select(F.col("b_source").alias("c_source"), "b_block", "mix_epoch", "room")
+    same = lambda df: df["b_source"].eqNullSafe(F.col("c_source"))
+    there = slim.join(ready(cut), same(slim) & (block(F.col("key")) == F.col("b_block"))).select("c_source", "mix_epoch", "room", place(F.col("mix_epoch"), F.col("key")).alias("at"), "t")
+    piece = F.shiftright("at", 63 - PIECES).alias("piece")
+    pieces = there.groupBy("c_source", "mix_epoch", "room", piece).agg(F.sum("t").alias("t"))
+    running = Window.partitionBy("c_source", "mix_epoch").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum("t").over(running), F.lit(0))).filter(F.col("before") < F.col("room"))
+    last = pieces.groupBy("c_source", "mix_epoch", "room").agg(F.max_by(F.struct("piece", "before"), "piece").alias("last"))
+    last = last.select(F.col("c_source").alias("l_source"), F.col("mix_epoch").alias("l_epoch"), F.col("last.piece").alias("l_piece"), (F.col("room") - F.col("last.before")).alias("left"))
+    ending = there.withColumn("piece", piece).join(ready(last), F.col("c_source").eqNullSafe(F.col("l_source")) & (F.col("mix_epoch") == F.col("l_epoch")) & (F.col("piece") == F.col("l_piece")))
+    ending = ending.groupBy("l_source", "l_epoch", "at", "left").agg(F.sum("t").alias("t"))
+    sofar = Window.partitionBy("l_source", "l_epoch").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ending.withColumn("before", F.coalesce(F.sum("t").over(sofar), F.lit(0))).filter(F.col("before") < F.col("left")).groupBy("l_source", "l_epoch").agg(F.max("at").alias("end"))
+    placed = blocks.join(ready(ends), F.col("b_source").eqNullSafe(F.col("l_source")) & (F.col("mix_epoch") == F.col("l_epoch")) & ~F.col("full"), "left")
+    placed = store.written(placed.select("b_source", "b_block", "mix_epoch", "mix_weight", (F.col("rank") - 1).alias("mix_block"), "full", "end"), "mix-ends")
+
+    # every column of the rows has a new name meanwhile, so none clashes with those of the blocks
+    kept = rows.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(source_col).alias("source"))
+    taken = kept.join(ready(placed), F.col("source").eqNullSafe(F.col("b_source")) & (block(F.col("key")) == F.col("b_block"))).withColumn("mix_order", place(F.col("mix_epoch"), F.col("key")))
+    taken = taken.filter(F.col("full") | (F.col("mix_order") <= F.col("end")))
+    return taken.select("row.*", "mix_epoch", "mix_block", "mix_order", "mix_weight")
