@@ -77,7 +77,7 @@ def contamination(
     item_text_col: str = "text",
     rule: Winnow = Winnow(),
 ) -> DataFrame:
-    """For each row of docs: id_col, n_words, n_hit, n_items, items_sha256 and contaminated.
+    """For each row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated, and mark (xxhash64 of the text).
 
     A window is span consecutive words of an item, or all the words of an item with fewer. n_hit counts the document's
     words that lie in an occurrence of a window; n_items the items with one; items_sha256 is the SHA-256 of their ids,
@@ -146,4 +146,5 @@ def contamination(
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        prints["mark"],
     )
