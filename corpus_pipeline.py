@@ -1,14 +1,15 @@
 """From documents to a training mix, in five stages that are each written as Parquet and read again.
 
 A stage gets (spark, docs, sf_dir) and works on all that its predecessor kept. Documents keep their columns up to the
-last stage, which adds those of the mix. Rows with a null doc_id pass the filters unless their text is rejected.
+last stage, which adds those of the mix. A row is known by its doc_id and text: ids may repeat or be null, and a row goes
+only if its own text is rejected. Of the columns, doc_id, text and source are read; others, of any name, come along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, neardup, pii, store, toxicity
@@ -25,20 +26,32 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the least doc_id. Of repeated rows one stays."""
+    """Keeps one document of each group of near duplicates: the one with the least doc_id (and of several with it, one).
+    Of rows that are equal in doc_id and text one stays; rows without words all stay."""
     found = store.written(neardup.duplicate_classes(docs, "doc_id", "text"), "near-duplicates")
-    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    left = without(docs, found.filter("not first"))
+    repeated = store.written(found.filter("first and n_shingles > 0").groupBy("doc_id", "mark").count().filter("count > 1").select("doc_id", "mark"), "repeated")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    once = docs.join(repeated, of_document(docs, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(left, repeated).unionByName(once).select(*docs.columns)
+
+
+def of_document(docs: DataFrame, known: DataFrame) -> Column:
+    """That a row of docs is one of known (doc_id, and mark, a hash of its text): ids may repeat or be null."""
+    return docs["doc_id"].eqNullSafe(known["doc_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(known["mark"])
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the rows of rejected (doc_id, mark): a text goes, not all texts that share its id."""
+    gone = rejected.select("doc_id", "mark").distinct()
+    return docs.join(gone, of_document(docs, gone), "left_anti").select(*docs.columns)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold passages of benchmark items."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(store.written(found.filter("contaminated").select("doc_id"), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, store.written(found.filter("contaminated").select("doc_id", "mark"), "contaminated"))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +62,7 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws the mix: documents once for each epoch that takes them, with n_tokens and the columns of the mix."""
-    return mixing.mixed(docs.withColumn("n_tokens", mixing.token_count(F.col("text"))), mixing.Mix())
+    return mixing.mixed(docs.withColumn("n_tokens", mixing.token_count(F.col("text"))), mixing.Mix(), key_cols=("doc_id", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
