@@ -1,12 +1,15 @@
 """Licence families of documents' paragraphs, in DataFrame operations only.
 
-A logistic regression over sparse word n-grams, trained on varied licence notices against other paragraphs, gives each
-paragraph a family or "unknown"; its probabilities are calibrated on held-out variants. A prediction counts if the
-paragraph also resembles a template of that family.
+A logistic regression over sparse word n-grams, trained on varied licence notices against paragraphs of the corpus, gives
+each paragraph a family or "unknown"; its probabilities are calibrated on notices and paragraphs that a first fit has not
+seen. A prediction counts if the paragraph also resembles a template of that family. Paragraphs without any of a set of
+words that is derived from the templates can't resemble one; they are unknown without being scored.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -18,32 +21,45 @@ from pyspark.sql import functions as F
 from . import store
 from .decontaminate import words_of
 
+WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
 #: fixed values: notices by which licences are usually named or granted
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "This project is released under the Apache 2.0 license.",
+        "Available under Apache 2.0.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "MIT": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "This software is licensed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GPL version 2 or later.",
+        "Licensed under the GNU General Public License, version 3.",
     ],
+    "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.", "Released under AGPL 3.0."],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Distributed under the terms of the LGPL, the Lesser General Public License."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Distributed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
     ],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "EUPL": ["Licensed under the European Union Public Licence, version 1.2.", "Licensed under the EUPL, Version 1.2 or later."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense, into the public domain."],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Text is available under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "Proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission of the publisher."],
@@ -58,24 +74,56 @@ OTHERS = [
     "The foundation published a general report on free education.",
     "The version is available in the public library.",
 ]
-#: fixed values: every notice above has one of these; paragraphs without any are unknown
-CUES = r"(?i)licen[cs]|copyright|permission is hereby|redistribut|public domain|rights reserved|creative commons|\bgpl|\blgpl|\bcc0\b|\bcc by"
+#: fixed values: a pair of two of these tells nothing and isn't a pair of a template
+STOP = frozenset("a an and any are as be but for in is it not of on or that the this to with".split())
 UNKNOWN = "unknown"
+#: pairs that a similarity is a share of, at least
+LEAST_PAIRS = 3
 
 
 @dataclass(frozen=True)
 class Scan:
     """features: hashed n-grams; variants: of each notice, with words left out; sample: other paragraphs of the corpus
-    that the model sees, at most; least: calibrated probability, and resembles: share of a template's word pairs (or
-    of the paragraph's, if those are fewer) that confirm a family."""
+    that the model sees, at most, those of the least hashes; least: calibrated probability, and resembles: share of a template's word pairs (or of the paragraph's, if those are
+    fewer) that confirm a family."""
 
-    features: int = 1 << 14
+    features: int = 1 << 16
     variants: int = 24
     sample: int = 1_000
     least: float = 0.5
     resembles: float = 0.6
 
 
+def paragraphs_of(text: Column) -> Column:
+    """The paragraphs of a text: it is cut at blank lines and at line breaks, but for those where a line ends in a word
+    or comma and so goes on in the next."""
+    return F.split(text, r"\r?\n[ \t]*\r?\n|(?<![\p{L}\p{N},\- \t\r])[ \t]*\r?\n")
+
+
+def _telling(words: list[str]) -> set[tuple[str, str]]:
+    return {(a, b) for a, b in zip(words, words[1:], strict=False) if not (a in STOP and b in STOP)}
+
+
+def needed_words(templates: list[list[str]]) -> list[str]:
+    """Words of which every paragraph that resembles a template has at least one: such a paragraph shares two pairs
+    with it, as its similarity is a share of at least LEAST_PAIRS, and these words leave at most one of a template's
+    pairs without one. Chosen greedily, long words first."""
+    worth = lambda w: 0.0 if w in STOP else max(min(len(w), 6) - 1.9, 0.05)
+    open_pairs, chosen = [_telling(t) for t in templates], []
+    while any(len(p) > 1 for p in open_pairs):
+        gain = Counter(w for p in open_pairs if len(p) > 1 for pair in p for w in set(pair))
+        best = max(gain, key=lambda w: (gain[w] * worth(w), w))
+        chosen.append(best)
+        open_pairs = [{pair for pair in p if best not in pair} for p in open_pairs]
+    return sorted(chosen)
+
+
+def needed_pattern() -> str:
+    """Matches what has one of the needed words, and perhaps more."""
+    words = needed_words([WORD.findall(t.lower()) for texts in TEMPLATES.values() for t in texts])
+    return "(?i)" + "|".join(re.escape(w) if len(w) > 4 else rf"(?<![A-Za-z0-9]){re.escape(w)}(?![A-Za-z0-9])" for w in words)
+
+
 def _grams(words: Column) -> Column:
     """Words and pairs of neighbours, distinct."""
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
@@ -83,31 +131,47 @@ def _grams(words: Column) -> Column:
 
 
 def _notices(spark: SparkSession, scan: Scan) -> DataFrame:
-    """(family, words, variant) of all notices, each also with every tenth to fifth word left out."""
-    rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts] + [(UNKNOWN, t) for t in OTHERS]
-    notices = spark.createDataFrame(rows, "family string, text string").select("family", "text", words_of(F.col("text")).alias("all"))
-    notices = notices.select("family", "text", "all", F.explode(F.sequence(F.lit(0), F.lit(scan.variants))).alias("variant"))
-    kept = F.filter("all", lambda w, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64(w, i, F.col("variant")), F.lit(100)) >= 10 + F.col("variant") % 11))
-    return notices.select("family", kept.alias("words"), "variant")
+    """(family, words, variant, notice) of all notices, each also with every tenth to fifth word left out, but for words
+    that only one family has; notice is its number in its family."""
+    rows = [(f, t, i) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)] + [(UNKNOWN, t, i) for i, t in enumerate(OTHERS)]
+    notices = spark.createDataFrame(rows, "family string, text string, notice int").select("family", "notice", words_of(F.col("text")).alias("all"))
+    notices = notices.select("family", "notice", "all", F.explode(F.sequence(F.lit(0), F.lit(scan.variants))).alias("variant"))
+    families = [{w for t in texts for w in WORD.findall(t.lower())} for texts in TEMPLATES.values()]
+    shared = F.array(*[F.lit(w) for w, n in sorted(Counter(w for f in families for w in f).items()) if n > 1])
+    kept = F.filter("all", lambda w, i: (F.col("variant") == 0) | ~F.array_contains(shared, w) | (F.pmod(F.xxhash64(w, i, F.col("variant")), F.lit(100)) >= 10 + F.col("variant") % 11))
+    return notices.select("family", kept.alias("words"), "variant", "notice")
+
+
+def _pairs(words: Column) -> Column:
+    """The distinct pairs of neighbours, but for those of two stop words."""
+    stop = F.array(*map(F.lit, sorted(STOP)))
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.when(~(F.array_contains(stop, a) & F.array_contains(stop, b)), F.concat_ws(" ", a, b)))
+    return F.when(F.size(words) > 1, F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))).otherwise(F.array().cast("array<string>"))
+
+
+def _similarity(template: Column, pairs: Column) -> Column:
+    """Both are distinct pairs."""
+    return F.size(F.array_intersect(template, pairs)) / F.greatest(F.least(F.size(template), F.size(pairs)), F.lit(LEAST_PAIRS))
 
 
 def train(spark: SparkSession, paragraphs: DataFrame, scan: Scan = Scan()):
-    """(model, hasher, names, temperature). paragraphs (words) are others of the corpus; scan.sample bounds them. One
-    variant in six is held out, and on these the temperature that divides the margins is chosen by log-likelihood."""
-    others = paragraphs.select(F.lit(UNKNOWN).alias("family"), "words", F.lit(1).alias("variant"))
+    """(model, hasher, names, temperature). paragraphs (words) are others of the corpus, at most scan.sample. A first
+    fit leaves out the last notice of each family and a quarter of the others; on what it leaves out the temperature
+    that divides the margins is chosen by log-likelihood. The model is then fitted on all."""
+    others = paragraphs.select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0).alias("variant"), F.pmod(F.xxhash64("words"), F.lit(4)).cast("int").alias("notice"))
     names = [UNKNOWN, *sorted(TEMPLATES)]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
+    last = F.array_position(F.array(*[F.lit(f"{f} {len(t) - 1}") for f, t in TEMPLATES.items() if len(t) > 1], F.lit(f"{UNKNOWN} 3")), F.concat_ws(" ", "family", "notice")) > 0
     hasher = HashingTF(numFeatures=scan.features, binary=True, inputCol="grams", outputCol="features")
     # the table is small and bounded, so it is sorted: the same rows give the same model
-    rows = _notices(spark, scan).union(others).filter(F.size("words") > 0).select(label.alias("label"), "variant", _grams(F.col("words")).alias("grams"))
+    rows = _notices(spark, scan).union(others).filter(F.size("words") > 0).select(label.alias("label"), "variant", last.alias("held"), _grams(F.col("words")).alias("grams"))
     rows = store.written(hasher.transform(rows).coalesce(1).sortWithinPartitions("label", "variant", F.xxhash64("grams")), "notices")
-    fit, held = rows.filter("variant % 6 <> 5"), rows.filter("variant % 6 = 5")
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, aggregationDepth=2).fit(fit)
+    fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, aggregationDepth=2)
     grid = [0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0]
-    margins = model.transform(held).select("label", vector_to_array("rawPrediction").alias("m"))
+    margins = fit.fit(rows.filter("not held")).transform(rows.filter("held")).select("label", vector_to_array("rawPrediction").alias("m"))
     losses = margins.select(*[F.avg(-F.log(F.greatest(F.get(_softmax(F.col("m"), t), F.col("label").cast("int")), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(grid)]).first()
     best = min(range(len(grid)), key=lambda i: (round(losses[i], 6), grid[i])) if losses and losses[0] is not None else grid.index(1.0)
-    return model, hasher, names, grid[best]
+    return fit.fit(rows), hasher, names, grid[best]
 
 
 def _softmax(margins: Column, temperature: float) -> Column:
@@ -116,28 +180,33 @@ def _softmax(margins: Column, temperature: float) -> Column:
 
 
 def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: Scan = Scan()) -> DataFrame:
-    """One row for each paragraph (line) of docs that has a cue: id_col, paragraph (from 0), family, confidence (the
-    calibrated probability) and similarity (the best template's). family is "unknown" where that is likeliest, where
-    confidence is under scan.least or where no template of the family resembles the paragraph.
-
-    Null and empty texts have no paragraphs; paragraphs without words and without cues give no row. Repeated rows
-    give their rows again. Only the two named columns are read; whole texts are.
+    """One row for each paragraph of docs that has a word of needed_words: id_col, paragraph (from 0), family,
+    confidence (the calibrated probability) and similarity (the best template's). family is "unknown" where that is
+    likeliest, where confidence is under scan.least or where no template of the family resembles the paragraph; all
+    paragraphs without a row are unknown, as none of them can resemble a template.
+
+    Null and empty texts have no paragraphs. Repeated rows give their rows again. Of families that are equally likely
+    the first by name counts, unknown before all. A line without an end is one paragraph, however long. Only the two
+    named columns are read; whole texts are.
     """
     spark = docs.sparkSession
+    need = needed_pattern()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = texts.filter(F.col("text").rlike(CUES)).select("id", F.posexplode(F.split("text", r"[\r\n]+")).alias("paragraph", "line"))
-    lines = store.written(lines.filter(F.col("line").rlike(CUES)).select("id", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0), "paragraphs")
-    plain = texts.filter(~F.coalesce(F.col("text").rlike(CUES), F.lit(True))).select(F.get(F.split("text", r"[\r\n]+"), F.lit(0)).alias("line"))
-    sample = plain.filter(F.pmod(F.xxhash64("line"), F.lit(16)) == 0).select(words_of(F.col("line")).alias("words")).limit(scan.sample)
-    model, hasher, names, temperature = train(spark, sample, scan)
+    lines = texts.filter(F.col("text").rlike(need)).select("id", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line"))
+    lines = store.written(lines.filter(F.col("line").rlike(need)).select("id", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0), "paragraphs")
 
-    templates = _notices(spark, scan).filter((F.col("variant") == 0) & (F.col("family") != UNKNOWN)).select("family", F.filter(_grams(F.col("words")), lambda g: g.contains(" ")).alias("template"))
+    templates = _notices(spark, scan).filter((F.col("variant") == 0) & (F.col("family") != UNKNOWN)).select("family", _pairs(F.col("words")).alias("template"))
     listed = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))  # a fixed number of families
+    every = templates.agg(F.collect_list("template").alias("templates"))
+    # paragraphs that resemble no notice, the first by hash; more than are needed are looked at
+    some = lines.select("words", F.xxhash64("words").alias("h")).distinct().orderBy("h").limit(4 * scan.sample).crossJoin(F.broadcast(every))
+    alike = lambda pairs: F.array_max(F.transform("templates", lambda t: _similarity(t, pairs)))
+    others = some.filter(alike(_pairs(F.col("words"))) < scan.resembles / 2).orderBy("h").limit(scan.sample).select("words")
+    model, hasher, names, temperature = train(spark, others, scan)
+
     # a probability for each name; the model's own Column form keeps it in the JVM
     judged = model.transform(hasher.transform(lines.withColumn("grams", _grams(F.col("words"))))).withColumn("p", _softmax(vector_to_array("rawPrediction"), temperature))
     judged = judged.withColumn("confidence", F.array_max("p")).withColumn("guess", F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.col("confidence")).cast("int")))
-    pairs = F.filter("grams", lambda g: g.contains(" "))
-    alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, pairs)) / F.greatest(F.least(F.size(t), F.size(pairs)), F.lit(1))))
-    judged = judged.join(F.broadcast(listed.withColumnRenamed("family", "guess")), "guess", "left").withColumn("similarity", F.coalesce(alike, F.lit(0.0)))
+    judged = judged.withColumn("pairs", _pairs(F.col("words"))).join(F.broadcast(listed.withColumnRenamed("family", "guess")), "guess", "left").withColumn("similarity", F.coalesce(alike(F.col("pairs")), F.lit(0.0)))
     sure = (F.col("guess") != UNKNOWN) & (F.col("confidence") >= scan.least) & (F.col("similarity") >= scan.resembles)
     return judged.select(F.col("id").alias(id_col), "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), F.round("confidence", 3).alias("confidence"), F.round("similarity", 3).alias("similarity"))
