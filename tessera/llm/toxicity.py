@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: fixed values: words that report speech, and words that address a reader
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes reported claims claimed term word slur insult insults dit écrit schrieb sagte sagt dijo escribió".split())
@@ -30,15 +32,13 @@ N_FEATURES = 6
 @dataclass(frozen=True)
 class Params:
     """sample: labelled rows that a model is fitted on at most (in expectation; drawn by a hash of the id). window:
-    words on each side of a hit that its context is. stem: lengths of word beginnings tried as terms. least_texts and least_share:
-    toxic texts that have a term, at least, and their share of all toxic ones."""
+    words on each side of a hit that its context is. stem: lengths of word beginnings tried as terms. least_texts:
+    toxic texts that have a term, at least. The number of terms is bounded by the sample alone."""
 
     sample: int = 20_000
     window: int = 8
     stem: tuple[int, int] = (4, 8)
     least_texts: int = 3
-    least_share: float = 0.006
-    most_terms: int = 2_000
     penalty: float = 1.0
 
 
@@ -234,19 +234,25 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, params: Params = P
                 seen[1].clear()
         yield pd.DataFrame([(t, seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys()], columns=["term", "toxic", "clean"])
 
-    # near copies count once: of texts with one least run of five words, one stands for all
+    # near copies count once: of texts that have their three least runs of five words in common, one stands for all
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
-    apart = rows.filter("text is not null").withColumn("w", F.split("text", r"\s+")).select("text", "label", F.array_min(runs).alias("run")).groupBy("run", "label").agg(F.min("text").alias("text"))
+    least = F.slice(F.array_sort(F.array_distinct(runs)), 1, 3)
+    apart = rows.filter("text is not null").withColumn("w", F.split("text", r"\s+")).select("text", "label", least.alias("runs")).groupBy("runs", "label").agg(F.min("text").alias("text"))
+    apart = store.written(apart.select("text", "label"), "labelled-apart")
+    n = {r["label"]: r["n"] for r in apart.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    apart_toxic, apart_clean = n.get(1, 0), n.get(0, 0)
+    if not apart_toxic or not apart_clean:
+        return model
     counts = apart.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # terms that chance would put this high fewer than once among all that are tried: 2 ln(terms) of the likelihood ratio
     n = F.col("toxic") + F.col("clean")
-    share = n_toxic / (n_toxic + n_clean)
+    share = apart_toxic / (apart_toxic + apart_clean)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
     ratio = 2 * (part("toxic", share) + part("clean", 1 - share))
     tried = rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("c")).agg(F.sum("c").alias("c")).first()["c"]
-    strong = counts.filter((F.col("toxic") >= max(params.least_texts, params.least_share * n_toxic)) & (F.col("toxic") >= 19 * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
-    found = {r["term"]: (r["toxic"], r["clean"]) for r in strong.orderBy(F.desc("toxic"), "term").limit(20 * params.most_terms).collect()}
-    model.terms, model.stems, model.covered = _lexicon(found, n_toxic, n_clean, params)
+    strong = counts.filter((F.col("toxic") >= params.least_texts) & (F.col("toxic") >= 19 * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in strong.collect()}
+    model.terms, model.stems, model.covered = _lexicon(found, apart_toxic, apart_clean, params)
 
     matcher = Matcher(model)
 
@@ -291,9 +297,9 @@ def _lexicon(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, para
     for term, c in sorted(kept.items(), key=lambda x: (-x[1][0], x[0])):
         body = term.rstrip("*")
         covered = any(body[:k] in stems for k in range(params.stem[0], len(body)))
-        if not covered and len(out[0]) + len(out[1]) < params.most_terms:
+        if not covered:
             out[term.endswith("*")][body] = weight(c)
-        elif covered and term == body and len(out[2]) < params.most_terms:
+        elif term == body:
             out[2][body] = weight(c)
     return out
 
