@@ -29,7 +29,7 @@ END = np.uint64(0x6A09E667F3BCC908)
 START = np.uint64(0xBB67AE8584CAA73B)
 _SALT = np.uint64(0x3C6EF372FE94F82B)
 #: histogram steps of log10 probability that EM works on, and their range
-STEP, FLOOR = 0.02, -12.0
+STEP, FLOOR = 0.05, -12.0
 
 
 @dataclass(frozen=True)
@@ -267,7 +267,8 @@ def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
 
     Everything but the histogram of held-out estimates (its size depends on STEP and not on the texts) stays with
     the tasks. Chunks have about plan.chunk_tokens tokens; the number of buckets follows the number of chunks, so
-    that a bucket's keys, and a chunk's, fit in a task.
+    that a bucket's keys, and a chunk's, fit in a task. A chunk sends a row to each bucket that it has keys for, so
+    there are never more rows than distinct keys of all chunks.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
     rows = rows.withColumn("held", F.col("learned") & (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(plan.held)) == 0))
