@@ -200,32 +200,86 @@ def test_media_members_open_as_tar(spark, tmp_path):
 # 4
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+CC = "The text is available under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+NOTICES = [None, "", "words.\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", "licensed under the gnu general public license, version 3", "My driver license came back. Copyright fees rose for the court.", "Licensed under CC BY-NC 4.0.\nAll rights reserved."]
+NOTICES += [MIT, APACHE, BSD, CC, "Text is available under CC-BY-SA 4.0.", "Released under AGPL-3.0.", "Available under Apache 2.0.", "The public release of the software was a general success for the version.", "x" * 100_000, "word " * 20_000]
+
+
 def test_licenses(spark):
-    texts = [None, "", "words\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", "licensed under the gnu general public license, version 2", "My driver license came back. Copyright fees rose for the court.", "Licensed under CC BY-NC 4.0.\nAll rights reserved."]
-    got = {}
-    for r in licenses.license_paragraphs(docs(spark, texts, True)).collect():
-        got.setdefault(r.doc_id, set()).add(r.family)
-    assert got == {2: {"MIT"}, 3: {"Apache-2.0"}, 4: {"GPL"}, 5: {"unknown"}, 6: {"CC-BY-NC", "Proprietary"}}
+    got, rows = {}, docs(spark, NOTICES, True)
+    found = licenses.license_paragraphs(rows.union(rows.filter("doc_id = 2"))).collect()
+    for r in found:
+        if r.family != licenses.UNKNOWN:
+            got.setdefault(r.doc_id, []).append(r.family)
+    want = {2: {"MIT"}, 3: {"Apache-2.0"}, 4: {"GPL"}, 6: {"CC-BY-NC", "Proprietary"}, 7: {"MIT"}, 8: {"Apache-2.0"}, 9: {"BSD"}, 10: {"CC-BY-NC"}, 11: {"CC-BY-SA"}, 12: {"AGPL"}, 13: {"Apache-2.0"}}
+    assert {k: set(v) for k, v in got.items()} == want
+    assert len(got[7]) == 3 and len(got[2]) == 2  # all three paragraphs; the repeated row again
     assert licenses.license_paragraphs(docs(spark, ["a"]).limit(0)).count() == 0
-    cue = re.compile(licenses.CUES)
-    assert all(cue.search(t) for ts in licenses.TEMPLATES.values() for t in ts)
+
+
+def test_paragraphs_without_needed_words_resemble_nothing():
+    templates = [licenses.WORD.findall(t.lower()) for ts in licenses.TEMPLATES.values() for t in ts]
+    need, r = set(licenses.needed_words(templates)), random.Random(4)
+    telling = [licenses._telling(t) for t in templates]
+    pattern = re.compile(licenses.needed_pattern())
+    for _ in range(4000):
+        base = r.choice(templates)
+        at = r.randrange(len(base))
+        words = base[at : at + r.randint(1, 12)] + [r.choice(r.choice(templates)) for _ in range(r.randint(0, 4))]
+        words = [w for w in words if w not in need]
+        pairs = licenses._telling(words)
+        for t in telling:
+            assert len(t & pairs) / max(min(len(t), len(pairs)), licenses.LEAST_PAIRS) < licenses.Scan().resembles
+    assert all(pattern.search(t) for ts in licenses.TEMPLATES.values() for t in ts)
+
+
+def test_license_probabilities_by_hand(spark):
+    """The JVM's margins, temperature and similarity against the model's coefficients and plain sets."""
+    rows = spark.createDataFrame([(i, licenses.WORD.findall(t.lower())) for i, t in enumerate(NOTICES) if t and len(t) < 2000], "i int, words array<string>")
+    some = spark.createDataFrame([(licenses.WORD.findall(t.lower()),) for t in licenses.OTHERS * 2], "words array<string>")
+    model, hasher, names, temperature = licenses.train(spark, some)
+    made = hasher.transform(rows.withColumn("grams", licenses._grams(F.col("words"))))
+    got = model.transform(made).select("i", "features", licenses._softmax(licenses.vector_to_array("rawPrediction"), temperature).alias("p"), licenses._pairs(F.col("words")).alias("pairs")).collect()
+    weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    for r in got:
+        margins = (weights[:, r.features.indices].sum(axis=1) + start) / temperature
+        p = np.exp(margins - margins.max())
+        assert np.allclose(r.p, p / p.sum()) and names[0] == licenses.UNKNOWN
+        assert {tuple(x.split(" ")) for x in r.pairs} == licenses._telling(licenses.WORD.findall(NOTICES[r.i].lower()))
 
 
 # 5
 
 
-def test_nearest_is_levenshtein():
-    r = random.Random(4)
+def far(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        below = [i]
+        for j, y in enumerate(b, 1):
+            below.append(min(row[j] + 1, below[-1] + 1, row[j - 1] + (x != y)))
+        row = below
+    return row[-1]
 
-    def far(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            below = [i]
-            for j, y in enumerate(b, 1):
-                below.append(min(row[j] + 1, below[-1] + 1, row[j - 1] + (x != y)))
-            row = below
-        return row[-1]
 
+def test_nearest_is_levenshtein():
+    r = random.Random(4)
     terms = ["abcde", "abcd", "bcdeabcde", "eeeee", "aabbccdde"]
     trie = toxicity.Trie(terms)
     for _ in range(2000):
@@ -263,6 +317,58 @@ def test_toxicity(spark):
     assert docs(spark, tests).limit(0).select(toxicity.score(F.col("text"), model)).count() == 0
 
 
+def plain_score(text, model):
+    """The score without tries: every word against every term, stem and covered word."""
+    text = (text or "").lower()
+    tokens = [(m.start(), m.end(), m.group()) for m in toxicity.WORD.finditer(text)]
+
+    def found(w):
+        if w in model.terms:
+            return model.terms[w], False
+        for n in sorted({len(s) for s in model.stems}):
+            if len(w) >= n and w[:n] in model.stems:
+                return model.stems[w[:n]], False
+        near = [(far(w, t), t, x) for t, x in {**model.covered, **model.terms}.items() if far(w, t) <= toxicity.allowed(t)]
+        near += [(d, t, x) for t, x in model.stems.items() if (d := min(far(w[:k], t) for k in range(len(w) + 1))) <= toxicity.allowed(t)]
+        if not near:
+            return None
+        return model.variants.get(w, 0.6 * min(near)[2]), True
+
+    hit = [(i, *f) for i, (_, _, w) in enumerate(tokens) if (f := found(w)) and f[0] > 0]
+    force, exact, quoted = [], 0.0, 0.0
+    for i, weight, misspelled in hit:
+        low, high = max(0, i - model.window), min(len(tokens) - 1, i + model.window)
+        before, after = text[tokens[low][0] : tokens[i][0]], text[tokens[i][1] : tokens[high][1] + 1]
+        near = [tokens[j][2] for j in range(low, high + 1)]
+        marks = sum(c in toxicity.QUOTES for c in before) % 2 == 1 and any(c in toxicity.QUOTES for c in after)
+        q = min(1.0, 0.6 * marks + 0.4 * any(w in toxicity.REPORTING for w in near))
+        a = min(1.0, 0.5 * any(w in toxicity.ADDRESS for w in near) + 0.2 * ("!" in after) + 0.3 * any(j != i and low <= j <= high for j, _, _ in hit))
+        force.append(weight * (1 - 0.5 * q) * (1 + 0.25 * a))
+        exact += 0 if misspelled else force[-1]
+        quoted += weight * q
+    x = [0.0] * 6
+    if hit:
+        x = [min(exact, 30) / 10, min(sum(force) - exact, 30) / 10, min(max(force), 15) / 10, min(quoted, 30) / 10, math.log1p(len(hit)), min(1, 20 * len(hit) / max(len(tokens), 1))]
+    return 1 / (1 + math.exp(-max(-30, min(30, model.coefficients[0] + sum(c * v for c, v in zip(model.coefficients[1:], x, strict=True))))))
+
+
+def test_score_by_brute_force(spark):
+    r = random.Random(55)
+    model = toxicity.Model({"blorfing": 6.0, "grunt": 5.0, "zob": 4.0}, {"snive": 5.5}, {"sniveling": 5.0, "snivelok": 4.5}, {"blorfin": 2.0}, [-3.0, 2.0, 1.5, 1.0, -0.5, 0.5, 0.2])
+    pool = ["blorfing", "grunt", "zob", "snive", "sniveling", "plain", "words", "you", "said", '"', "!", "the", "your", "«", "»", "blorfin"]
+
+    def word():
+        w = list(r.choice(pool))
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.choice([0, 1])] = r.choice(["", "x", "e", "!"])
+        return "".join(w)
+
+    texts = [None, "", "zob", "zobs", "ZOB!", "x" * 3000 + " grunt"] + [" ".join(word() for _ in range(r.randint(1, 40))) for _ in range(300)]
+    got = docs(spark, texts, True).select("doc_id", toxicity.score(F.col("text"), model).alias("s")).orderBy("doc_id").collect()
+    assert [x.s for x in got] == pytest.approx([plain_score(t, model) for t in texts])
+
+
 def test_misspelled_inflections_of_stems(spark):
     r, rows = random.Random(8), []
     for i in range(600):
@@ -435,6 +541,58 @@ def test_language_model(spark):
     assert interpolation.scored(d.limit(0), training).count() == 0
 
 
+def test_interpolated_score_by_brute_force(spark):
+    """Counts, held-out estimates and the mixture's formula in plain Python."""
+    r = random.Random(91)
+    words = [f"w{int(r.paretovariate(0.8))}" for _ in range(4000)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(120)] + [None, "", texts_copy := "w1 w2 w3", texts_copy]
+    d = docs(spark, texts)
+    training = F.pmod(F.col("doc_id"), F.lit(7)) != 2
+    plan = interpolation.Plan(chunk_tokens=60, bucket_keys=100)
+    flags = {x.doc_id: x for x in d.select("doc_id", training.alias("t"), (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(plan.held)) == 0).alias("h")).collect()}
+    tokens = {i: [*spaced(t), None] for i, t in enumerate(texts)}
+    pairs = lambda ts: list(zip([None, *ts[:-1]], ts, strict=True))
+
+    def counted(ids):
+        one, two = Counter(), Counter()
+        for i in ids:
+            one.update(tokens[i])
+            two.update(pairs(tokens[i]))
+        return one, two
+
+    learned = [i for i in tokens if flags[i].t]
+    one, two = counted(learned)
+    fit_one, fit_two = counted([i for i in learned if not flags[i].h])
+
+    def estimates(pair, one, two):
+        context, word = pair
+        c, n = one[context], sum(one.values())
+        bucket = min(1 + int(math.log2(c)), plan.context_buckets - 1) if c else 0
+        return bucket, two[pair] / c if c else 0.0, one[word] / n
+
+    table = Counter()
+    for i in learned:
+        if flags[i].h:
+            for pair in pairs(tokens[i]):
+                b, p, q = estimates(pair, fit_one, fit_two)
+                table[b, int(interpolation._level(np.array([p]))[0]), int(interpolation._level(np.array([q]))[0])] += 1
+    floor = 1 / (len(one) + 1)
+    weights = interpolation.mixture(np.array([[*k, n] for k, n in sorted(table.items())], float), floor, plan)
+    for x in interpolation.scored(d, training, plan=plan).collect():
+        want = 0.0
+        for pair in pairs(tokens[x.doc_id]):
+            b, p, q = estimates(pair, one, two)
+            want += math.log10(weights[b] @ [p, q, floor])
+        assert x.score == pytest.approx(want)
+
+
+def test_repeated_and_null_ids_are_scored(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e"), (None, "a b c"), (None, None), (2, "y " * 50_000 + "z" * 100_000)]
+    got = interpolation.scored(spark.createDataFrame(rows, DOCS), F.coalesce(F.col("doc_id") != 9, F.lit(True))).collect()
+    assert len(got) == 6 and len({round(x.score, 9) for x in got if x.n_tokens == 4}) == 1
+    assert sorted(x.n_tokens for x in got) == [1, 3, 4, 4, 4, 50_002]
+
+
 def test_counts_survive_packing():
     r = np.random.default_rng(1)
     for size in (0, 1, 1000):
