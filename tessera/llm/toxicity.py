@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,8 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
-
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: fixed values: words that report speech, and words that address a reader
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes reported claims claimed term word slur insult insults dit écrit schrieb sagte sagt dijo escribió".split())
@@ -33,7 +32,8 @@ N_FEATURES = 6
 class Params:
     """sample: labelled rows that a model is fitted on at most (in expectation; drawn by a hash of the id). window:
     words on each side of a hit that its context is. stem: lengths of word beginnings tried as terms. least_texts:
-    toxic texts that have a term, at least. The number of terms is bounded by the sample alone."""
+    toxic texts that have a term, at least. The
+    number of terms is bounded by the sample alone."""
 
     sample: int = 20_000
     window: int = 8
@@ -234,25 +234,33 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, params: Params = P
                 seen[1].clear()
         yield pd.DataFrame([(t, seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys()], columns=["term", "toxic", "clean"])
 
-    # near copies count once: of texts that have their three least runs of five words in common, one stands for all
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
-    least = F.slice(F.array_sort(F.array_distinct(runs)), 1, 3)
-    apart = rows.filter("text is not null").withColumn("w", F.split("text", r"\s+")).select("text", "label", least.alias("runs")).groupBy("runs", "label").agg(F.min("text").alias("text"))
-    apart = store.written(apart.select("text", "label"), "labelled-apart")
-    n = {r["label"]: r["n"] for r in apart.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    apart_toxic, apart_clean = n.get(1, 0), n.get(0, 0)
-    if not apart_toxic or not apart_clean:
-        return model
-    counts = apart.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.filter("text is not null").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # terms that chance would put this high fewer than once among all that are tried: 2 ln(terms) of the likelihood ratio
     n = F.col("toxic") + F.col("clean")
-    share = apart_toxic / (apart_toxic + apart_clean)
+    share = n_toxic / (n_toxic + n_clean)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
     ratio = 2 * (part("toxic", share) + part("clean", 1 - share))
     tried = rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("c")).agg(F.sum("c").alias("c")).first()["c"]
-    strong = counts.filter((F.col("toxic") >= params.least_texts) & (F.col("toxic") >= 19 * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
-    found = {r["term"]: (r["toxic"], r["clean"]) for r in strong.collect()}
-    model.terms, model.stems, model.covered = _lexicon(found, apart_toxic, apart_clean, params)
+    significant = ((F.col("toxic") >= params.least_texts) & (F.col("toxic") >= 19 * F.col("clean")) & (ratio >= 2 * math.log(max(10, tried / 20))))
+    tested = {r["term"] for r in counts.filter(significant).select("term").collect()}
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = set()
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                words = ["", *WORD.findall(text.lower()), ""]
+                for i in range(1, len(words) - 1):
+                    w = words[i]
+                    for term in (w, *(w[:k] + "*" for k in range(low, min(high, len(w) - 1) + 1))):
+                        if term in tested:
+                            seen.add((term, label, zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode())))
+            yield pd.DataFrame(list(seen), columns=["term", "label", "place"])
+
+    # copies and passages that texts share repeat a term between the same words: it counts once there, and has to pass again
+    apart = rows.filter("text is not null").mapInPandas(places, "term string, label int, place long").distinct()
+    apart = apart.groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in apart.filter(significant).collect()}
+    model.terms, model.stems, model.covered = _lexicon(found, n_toxic, n_clean, params)
 
     matcher = Matcher(model)
 
