@@ -8,6 +8,8 @@ words that is derived from the templates can't resemble one; they are unknown wi
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -77,15 +79,11 @@ OTHERS = [
 #: fixed values: a pair of two of these tells nothing and isn't a pair of a template
 STOP = frozenset("a an and any are as be but for in is it not of on or that the this to with".split())
 UNKNOWN = "unknown"
-#: pairs that a similarity is a share of, at least
-LEAST_PAIRS = 3
-
-
 @dataclass(frozen=True)
 class Scan:
     """features: hashed n-grams; variants: of each notice, with words left out; sample: other paragraphs of the corpus
-    that the model sees, at most, those of the least hashes; least: calibrated probability, and resembles: share of a template's word pairs (or of the paragraph's, if those are
-    fewer) that confirm a family."""
+    that the model sees, at most, those of the least hashes; least: calibrated probability, and resembles: similarity to
+    a template (see _similarity) that confirm a family."""
 
     features: int = 1 << 16
     variants: int = 24
@@ -104,24 +102,36 @@ def _telling(words: list[str]) -> set[tuple[str, str]]:
     return {(a, b) for a, b in zip(words, words[1:], strict=False) if not (a in STOP and b in STOP)}
 
 
-def needed_words(templates: list[list[str]]) -> list[str]:
-    """Words of which every paragraph that resembles a template has at least one: such a paragraph shares two pairs
-    with it, as its similarity is a share of at least LEAST_PAIRS, and these words leave at most one of a template's
-    pairs without one. Chosen greedily, long words first."""
-    worth = lambda w: 0.0 if w in STOP else max(min(len(w), 6) - 1.9, 0.05)
-    open_pairs, chosen = [_telling(t) for t in templates], []
-    while any(len(p) > 1 for p in open_pairs):
-        gain = Counter(w for p in open_pairs if len(p) > 1 for pair in p for w in set(pair))
+def shared_pairs(size: int, resembles: float) -> int:
+    """The pairs that a paragraph shares at least with a template of so many which it resembles."""
+    return max(1, math.ceil(resembles * -(-size // 2) - 1e-9))
+
+
+def needed_words(templates: list[list[str]], resembles: float) -> list[str]:
+    """Words of which every paragraph that resembles a template has at least one: it shares some pairs with the template,
+    and these words leave fewer of the template's pairs without one. Chosen greedily, long words first."""
+    worth = lambda w: 0.0 if w in STOP else max(min(len(w), 8) - 2.9, 0.05)
+    open_pairs, chosen = [(p, shared_pairs(len(p), resembles)) for p in map(_telling, templates)], []
+    while any(len(p) >= k for p, k in open_pairs):
+        gain = Counter(w for p, k in open_pairs if len(p) >= k for pair in p for w in set(pair))
         best = max(gain, key=lambda w: (gain[w] * worth(w), w))
         chosen.append(best)
-        open_pairs = [{pair for pair in p if best not in pair} for p in open_pairs]
+        open_pairs = [({pair for pair in p if best not in pair}, k) for p, k in open_pairs]
     return sorted(chosen)
 
 
-def needed_pattern() -> str:
+def _branches(words: list[str]) -> str:
+    """A pattern of what begins with one of the sorted words, by common beginnings."""
+    out = []
+    for first, group in itertools.groupby(words, key=lambda w: w[:1]):
+        rest = [w[1:] for w in group]
+        out.append(re.escape(first) + ("" if "" in rest else _branches(rest)))
+    return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+
+def needed_pattern(resembles: float) -> str:
     """Matches what has one of the needed words, and perhaps more."""
-    words = needed_words([WORD.findall(t.lower()) for texts in TEMPLATES.values() for t in texts])
-    return "(?i)" + "|".join(re.escape(w) if len(w) > 4 else rf"(?<![A-Za-z0-9]){re.escape(w)}(?![A-Za-z0-9])" for w in words)
+    return "(?i)(?<![A-Za-z0-9])" + _branches(needed_words([WORD.findall(t.lower()) for texts in TEMPLATES.values() for t in texts], resembles))
 
 
 def _grams(words: Column) -> Column:
@@ -150,8 +160,9 @@ def _pairs(words: Column) -> Column:
 
 
 def _similarity(template: Column, pairs: Column) -> Column:
-    """Both are distinct pairs."""
-    return F.size(F.array_intersect(template, pairs)) / F.greatest(F.least(F.size(template), F.size(pairs)), F.lit(LEAST_PAIRS))
+    """The share of common pairs, in the template's or, if the paragraph has fewer, in its own, but at least in half the
+    template's. Both are distinct pairs."""
+    return F.size(F.array_intersect(template, pairs)) / F.greatest(F.least(F.size(template), F.size(pairs)), F.ceil(F.size(template) / 2), F.lit(1))
 
 
 def train(spark: SparkSession, paragraphs: DataFrame, scan: Scan = Scan()):
@@ -190,7 +201,7 @@ def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named columns are read; whole texts are.
     """
     spark = docs.sparkSession
-    need = needed_pattern()
+    need = needed_pattern(scan.resembles)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = texts.filter(F.col("text").rlike(need)).select("id", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line"))
     lines = store.written(lines.filter(F.col("line").rlike(need)).select("id", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0), "paragraphs")
@@ -199,9 +210,11 @@ def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     listed = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))  # a fixed number of families
     every = templates.agg(F.collect_list("template").alias("templates"))
     # paragraphs that resemble no notice, the first by hash; more than are needed are looked at
-    some = lines.select("words", F.xxhash64("words").alias("h")).distinct().orderBy("h").limit(4 * scan.sample).crossJoin(F.broadcast(every))
     alike = lambda pairs: F.array_max(F.transform("templates", lambda t: _similarity(t, pairs)))
-    others = some.filter(alike(_pairs(F.col("words"))) < scan.resembles / 2).orderBy("h").limit(scan.sample).select("words")
+    hashed = lines.withColumn("h", F.xxhash64("words"))
+    drawn = hashed.select("h").distinct().orderBy("h").limit(2 * scan.sample)
+    some = store.written(hashed.join(F.broadcast(drawn), "h").dropDuplicates(["h"]).select("h", "words", _pairs(F.col("words")).alias("pairs")), "other-paragraphs").crossJoin(F.broadcast(every))
+    others = some.filter(alike(F.col("pairs")) < scan.resembles / 2).orderBy("h").limit(scan.sample).select("words")
     model, hasher, names, temperature = train(spark, others, scan)
 
     # a probability for each name; the model's own Column form keeps it in the JVM
