@@ -20,14 +20,17 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
-def first_of_each(items: Column, most: int | None = None) -> Column:
+def first_of_each(items: Column, most: int) -> Column:
     """Items trimmed, without empty ones and without those that an earlier one equals but for case; most at most.
-    Order is kept."""
+    Order is kept. One pass over the items that holds what it has found, so its time is in proportion to their number."""
     clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
-    keys = F.transform(clean, lambda x: F.lower(x))
-    out = F.filter(F.arrays_zip(clean.alias("v"), keys.alias("k")), lambda z, i: F.array_position(keys, z.k) == i + 1)
-    out = F.transform(out, lambda z: z.v)
-    return F.slice(out, 1, most) if most else out
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, x: Column) -> Column:
+        new = (F.size(s.k) < most) & ~F.array_contains(s.k, F.lower(x))
+        return F.when(new, F.struct(F.array_append(s.v, x).alias("v"), F.array_append(s.k, F.lower(x)).alias("k"))).otherwise(s)
+
+    return F.aggregate(clean, F.struct(none.alias("v"), none.alias("k")), step, lambda s: s.v)
 
 
 def is_filler(text: Column) -> Column:
@@ -69,12 +72,14 @@ def with_concepts(rows: DataFrame, text: str, out: str = "concepts") -> DataFram
     rows = rows.withColumn("_every", tokens(F.col(text)))
     rows = rows.withColumn("_used", F.filter("_every", lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS)))
     rows = rows.withColumn("_used", F.when(F.size("_used") > 0, F.col("_used")).otherwise(F.slice("_every", 1, 3)))
-    rows = rows.withColumn("_sorted", F.array_sort("_used"))
-    # the places where a token's run begins in sorted order give its count
-    count = lambda t: F.array_position(F.reverse("_sorted"), t) + F.array_position("_sorted", t)
-    rows = rows.withColumn("_ranked", F.transform(F.array_distinct("_used"), lambda t: F.struct((count(t) - F.size("_sorted") - 2).alias("n"), F.array_position("_used", t).alias("at"), t.alias("t"))))
+    # equal tokens lie together in sorted order, the first place first: a run's length is a token's count
+    rows = rows.withColumn("_sorted", F.array_sort(F.transform("_used", lambda t, i: F.struct(t.alias("t"), i.alias("at")))))
+    begins = F.filter(F.transform("_sorted", lambda x, i: F.when((i == 0) | (F.get("_sorted", i - 1).t != x.t), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_begins", begins)
+    run = lambda i, k: F.struct((i - F.coalesce(F.get("_begins", k + 1), F.size("_sorted"))).alias("n"), F.get("_sorted", i).at.alias("at"), F.get("_sorted", i).t.alias("t"))
+    rows = rows.withColumn("_ranked", F.transform("_begins", run))
     named = F.transform(F.slice(F.array_sort("_ranked"), 1, 4), lambda r: r.t)
-    return rows.withColumn(out, F.when(F.size("_used") == 0, F.array(F.lit("general"))).otherwise(named)).drop("_every", "_used", "_sorted", "_ranked")
+    return rows.withColumn(out, F.when(F.size("_used") == 0, F.array(F.lit("general"))).otherwise(named)).drop("_every", "_used", "_sorted", "_begins", "_ranked")
 
 
 def concept_text(concepts: Column) -> Column:
@@ -130,6 +135,12 @@ def short_label(seconds: Column) -> Column:
     return F.when(seconds < 1, F.concat(F.round(seconds * 1000).cast("long").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", seconds), F.lit("s")))
 
 
+def fixed_label(seconds: Column) -> Column:
+    """Seconds with two decimals; unknown times are 0.00."""
+    ok = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < 1e15)
+    return F.format_string("%.2f", F.when(ok, seconds).otherwise(0.0))
+
+
 def file_name_of(url: Column, default: str = "broll") -> Column:
     """A safe file name from a URL's path: runs of other characters become _, and an unknown suffix .mp4."""
     last = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"([^/]*)/*$", 1)

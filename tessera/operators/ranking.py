@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +27,60 @@ def best_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return one.select("_r.*").unionByName(rest)
 
 
+#: slots of more concepts, and assets of more terms that some concept names, are compared pair by pair
+CONCEPTS, TERMS = 4, 10
+
+
 def local_scores(slots: DataFrame, assets: DataFrame, k: int = 4) -> DataFrame:
     """The k best assets of a slot's project: slots have project_id, slot_id, concepts, slot_sec and own_asset; assets
-    project_id, asset_id, filename, duration_sec and created_at. Newer assets score higher; ties keep that order."""
+    project_id, asset_id, filename, duration_sec and created_at. Newer assets score higher; ties keep that order.
+
+    Only pairs that can be among the k best are formed (see _promising), so the work grows with the slots and the
+    assets, not with their product."""
     project = Window.partitionBy("project_id")
     newest = project.orderBy(F.desc("created_at"), F.desc("asset_id"))
-    placed = assets.withColumns({"place": F.row_number().over(newest) - 1, "total": F.count("*").over(project), "terms": F.array_distinct(tx.tokens(F.col("filename")))})
-    pairs = slots.join(placed, "project_id")
+    sizes = assets.groupBy("project_id").agg(F.count("*").alias("total"))
+    placed = assets.withColumns({"place": F.row_number().over(newest) - 1, "terms": F.array_distinct(tx.tokens(F.col("filename")))}).join(sizes, "project_id")
+    pairs = _promising(slots, placed, k).join(slots, ["project_id", "slot_id"]).join(placed, ["project_id", "asset_id"])
     hits = F.filter("concepts", lambda t: F.array_contains(F.col("terms"), t))
-    semantic = F.when(F.size("concepts") > 0, F.least(F.size(hits) / F.greatest(F.size("concepts"), F.lit(1)) * 0.45, F.lit(0.45))).otherwise(0.0)
+    semantic = F.when(F.size("concepts") > 0, F.least(F.size("hits") / F.greatest(F.size("concepts"), F.lit(1)) * 0.45, F.lit(0.45))).otherwise(0.0)
     diverse = F.when(F.col("asset_id").eqNullSafe(F.col("own_asset")), 0.06).otherwise(0.18)
     long = F.when((F.col("duration_sec") > 0) & (F.col("duration_sec") >= F.greatest("slot_sec", F.lit(1.0))), 0.12).otherwise(0.05)
     recent = (1 - F.col("place") / F.greatest("total", F.lit(1))) * 0.15
-    scored = pairs.withColumns({"hits": hits, "score": num.clamp(F.round(0.20 + semantic + diverse + long + recent, 3))})
+    scored = pairs.withColumn("hits", hits).withColumn("score", num.clamp(F.round(0.20 + semantic + diverse + long + recent, 3)))
     return top_per_group(scored, ["slot_id"], k, [F.desc("score"), F.col("place")]).select("slot_id", "asset_id", "filename", "duration_sec", "hits", "score", "rank")
 
 
+def _promising(slots: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(project_id, slot_id, asset_id), with every asset that may be among a slot's k best.
+
+    Take the assets that have all terms of a set S of a slot's concepts, and among them those that are long enough for
+    the slot. One that hits just S scores no more than those before it in place, but for the slot's own asset: so it
+    is among the first k + 1 of them, or of all that have S if it is too short. These lists are made once for each
+    project and set (and class of length: within the slot's own class all are taken), whatever the number of slots."""
+    length = lambda seconds: F.floor(8 * F.log2(F.greatest(seconds, F.lit(1.0)))).cast("int")
+    sets = lambda items, most: F.filter(F.transform(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(items)) - 1), lambda b: F.filter(items, lambda x, i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(1)) == 1)), lambda s: F.size(s) <= most)
+    known = slots.select("project_id", "slot_id", F.array_sort(F.array_distinct(F.coalesce("concepts", F.array().cast("array<string>")))).alias("c"), length(F.coalesce("slot_sec", F.lit(1.0))).alias("class"))
+    few, many = known.filter(F.size("c") <= CONCEPTS), known.filter(F.size("c") > CONCEPTS)
+    wanted = few.select("project_id", "slot_id", "class", F.explode(sets(F.col("c"), CONCEPTS)).alias("s")).withColumn("s", F.concat_ws("\x01", "s"))
+    named = known.select("project_id", F.explode("c").alias("term")).distinct()
+    base = placed.select("project_id", "asset_id", "place", length(F.col("duration_sec")).alias("long"), (F.col("duration_sec") > 0).alias("timed"), "terms")
+    terms = base.select("project_id", "asset_id", F.explode("terms").alias("term")).join(named, ["project_id", "term"]).groupBy("project_id", "asset_id").agg(F.array_sort(F.collect_set("term")).alias("t"))
+    base = base.drop("terms").join(terms, ["project_id", "asset_id"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    lists = base.filter(F.size("t") <= TERMS).select("project_id", "asset_id", "place", "timed", "long", F.explode(sets(F.col("t"), CONCEPTS)).alias("s")).withColumn("s", F.concat_ws("\x01", "s"))
+    lists = lists.join(wanted.select("project_id", "s").distinct(), ["project_id", "s"])
+    first = lambda rows, *by: top_per_group(rows, ["project_id", "s", *by], k + 1, [F.col("place")]).drop("rank")
+    any_length = wanted.join(first(lists).select("project_id", "s", "asset_id"), ["project_id", "s"])
+    timed = lists.filter("timed")
+    classes = wanted.select("project_id", "s", "class").distinct()
+    longer = first(classes.join(first(timed, "long"), ["project_id", "s"]).filter(F.col("long") > F.col("class")), "class").select("project_id", "s", "class", "asset_id")
+    alike = classes.join(timed, (classes["project_id"] == timed["project_id"]) & (classes["s"] == timed["s"]) & (classes["class"] == timed["long"])).select(classes["project_id"], classes["s"], "class", "asset_id")
+    by_length = wanted.join(longer.union(alike), ["project_id", "s", "class"])
+    out = any_length.select("project_id", "slot_id", "asset_id").union(by_length.select("project_id", "slot_id", "asset_id"))
+    out = out.union(many.join(base, "project_id").select("project_id", "slot_id", "asset_id")).union(few.join(base.filter(F.size("t") > TERMS), "project_id").select("project_id", "slot_id", "asset_id"))
+    return out.distinct()
+
+
 def provider_scores(hits: DataFrame, base: float, limit: int) -> DataFrame:
     """Scores of provider hits (slot_id, url, place, total, duration_sec, width, height, slot_sec), each URL once, and
     the limit best of a slot."""
@@ -79,9 +121,9 @@ def reranked(rows: DataFrame, weights: tuple[float, float, float, float] = (0.55
     rows = rows.withColumn("_st", F.array_distinct(slot_tokens))
     rows = rows.withColumns({"_ct": F.array_distinct(tx.tokens(F.col("text"))), "_ce": tx.entities(F.col("text"))})
     semantic = num.unit_cosine(F.col("slot_vec"), F.col("vec")) if vectors else tx.token_overlap(F.col("_st"), F.col("_ct"))
-    lowered = F.transform("_se", lambda e: F.lower(e))
-    own = F.filter("_ce", lambda e: F.array_contains(lowered, F.lower(e)))
-    hits = F.when(F.size(own) > 0, own).otherwise(F.filter("_se", lambda e: F.contains(F.lower("text"), F.lower(e))))
+    rows = rows.withColumns({"_sl": F.transform("_se", lambda e: F.lower(e)), "_low": F.lower("text")})
+    own = F.filter("_ce", lambda e: F.array_contains(F.col("_sl"), F.lower(e)))
+    hits = F.when(F.size(own) > 0, own).otherwise(F.filter("_se", lambda e: F.contains(F.col("_low"), F.lower(e))))
     rows = rows.withColumns({"hits": hits, "_sem": semantic, "_base": num.clamp(F.col("base"), 0.0, 0.99)})
     entity = F.when(F.size("_se") > 0, F.size(F.array_distinct(F.transform("hits", lambda e: F.lower(e)))) / F.greatest(F.size("_se"), F.lit(1))).otherwise(0.0)
     n = F.greatest(F.size("concepts"), F.lit(1))
@@ -92,7 +134,43 @@ def reranked(rows: DataFrame, weights: tuple[float, float, float, float] = (0.55
     rows = rows.withColumn("_final", num.clamp(0.75 * weighted + 0.25 * F.col("_base"), 0.0, 0.99))
     sure = num.clamp(0.45 * F.col("_final") + 0.25 * F.col("_sem") + 0.20 * F.col("_ent") + 0.10 * F.col("_meta"))
     sure = sure if vectors else num.clamp(sure * 0.92)
-    return rows.withColumns({"score": F.round("_final", 3), "confidence": F.round(sure, 3), "hits": F.slice("hits", 1, 8)}).drop("_se", "_st", "_ct", "_ce", "_sem", "_base", "_ent", "_meta", "_dur", "_final")
+    return rows.withColumns({"score": F.round(F.col("_final") + 1e-9, 3), "confidence": F.round(sure + 1e-9, 3), "hits": F.slice("hits", 1, 8)}).drop("_se", "_sl", "_low", "_st", "_ct", "_ce", "_sem", "_base", "_ent", "_meta", "_dur", "_final")
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int, query_block: int = 512, row_block: int = 4096) -> DataFrame:
+    """(q_id, vec_id, cosine, rank): the k rows (vec_id, embedding) whose unit vectors are nearest to each query's
+    (q_id, embedding), other than the row of its own id; cosine is on [0, 1], ties go by id. Null vectors and those of
+    other lengths than the query's are no one's neighbours.
+
+    Queries and rows meet in blocks: a task multiplies a block of each and keeps k rows for each query, so what is
+    shuffled follows the number of blocks and not of pairs."""
+
+    def blocks(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
+        df = df.filter(F.col("embedding").isNotNull()).select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        n = max(1, -(-df.count() // size))
+        block = F.pmod(F.xxhash64("id"), F.lit(n))
+        return df.groupBy(block.alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("x")).select(F.transform("x", lambda x: x.id).alias(f"{out}_ids"), F.transform("x", lambda x: x.v).alias(f"{out}_vecs"))
+
+    def multiplied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                sizes = lambda vecs: np.array([len(v) for v in vecs])
+                for size in np.unique(sizes(r.q_vecs)):
+                    q, v = np.flatnonzero(sizes(r.q_vecs) == size), np.flatnonzero(sizes(r.r_vecs) == size)
+                    if not size or not len(v):
+                        continue
+                    ids, own = np.asarray(r.r_ids)[v], np.asarray(r.q_ids)[q]
+                    order = np.argsort(ids, kind="stable")
+                    ids, v = ids[order], v[order]
+                    cosine = np.round(np.clip((np.stack(r.q_vecs)[q] if len(q) == len(r.q_vecs) else np.stack([r.q_vecs[i] for i in q])) @ np.stack([r.r_vecs[i] for i in v]).T / 2 + 0.5, 0, 1), 6)
+                    cosine[own[:, None] == ids[None, :]] = -1
+                    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                    found = np.take_along_axis(cosine, best, axis=1)
+                    keep = found >= 0
+                    yield pd.DataFrame({"q_id": np.repeat(own, keep.sum(axis=1)), "vec_id": ids[best][keep], "cosine": found[keep]})
+
+    pairs = blocks(queries, "q_id", query_block, "q").crossJoin(blocks(rows, "vec_id", row_block, "r"))  # of blocks
+    return top_per_group(pairs.mapInPandas(multiplied, "q_id long, vec_id long, cosine double"), ["q_id"], k, [F.desc("cosine"), F.col("vec_id")])
 
 
 def not_reranked(rows: DataFrame) -> DataFrame:

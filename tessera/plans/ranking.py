@@ -18,10 +18,10 @@ def docs(spark, sf_dir):
 
 def f1_tokens(spark, sf_dir):
     t = docs(spark, sf_dir).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return t.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs")).filter("n >= 3")
+    return t.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-F1 = "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda t: lower(t))) AS token FROM documents) GROUP BY token HAVING count(*) >= 3"
+F1 = "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda t: lower(t))) AS token FROM documents) GROUP BY token"
 
 
 def a6_concepts(spark, sf_dir):
@@ -144,12 +144,10 @@ SELECT p_partkey, round(CASE WHEN d IS NULL OR d <= 0 THEN 0.45 ELSE 0.25 + 0.75
 
 def f17_cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), "label")
-    pairs = queries.join(e.select("vec_id", "embedding", "label"), "label").filter("vec_id <> q_id").select("q_id", "vec_id", F.round(num.unit_cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
-    return rk.top_per_group(pairs, ["q_id"], 5, [F.desc("cosine"), F.col("vec_id")])
+    return rk.nearest_vectors(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding"), e.select("vec_id", "embedding"), 5)
 
 
-F17 = """WITH p AS (SELECT a.vec_id AS q_id, b.vec_id, round(greatest(0.0, least(1.0, (list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2)), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label)
+F17 = """WITH p AS (SELECT a.vec_id AS q_id, b.vec_id, round(greatest(0.0, least(1.0, (list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2)), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT q_id, vec_id, cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
 
 
@@ -209,11 +207,30 @@ SELECT slot_id, CAST(row_number() OVER (PARTITION BY slot_id ORDER BY score DESC
 
 
 def _candidates(spark, sf_dir):
-    """Documents as candidates of conversations' first turns."""
+    """Documents as candidates of conversations' first turns; those of no conversation have an empty slot."""
     slots = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("slot_id"), F.col("text").alias("slot_text"))
     slots = tx.with_concepts(slots, "slot_text").select("slot_id", "slot_text", tx.concept_text(F.col("concepts")).alias("concept"), "concepts", (F.col("slot_id") % 12 + 1.5).alias("slot_sec"))
     d = docs(spark, sf_dir).select((F.col("doc_id") % 100).alias("slot_id"), F.col("doc_id").alias("candidate_id"), "text", ((F.col("doc_id") * 7 % 100) / 100.0).alias("base"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 30).cast("double")).alias("duration_sec"))
-    return slots.join(d, "slot_id").withColumn("keyword_hits", F.filter("concepts", lambda t: F.contains(F.lower("text"), t)))
+    rows = d.join(slots, "slot_id", "left").withColumns({"slot_text": F.coalesce("slot_text", F.lit("")), "concept": F.coalesce("concept", F.lit("general scene")), "concepts": F.coalesce("concepts", F.array(F.lit("general"))), "slot_sec": F.coalesce("slot_sec", F.lit(1.5))})
+    return rows.withColumn("keyword_hits", F.filter("concepts", lambda t: F.contains(F.lower("text"), t)))
+
+
+TOKENS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9'']+'), lambda t: lower(t))"
+#: runs of capitalised words; letters beyond ASCII are letters, which the pattern's word boundaries don't know there
+CAPITALS = r"list_filter(regexp_extract_all(regexp_replace({}, '[À-ÖØ-öø-ÿ]', '1', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}})\b', 1), lambda x: length(trim(x)) >= 3)"
+ONCE = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)[1:{1}]"
+CONCEPTS = f"""b AS (SELECT conv_id, turn, text, {TOKENS.format("text")} AS ts FROM conversations),
+u AS (SELECT conv_id, turn, text, ts, list_filter(ts, lambda t: length(t) >= 3 AND NOT list_contains({STOP}, t)) AS fs FROM b),
+v AS (SELECT conv_id, turn, text, ts, CASE WHEN len(fs) > 0 THEN fs ELSE ts[1:3] END AS us FROM u),
+e AS (SELECT conv_id, turn, unnest(us) AS t, unnest(range(0, len(us))) AS p FROM v), c AS (SELECT conv_id, turn, t, count(*) AS n, min(p) AS first FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first) AS k FROM c), g AS (SELECT conv_id, turn, list(t ORDER BY k) AS cs FROM r WHERE k <= 4 GROUP BY ALL),
+k AS (SELECT v.conv_id, v.turn, v.text, v.ts, coalesce(g.cs, ['general']) AS cs, coalesce(array_to_string(g.cs, ' '), 'general scene') AS concept FROM v LEFT JOIN g ON g.conv_id = v.conv_id AND g.turn = v.turn)"""
+
+F2 = f"""WITH e AS (SELECT doc_id, {CAPITALS.format("text")} AS es FROM documents) SELECT doc_id, array_to_string({ONCE.format("es", 8)}, '|') AS entities FROM e"""
+
+F4 = f"""WITH {CONCEPTS}, n AS (SELECT *, {CAPITALS.format("text")} AS es FROM k), m AS (SELECT *, {ONCE.format("es", 8)}[1:3] AS named FROM n),
+q AS (SELECT conv_id, turn, list_filter(list_transform(list_concat([concept, array_to_string(cs[1:3], ' ')], flatten(list_transform(named, lambda x: [x, x || ' ' || array_to_string(cs[1:2], ' ')])), [array_to_string(ts[1:4], ' ')]), lambda x: trim(x)), lambda x: x <> '') AS a FROM m)
+SELECT conv_id, turn, array_to_string({ONCE.format("a", 6)}, '|') AS queries FROM q"""
 
 
 def r2_reranked(spark, sf_dir):
@@ -221,16 +238,38 @@ def r2_reranked(spark, sf_dir):
 
 
 def r2_reranked_by_vectors(spark, sf_dir):
+    """Rows without a vector have no meaning to compare."""
     e = table(spark, sf_dir, "embeddings")
-    c = _candidates(spark, sf_dir).join(e.select(F.col("vec_id").alias("slot_id"), F.col("embedding").alias("slot_vec")), "slot_id").join(e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vec")), "candidate_id")
+    c = _candidates(spark, sf_dir).join(e.select(F.col("vec_id").alias("slot_id"), F.col("embedding").alias("slot_vec")), "slot_id", "left").join(e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vec")), "candidate_id", "left")
     return rk.reranked(c, vectors=True).select("slot_id", "candidate_id", "score", "confidence")
 
 
+def _r2(vectors: bool) -> str:
+    """The re-ranking rule step by step; vectors say what compares meanings."""
+    overlap = lambda a, b: f"CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len({a}) END"
+    meaning = "coalesce(greatest(0.0, least(1.0, (list_dot_product(sv.embedding::DOUBLE[], dv.embedding::DOUBLE[]) + 1) / 2)), 0.0)" if vectors else overlap("st", "ct")
+    joins = " LEFT JOIN embeddings sv ON sv.vec_id = slot_id LEFT JOIN embeddings dv ON dv.vec_id = candidate_id" if vectors else ""
+    sure = "0.45 * f + 0.25 * sem + 0.20 * ent + 0.10 * meta"
+    sure = f"greatest(0.0, least(1.0, {sure}))" if vectors else f"greatest(0.0, least(1.0, greatest(0.0, least(1.0, {sure})) * 0.92))"
+    return f"""WITH {CONCEPTS}, slots AS (SELECT conv_id AS slot_id, text AS slot_text, cs, concept, conv_id % 12 + 1.5::DOUBLE AS slot_sec, {CAPITALS.format("text")} AS es FROM k WHERE turn = 0),
+s AS (SELECT *, {ONCE.format("es", 8)} AS se FROM slots),
+d AS (SELECT doc_id % 100 AS slot_id, doc_id AS candidate_id, coalesce(text, '') AS text, (doc_id * 7 % 100) / 100.0::DOUBLE AS base, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 30)::DOUBLE END AS dur, {CAPITALS.format("coalesce(text, '')")} AS es, list_distinct({TOKENS.format("coalesce(text, '')")}) AS ct FROM documents),
+p AS (SELECT d.slot_id, candidate_id, text, lower(text) AS low, base, dur, ct, coalesce(cs, ['general']) AS cs, coalesce(slot_sec, 1.5::DOUBLE) AS slot_sec, coalesce(se, []::VARCHAR[]) AS se, {ONCE.format("d.es", 8)} AS ce,
+  list_distinct({TOKENS.format("coalesce(slot_text, '') || ' ' || coalesce(concept, 'general scene') || ' ' || array_to_string(coalesce(cs, ['general']), ' ') || ' ' || array_to_string(coalesce(se, []::VARCHAR[]), ' ')")}) AS st FROM d LEFT JOIN s ON s.slot_id = d.slot_id),
+h AS (SELECT *, list_filter(ce, lambda x: list_contains(list_transform(se, lambda y: lower(y)), lower(x))) AS own, list_filter(cs, lambda t: contains(low, t)) AS kw, least(greatest(base, 0.0), 0.99) AS b, greatest(slot_sec, 0.6) AS w FROM p),
+i AS (SELECT *, CASE WHEN len(own) > 0 THEN own ELSE list_filter(se, lambda x: contains(low, lower(x))) END AS hits FROM h),
+j AS (SELECT *, {meaning} AS sem, CASE WHEN len(se) > 0 THEN len(list_distinct(list_transform(hits, lambda x: lower(x))))::DOUBLE / len(se) ELSE 0.0 END AS ent,
+  greatest(0.0, least(1.0, 0.5 * ({overlap("list_distinct(cs)", "ct")}) + 0.2 * (CASE WHEN len(cs) > 0 THEN least(len(kw), len(cs))::DOUBLE / len(cs) ELSE 0.0 END) + 0.3 * b)) AS meta,
+  CASE WHEN dur IS NULL OR dur <= 0 THEN 0.45 ELSE 0.25 + 0.75 * greatest(0.0, least(1.0, 1 - abs(dur - w) / greatest(w * 2.2, 1.0))) END AS fit FROM i{joins}),
+l AS (SELECT *, greatest(0.0, least(0.99, 0.75 * (0.55 * sem + 0.20 * ent + 0.15 * meta + 0.10 * fit) + 0.25 * b)) AS f FROM j)
+SELECT slot_id, candidate_id, round(f + 1e-9, 3) AS score, round({sure} + 1e-9, 3) AS confidence{"" if vectors else ", array_to_string(hits[1:8], '|') AS hits"} FROM l"""
+
+
 def r4_l4_picks(spark, sf_dir):
     return rk.picked(rk.not_reranked(_candidates(spark, sf_dir)))
 
 
-L4 = """WITH c AS (SELECT doc_id % 100 AS slot_id, doc_id AS candidate_id, round(least(0.99, (doc_id * 7 % 100) / 100.0), 3) AS s FROM documents WHERE doc_id % 100 IN (SELECT conv_id FROM conversations WHERE turn = 0))
+L4 = """WITH c AS (SELECT doc_id % 100 AS slot_id, doc_id AS candidate_id, round(least(0.99, (doc_id * 7 % 100) / 100.0), 3) AS s FROM documents)
 SELECT slot_id, coalesce(arg_max(candidate_id, row(s, -candidate_id)) FILTER (s >= 0.78), arg_max(candidate_id, row(s, -candidate_id))) AS candidate_id, count(*) FILTER (s >= 0.78) > 0 AS confident FROM c GROUP BY slot_id"""
 
 
@@ -245,11 +284,11 @@ SELECT slot_id, asset_id, url FROM c WHERE l_returnflag = 'R' AND NOT EXISTS (SE
 
 def j3_nested(spark, sf_dir):
     slots = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slot_id"))
-    c = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").groupBy(F.col("l_suppkey").alias("slot_id"), F.col("l_partkey").alias("candidate_id")).agg(F.max("l_extendedprice").alias("score"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("slot_id"), F.col("l_partkey").alias("candidate_id")).agg(F.max("l_extendedprice").alias("score"))
     return rk.nested_candidates(slots, c).select("slot_id", F.array_join("candidates", ",").alias("candidates"))
 
 
-J3 = """WITH c AS (SELECT l_suppkey AS slot_id, l_partkey AS candidate_id, max(l_extendedprice) AS score FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)
+J3 = """WITH c AS (SELECT l_suppkey AS slot_id, l_partkey AS candidate_id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2)
 SELECT s_suppkey AS slot_id, coalesce((SELECT string_agg(candidate_id::VARCHAR, ',' ORDER BY score DESC, candidate_id) FROM c WHERE c.slot_id = s_suppkey), '') AS candidates FROM supplier"""
 
 
@@ -277,8 +316,8 @@ QUERIES = {
     "f1_tokens": (f1_tokens, F1),
     "a6_concepts": (a6_concepts, A6),
     "a6_concept_function": (a6_concept_function, A6F),
-    "f2_d1_entities": (f2_entities, None),
-    "f4_expanded_queries": (f4_queries, None),
+    "f2_d1_entities": (f2_entities, F2),
+    "f4_expanded_queries": (f4_queries, F4),
     "f5_search_queries": (f5_search_queries, F5),
     "p3_p5_p6_p7_words": (p3_p5_p6_p7_words, P5),
     "p9_p10_blocked_and_latin": (p9_p10_blocked_and_latin, P9),
@@ -288,8 +327,8 @@ QUERIES = {
     "r1_j12_local_scores": (r1_local_scores, f"WITH {LOCAL} SELECT slot_id, asset_id, score, CAST(rank AS INT) AS rank FROM local WHERE rank <= 4"),
     "r6_d2_w21_provider_scores": (r6_provider_scores, f"WITH {LOCAL}, {EXT} SELECT slot_id, url, score, CAST(rank AS INT) AS rank FROM ext WHERE rank <= 5"),
     "l3_d3_mixed": (l3_mixed, L3),
-    "r2_r3_reranked": (r2_reranked, None),
-    "r2_reranked_by_vectors": (r2_reranked_by_vectors, None),
+    "r2_r3_reranked": (r2_reranked, _r2(False)),
+    "r2_reranked_by_vectors": (r2_reranked_by_vectors, _r2(True)),
     "r4_l4_picks": (r4_l4_picks, L4),
     "j11_not_shown": (j11_not_shown, J11),
     "j3_nested_candidates": (j3_nested, J3),
