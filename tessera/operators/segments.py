@@ -58,12 +58,15 @@ def paragraphs(blocks: DataFrame, gap: float = 1.5, size: int = 3) -> DataFrame:
     return _numbered(_gathered(_split(rows, gap, size, F.lit(False))))
 
 
-def captions(words: DataFrame, max_words: int = 3, max_chars: int = 42, max_gap: float = 0.55, least: float = 0.12) -> DataFrame:
+def captions(words: DataFrame, max_words: int | str = 3, max_chars: int | str = 42, max_gap: float | str = 0.55, least: float = 0.12) -> DataFrame:
     """Captions of a clip's words (key, seq, text, start_sec, end_sec): key, caption (from 1), text, start_sec and
     duration_sec. A caption ends before a gap, at max_words, where a word would make it longer than max_chars, after
-    a sentence end from its second word on, and after a clause mark once it is one short of max_words (two at least)."""
+    a sentence end from its second word on, and after a clause mark once it is one short of max_words (two at least).
+    A limit can be the name of a column that is the same for all words of a key."""
     item = F.struct("start_sec", "seq", "end_sec", F.trim("text").alias("text"))
-    rows = words.filter(F.trim("text") != "").groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    named = [F.first(x).alias(x) for x in (max_words, max_chars, max_gap) if isinstance(x, str)]
+    rows = words.filter(F.trim("text") != "").groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("items"), *named)
+    max_words, max_chars, max_gap = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (max_words, max_chars, max_gap))
     kind = "array<struct<text:string,start:double,end:double>>"
     empty = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("n"), F.lit("").alias("text"), F.lit(0.0).alias("start"), F.lit(None).cast("double").alias("end"))
 
@@ -71,7 +74,7 @@ def captions(words: DataFrame, max_words: int = 3, max_chars: int = 42, max_gap:
         late = x.start_sec - s.end > max_gap
         long = F.length(s.text) + 1 + F.length(x.text) > max_chars
         sentence = (s.n >= 2) & s.text.rlike(ENDS)
-        clause = (s.n >= max(2, max_words - 1)) & s.text.rlike("[,;:—–]$")
+        clause = (s.n >= F.greatest(F.lit(2), max_words - 1)) & s.text.rlike("[,;:—–]$")
         cut = (s.n > 0) & (F.coalesce(late, F.lit(False)) | (s.n >= max_words) | long | sentence | clause)
         closed = F.array(F.struct(s.text.alias("text"), s.start.alias("start"), s.end.alias("end")))
         fresh = cut | (s.n == 0)

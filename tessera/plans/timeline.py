@@ -147,11 +147,11 @@ SELECT p AS project_id, arg_max(h, k) AS head, arg_max(t, k) AS top FROM f GROUP
 
 
 def v4_l7_history(spark, sf_dir):
-    return _log(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("seq")))).filter("back <= 5").select("project_id", "seq", "action", "back")
+    return _log(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("seq")))).select("project_id", "seq", "action", "back")
 
 
 V4 = """WITH l AS (SELECT o_custkey AS project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, CASE WHEN o_orderstatus = 'F' THEN 'undo' WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'redo' ELSE 'save' END AS action FROM orders)
-SELECT project_id, CAST(seq AS INT) AS seq, action, CAST(back AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) AS back FROM l) WHERE back <= 5"""
+SELECT project_id, CAST(seq AS INT) AS seq, action, CAST(back AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) AS back FROM l)"""
 
 
 def f6_prompts(spark, sf_dir):
