@@ -84,6 +84,7 @@ def tempo_chain(speed: Column) -> Column:
 #: fixed values: render quality to rate factor and preset
 CRF = {"low": 30, "medium": 25, "high": 20, "max": 16}
 PRESET = {"low": "ultrafast", "medium": "veryfast", "high": "medium", "max": "slow"}
+TRANSITION = {"fade": "fade", "dissolve": "dissolve", "slide_left": "slideleft", "slide_right": "slideright", "slide_up": "slideup", "slide_down": "slidedown", "wipe": "wipeleft", "zoom": "zoomin"}
 SHORT_SIDE = {"720p": 720, "1080p": 1080, "4k": 2160}
 
 

@@ -115,6 +115,15 @@ def rescue_windows(gaps: DataFrame, longest: float, most: int) -> DataFrame:
     return pieces.select("key", "window", (F.col("start_sec") + F.col("piece") * longest).alias("start_sec"), end.alias("end_sec"))
 
 
+def gap_rescued(primary: DataFrame, rescued: DataFrame, durations: DataFrame, gap: float = 18.0, longest: float = 30.0, most: int = 12, pad: float = 0.18) -> DataFrame:
+    """Primary words with those of rescue_windows that were transcribed again. rescued (key, window, seq, text,
+    start_sec, end_sec, confidence) has times from each window's start; words of another script than the primary's go."""
+    windows = rescue_windows(iv.gaps(primary, durations, gap), longest, most).select("key", "window", F.col("start_sec").alias("_at"))
+    columns = ["key", "seq", "text", "start_sec", "end_sec", "confidence"]
+    placed = rescued.join(windows, ["key", "window"]).withColumns({"start_sec": F.col("start_sec") + F.col("_at"), "end_sec": F.col("end_sec") + F.col("_at")}).select(*columns)
+    return gap_filled(primary, same_script(primary, placed).select(*columns), durations, gap, pad)
+
+
 def edited_text(words: DataFrame, edits: DataFrame) -> DataFrame:
     """Transcripts' texts after edits (key, seq, new_text): key, text."""
     rows = words.join(edits.select("key", "seq", "new_text"), ["key", "seq"], "left").select("key", "seq", F.coalesce("new_text", "text").alias("text"))

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """name -> (query, SQL or None)."""
-    from . import editor, intervals, ranking, segments, streams, timeline
+    from . import edits, editor, intervals, ranking, segments, streams, suggestions, timeline
 
-    return {**intervals.QUERIES, **segments.QUERIES, **ranking.QUERIES, **timeline.QUERIES, **streams.QUERIES, **editor.QUERIES}
+    return {**intervals.QUERIES, **segments.QUERIES, **ranking.QUERIES, **timeline.QUERIES, **streams.QUERIES, **editor.QUERIES, **edits.QUERIES, **suggestions.QUERIES}

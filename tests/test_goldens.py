@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as num
 from tessera.functions import text as tx
-from tessera.operators import edits, jobs, prompts, ranking, segments, timeline, transcripts
+from tessera.operators import edits, jobs, prompts, ranking, segments, suggestions, timeline, transcripts
 from tessera.operators import intervals as iv
 from tessera.streaming.sessions import density, replayed
 
@@ -157,6 +158,49 @@ def test_edits(spark):
     assert laid(edits.apply_round(one, op(spark, "trim_clip", clip=1, start_sec=5, end_sec=2))) == laid(one)
 
 
+def test_subtitles(spark):
+    said = [("hello", 0.2, 0.5), ("world", 0.5, 0.8), ("again.", 1.8, 2.2), ("late", 30, 31), (" ", 0, 1)]
+    words = json.dumps([{"text": t, "start_sec": a, "end_sec": b} for t, a, b in said])
+    two = clip(spark, (0.0, 2.0, 0.0, 1.0), (1.0, 40.0, 2.0, 1.0))
+    old = edits.apply_round(two, op(spark, "add_text_overlay", text="old", start_sec=1))
+    got = {r.clip_id: [(t.text, t.start_sec, t.duration_sec, t.style) for t in r.texts] for r in edits.apply_round(old, op(spark, "set_subtitles", words=words, max_words_per_caption=2, style="nope")).collect()}
+    assert got == {"c1": [("hello world", 0.2, 0.6, "karaoke"), ("again.", 1.8, 0.2, "karaoke")], "c2": [("again.", 0.8, 0.4, "karaoke"), ("late", 29.0, 1.0, "karaoke")]}
+    kept = {r.clip_id: len(r.texts or []) for r in edits.apply_round(old, op(spark, "set_subtitles", words=words, asset_id="zz", clear_existing="false")).collect()}
+    assert kept == {"c1": 1, "c2": 0}
+
+
+def test_what_operations_may_not_do(spark):
+    three = clip(spark, (0.0, 4.0, 0.0, 1.0), (4.0, 6.0, 4.0, 1.0), (0.0, 3.0, 6.0, 1.0))
+    wrong = {
+        "no such clip": [("trim_clip", {"clip": 9}), ("set_volume", {"clip": "zz"}), ("merge_clips", {"clips": "1,9"}), ("set_broll_opacity", {"clip": 1})],
+        "merge needs two clips": [("merge_clips", {"clips": "1,1"})],
+        "end before start": [("trim_clip", {"clip": 1, "start_sec": 2, "end_sec": 2}), ("add_clip", {"asset_id": "a", "start_sec": 2})],
+        "unknown direction": [("flip_clip", {"clip": 1, "direction": "up"})],
+        "unknown export setting": [("set_export_settings", {"fps": 25})],
+        "no words": [("set_subtitles", {"words": "[]"})],
+        "no ranges": [("replace_video_track_clips", {"asset_id": "a", "ranges": "nonsense"})],
+        "unsupported operation": [("dance", {})],
+    }
+    for error, ops in wrong.items():
+        for kind, params in ops:
+            assert [r.error for r in edits.errors(three, op(spark, kind, **params)).collect()] == [error], (kind, params)
+    for kind, params in [("import_media", {}), ("set_volume", {"clip": 2, "track_kind": "audio"}), ("set_volume", {"track_kind": "audio", "mute": "true"}), ("merge_clips", {"clips": "3,1"}), ("set_transition", {"clip": 1, "type": "off"})]:
+        assert edits.errors(three, op(spark, kind, **params)).count() == 0, kind
+
+
+def test_states(spark):
+    projects = edits.default_projects(spark.createDataFrame([("p", 720)], "project_id string, width int"))
+    state = json.loads(edits.states(projects, clip(spark, (0.0, 4.0, 0.0, 2.0))).first().state)
+    assert state["size"] == {"width": 720, "height": 1920} and state["duration_sec"] == 2.0
+    assert [(t["kind"], len(t["clips"])) for t in state["tracks"]] == [("video", 1), ("audio", 0)] and state["tracks"][0]["clips"][0]["clip_id"] == "c1"
+
+
+def test_undo_stack_drops_the_oldest(spark):
+    log = spark.createDataFrame([("p", i, "change") for i in range(1, 101)] + [("p", 101, "undo"), ("p", 102, "undo"), ("p", 103, "redo")], "project_id string, seq int, action string")
+    got = edits.undo_stack(log).first()
+    assert got.undo == list(range(21, 100)) and got.redo == [100]
+
+
 def test_versions(spark):
     log = [(i + 1, a) for i, a in enumerate(["undo", "save", "save", "undo", "redo", "redo", "undo", "save", "redo"])]
     got = edits.versions(spark.createDataFrame([("p", *x) for x in log], "project_id string, seq int, action string")).first()
@@ -172,6 +216,84 @@ def test_prompts(spark):
     assert [g.error for g in got[3:]] == ["invalid timecode", "empty prompt", "empty prompt", "unknown command"]
 
 
+def test_every_command(spark):
+    said = {
+        "Kindly cut 2 5s - 0:12!": ("trim_clip", {"clip": "2", "start_sec": "5.0", "end_sec": "12.0"}),
+        "join clips 1, 2 3": ("merge_clips", {"clips": "1,2,3"}),
+        "add caption 'so it goes' at 1 for 2 secs": ("add_text_overlay", {"text": "so it goes", "start_sec": "1.0", "duration_sec": "2.0"}),
+        "add title Big day at 0:03": ("add_text_overlay", {"text": "Big day", "start_sec": "3.0", "duration_sec": "2.0"}),
+        "could you set aspect ratio 4:5": ("set_aspect_ratio", {"ratio": "4:5"}),
+        "transition clip two Slide_Left 0.5s": ("set_transition", {"clip": "2", "type": "slide_left", "duration_sec": "0.5"}),
+        "fade in second clip 1s": ("set_transition", {"clip": "2", "type": "fade", "duration_sec": "1.0", "mode": "in"}),
+        "speed of clip 1 2x": ("set_speed", {"clip": "1", "speed": "2.0"}),
+        "rotate clip 1 90degrees": ("rotate_clip", {"clip": "1", "degrees": "90"}),
+        "flip clip 1 vertically": ("flip_clip", {"clip": "1", "direction": "vertical"}),
+        "crop clip 1 0 10 200 300": ("crop_resize", {"clip": "1", "x": "0", "y": "10", "width": "200", "height": "300"}),
+        "set exposure clip 1 -0.5": ("set_adjustments", {"clip": "1", "exposure": "-0.5"}),
+        "set preset clip 1 WARM": ("set_adjustments", {"clip": "1", "preset": "warm"}),
+        "set volume clip 1 .5": None,
+        "set volume clip 1 0.5": ("set_volume", {"clip": "1", "volume": "0.5"}),
+        "unmute clip 3": ("set_volume", {"clip": "3", "mute": "false"}),
+        "audio fade in clip 1 2s": ("set_volume", {"clip": "1", "track_kind": "audio", "fade_in_sec": "2.0"}),
+        "set track audio volume to 0.7": ("set_volume", {"track_kind": "audio", "volume": "0.7"}),
+        "mute video track": ("set_volume", {"track_kind": "video", "mute": "true"}),
+        "unsolo track audio": ("set_volume", {"track_kind": "audio", "solo": "false"}),
+        "remove clip abc please": ("delete_clip", {"clip": "abc"}),
+        "shift clip 1 at 9": ("move_clip", {"clip": "1", "timeline_start_sec": "9.0", "ripple": "false"}),
+        "ripple edit audio": ("ripple_edit", {"track_kind": "audio"}),
+        "render 4K 60 fps max quality webm": ("set_export_settings", {"resolution": "4k", "fps": "60", "quality": "max", "format": "webm"}),
+        "add video asset a9 from 1 to 2": ("add_clip", {"asset_id": "a9", "start_sec": "1.0", "end_sec": "2.0", "timeline_start_sec": "0.0"}),
+        "add audio asset a9 from 1 to 2 at 3": ("add_audio_track", {"asset_id": "a9", "start_sec": "1.0", "end_sec": "2.0", "timeline_start_sec": "3.0"}),
+    }
+    got = {r.prompt: r for r in prompts.parsed(spark.createDataFrame([(s,) for s in said], "prompt string")).collect()}
+    for s, want in said.items():
+        assert (want is None and got[s].error == "unknown command" and len(got[s].suggestions) == 12) or (got[s].op_type, got[s].params) == want, s
+    tips = prompts.parsed(spark.createDataFrame([(s,) for s in prompts.SUGGESTIONS + [t.removeprefix("Try: ") for t in prompts.FIRST_SUGGESTIONS]], "prompt string"))
+    assert tips.filter("op_type is null").count() == 0
+
+
+def test_suggestions(spark):
+    w = words(spark, [(i * 0.4, i * 0.4 + 0.3) for i in range(12)], "rocket launch over the sea. apples grow in green orchards. rocket engines".split() + ["x"])
+    assets = spark.createDataFrame([("t", "a1", "rocket_launch.mp4", 30.0, 2, False), ("t", "a2", "apple orchards.mp4", 1.0, 1, False), ("t", "a3", "office.mp4", None, 3, True)], "project_id string, asset_id string, filename string, duration_sec double, created_at int, own boolean")
+    slots = suggestions.slots_of(w)
+    best = {r.slot_id: r.asset_id for r in suggestions.candidates_of(slots, assets, None).filter("rank = 1").collect()}
+    assert best["t/1"] == "a1" and best["t/2"] == "a2"
+    found = suggestions.candidates_of(slots, assets, lambda s: s.select("slot_id", F.lit("https://x.org/rocket").alias("url"), F.lit(0).alias("place"), F.lit(1).alias("total"), F.lit(9.0).alias("duration_sec"), F.lit(1080).alias("width"), F.lit(1920).alias("height")))
+    assert {r.url for r in found.collect()} == {None, "https://x.org/rocket"} and found.groupBy("slot_id").count().filter("count > 5").count() == 0
+    chosen = suggestions.chosen_of(found, slots, 2.0, fallback=True)
+    assert chosen.count() == slots.count() and suggestions.chosen_of(found, slots, 2.0).filter("action = 'auto_choose'").count() == 0
+    c = suggestions.counters(chosen).first()
+    assert c.auto_chosen_slots + c.skipped_slots == slots.count()
+    with pytest.raises(Exception, match="locked"):
+        suggestions.unlocked(spark.createDataFrame([(1, True)], "slot_id int, locked boolean")).collect()
+    clips = spark.createDataFrame([("a1",), ("zz",)], "asset_id string")
+    assert suggestions.with_assets(clips, assets, must=False).count() == 1
+    with pytest.raises(Exception, match="no asset zz"):
+        suggestions.with_assets(clips, assets, must=True).collect()
+
+
+def test_promising_pairs_hold_the_best(spark):
+    """The ranking from a few lists is that of all pairs."""
+    r = random.Random(12)
+    terms = ["red", "blue", "ring", "bolt", "old", "new"]
+    assets = [(k % 3, k, "_".join(r.sample(terms, r.randint(1, 4))) + ".mp4", r.choice([None, 0.0, r.uniform(0.2, 60)]), r.randint(0, 40)) for k in range(150)]
+    slots = [(r.randint(0, 3), s, r.sample(terms, r.randint(0, 6)), r.choice([None, r.uniform(0.1, 50)]), r.choice([None, r.randint(0, 149)])) for s in range(80)]
+    a = spark.createDataFrame(assets, "project_id int, asset_id int, filename string, duration_sec double, created_at int")
+    s = spark.createDataFrame(slots, "project_id int, slot_id int, concepts array<string>, slot_sec double, own_asset int")
+    got = {(x.slot_id, x["rank"]): (x.asset_id, x.score) for x in ranking.local_scores(s, a, 4).collect()}
+    want = {}
+    for project, slot, concepts, sec, own in slots:
+        mine = sorted((x for x in assets if x[0] == project), key=lambda x: (-x[4], -x[1]))
+        rows = []
+        for place, (_, k, name, long, _) in enumerate(mine):
+            hit = sum(c in name[:-4].split("_") for c in concepts)
+            score = 0.2 + (min(hit / len(concepts) * 0.45, 0.45) if concepts else 0) + (0.06 if k == own else 0.18) + (0.12 if long and long >= max(sec or 1.0, 1.0) else 0.05) + (1 - place / len(mine)) * 0.15
+            rows.append((-min(score, 1.0), place, k))
+        rows = sorted((-float(f"{-x:.3f}") if abs(x * 1000 % 1 - 0.5) > 1e-6 else x, p, k) for x, p, k in rows)
+        want |= {(slot, i + 1): k for i, (_, _, k) in enumerate(rows[:4])}
+    assert {k: v[0] for k, v in got.items()} == want
+
+
 def test_ranking_edges(spark):
     c = spark.createDataFrame([(1, 1, 0.5, 0.5), (1, 2, 0.9, 0.2), (2, 3, 0.9, 0.9)], "slot_id int, candidate_id int, score double, confidence double")
     assert {(r.slot_id, r.candidate_id, r.confident) for r in ranking.picked(c).collect()} == {(1, 2, False), (2, 3, True)}
