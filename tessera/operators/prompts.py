@@ -16,8 +16,7 @@ from tessera.functions.text import timecode
 
 #: what a slot of each kind takes. Other kinds are the values themselves: a|b as lower-cased text, a/b as true for a
 KINDS = {
-    "ref": r"\S+", "time": r"\S+", "ratio": r"\d+:\d+", "int": r"\d+", "num": r"\d+(?:\.\d+)?", "signed": r"-?\d+(?:\.\d+)?", "times": r"\d+(?:\.\d+)?(?=x?$)", "list": ".+", "words": ".+?",
-    "double": '(?<=")[^\n]+(?=")', "single": "(?<=')[^\n]+(?=')",
+    "ref": r"\S+", "time": r"\S+", "ratio": r"\d+:\d+", "int": r"\d+", "num": r"\d+(?:\.\d+)?", "signed": r"-?\d+(?:\.\d+)?", "times": r"\d+(?:\.\d+)?(?=x?$)", "list": ".+", "words": ".+?", "quoted": ".+",
 }
 #: fixed values: the commands, by what they are about: phrase, confidence, operation and what else it sets
 PHRASES = [
