@@ -85,7 +85,7 @@ class Scan:
     that the model sees, at most, those of the least hashes; least: calibrated probability, and resembles: similarity to
     a template (see _similarity) that confirm a family."""
 
-    features: int = 1 << 16
+    features: int = 1 << 15
     variants: int = 24
     sample: int = 1_000
     least: float = 0.5
