@@ -121,17 +121,17 @@ def needed_words(templates: list[list[str]], resembles: float) -> list[str]:
 
 
 def _branches(words: list[str]) -> str:
-    """A pattern of what begins with one of the sorted words, by common beginnings."""
+    """A pattern of the sorted words, by common beginnings."""
     out = []
     for first, group in itertools.groupby(words, key=lambda w: w[:1]):
         rest = [w[1:] for w in group]
-        out.append(re.escape(first) + ("" if "" in rest else _branches(rest)))
+        out.append(re.escape(first) + (_branches(rest) if any(rest) else ""))
     return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
 
 
 def needed_pattern(resembles: float) -> str:
     """Matches what has one of the needed words, and perhaps more."""
-    return "(?i)(?<![A-Za-z0-9])" + _branches(needed_words([WORD.findall(t.lower()) for texts in TEMPLATES.values() for t in texts], resembles))
+    return "(?i)(?<![A-Za-z0-9])" + _branches(needed_words([WORD.findall(t.lower()) for texts in TEMPLATES.values() for t in texts], resembles)) + "(?![A-Za-z0-9])"
 
 
 def _grams(words: Column) -> Column:
