@@ -15,7 +15,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +81,11 @@ STOP = frozenset("a an and any are as be but for in is it not of on or that the
 UNKNOWN = "unknown"
 @dataclass(frozen=True)
 class Scan:
-    """features: hashed n-grams; variants: of each notice, with words left out; sample: other paragraphs of the corpus
+    """features: n-grams that the model knows, at most: the most frequent of those that two training rows have; variants: of each notice, with words left out; sample: other paragraphs of the corpus
     that the model sees, at most, those of the least hashes; least: calibrated probability, and resembles: similarity to
     a template (see _similarity) that confirm a family."""
 
-    features: int = 1 << 15
+    features: int = 1 << 14
     variants: int = 24
     sample: int = 1_000
     least: float = 0.5
@@ -166,23 +166,24 @@ def _similarity(template: Column, pairs: Column) -> Column:
 
 
 def train(spark: SparkSession, paragraphs: DataFrame, scan: Scan = Scan()):
-    """(model, hasher, names, temperature). paragraphs (words) are others of the corpus, at most scan.sample. A first
+    """(model, vectors, names, temperature). paragraphs (words) are others of the corpus, at most scan.sample. A first
     fit leaves out the last notice of each family and a quarter of the others; on what it leaves out the temperature
     that divides the margins is chosen by log-likelihood. The model is then fitted on all."""
     others = paragraphs.select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0).alias("variant"), F.pmod(F.xxhash64("words"), F.lit(4)).cast("int").alias("notice"))
     names = [UNKNOWN, *sorted(TEMPLATES)]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
     last = F.array_position(F.array(*[F.lit(f"{f} {len(t) - 1}") for f, t in TEMPLATES.items() if len(t) > 1], F.lit(f"{UNKNOWN} 3")), F.concat_ws(" ", "family", "notice")) > 0
-    hasher = HashingTF(numFeatures=scan.features, binary=True, inputCol="grams", outputCol="features")
     # the table is small and bounded, so it is sorted: the same rows give the same model
     rows = _notices(spark, scan).union(others).filter(F.size("words") > 0).select(label.alias("label"), "variant", last.alias("held"), _grams(F.col("words")).alias("grams"))
-    rows = store.written(hasher.transform(rows).coalesce(1).sortWithinPartitions("label", "variant", F.xxhash64("grams")), "notices")
+    rows = store.written(rows.coalesce(1).sortWithinPartitions("label", "variant", F.xxhash64("grams")), "notices")
+    vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=scan.features, minDF=2, binary=True).fit(rows)
+    rows = store.written(vectors.transform(rows), "notice-vectors")
     fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, aggregationDepth=2)
     grid = [0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0]
     margins = fit.fit(rows.filter("not held")).transform(rows.filter("held")).select("label", vector_to_array("rawPrediction").alias("m"))
     losses = margins.select(*[F.avg(-F.log(F.greatest(F.get(_softmax(F.col("m"), t), F.col("label").cast("int")), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(grid)]).first()
     best = min(range(len(grid)), key=lambda i: (round(losses[i], 6), grid[i])) if losses and losses[0] is not None else grid.index(1.0)
-    return fit.fit(rows), hasher, names, grid[best]
+    return fit.fit(rows), vectors, names, grid[best]
 
 
 def _softmax(margins: Column, temperature: float) -> Column:
@@ -215,10 +216,10 @@ def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drawn = hashed.select("h").distinct().orderBy("h").limit(2 * scan.sample)
     some = store.written(hashed.join(F.broadcast(drawn), "h").dropDuplicates(["h"]).select("h", "words", _pairs(F.col("words")).alias("pairs")), "other-paragraphs").crossJoin(F.broadcast(every))
     others = some.filter(alike(F.col("pairs")) < scan.resembles / 2).orderBy("h").limit(scan.sample).select("words")
-    model, hasher, names, temperature = train(spark, others, scan)
+    model, vectors, names, temperature = train(spark, others, scan)
 
     # a probability for each name; the model's own Column form keeps it in the JVM
-    judged = model.transform(hasher.transform(lines.withColumn("grams", _grams(F.col("words"))))).withColumn("p", _softmax(vector_to_array("rawPrediction"), temperature))
+    judged = model.transform(vectors.transform(lines.withColumn("grams", _grams(F.col("words"))))).withColumn("p", _softmax(vector_to_array("rawPrediction"), temperature))
     judged = judged.withColumn("confidence", F.array_max("p")).withColumn("guess", F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.col("confidence")).cast("int")))
     judged = judged.withColumn("pairs", _pairs(F.col("words"))).join(F.broadcast(listed.withColumnRenamed("family", "guess")), "guess", "left").withColumn("similarity", F.coalesce(alike(F.col("pairs")), F.lit(0.0)))
     sure = (F.col("guess") != UNKNOWN) & (F.col("confidence") >= scan.least) & (F.col("similarity") >= scan.resembles)
