@@ -247,7 +247,7 @@ def r2_reranked_by_vectors(spark, sf_dir):
 def _r2(vectors: bool) -> str:
     """The re-ranking rule step by step; vectors say what compares meanings."""
     overlap = lambda a, b: f"CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len({a}) END"
-    meaning = "coalesce(greatest(0.0, least(1.0, (list_dot_product(sv.embedding::DOUBLE[], dv.embedding::DOUBLE[]) + 1) / 2)), 0.0)" if vectors else overlap("st", "ct")
+    meaning = "CASE WHEN sv.embedding IS NULL OR dv.embedding IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (list_dot_product(sv.embedding::DOUBLE[], dv.embedding::DOUBLE[]) + 1) / 2)) END" if vectors else overlap("st", "ct")
     joins = " LEFT JOIN embeddings sv ON sv.vec_id = slot_id LEFT JOIN embeddings dv ON dv.vec_id = candidate_id" if vectors else ""
     sure = "0.45 * f + 0.25 * sem + 0.20 * ent + 0.10 * meta"
     sure = f"greatest(0.0, least(1.0, {sure}))" if vectors else f"greatest(0.0, least(1.0, greatest(0.0, least(1.0, {sure})) * 0.92))"
