@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, interpolation, licenses, media, mixing, neardup, pii, store, toxicity, urlfilter, warc
+from . import audit, decontaminate, interpolation, licenses, media, mixing, neardup, periodic, pii, store, topk, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,39 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each part (lang; null: empty), order of the five filters and step. Repeated ids: a row fails E if some
+    row with a smaller id has its text; rows without an id never do. No documents, no rows."""
+    docs = _read(spark, sf_dir, "documents")
+    counts = store.written(audit.failure_counts(docs, audit.text_failures(F.col("text")), labels=_read(spark, sf_dir, "labels")), "failure-counts")
+    out = audit.orders(audit.lattice_edges(counts, "ABCDE"), "ABCDE")
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", F.col("removed_quality").alias("good_lost"), F.col("removed_toxic").alias("toxic_lost"), "shapley")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of each vector whose id is divisible by 50. Rows that repeat an id are queries and candidates of
+    their own; a row without an id is a candidate only, after the others of its score."""
+    vectors = store.written(topk.quantised(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "quantised")
+    return topk.nearest(vectors, vectors.filter("id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document after the planting that its id decides; a row without an id stays as it is."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    found = periodic.periodic_runs(docs, "text", seed_col="h", change=periodic.planted)
+    longest = F.element_at(F.array_sort("found.runs", lambda a, b: F.when(a.length != b.length, F.signum(b.length - a.length)).when(a.start != b.start, F.signum(a.start - b.start)).otherwise(F.signum(a.period - b.period)).cast("int")), 1)
+    listed = F.array_join(F.transform("found.runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    rows = found.select("doc_id", "found", F.when(F.size("found.runs") > 0, longest).alias("top"), F.when(F.size("found.runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("listed"))
+    return rows.select(
+        "doc_id",
+        F.size("found.runs").cast("long").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -138,9 +171,48 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), first AS (SELECT text, min(doc_id) AS m FROM t GROUP BY text),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN t.doc_id > m THEN 'E' ELSE '' END AS f
+  FROM t JOIN first USING (text) LEFT JOIN marks ON marks.doc_id = t.doc_id
+), g AS (SELECT part, f, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+l(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+p AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS o FROM l a JOIN l b ON b.c <> a.c JOIN l c ON c.c NOT IN (a.c, b.c) JOIN l d ON d.c NOT IN (a.c, b.c, c.c) JOIN l e ON e.c NOT IN (a.c, b.c, c.c, d.c)
+), s AS (SELECT o, unnest(range(1, 6)) AS step FROM p), e AS (SELECT o, step, substr(o, 1, step - 1) AS before, substr(o, step, 1) AS c FROM s),
+x AS (
+  SELECT part, o, step, c, n, f, good, toxic, before <> '' AND translate(f, before, '') <> f AS gone, contains(f, c) AS fails FROM g, e
+), y AS (
+  SELECT part, o, step, c, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = c THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM y
+"""
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.r <> q.r AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op4_license_scan, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op9_lm_scoring, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_media, op4_license_scan, op5_toxicity, op6_decontamination, op7_url_filter, op8_pii, op9_lm_scoring, op10_near_duplicates, op11_filter_audit, op12_topk, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+    return {"op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_near_duplicates": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_topk": OP12_SQL}
