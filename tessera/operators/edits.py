@@ -180,7 +180,9 @@ def apply_round(clips: DataFrame, ops: DataFrame) -> DataFrame:
     )
     laid = F.round(F.coalesce(F.sum(clip_seconds()).over(track.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 3)
     rows = rows.withColumn("timeline_start_sec", F.when(F.coalesce(ripple, F.lit(False)), laid).otherwise(F.col("timeline_start_sec")))
-    return _captioned(rows.select(*CLIP).unionByName(_added(clips, ops)), ops)
+    # new clips are dealt by their own ids, so that no later join relies on both sides of the union being dealt alike, which
+    # adaptive execution may change on one side only
+    return _captioned(rows.select(*CLIP), ops).unionByName(_added(clips, ops).repartition("clip_id"))
 
 
 def _captioned(clips: DataFrame, ops: DataFrame) -> DataFrame:
@@ -209,11 +211,11 @@ def _captioned(clips: DataFrame, ops: DataFrame) -> DataFrame:
 
 def default_projects(projects: DataFrame) -> DataFrame:
     """What a new project (project_id, and width, height and fps if given) starts with: a size, export settings, and a
-    video and an audio track at full volume; version 0 and no clips."""
+    video, an audio and an overlay track at full volume; version 0 and no clips."""
     given = {k: F.coalesce(F.col(k), F.lit(v)).cast("int") if k in projects.columns else F.lit(v) for k, v in (("width", 1080), ("height", 1920), ("fps", 30))}
     track = lambda k: F.struct(F.lit(k).alias("track"), F.lit(1.0).alias("volume"), F.lit(False).alias("mute"), F.lit(False).alias("solo"))
     export = F.struct(F.lit("mp4").alias("format"), F.lit("1080p").alias("resolution"), F.lit(30).alias("fps"), F.lit("high").alias("quality"), F.lit(None).cast("string").alias("bitrate"))
-    return projects.select("project_id", *[c.alias(k) for k, c in given.items()], export.alias("export"), F.array(track("video"), track("audio")).alias("tracks"))
+    return projects.select("project_id", *[c.alias(k) for k, c in given.items()], export.alias("export"), F.array(track("video"), track("audio"), track("overlay")).alias("tracks"))
 
 
 def apply_settings(projects: DataFrame, ops: DataFrame) -> DataFrame:

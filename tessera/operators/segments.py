@@ -1,23 +1,27 @@
 """Cutting ordered words into chunks, sentences, paragraphs and captions, and folds that depend on what was kept.
 
-Where a rule only looks at neighbours and counts, it is windows over a key; where it depends on the chunk built so
-far, it is a fold (aggregate) over a key's words gathered in order: a key is one transcript.
+Where a rule only looks at neighbours and counts, it is scans; where it depends on the chunk built so far, words know
+where a chunk that began with them would end, and a walk along these steps tells where chunks begin. A key of any length
+is worked on in many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import SLICE, is_spread, kept_step, lag, scanned, so_far, spread, to_come, walked, whole, with_following
+
 
 def _split(words: DataFrame, gap: float, size: int, ends: Column) -> DataFrame:
-    """Adds chunk: a number that changes after a gap, after a row where ends holds, and after size rows."""
-    order = Window.partitionBy("key").orderBy("seq")
-    new = F.coalesce((F.col("start_sec") - F.lag("end_sec").over(order) > gap) | F.lag(ends).over(order), F.lit(True))
-    rows = words.withColumn("_part", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    place = F.row_number().over(Window.partitionBy("key", "_part").orderBy("seq"))
-    return rows.withColumn("_sub", F.floor((place - 1) / size).cast("int"))
+    """Adds the numbers of a chunk, which change after a gap, after a row where ends holds, and after size rows."""
+    rows = scanned(words, ["seq"], {"_ago": lag(F.struct("end_sec", ends.alias("ends"))), "_at": so_far("sum", F.lit(1))})
+    new = F.coalesce((F.col("start_sec") - F.col("_ago.v.end_sec") > gap) | F.col("_ago.v.ends"), F.lit(True))
+    rows = scanned(kept_step(rows.withColumn("_new", new).drop("_ago")), ["seq"], {"_part": so_far("max", F.when(F.col("_new"), F.col("_at")))})
+    return rows.withColumn("_sub", F.floor((F.col("_at") - F.col("_part")) / size).cast("int"))
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -29,12 +33,14 @@ def _gathered(rows: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), " ").alias("text"),
         F.min_by("start_sec", "seq").alias("start_sec"),
         F.max_by("end_sec", "seq").alias("end_sec"),
+        *[F.min(c).alias(c) for c in ([SLICE] if is_spread(rows) else [])],
     )
     return parts.drop("_part", "_sub")
 
 
 def _numbered(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("chunk", F.row_number().over(Window.partitionBy("key").orderBy("first_seq")))
+    rows = scanned(kept_step(chunks), ["first_seq"], {"chunk": so_far("sum", F.lit(1))})
+    return rows.withColumn("chunk", F.col("chunk").cast("int"))
 
 
 ENDS = r"[.!?]$"
@@ -54,91 +60,112 @@ def sentences(words: DataFrame, gap: float = 1.1, size: int = 12) -> DataFrame:
 
 def paragraphs(blocks: DataFrame, gap: float = 1.5, size: int = 3) -> DataFrame:
     """Paragraph blocks: up to size sentences, split after gaps."""
-    rows = blocks.select("key", F.col("chunk").alias("seq"), "text", "start_sec", "end_sec")
+    rows = blocks.select("key", F.col("chunk").alias("seq"), "text", "start_sec", "end_sec", *[c for c in blocks.columns if c == SLICE])
     return _numbered(_gathered(_split(rows, gap, size, F.lit(False))))
 
 
-def captions(words: DataFrame, max_words: int | str = 3, max_chars: int | str = 42, max_gap: float | str = 0.55, least: float = 0.12) -> DataFrame:
+def _numbered_rows(words: DataFrame, order: list[str]) -> DataFrame:
+    """words in slices along order, and _at, their places in the key from 0."""
+    rows = scanned(spread(words, *order), order, {"_at": so_far("sum", F.lit(1))})
+    return kept_step(rows.withColumn("_at", F.col("_at") - 1))
+
+
+def captions(words: DataFrame, max_words: int | str = 3, max_chars: int | str = 42, max_gap: float | str = 0.55, least: float = 0.12, most: int = 8) -> DataFrame:
     """Captions of a clip's words (key, seq, text, start_sec, end_sec): key, caption (from 1), text, start_sec and
     duration_sec. A caption ends before a gap, at max_words, where a word would make it longer than max_chars, after
     a sentence end from its second word on, and after a clause mark once it is one short of max_words (two at least).
-    A limit can be the name of a column that is the same for all words of a key."""
-    item = F.struct("start_sec", "seq", "end_sec", F.trim("text").alias("text"))
-    named = [F.first(x).alias(x) for x in (max_words, max_chars, max_gap) if isinstance(x, str)]
-    rows = words.filter(F.trim("text") != "").groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("items"), *named)
+    A limit can be the name of a column that is the same for all words of a key; max_words is then most at most.
+
+    Where a caption that began at a word would end depends on the few words behind it only. So every word knows where
+    the next caption would begin, and a walk from the first word on tells at which words captions do begin: key by key in
+    many tasks, as the walk is known wherever a gap cuts."""
+    far = most if isinstance(max_words, str) else max_words
+    limits = [x for x in (max_words, max_chars, max_gap) if isinstance(x, str)]
     max_words, max_chars, max_gap = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (max_words, max_chars, max_gap))
-    kind = "array<struct<text:string,start:double,end:double>>"
-    empty = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("n"), F.lit("").alias("text"), F.lit(0.0).alias("start"), F.lit(None).cast("double").alias("end"))
+    said = words.withColumn("text", F.trim("text")).filter(F.col("text") != "").select("key", "seq", "text", "start_sec", "end_sec", *limits)
+    rows = _numbered_rows(said, ["start_sec", "seq"])
+    mark = F.when(F.col("text").rlike(ENDS), 2).when(F.col("text").rlike("[,;:—–]$"), 1).otherwise(0)
+    rows = rows.withColumn("_w", F.struct(F.length("text").alias("n"), "start_sec", "end_sec", mark.alias("mark")))
+    rows = with_following(rows, {"_next": "_w"}, far)
 
     def step(s: Column, x: Column) -> Column:
-        late = x.start_sec - s.end > max_gap
-        long = F.length(s.text) + 1 + F.length(x.text) > max_chars
-        sentence = (s.n >= 2) & s.text.rlike(ENDS)
-        clause = (s.n >= F.greatest(F.lit(2), max_words - 1)) & s.text.rlike("[,;:—–]$")
-        cut = (s.n > 0) & (F.coalesce(late, F.lit(False)) | (s.n >= max_words) | long | sentence | clause)
-        closed = F.array(F.struct(s.text.alias("text"), s.start.alias("start"), s.end.alias("end")))
-        fresh = cut | (s.n == 0)
-        return F.struct(
-            F.when(cut, F.concat(s.done, closed)).otherwise(s.done).alias("done"),
-            F.when(fresh, 1).otherwise(s.n + 1).alias("n"),
-            F.when(fresh, x.text).otherwise(F.concat(s.text, F.lit(" "), x.text)).alias("text"),
-            F.when(fresh, x.start_sec).otherwise(s.start).alias("start"),
-            x.end_sec.alias("end"),
-        )
-
-    made = F.aggregate("items", empty, step, lambda s: F.concat(s.done, F.array(F.struct(s.text.alias("text"), s.start.alias("start"), s.end.alias("end")))))
-    each = rows.select("key", F.posexplode(made).alias("i", "c"))
-    long = F.greatest(F.round(F.greatest(F.col("c.end"), F.col("c.start") + least) - F.col("c.start"), 3), F.lit(least))
-    return each.select("key", (F.col("i") + 1).alias("caption"), "c.text", F.round("c.start", 3).alias("start_sec"), long.alias("duration_sec"))
+        """s: words and characters so far, the last word's end and mark, and whether the caption has ended."""
+        cut = (x.start_sec - s.end > max_gap) | (s.n >= max_words) | (s.chars + 1 + x.n > max_chars) | ((s.n >= 2) & (s.mark == 2)) | ((s.n >= F.greatest(F.lit(2), max_words - 1)) & (s.mark == 1))
+        ended = s.ended | F.coalesce(cut, F.lit(False))
+        grown = lambda a, b: F.when(ended, a).otherwise(b)
+        return F.struct(grown(s.n, s.n + 1).alias("n"), grown(s.chars, s.chars + 1 + x.n).alias("chars"), grown(s.end, x.end_sec).alias("end"), grown(s.mark, x.mark).alias("mark"), ended.alias("ended"))
+
+    one = F.struct(F.lit(1).alias("n"), F.col("_w.n").alias("chars"), F.col("end_sec").alias("end"), F.col("_w.mark").alias("mark"), F.lit(False).alias("ended"))
+    rows = kept_step(rows.withColumn("_to", F.col("_at") + F.aggregate("_next", one, step, lambda s: s.n)).drop("_next", "_w"))
+    begun = kept_step(walked(rows))
+    each = scanned(begun, ["_at"], {"caption": so_far("sum", F.when(F.col("visited"), 1).otherwise(0))})
+    made = each.groupBy("key", "caption").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda x: x.text), " ").alias("text"), F.min_by("start_sec", "_at").alias("start"), F.max_by("end_sec", "_at").alias("end")
+    )
+    long = F.greatest(F.round(F.greatest(F.col("end"), F.col("start") + least) - F.col("start"), 3), F.lit(least))
+    return made.select("key", F.col("caption").cast("int").alias("caption"), "text", F.round("start", 3).alias("start_sec"), long.alias("duration_sec"))
 
 
 def without_doubles(words: DataFrame, near: float = 0.05) -> DataFrame:
-    """Words without those that repeat the last kept one: same text, start and end at most near apart. A fold: a word
-    is compared with the last kept word, not with the last word."""
-    item = F.struct("start_sec", "end_sec", F.lower(F.trim("text")).alias("t"), "seq")
-    rows = words.groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    first = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit("").alias("t"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce((s.t == x.t) & (F.abs(x.start_sec - s.a) <= near) & (F.abs(x.end_sec - s.b) <= near), F.lit(False))
-        new = F.struct(F.concat(s.kept, F.array(x.seq.cast("bigint"))).alias("kept"), x.t.alias("t"), x.start_sec.alias("a"), x.end_sec.alias("b"))
-        return F.when(same, s).otherwise(new)
-
-    kept = rows.select("key", F.explode(F.aggregate("items", first, step, lambda s: s.kept)).alias("seq"))
-    return words.join(kept, ["key", "seq"], "left_semi")
+    """Words without those that repeat the last kept one: same text, start and end at most near apart.
+
+    A word is compared with the last kept word, not with the last word. But one whose text differs from the word before, or
+    that starts more than near after it, is kept whatever came before; so words between two such are a fold of their own,
+    and of these only those of several words are looked at, one after the other as they stream by."""
+    t = F.lower(F.trim("text"))
+    order = ["start_sec", "end_sec", "_t", "seq"]
+    rows = spread(words.withColumn("_t", t), *order)
+    rows = scanned(rows, order, {"_ago": lag(F.struct("start_sec", "_t")), "_n": so_far("sum", F.lit(1))})
+    apart = F.coalesce((F.col("_ago.v._t") != F.col("_t")) | (F.col("start_sec") - F.col("_ago.v.start_sec") > near), F.lit(True))
+    rows = kept_step(rows.withColumn("_apart", apart).drop("_ago"))
+    rows = kept_step(scanned(rows, order, {"_head": so_far("max", F.when(F.col("_apart"), F.col("_n")))}))
+    close = rows.filter("not _apart").select("key", "_head").distinct()
+    some = rows.join(close, ["key", "_head"], "left_semi").select("key", "_head", "_n", "start_sec", "end_sec").repartition("key", "_head").sortWithinPartitions("key", "_head", "_n")
+
+    def gone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, a, b = None, 0.0, 0.0
+        for frame in frames:
+            out = []
+            for key, head, n, start, end in frame.itertuples(index=False):
+                if (key, head) == part and abs(start - a) <= near and abs(end - b) <= near:
+                    out.append((key, n))
+                else:
+                    part, a, b = (key, head), start, end
+            yield pd.DataFrame(out, columns=["key", "_n"])
+
+    key_type = words.schema["key"].dataType.simpleString()
+    doubles = some.mapInPandas(gone, f"key {key_type}, _n bigint")
+    return rows.join(doubles, ["key", "_n"], "left_anti").select(*words.columns)
 
 
 def without_loops(words: DataFrame, longest: int = 4, repeats: int = 3, least_words: int = 6) -> DataFrame:
     """Words (key, seq, ...) without phrase loops: where a phrase of up to longest words comes repeats times or more in
     a row, its first copy stays. Shorter phrases are tried first at each place. Transcripts of fewer than least_words
-    stay as they are. One key's words, a transcript, are one group."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        said = frame["text"].str.lower().str.strip(".,!?").tolist()
-        n = len(said)
-        if n < least_words:
-            return frame
-        keep, at = [], 0
-        while at < n:
-            for k in range(1, min(longest, (n - at) // 2) + 1):
-                end = at + k
-                while end + k <= n and said[end : end + k] == said[at : at + k]:
-                    end += k
-                if end - at >= repeats * k:
-                    keep.extend(range(at, at + k))
-                    at = end
-                    break
-            else:
-                keep.append(at)
-                at += 1
-        return frame.iloc[keep]
-
-    return words.groupBy("key").applyInPandas(run, words.schema)
+    stay as they are.
+
+    For each length k, words that equal the word k later come in runs, and the rest of its run tells how often a phrase
+    that begins at a word repeats. So every word has one successor, behind its loop or next to it, and those that the
+    rule looks at are those that a walk from the first word on visits."""
+    rows = words.drop(SLICE).withColumn("_said", F.regexp_replace(F.lower("text"), r"^[.,!?]+|[.,!?]+$", ""))
+    rows = scanned(_numbered_rows(rows, ["seq"]), ["_at"], {"_n": whole("sum", F.lit(1))})
+    rows = kept_step(with_following(rows, {"_next": "_said"}, longest))
+    same = lambda k: F.coalesce(F.get("_next", F.lit(k - 1)) == F.col("_said"), F.lit(False))
+    ends = {f"_end{k}": to_come("min", F.when(~same(k), F.col("_at"))) for k in range(1, longest + 1)}
+    rows = scanned(rows, ["_at"], ends)
+    length = F.lit(1)
+    to = F.col("_at") + 1
+    for k in range(longest, 0, -1):
+        copies = 1 + F.floor((F.col(f"_end{k}") - F.col("_at")) / k)
+        loop = (copies >= repeats) & (F.col("_n") >= least_words)
+        length, to = F.when(loop, k).otherwise(length), F.when(loop, F.col("_at") + copies * k).otherwise(to)
+    rows = rows.withColumns({"_long": length, "_to": to}).drop("_next", "_n", "_said", *ends)
+    seen = kept_step(walked(kept_step(rows)))
+    # a word stays if the first copy that began last reaches it
+    kept = scanned(seen, ["_at"], {"_reach": so_far("max", F.when(F.col("visited"), F.col("_at") + F.col("_long") - 1))})
+    return kept.filter("_reach >= _at").select(*[c for c in words.columns if c != SLICE])
 
 
 def deleted_regions(words: DataFrame) -> DataFrame:
     """Runs of deleted words as regions for display: key, start_sec, end_sec. words have deleted."""
-    order = Window.partitionBy("key").orderBy("seq")
-    kept_so_far = F.sum((~F.col("deleted")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return words.withColumn("_run", kept_so_far).filter("deleted").groupBy("key", "_run").agg(F.min_by("start_sec", "seq").alias("start_sec"), F.max_by("end_sec", "seq").alias("end_sec")).drop("_run")
+    rows = scanned(words, ["seq"], {"_run": so_far("sum", (~F.col("deleted")).cast("int"))})
+    return rows.filter("deleted").groupBy("key", "_run").agg(F.min_by("start_sec", "seq").alias("start_sec"), F.max_by("end_sec", "seq").alias("end_sec")).drop("_run")

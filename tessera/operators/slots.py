@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.intervals import met
+
 
 def slot_texts(slots: DataFrame, words: DataFrame) -> DataFrame:
     """A slot's text: its anchor words in anchor order, else the words that overlap it, else its concept. Slots have
@@ -12,8 +14,9 @@ def slot_texts(slots: DataFrame, words: DataFrame) -> DataFrame:
     joined = lambda c: F.nullif(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x.text), " "), F.lit(""))
     anchored = slots.select("slot_id", "key", F.posexplode("anchors").alias("at", "word_id")).join(words.select("key", "word_id", "text"), ["key", "word_id"])
     anchored = anchored.groupBy("slot_id").agg(joined(F.struct("at", "text")).alias("anchored"))
-    w = words.select("key", "seq", "text", F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
-    inside = slots.join(w, "key").filter("s < end_sec and e > start_sec").groupBy("slot_id").agg(joined(F.struct("seq", "text")).alias("inside"))
+    spoken = words.select("key", "seq", "text", F.col("start_sec").alias("a_from"), F.col("end_sec").alias("a_to"))
+    heard = met(spoken, slots.select("key", "slot_id", F.col("start_sec").alias("b_from"), F.col("end_sec").alias("b_to"))).filter("a_from < b_to and a_to > b_from")
+    inside = heard.groupBy("slot_id").agg(joined(F.struct("seq", "text")).alias("inside"))
     return slots.join(anchored, "slot_id", "left").join(inside, "slot_id", "left").select("slot_id", F.coalesce("anchored", "inside", "concept").alias("text"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import before, kept_step, lag, scanned, so_far, spread
+
 
 def clip_seconds(start: Column | str = "start_sec", end: Column | str = "end_sec", speed: Column | str = "speed") -> Column:
     """A clip's time on the timeline: its source time over its speed (a hundredth at least), never negative."""
@@ -14,14 +16,14 @@ def clip_seconds(start: Column | str = "start_sec", end: Column | str = "end_sec
 
 def rippled(clips: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Clips of a key one after the other in the given order, without gaps; only the shown starts are rounded."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return clips.withColumn("timeline_start_sec", F.round(F.coalesce(F.sum(clip_seconds()).over(before), F.lit(0.0)), 3))
+    rows = scanned(clips, order, {"_ago": before("sum", clip_seconds())}, key)
+    return rows.withColumn("timeline_start_sec", F.round(F.coalesce("_ago", F.lit(0.0)), 3)).drop("_ago")
 
 
 def relaid(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Source ranges as clips one after the other, by time."""
-    before = Window.partitionBy(*keys).orderBy("start_sec", "end_sec").rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("timeline_start_sec", F.round(F.coalesce(F.sum(F.col("end_sec") - F.col("start_sec")).over(before), F.lit(0.0)), 3))
+    rows = scanned(ranges, ["start_sec", "end_sec"], {"_ago": before("sum", F.col("end_sec") - F.col("start_sec"))}, keys)
+    return rows.withColumn("timeline_start_sec", F.round(F.coalesce("_ago", F.lit(0.0)), 3)).drop("_ago")
 
 
 def duration(clips: DataFrame, key: str) -> DataFrame:
@@ -31,16 +33,15 @@ def duration(clips: DataFrame, key: str) -> DataFrame:
 
 def transition_layout(clips: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Starts of clips that overlap the one before by their transition: its length is raw_sec within [0, 45 % of the
-    shorter of the two]. Rounding is part of the recurrence, so this folds over each key's ordered clips: they are
-    one timeline's, gathered into an array. Halves of a millisecond go up, whatever their last bits."""
-    item = F.struct(*order, "clip_id", clip_seconds().alias("d"), F.coalesce("raw_sec", F.lit(0.0)).alias("raw"))
-    rows = clips.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    empty = F.struct(F.lit(0.0).alias("start"), F.lit(None).cast("double").alias("d"), F.array().cast("array<struct<clip_id:bigint,render_start_sec:double,transition_sec:double>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        lap = F.when(s.d.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(x.raw, 0.45 * F.least(s.d, x.d))))
-        start = F.when(s.d.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.round(s.start + s.d - lap + 1e-9, 3)))
-        made = F.array(F.struct(x.clip_id.alias("clip_id"), start.alias("render_start_sec"), lap.alias("transition_sec")))
-        return F.struct(start.alias("start"), x.d.alias("d"), F.concat(s.out, made).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("items", empty, step, lambda s: s.out)).alias("c")).select(key, "c.*")
+    shorter of the two]. Each start is rounded before the next is added to it; as a start is whole milliseconds, that is
+    rounding each step by itself, so starts are running sums of whole numbers, in slices of long keys. Halves of a
+    millisecond go up, whatever their last bits."""
+    rows = clips.select(F.col(key).alias("key"), *[c for c in order if c != key], "clip_id", clip_seconds().alias("_d"), F.coalesce("raw_sec", F.lit(0.0)).alias("_raw"))
+    order = [*order, "clip_id"]
+    rows = spread(rows, *order)
+    rows = scanned(rows, order, {"_ago": lag("_d")})
+    lap = F.when(F.col("_ago").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least("_raw", 0.45 * F.least("_ago.v", "_d"))))
+    rows = rows.withColumn("transition_sec", lap)
+    step = F.when(F.col("_ago").isNull(), F.lit(0)).otherwise(F.round((F.round(F.col("_ago.v") - F.col("transition_sec") + 1e-9, 3)) * 1000).cast("long"))
+    rows = scanned(kept_step(rows.withColumn("_step", step).drop("_ago")), order, {"_sum": so_far("sum", "_step")})
+    return rows.select(F.col("key").alias(key), "clip_id", (F.col("_sum") / 1000.0).alias("render_start_sec"), "transition_sec")

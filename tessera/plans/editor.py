@@ -96,7 +96,7 @@ SELECT slot_id, CASE WHEN c IS NULL THEN 'pending' WHEN c >= 0 THEN 'chosen' ELS
 def u1_u3_u4_sets(spark, sf_dir):
     """Ranges that are silences or errors, words of clicks without those of odd ids, and those of both."""
     w = words(spark, sf_dir)
-    union = silences(w).unionByName(w.filter("text = 'error'").select("key", "start_sec", "end_sec")).distinct().agg(F.count("*").alias("united"))
+    union = silences(w).drop("_slice").unionByName(w.filter("text = 'error'").select("key", "start_sec", "end_sec")).distinct().agg(F.count("*").alias("united"))
     ids = w.select("word_id", "text")
     clicks, odd = ids.filter("text = 'click'").select("word_id"), ids.filter("word_id % 2 = 1").select("word_id")
     return union.crossJoin(clicks.subtract(odd).agg(F.count("*").alias("less"))).crossJoin(clicks.intersect(odd).agg(F.count("*").alias("both")))

@@ -193,7 +193,7 @@ def v5_default_timelines(spark, sf_dir):
     return edits.states(projects, edits.new_clips(_tracks(spark, sf_dir)).limit(0))
 
 
-V5 = """SELECT c_custkey AS project_id, '{"fps":30,"size":{"width":1080,"height":1920},"tracks":[{"kind":"video","clips":[],"volume":1.0,"mute":false,"solo":false},{"kind":"audio","clips":[],"volume":1.0,"mute":false,"solo":false}],"duration_sec":0.0,"export_settings":{"format":"mp4","resolution":"1080p","fps":30,"quality":"high"}}' AS state FROM customer"""
+V5 = """SELECT c_custkey AS project_id, '{"fps":30,"size":{"width":1080,"height":1920},"tracks":[{"kind":"video","clips":[],"volume":1.0,"mute":false,"solo":false},{"kind":"audio","clips":[],"volume":1.0,"mute":false,"solo":false},{"kind":"overlay","clips":[],"volume":1.0,"mute":false,"solo":false}],"duration_sec":0.0,"export_settings":{"format":"mp4","resolution":"1080p","fps":30,"quality":"high"}}' AS state FROM customer"""
 
 QUERIES = {
     "v0_clip_settings": (v0_clip_settings, V0_SETTINGS),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals as iv
+from tessera.operators.scan import SLICE, spread
 from tessera.sources.tables import event_words, table
 
 #: event gaps are hours, so thresholds are too
@@ -46,11 +47,11 @@ def durations(w: DataFrame) -> DataFrame:
 
 
 def silences(w: DataFrame) -> DataFrame:
-    return w.filter("text = 'error'").select("key", (F.col("start_sec") - 900.0).alias("start_sec"), (F.col("end_sec") + 900.0).alias("end_sec"))
+    return w.filter("text = 'error'").select("key", (F.col("start_sec") - 900.0).alias("start_sec"), (F.col("end_sec") + 900.0).alias("end_sec"), *[c for c in w.columns if c == SLICE])
 
 
 def rounded(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, *[F.round(c, 3).alias(c) for c in df.columns if c not in keys])
+    return df.select(*keys, *[F.round(c, 3).alias(c) for c in df.columns if c not in (*keys, SLICE)])
 
 
 def w5_pauses(spark, sf_dir):
@@ -171,7 +172,7 @@ def j4_overlap_join(spark, sf_dir):
     w = words(spark, sf_dir)
     clips = durations(w).select("key", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("clip"), "duration_sec")
     clips = clips.select("key", "clip", (F.col("clip") * F.col("duration_sec") / 10).alias("start_sec"), ((F.col("clip") + 0.5) * F.col("duration_sec") / 10).alias("end_sec"))
-    return rounded(iv.overlaps(silences(w).withColumn("what", F.lit("silence")), clips, 50000.0), "key", "what", "clip")
+    return rounded(iv.overlaps(silences(w).drop(SLICE).withColumn("what", F.lit("silence")), clips, 50000.0), "key", "what", "clip")
 
 
 J4 = f"""WITH {WORDS}, clips AS (SELECT key, clip, clip * duration_sec / 10 AS s, (clip + 0.5) * duration_sec / 10 AS e FROM durations, (SELECT unnest(range(0, 10))::INT AS clip))
@@ -254,8 +255,8 @@ def auto_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = words(spark, sf_dir)
     fillers = w.filter(F.col("text").isin("click", "signup")).select("key", "start_sec", "end_sec")
-    cuts = iv.pauses(w, PAUSE).unionByName(fillers).unionByName(silences(w)).distinct()
-    return relaid(iv.complement(iv.merged(cuts, MERGE), durations(w), KEEP), ["key"])
+    cuts = iv.pauses(w, PAUSE).unionByName(fillers).unionByName(silences(w).drop(SLICE)).distinct()
+    return relaid(iv.complement(iv.merged(spread(cuts, *iv.TIME), MERGE), durations(w), KEEP), ["key"]).drop(SLICE)
 
 
 AUTO = f"""WITH {WORDS}, c AS (

@@ -80,14 +80,30 @@ SELECT key, cap AS caption, arg_max(acc, k) AS text, round(min(a), 3) AS start_s
 
 
 def _loopy(spark, sf_dir):
-    """Event types as words: with five of them, loops are common."""
-    return timed(spark, sf_dir).select("key", "seq", F.when(F.col("seq") % 9 < 6, F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("seq") % 2 + 1).cast("int"))).otherwise(F.col("text")).alias("text"))
+    """Event types as words, with stretches of letters that repeat two, three or four words, by transcript."""
+    seq, key = F.col("seq"), F.col("key")
+    letter = lambda k: F.element_at(F.array(*map(F.lit, "abcd")), (seq % k + 1).cast("int"))
+    text = F.when((key % 3 == 0) & (seq % 9 < 6), letter(2)).when((key % 3 == 1) & (seq % 13 < 11), F.concat(letter(3), F.lit(","))).when((key % 3 == 2) & (seq % 17 < 14), letter(4)).otherwise(F.col("text"))
+    return timed(spark, sf_dir).select("key", "seq", text.alias("text"))
 
 
 def w15_loops_collapsed(spark, sf_dir):
     return sg.without_loops(_loopy(spark, sf_dir)).select("key", "seq", "text")
 
 
+W15_ALL = f"""WITH RECURSIVE {WORDS}, l AS (
+  SELECT key, seq, CASE WHEN key % 3 = 0 AND seq % 9 < 6 THEN ['a', 'b'][seq % 2 + 1] WHEN key % 3 = 1 AND seq % 13 < 11 THEN ['a,', 'b,', 'c,'][seq % 3 + 1] WHEN key % 3 = 2 AND seq % 17 < 14 THEN ['a', 'b', 'c', 'd'][seq % 4 + 1] ELSE text END AS text FROM words
+), t AS (SELECT key, count(*) AS n, list(trim(lower(text), '.,!?') ORDER BY seq) AS s FROM l GROUP BY key),
+tried AS (
+  SELECT key, n, s, i, list_filter([1, 2, 3, 4], lambda k: n >= 6 AND s[i:i + k - 1] = s[i + k:i + 2 * k - 1] AND s[i:i + k - 1] = s[i + 2 * k:i + 3 * k - 1])[1] AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM t)
+), jump AS (
+  SELECT key, n, i, coalesce(k, 1) AS k, CASE WHEN k IS NULL THEN i + 1 ELSE i + k * list_filter(range(3, n + 2), lambda c: s[i + c * k:i + c * k + k - 1] <> s[i:i + k - 1])[1] END AS nx FROM tried
+), walk AS (
+  SELECT key, i, k, nx, n FROM jump WHERE i = 1 UNION ALL SELECT j.key, j.i, j.k, j.nx, j.n FROM walk w JOIN jump j ON j.key = w.key AND j.i = w.nx
+)
+SELECT l.key, l.seq, l.text FROM (SELECT key, unnest(range(i, i + k)) AS seq FROM walk) x JOIN l ON l.key = x.key AND l.seq = x.seq"""
+
+
 def w15_single_word_loops(spark, sf_dir):
     w = timed(spark, sf_dir).select("key", "seq", F.when(F.col("seq") % 7 < 4, F.lit("Um.")).otherwise(F.col("text")).alias("text"))
     return sg.without_loops(w, longest=1).select("key", "seq", "text")
@@ -131,7 +147,7 @@ QUERIES = {
     "w12_sentences": (w12_sentences, f"WITH {TALK}, {SENT} SELECT {OUT} FROM sent"),
     "w13_paragraphs": (w13_paragraphs, f"WITH {TALK}, {SENT}, s2 AS (SELECT key, chunk AS seq, text, start_sec, end_sec FROM sent), {SPLIT.format(out='para', src='s2', gap=1.5, size=3, ends='FALSE', least=1)} SELECT {OUT} FROM para"),
     "w14_captions": (w14_captions, W14),
-    "w15_loops_collapsed": (w15_loops_collapsed, None),
+    "w15_loops_collapsed": (w15_loops_collapsed, W15_ALL),
     "w15_single_word_loops": (w15_single_word_loops, W15),
     "w16_deleted_regions": (w16_deleted_regions, W16),
     "d5_near_doubles": (d5_near_doubles, D5),

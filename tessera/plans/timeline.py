@@ -156,18 +156,19 @@ SELECT project_id, CAST(seq AS INT) AS seq, action, CAST(back AS INT) AS back FR
 
 def f6_prompts(spark, sf_dir):
     """Commands about orders, in several wordings."""
-    o = table(spark, sf_dir, "orders").withColumn("z", F.col("o_orderkey") % 8)
+    o = table(spark, sf_dir, "orders").withColumn("z", F.col("o_orderkey") % 10)
     k, s = (F.col("o_custkey") % 9 + 1).cast("string"), (F.col("o_orderkey") % 50).cast("string")
     said = F.when(F.col("z") == 0, F.concat(F.lit("Please trim first clip from "), s, F.lit(" sec to 1:40"))).when(F.col("z") == 1, F.concat(F.lit("split clip #"), k, F.lit("  at 00:"), F.lpad(s, 2, "0"), F.lit("!")))
     said = said.when(F.col("z") == 2, F.concat(F.lit("SET SPEED clip "), k, F.lit(" to 1.5x"))).when(F.col("z") == 3, F.concat(F.lit("mute clip "), k, F.lit(" please"))).when(F.col("z") == 4, F.concat(F.lit("delete clip "), k))
-    said = said.when(F.col("z") == 5, F.concat(F.lit("move clip "), k, F.lit(" to "), s, F.lit(":5"))).when(F.col("z") == 6, F.concat(F.lit("merge clips "), k, F.lit(", 12"))).otherwise("dance")
+    said = said.when(F.col("z") == 5, F.concat(F.lit("move clip "), k, F.lit(" to "), s, F.lit(":5"))).when(F.col("z") == 6, F.concat(F.lit("merge clips "), k, F.lit(", 12")))
+    said = said.when(F.col("z") == 7, F.concat(F.lit('could you add text "'), s, F.lit(' second clip" at 3 pls?'))).when(F.col("z") == 8, F.concat(F.lit("kindly rotate clip one "), F.lit("90 deg"))).otherwise("dance")
     out = prompts.parsed(o.select("o_orderkey", said.alias("prompt")))
-    return out.select("o_orderkey", F.coalesce("op_type", F.lit("-")).alias("op_type"), F.coalesce(F.col("params")["clip"], F.col("params")["clips"], F.lit("-")).alias("clip"), F.round(F.coalesce(F.col("params")["at_sec"], F.col("params")["end_sec"], F.col("params")["speed"]).cast("double"), 3).alias("x"), "confidence", F.coalesce("error", F.lit("-")).alias("error"))
+    return out.select("o_orderkey", F.coalesce("op_type", F.lit("-")).alias("op_type"), F.coalesce(F.col("params")["clip"], F.col("params")["clips"], F.col("params")["text"], F.lit("-")).alias("clip"), F.round(F.coalesce(F.col("params")["at_sec"], F.col("params")["end_sec"], F.col("params")["speed"]).cast("double"), 3).alias("x"), "confidence", F.coalesce("error", F.lit("-")).alias("error"))
 
 
-F6 = """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS z, (o_custkey % 9 + 1)::VARCHAR AS k, (o_orderkey % 50)::DOUBLE AS s FROM orders)
-SELECT o_orderkey, ['trim_clip','split_clip','set_speed','set_volume','delete_clip','-','merge_clips','-'][z + 1] AS op_type, CASE z WHEN 0 THEN '1' WHEN 5 THEN '-' WHEN 6 THEN k || ',12' WHEN 7 THEN '-' ELSE k END AS clip,
-  CASE z WHEN 0 THEN 100.0 WHEN 1 THEN s WHEN 2 THEN 1.5 END::DOUBLE AS x, [0.97, 0.97, 0.97, 0.95, 0.97, 0.0, 0.97, 0.0][z + 1]::DOUBLE AS confidence, ['-','-','-','-','-','invalid timecode','-','unknown command'][z + 1] AS error FROM o"""
+F6 = """WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS z, (o_custkey % 9 + 1)::VARCHAR AS k, (o_orderkey % 50)::DOUBLE AS s FROM orders)
+SELECT o_orderkey, ['trim_clip','split_clip','set_speed','set_volume','delete_clip','-','merge_clips','add_text_overlay','-','-'][z + 1] AS op_type, CASE z WHEN 0 THEN '1' WHEN 5 THEN '-' WHEN 6 THEN k || ',12' WHEN 7 THEN s::INT || 's clip' WHEN 8 THEN '-' WHEN 9 THEN '-' ELSE k END AS clip,
+  CASE z WHEN 0 THEN 100.0 WHEN 1 THEN s WHEN 2 THEN 1.5 END::DOUBLE AS x, [0.97, 0.97, 0.97, 0.95, 0.97, 0.0, 0.97, 0.97, 0.0, 0.0][z + 1]::DOUBLE AS confidence, ['-','-','-','-','-','invalid timecode','-','-','unknown command','unknown command'][z + 1] AS error FROM o"""
 
 
 def p1_p2_normalised(spark, sf_dir):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.scan import SLICE, kept_step, scanned, so_far, spread, whole
+
 WORD_ITEM = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start_sec", T.StringType()), T.StructField("end_sec", T.StringType()), T.StructField("confidence", T.StringType())])
 
 
@@ -16,17 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_words(events: DataFrame, cap: float = 30.0) -> DataFrame:
     """Words (key, seq, word_id, text, start_sec, end_sec, confidence) of an event log: a user's events are the words
     of one transcript, a word lasts as long as its value says, up to cap."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    user = Window.partitionBy("user_id")
-    return events.select(
+    rows = events.select(
         F.col("user_id").alias("key"),
-        F.row_number().over(user.orderBy("ts", "event_id")).alias("seq"),
+        "ts",
         F.col("event_id").alias("word_id"),
         F.col("event_type").alias("text"),
-        ((micros - F.min(micros).over(user)) / F.lit(1e6)).alias("start_sec"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_micros"),
         F.least("value", F.lit(cap)).alias("_long"),
         F.when(F.col("event_id") % 10 != 0, F.pmod(F.col("event_id") * 37, F.lit(100)) / F.lit(100.0)).alias("confidence"),
-    ).select("key", "seq", "word_id", "text", "start_sec", (F.col("start_sec") + F.col("_long")).alias("end_sec"), "confidence")
+    )
+    # users differ much in length: words come in slices, so that what runs along them does so in many tasks
+    rows = scanned(spread(rows, "ts", "word_id"), ["ts", "word_id"], {"seq": so_far("sum", F.lit(1)), "_begun": whole("min", "_micros")})
+    start = (F.col("_micros") - F.col("_begun")) / F.lit(1e6)
+    return rows.select("key", F.col("seq").cast("int").alias("seq"), "word_id", "text", start.alias("start_sec"), (start + F.col("_long")).alias("end_sec"), "confidence", SLICE)
 
 
 def spread_words(segments: DataFrame, key: str, order: str, text: Column, start: Column, end: Column) -> DataFrame:
@@ -43,7 +47,8 @@ def conversation_words(conversations: DataFrame) -> DataFrame:
     start = F.col("turn") * F.lit(10.0)
     long = F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")) * F.lit(0.33)
     rows = spread_words(conversations, "conv_id", "turn", text, start, start + long)
-    return rows.select("key", F.row_number().over(Window.partitionBy("key").orderBy("segment", "i")).alias("seq"), "text", "start_sec", "end_sec")
+    rows = scanned(spread(rows, "segment", "i"), ["segment", "i"], {"seq": so_far("sum", F.lit(1))})
+    return rows.select("key", F.col("seq").cast("int").alias("seq"), "text", "start_sec", "end_sec", SLICE)
 
 
 def words_of_json(transcripts: DataFrame, key: str, words_json: str, strict: bool = False) -> DataFrame:
@@ -86,13 +91,34 @@ def silences_of_log(logs: DataFrame, key: str, line: str) -> DataFrame:
         F.transform(F.regexp_extract_all(line, F.lit("silence_start:" + number), F.lit(1)), lambda x: x.cast("double")).alias("starts"),
         F.transform(F.regexp_extract_all(line, F.lit("silence_end:" + number), F.lit(1)), lambda x: x.cast("double")).alias("ends"),
     )
-    # the pointer into ends only moves forward, so this is a fold over the starts
+    rising = (F.array_sort("starts") == F.col("starts")) & (F.array_sort("ends") == F.col("ends"))
+    pairs = _met_in_order(found.filter(rising)).unionByName(_met_one_by_one(found.filter(~rising)))
+    return pairs.select("key", *[F.round(c, 3).alias(c) for c in ("start_sec", "end_sec")])
+
+
+def _met_in_order(found: DataFrame) -> DataFrame:
+    """Starts with their ends, both rising. Of the ends, a start's first later one has the number of ends up to the start
+    as its place (from 0); and as each end is used once, a start's place is one over that of the start before, if that is
+    more: place(i) = i + the greatest of rank(j) - j over the starts up to i."""
+    starts = found.select("key", F.posexplode("starts").alias("i", "t")).withColumn("side", F.lit(1))
+    ends = found.select("key", F.posexplode("ends").alias("i", "t")).withColumn("side", F.lit(0))
+    line = spread(starts.unionByName(ends), "t", "side", "i")
+    order = ["t", "side", "i"]
+    ranked = kept_step(scanned(line, order, {"rank": so_far("sum", F.when(F.col("side") == 0, 1).otherwise(0))}))
+    ahead = scanned(ranked.filter("side = 1"), order, {"most": so_far("max", F.col("rank") - F.col("i"))})
+    wanted = ahead.select("key", (F.col("i") + F.col("most")).alias("place"), F.col("t").alias("start_sec"))
+    return wanted.join(line.filter("side = 0").select("key", F.col("i").cast("bigint").alias("place"), F.col("t").alias("end_sec")), ["key", "place"]).select("key", "start_sec", "end_sec")
+
+
+def _met_one_by_one(found: DataFrame) -> DataFrame:
+    """The same for logs whose times fall somewhere, which a working detector doesn't write: one start after the other,
+    with a pointer into the ends that only moves forward."""
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_sec:double,end_sec:double>>").alias("out"))
 
     def step(state: Column, start: Column) -> Column:
         later = F.filter(F.transform("ends", lambda e, i: F.struct(i.alias("i"), e.alias("e"))), lambda x: (x.i >= state.at) & (x.e > start))
         nearest = F.get(later, F.lit(0))
-        pair = F.array(F.struct(F.round(start, 3).alias("start_sec"), F.round(nearest.e, 3).alias("end_sec")))
+        pair = F.array(F.struct(start.alias("start_sec"), nearest.e.alias("end_sec")))
         return F.when(nearest.isNull(), F.struct(F.size("ends").alias("at"), state.out.alias("out"))).otherwise(F.struct((nearest.i + 1).alias("at"), F.concat(state.out, pair).alias("out")))
 
     return found.select("key", F.explode(F.aggregate("starts", empty, step, lambda s: s.out)).alias("r")).select("key", "r.start_sec", "r.end_sec")

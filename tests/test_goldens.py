@@ -192,7 +192,7 @@ def test_states(spark):
     projects = edits.default_projects(spark.createDataFrame([("p", 720)], "project_id string, width int"))
     state = json.loads(edits.states(projects, clip(spark, (0.0, 4.0, 0.0, 2.0))).first().state)
     assert state["size"] == {"width": 720, "height": 1920} and state["duration_sec"] == 2.0
-    assert [(t["kind"], len(t["clips"])) for t in state["tracks"]] == [("video", 1), ("audio", 0)] and state["tracks"][0]["clips"][0]["clip_id"] == "c1"
+    assert [(t["kind"], len(t["clips"])) for t in state["tracks"]] == [("video", 1), ("audio", 0), ("overlay", 0)] and state["tracks"][0]["clips"][0]["clip_id"] == "c1"
 
 
 def test_undo_stack_drops_the_oldest(spark):
