@@ -11,7 +11,6 @@ them or is cut by them.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -279,6 +278,3 @@ def planted(words: list[bytes], h: int) -> list[bytes]:
     p = 1 + (n - a) // (3 + g % 8)
     return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
 
-
-def listed(runs: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256("".join(f"{a},{b},{p}\n" for a, b, p in runs).encode()).hexdigest()
