@@ -1,11 +1,12 @@
 """Personal data in texts, in DataFrame operations only: patterns of four kinds, and bootstrapped contexts.
 
-Matches of the four patterns are seeds, and so are key-like strings that are assigned to a name for secrets. What
-stands around a seed (a word before with its punctuation, two words, or one on each side), with the class of the seed's
-shape, makes its lexical patterns. Patterns and values then score each other for a few rounds: a pattern's belief
-is the part of its values that are sure, a value's score that of its surest pattern. Patterns that have gained enough sure values,
-seeds or not, take part in the next round, so what was found in one context leads to others. Values that end with a high
-score are identifiers too, wherever they stand.
+Matches of the four patterns are seeds; for the fifth kind, secrets, seeds are long strings that mix letters and digits,
+wherever they stand. What stands around a seed (the word before with its punctuation, two words, or one on each side),
+with the class of the seed's shape, makes its lexical patterns. Patterns and values then score each other for a few
+rounds: a pattern's belief is the part of its values that are sure, a value's score that of its surest pattern. Patterns
+that have gained enough sure values, seeds or not, take part in the next round, so what was found in one context leads to
+others. Values that end with a high score are identifiers too, wherever they stand. Only contexts make a secret: a seed
+of that kind counts for its patterns, but is itself reported where a sure pattern holds it.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ PATTERNS = (
     r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
-#: what else could be an identifier: digits with separators, something around an at sign, or letters mixed with digits
+#: What else could be an identifier, each as long as it goes: a run of letters mixed with digits, something around an at
+#: sign, or groups of digits. A run is tried at its beginning only, so a text is read once.
 FILLER = (
-    r"(?<![^\s\"'(<\[=:,;])(?:[+(]?[0-9][0-9() ./-]{5,40}[0-9](?![A-Za-z0-9])|[^\s@\"'<>]{1,64}+@[^\s@\"'<>]{1,255}+"
-    r"|(?=[A-Za-z_+/=.-]{0,200}+[0-9])(?=[0-9_+/=.-]{0,200}+[A-Za-z])[A-Za-z0-9_+/=.-]{6,200}+)"
+    r"(?<![\p{L}\p{N}_+/.@-])(?=[A-Za-z_+/.-]*+[0-9])(?=[0-9_+/.-]*+[A-Za-z])[A-Za-z0-9_+/.-]{6,}+={0,2}+(?![\p{L}\p{N}@])"
+    r"|(?<![^\s\"'<>])[^\s@\"'<>]++@[^\s@\"'<>]++"
+    r"|(?<![\p{L}\p{N}_+/.@-])[+(]?[0-9]++(?![\p{L}_])(?:[() ./-]{1,3}+[0-9]++(?![\p{L}_]))*+"
 )
 OTHER = len(PATTERNS)
-#: fixed values: names that secrets are assigned to, right before the value
-ASSIGNED = r"(?i)(?<![\p{L}0-9])(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|secret[_ -]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
-#: characters around a match that its contexts are taken from
-CONTEXT = 60
+#: a filler has so many characters; a secret's seed so many, of them so many digits and so many letters
+LEAST, KEY, KEY_EACH = 7, 20, 4
+#: longer patterns are known by a digest
+LONG = 256
 
 
 @dataclass(frozen=True)
@@ -75,10 +78,13 @@ def _spans(texts: DataFrame) -> DataFrame:
     running sums of the pieces' lengths place them."""
     here = (F.instr("text", "@") > 0, F.lit(True), F.lit(True), F.instr("text", "+") > 0, F.lit(True))
     finds = []
+    # the two words before a match are read backwards from its piece's end, so that only they are looked at
+    words_before = lambda p: F.reverse(F.regexp_extract(F.reverse(p), r"^[^\p{L}\n]{0,6}+\p{L}++(?:[^\p{L}\n]{1,6}+\p{L}++)?", 0))
+    word_after = lambda p: F.regexp_extract(p, r"^[^\p{L}\n]{0,6}+\p{L}++", 0)
     for kind, (pattern, may) in enumerate(zip((*PATTERNS, FILLER), here, strict=True)):
         split = F.split("text", pattern, -1)
-        pieces = F.transform(split, lambda p: F.struct(F.length(p).alias("n"), F.substring(p, -CONTEXT, CONTEXT).alias("before")))
-        heads = F.transform(F.slice(split, 2, F.size(split)), lambda p: F.substring(p, 1, CONTEXT))
+        pieces = F.transform(split, lambda p: F.struct(F.length(p).alias("n"), words_before(p).alias("before")))
+        heads = F.transform(F.slice(split, 2, F.size(split)), word_after)
         found = F.struct(F.lit(kind).alias("kind"), pieces.alias("p"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), heads.alias("after"))
         finds.append(F.when(may & F.col("text").rlike(pattern), found))
     rows = texts.select("uid", "id", "mark", F.explode(F.filter(F.array(*finds), lambda f: f.isNotNull())).alias("f"))
@@ -98,13 +104,14 @@ def _lexical(before: Column, after: Column, value: Column) -> Column:
     left, two = (F.regexp_extract(F.lower(before), pattern, 1) for pattern in (r"(\p{L}+[^\p{L}\n]{0,6})$", r"(\p{L}+[^\p{L}\n]{1,6}\p{L}+[^\p{L}\n]{0,6})$"))
     right = F.regexp_extract(F.lower(after), r"^([^\p{L}\n]{0,6}\p{L}+)", 1)
     sides = (("left", left, F.lit("")), ("two", two, F.lit("")), ("both", F.when(right != "", left), right))
-    named = [F.when(a != "", F.concat_ws("\t", F.lit(name), shape, a, b)) for name, a, b in sides]
+    short = lambda p: F.when(F.length(p) > LONG, F.sha2(p, 256)).otherwise(p)
+    named = [F.when(a != "", short(F.concat_ws("\t", F.lit(name), shape, a, b))) for name, a, b in sides]
     return F.filter(F.array(*named), lambda p: p.isNotNull())
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Bootstrap = Bootstrap()) -> DataFrame:
     """One row for each span: id_col, mark, kind (name), start, end (code points, end exclusive), value and base, which
-    is true for pattern matches and false for what contexts added. mark is xxhash64 of the text, so rows that share an
+    is true for pattern matches and false for what contexts added. Secrets are never base. mark is xxhash64 of the text, so rows that share an
     id but not a text stay apart; equal rows share spans, listed once. Null and empty texts have none.
 
     Matches are leftmost and don't overlap within a kind; addresses with parts over 255, cards that fail the Luhn check
@@ -115,7 +122,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     # the number only tells rows apart until their matches have places
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    spans = store.written(_spans(texts).filter((F.col("kind") == OTHER) | _valid(F.col("kind"), F.col("value"))).distinct(), "spans")
+    kept = F.when(F.col("kind") == OTHER, F.length("value") >= LEAST).otherwise(_valid(F.col("kind"), F.col("value")))
+    spans = store.written(_spans(texts).filter(kept).distinct(), "spans")
     seeds = spans.filter(F.col("kind") < OTHER)
 
     # fillers that no base span touches
@@ -123,7 +131,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reach = F.max(F.when(F.col("kind") < OTHER, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     following = F.min(F.when(F.col("kind") < OTHER, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     free = spans.withColumns({"reach": reach, "next": following}).filter((F.col("kind") == OTHER) & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
-    key_like = F.col("before").rlike(ASSIGNED) & (F.length("value") >= 16) & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") & (F.instr("value", "@") == 0)
+    count = lambda pattern: F.length(F.regexp_replace("value", pattern, ""))
+    key_like = (F.length("value") >= KEY) & (F.instr("value", "@") == 0) & (count("[^0-9]") >= KEY_EACH) & (count("[^A-Za-z]") >= KEY_EACH)
     unknown = store.written(free.select("id", "mark", "start", "end", "value", _lexical(F.col("before"), F.col("after"), F.col("value")).alias("patterns"), F.when(key_like, OTHER).alias("kind")), "fillers")
 
     known = seeds.select("value", "kind", _lexical(F.col("before"), F.col("after"), F.col("value")).alias("patterns"))
@@ -131,18 +140,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = store.written(places.select("value", "kind", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
     certain = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("sure")).distinct()
     sizes = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-    open_edges = edges.filter("kind is null").join(certain.select("value").distinct(), "value", "left_anti").select("value", "pattern")
-    open_edges = store.written(open_edges, "open-edges")
+    # values that no pattern of a kind has matched; whether one is a secret's seed follows from the value alone
+    base_values = certain.filter(F.col("kind") < OTHER).select("value").distinct()
+    open_edges = store.written(edges.filter(F.coalesce(F.col("kind"), F.lit(OTHER)) == OTHER).join(base_values, "value", "left_anti").select("value", "pattern", F.col("kind").isNotNull().alias("seed")), "open-edges")
     sure = certain
-    for turn in range(plan.rounds):
+    for turn in range(plan.rounds + 1):
         # patterns: those with enough sure values, found ones included
         gained = edges.select("pattern", "value").distinct().join(sure, "value").groupBy("pattern", "kind").agg(F.sum("sure").alias("sure"), F.count_if(F.col("sure") >= plan.threshold).alias("known")).filter(F.col("known") >= plan.support)
         beliefs = gained.join(sizes, "pattern").select("pattern", "kind", (F.col("sure") / (F.col("n") + plan.doubt)).alias("belief"))
-        # values: the surest pattern that they fill. Weak ones don't add up: a number may stand after many words
-        scored = open_edges.join(beliefs, "pattern").groupBy("value", "kind").agg(F.max("belief").alias("sure"))
+        # values: the surest pattern that they fill. Weak ones don't add up: a number may stand after many words. In the
+        # last turn secrets' seeds are asked, too
+        asked = open_edges if turn == plan.rounds else open_edges.filter("not seed")
+        scored = asked.join(beliefs, "pattern").groupBy("value", "kind").agg(F.max("belief").alias("sure"))
         values = store.written(scored, f"values-{turn}")
         sure = certain.union(values)
-    found = certain.filter(F.col("kind") == OTHER).union(values.filter(F.col("sure") >= plan.threshold))
+    found = values.filter(F.col("sure") >= plan.threshold)
     kinds = found.groupBy("value").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"))
     added = unknown.drop("kind").join(kinds, "value").select("id", "mark", "kind", "start", "end", "value", F.lit(False).alias("base")).distinct()
     out = seeds.select("id", "mark", "kind", "start", "end", "value", F.lit(True).alias("base")).union(added)

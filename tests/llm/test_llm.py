@@ -517,6 +517,66 @@ def test_secrets_are_found_by_context(spark):
     assert found == {(i, "secret") for i in range(31)}
 
 
+def keys(r, n, size=40):
+    return ["".join(r.choice("0123456789abcdef") for _ in range(size - 4)) + "a1b2" for _ in range(n)]
+
+
+def test_redaction_leaves_nothing_of_long_values(spark):
+    r = random.Random(1000)
+    long = keys(r, 1, 1000)[0]
+    texts = [f'x entry <{k}> y' for k in keys(r, 30)] + [f'x entry <{long}> y', f"x entry <{long}@{long}> y", "entry <12345 6789012345678901234567890123456789012345678901234567890>"]
+    d = docs(spark, texts)
+    out = [x.text for x in pii.redacted(d, pii.personal_data(d)).orderBy("doc_id").collect()]
+    assert out[:31] == ["x entry <[SECRET]> y"] * 31 and not any(long[i : i + 8] in out[30] for i in range(900))
+    # what stands there but has another shape isn't one of them, and isn't cut either
+    assert out[31:] == texts[31:]
+
+
+def test_long_words_make_contexts(spark):
+    r = random.Random(60)
+    word = "langes" * 400
+    texts = [f"{word}: {k}" for k in keys(r, 12)] + [f"{word}: abc123x", f"x{word}: abc123y"]
+    found = [(x.doc_id, x.value) for x in pii.personal_data(docs(spark, texts)).filter("not base").collect()]
+    assert sorted(i for i, _ in found) == list(range(13)) and ("abc123x" in dict(found).values())
+
+
+def test_runs_are_read_once(spark):
+    texts = ["=" * 60000, "a=" * 30000, "(" * 60000, "1 " * 30000, "12a " * 20000, ",a1" * 20000, "@" * 60000, "a1" * 30000 + "@"]
+    assert pii.personal_data(docs(spark, texts)).count() == 0
+
+
+def test_pii_query_by_brute_force(spark, tmp_path):
+    """Base spans as by plain patterns, added ones as planted: after "badge no" stand identifiers of any shape with
+    letters and digits, of which the seeds have the shape of keys; elsewhere such strings are none."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    rows, planted = [], set()
+    for i in range(300):
+        parts = [word() for _ in range(r.randint(0, 20))]
+        kind = r.randrange(6)
+        if kind < 2:
+            value = keys(r, 1)[0] if r.random() < 0.85 else f"{word()}x{r.randrange(10**6)}"
+            parts += ["badge no", value, word()]
+            if len(value) >= 7:
+                planted.add((i, value))
+        elif kind == 2:
+            parts += [word(), keys(r, 1)[0]]
+        elif kind == 3:
+            parts += [f"{word()}@{word()}.org", "+1 555 010 9999"]
+        rows.append((i, " ".join(parts), "x", 1))
+    rows += [rows[5], (5, "other a@b.c", "x", 1), (None, "a@b.c", "x", 1), (None, None, "x", 1), (400, "", "x", 1)]
+    spark.createDataFrame(rows, DOCS + ", kind string, mark int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    listed = lambda spans: ",".join(f"{n}:{s}:{e}" for s, _, e, n in spans)
+    sha = lambda t: hashlib.sha256(listed(base_spans(t)).encode()).hexdigest()
+    assert sorted((str(x.doc_id), x.base_sha256) for x in got) == sorted((str(i), sha(t)) for i, t, *_ in rows)
+    texts = {i: t for i, t, *_ in rows if i not in (5, None)}
+    added = {(x.doc_id, texts[x.doc_id][int(a) : int(b)]) for x in got if x.doc_id in texts for kind, a, b in (s.split(":") for s in x.spans.split(",") if s) if kind == "secret"}
+    planted = {(i, v) for i, v in planted if i != 5}
+    assert len(added & planted) / len(added) == 1.0 and added == planted and len(added) > 60
+
+
 # 9
 
 
