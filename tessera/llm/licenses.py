@@ -64,7 +64,7 @@ TEMPLATES = {
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Text is available under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
-    "Proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission of the publisher."],
+    "Proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission of the publisher."],
 }
 #: fixed values: sentences with the same words that license nothing
 OTHERS = [
@@ -79,13 +79,14 @@ OTHERS = [
 #: fixed values: a pair of two of these tells nothing and isn't a pair of a template
 STOP = frozenset("a an and any are as be but for in is it not of on or that the this to with".split())
 UNKNOWN = "unknown"
+
+
 @dataclass(frozen=True)
 class Scan:
-    """features: n-grams that the model knows, at most: the most frequent of those that two training rows have; variants: of each notice, with words left out; sample: other paragraphs of the corpus
-    that the model sees, at most, those of the least hashes; least: calibrated probability, and resembles: similarity to
-    a template (see _similarity) that confirm a family."""
+    """variants: of each notice, with words left out; sample: other paragraphs of the corpus that the model sees, at most,
+    those of the least hashes; least: calibrated probability, and resembles: similarity to a template (see _similarity)
+    that confirm a family."""
 
-    features: int = 1 << 14
     variants: int = 24
     sample: int = 1_000
     least: float = 0.5
@@ -169,16 +170,17 @@ def train(spark: SparkSession, paragraphs: DataFrame, scan: Scan = Scan()):
     """(model, vectors, names, temperature). paragraphs (words) are others of the corpus, at most scan.sample. A first
     fit leaves out the last notice of each family and a quarter of the others; on what it leaves out the temperature
     that divides the margins is chosen by log-likelihood. The model is then fitted on all."""
-    others = paragraphs.select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0).alias("variant"), F.pmod(F.xxhash64("words"), F.lit(4)).cast("int").alias("notice"))
+    others = paragraphs.select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0).alias("variant"), F.pmod(F.xxhash64("words"), F.lit(4)).cast("int").alias("notice"), F.lit(True).alias("sampled"))
     names = [UNKNOWN, *sorted(TEMPLATES)]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
     last = F.array_position(F.array(*[F.lit(f"{f} {len(t) - 1}") for f, t in TEMPLATES.items() if len(t) > 1], F.lit(f"{UNKNOWN} 3")), F.concat_ws(" ", "family", "notice")) > 0
     # the table is small and bounded, so it is sorted: the same rows give the same model
-    rows = _notices(spark, scan).union(others).filter(F.size("words") > 0).select(label.alias("label"), "variant", last.alias("held"), _grams(F.col("words")).alias("grams"))
+    rows = _notices(spark, scan).withColumn("sampled", F.lit(False)).union(others).filter(F.size("words") > 0).select(label.alias("label"), "variant", "sampled", last.alias("held"), _grams(F.col("words")).alias("grams"))
     rows = store.written(rows.coalesce(1).sortWithinPartitions("label", "variant", F.xxhash64("grams")), "notices")
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=scan.features, minDF=2, binary=True).fit(rows)
+    # all n-grams that two notices have: the notices are fixed, so their number doesn't follow the corpus
+    vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=(1 << 31) - 1, minDF=2, binary=True).fit(rows.filter("not sampled"))
     rows = store.written(vectors.transform(rows), "notice-vectors")
-    fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, aggregationDepth=2)
+    fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, tol=1e-4, aggregationDepth=2)
     grid = [0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0]
     margins = fit.fit(rows.filter("not held")).transform(rows.filter("held")).select("label", vector_to_array("rawPrediction").alias("m"))
     losses = margins.select(*[F.avg(-F.log(F.greatest(F.get(_softmax(F.col("m"), t), F.col("label").cast("int")), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(grid)]).first()
@@ -192,8 +194,8 @@ def _softmax(margins: Column, temperature: float) -> Column:
 
 
 def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: Scan = Scan()) -> DataFrame:
-    """One row for each paragraph of docs that has a word of needed_words: id_col, paragraph (from 0), family,
-    confidence (the calibrated probability) and similarity (the best template's). family is "unknown" where that is
+    """One row for each paragraph of docs that has a word of needed_words: id_col, mark (xxhash64 of the text, so that rows
+    that share an id but not a text stay apart), paragraph (from 0), family, confidence (the calibrated probability) and similarity (the best template's). family is "unknown" where that is
     likeliest, where confidence is under scan.least or where no template of the family resembles the paragraph; all
     paragraphs without a row are unknown, as none of them can resemble a template.
 
@@ -203,19 +205,19 @@ def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     need = needed_pattern(scan.resembles)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = texts.filter(F.col("text").rlike(need)).select("id", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line"))
-    lines = store.written(lines.filter(F.col("line").rlike(need)).select("id", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0), "paragraphs")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    lines = texts.filter(F.col("text").rlike(need)).select("id", "mark", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line"))
+    lines = store.written(lines.filter(F.col("line").rlike(need)).select("id", "mark", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0), "paragraphs")
 
     templates = _notices(spark, scan).filter((F.col("variant") == 0) & (F.col("family") != UNKNOWN)).select("family", _pairs(F.col("words")).alias("template"))
     listed = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))  # a fixed number of families
     every = templates.agg(F.collect_list("template").alias("templates"))
-    # paragraphs that resemble no notice, the first by hash; more than are needed are looked at
+    # paragraphs that no template confirms, however near, the first by hash; more than are needed are looked at
     alike = lambda pairs: F.array_max(F.transform("templates", lambda t: _similarity(t, pairs)))
     hashed = lines.withColumn("h", F.xxhash64("words"))
     drawn = hashed.select("h").distinct().orderBy("h").limit(2 * scan.sample)
     some = store.written(hashed.join(F.broadcast(drawn), "h").dropDuplicates(["h"]).select("h", "words", _pairs(F.col("words")).alias("pairs")), "other-paragraphs").crossJoin(F.broadcast(every))
-    others = some.filter(alike(F.col("pairs")) < scan.resembles / 2).orderBy("h").limit(scan.sample).select("words")
+    others = some.filter(alike(F.col("pairs")) < scan.resembles).orderBy("h").limit(scan.sample).select("words")
     model, vectors, names, temperature = train(spark, others, scan)
 
     # a probability for each name; the model's own Column form keeps it in the JVM
@@ -223,4 +225,4 @@ def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     judged = judged.withColumn("confidence", F.array_max("p")).withColumn("guess", F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.col("confidence")).cast("int")))
     judged = judged.withColumn("pairs", _pairs(F.col("words"))).join(F.broadcast(listed.withColumnRenamed("family", "guess")), "guess", "left").withColumn("similarity", F.coalesce(alike(F.col("pairs")), F.lit(0.0)))
     sure = (F.col("guess") != UNKNOWN) & (F.col("confidence") >= scan.least) & (F.col("similarity") >= scan.resembles)
-    return judged.select(F.col("id").alias(id_col), "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), F.round("confidence", 3).alias("confidence"), F.round("similarity", 3).alias("similarity"))
+    return judged.select(F.col("id").alias(id_col), "mark", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), F.round("confidence", 3).alias("confidence"), F.round("similarity", 3).alias("similarity"))

@@ -38,10 +38,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of each document's paragraphs, sorted, and how many paragraphs have one. Rows are known by id and text:
+    ids may repeat or be null, and equal rows get the same answer. Null and empty texts have none."""
     docs = _read(spark, sf_dir, "documents")
-    found = licenses.license_paragraphs(docs, "doc_id", "text").filter(F.col("family") != licenses.UNKNOWN)
-    each = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"))
-    return docs.select("doc_id").join(each, "doc_id", "left").select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"))
+    found = licenses.license_paragraphs(docs, "doc_id", "text").filter(F.col("family") != licenses.UNKNOWN).select("doc_id", "mark", "paragraph", "family").distinct()
+    each = found.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("own_mark"))
+    met = rows.join(each, rows["doc_id"].eqNullSafe(each["id"]) & (rows["own_mark"] == each["mark"]), "left")
+    return met.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,35 @@ def test_licenses(spark):
     assert licenses.license_paragraphs(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_license_query_by_brute_force(spark, tmp_path):
+    """Documents of notices with words changed, of near misses and of other words, with ids that repeat or are null:
+    families are those of the notices that were put in, for each row by its own text."""
+    r = random.Random(44)
+    word = lambda: "".join(r.choice("klmnopq") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    misses = ["The rights of all were reserved.", "He is free of charge and in copies.", "The license of the driver was granted without warranty.", "The software was released in the public library."]
+    rows, want = [], []
+    for i in range(120):
+        paragraphs, families = [], []
+        for _ in range(r.randint(0, 4)):
+            if r.random() < 0.5:
+                family = r.choice(sorted(licenses.TEMPLATES))
+                paragraphs.append(r.choice([str, str.upper, lambda t: t.replace(" ", "  ")])(r.choice(licenses.TEMPLATES[family])))
+                families.append(family)
+            else:
+                paragraphs.append(r.choice([prose(12), r.choice(misses), ""]))
+        rows.append((i % 100 if i % 7 else None, "\n\n".join(paragraphs)))
+        want.append((",".join(sorted(set(families))), len(families)))
+    same = {}
+    for (i, text), (families, n) in zip(rows, want, strict=True):
+        same.setdefault((i, text), (i, families, n))
+    extra = [rows[3], rows[3], (1, None), (1, ""), (None, None)]
+    got = [same[rows[3]]] * 2 + [(1, "", 0), (1, "", 0), (None, "", 0)] + [same[x] for x in rows]
+    spark.createDataFrame([(*x, "a", 2) for x in rows + extra], DOCS + ", family string, mark int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_license_scan(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, got))
+
+
 def test_paragraphs_without_needed_words_resemble_nothing():
     templates, least = [licenses.WORD.findall(t.lower()) for ts in licenses.TEMPLATES.values() for t in ts], licenses.Scan().resembles
     need, r = licenses.needed_words(templates, least), random.Random(4)
