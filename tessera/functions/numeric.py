@@ -86,6 +86,11 @@ CRF = {"low": 30, "medium": 25, "high": 20, "max": 16}
 PRESET = {"low": "ultrafast", "medium": "veryfast", "high": "medium", "max": "slow"}
 TRANSITION = {"fade": "fade", "dissolve": "dissolve", "slide_left": "slideleft", "slide_right": "slideright", "slide_up": "slideup", "slide_down": "slidedown", "wipe": "wipeleft", "zoom": "zoomin"}
 SHORT_SIDE = {"720p": 720, "1080p": 1080, "4k": 2160}
+#: fixed values: looks to the renderer's filters
+LOOKS = {
+    "warm": ["colorbalance=rs=0.08:bs=-0.05"], "cool": ["colorbalance=rs=-0.06:bs=0.08"], "cinematic": ["eq=contrast=1.15:saturation=0.9", "vignette=angle=PI/4"],
+    "vintage": ["curves=preset=vintage"], "mono": ["hue=s=0"], "blackwhite": ["hue=s=0"], "b&w": ["hue=s=0"],
+}
 
 
 def looked_up(key: Column, table: dict, default) -> Column:
@@ -94,3 +99,11 @@ def looked_up(key: Column, table: dict, default) -> Column:
     for k, v in table.items():
         out = F.when(key == k, F.lit(v)).otherwise(out)
     return out
+
+
+def preset_filters(preset: Column) -> Column:
+    """The filters of a look, in their order; unknown looks have none."""
+    out = F.array().cast("array<string>")
+    for name, filters in LOOKS.items():
+        out = F.when(F.lower(F.trim(preset)) == name, F.array(*map(F.lit, filters))).otherwise(out)
+    return out

@@ -48,18 +48,6 @@ def found_in(text: Column, query: str) -> Column:
     return F.lit(False) if not query.strip() else F.contains(F.lower(text), F.lit(query.strip().lower()))
 
 
-def has_blocked(text: Column, terms: list[str]) -> Column:
-    """Whether some term is in text: one with a blank as a substring, else as a whole word; case aside."""
-    import re
-
-    out = F.lit(False)
-    for term in (t.strip().lower() for t in terms):
-        if term:
-            quoted = re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", term)
-            out = out | (F.contains(F.lower(text), F.lit(term)) if " " in term else F.lower(text).rlike(rf"\b{quoted}\b"))
-    return out
-
-
 def latin_share(text: Column) -> Column:
     """ASCII letters among all letters; 1 without letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
@@ -175,16 +163,13 @@ def drawtext(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("'"), F.lit("")), r"([\\:,%\[\];])", r"\\$1")
 
 
-def json_text(doc: Column) -> Column:
-    """The values of a JSON object's fields, as one text; what isn't an object has none."""
-    fields = F.from_json(doc, "map<string,string>", {"mode": "PERMISSIVE"})
-    return F.coalesce(F.concat_ws(" ", F.map_values(fields)), F.lit(""))
-
-
-def candidate_text(label: Column, source: Column, query: Column, url: Column, hits: Column) -> Column:
-    """What a candidate says of itself: label, source, query, keyword hits, and its page's host and path."""
+def candidate_text(label: Column, source: Column, query: Column, url: Column, hits: Column, page: Column | None = None, tags: Column | None = None, filename: Column | None = None, metadata: Column | None = None) -> Column:
+    """What a candidate says of itself: label, source, query, page, tags, keyword hits, its URL's host and path, its
+    asset's file name and the text of its metadata (operators.documents); what isn't known is left out."""
     part = lambda p: F.translate(F.coalesce(F.try_parse_url(url, F.lit(p)), F.lit("")), "/", " ")
-    return squeezed(F.concat_ws(" ", label, source, query, F.array_join(F.coalesce(hits, F.array().cast("array<string>")), " "), part("HOST"), part("PATH")))
+    spaced = lambda items: F.lit(None).cast("string") if items is None else F.array_join(F.coalesce(items, F.array().cast("array<string>")), " ")
+    known = lambda c: F.lit(None).cast("string") if c is None else c
+    return squeezed(F.concat_ws(" ", label, source, query, known(page), spaced(tags), spaced(hits), part("HOST"), part("PATH"), known(filename), known(metadata)))
 
 
 def confidence_label(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as num
 from tessera.functions import text as tx
+from tessera.operators import documents
 from tessera.operators import slots as sl
 from tessera.operators.transcripts import least_words
 from tessera.plans.intervals import WORDS, durations, silences, words
@@ -106,12 +107,17 @@ U1 = f"WITH {WORDS}, u AS (SELECT key, start_sec, end_sec FROM silences UNION SE
 
 
 def f8_f9_candidate_text(spark, sf_dir):
+    """Events as candidates whose metadata is a document five levels deep around their own properties."""
     e = table(spark, sf_dir, "events")
-    text = tx.candidate_text(F.col("event_type"), F.lit("project_asset"), tx.json_text(F.col("props")), F.concat(F.lit("https://v.example.com/a/"), F.col("event_id").cast("string"), F.lit("?x=1")), F.array(F.lit("hit")))
-    return e.select("event_id", text.alias("text"), F.round(tx.token_overlap(F.array(F.lit("view"), F.lit("hit")), tx.tokens(text)), 3).alias("overlap"))
+    nested = F.concat(F.lit('{"k": {"z": [1, {"c": ["x", {"d": '), F.col("props"), F.lit('}, []]}], "a": true}, "none": null, "last": "{\\"not\\": 1}"}'))
+    rows = documents.with_json_text(e.select("event_id", "event_type", nested.alias("meta")), "event_id", "meta")
+    url, name = F.concat(F.lit("https://v.example.com/a/"), F.col("event_id").cast("string"), F.lit("?x=1")), F.concat("event_type", F.lit(".mp4"))
+    text = tx.candidate_text(F.col("event_type"), F.lit("project_asset"), F.lit("a query"), url, F.array(F.lit("hit")), F.lit("page.example.com"), F.array(F.lit("tag"), F.lit("team")), name, F.col("json_text"))
+    return rows.select("event_id", text.alias("text"), F.round(tx.token_overlap(F.array(F.lit("view"), F.lit("hit")), tx.tokens(text)), 3).alias("overlap"))
 
 
-F8 = """SELECT event_id, event_type || ' project_asset ' || json_extract_string(props, '$.k') || ' hit v.example.com a ' || event_id AS text, CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.5 END::DOUBLE AS overlap FROM events"""
+F8 = """SELECT event_id, event_type || ' project_asset a query page.example.com tag team hit v.example.com a ' || event_id || ' ' || event_type || '.mp4 1 x ' || json_extract_string(props, '$.k') || ' True {"not": 1}' AS text,
+  CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.5 END::DOUBLE AS overlap FROM events"""
 
 
 def a9_a12_a13_counts(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as num
 from tessera.functions import text as tx
+from tessera.operators import blocklist
 from tessera.operators import ranking as rk
 from tessera.sources.tables import table
 
@@ -93,13 +94,29 @@ SELECT doc_id, count(*) AS n,
 
 
 def p9_p10_blocked_and_latin(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.has_blocked(F.col("text"), ["idiot", "of the", "c++", " "]).alias("blocked"), F.round(tx.latin_share(F.col("text")), 6).alias("latin"))
+    terms = spark.createDataFrame([("idiot",), ("of the",), ("C++",), (" ",)], "term string")
+    found = blocklist.blocked(docs(spark, sf_dir).select("doc_id", "text"), terms)
+    return found.select("doc_id", F.col("term").isNotNull().alias("blocked"), F.round(tx.latin_share(F.col("text")), 6).alias("latin"))
 
 
 P9 = r"""SELECT doc_id, regexp_matches(lower(text), '\bidiot\b') OR contains(lower(text), 'of the') OR regexp_matches(lower(text), '\bc\+\+\b') AS blocked,
   round(CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN 1.0 ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1) END, 6) AS latin FROM documents"""
 
 
+def p9_blocked_by_long_list(spark, sf_dir):
+    """The first of all customers' and parts' names, and of the words of benchmark items, that a document holds."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("term")).union(table(spark, sf_dir, "part").select("p_name"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).filter("term rlike '^[a-z]{7,}$'")
+    return blocklist.blocked(docs(spark, sf_dir).select("doc_id", "text"), names.union(words)).select("doc_id", "term")
+
+
+P9_LONG = r"""WITH n AS (SELECT DISTINCT lower(trim(term)) AS term FROM (SELECT c_name AS term FROM customer UNION ALL SELECT p_name FROM part) WHERE trim(term) <> ''),
+b AS (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]{7,}')),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
+h AS (SELECT doc_id, term FROM w JOIN b USING (term) UNION ALL SELECT doc_id, term FROM documents JOIN n ON contains(lower(text), term) WHERE contains(term, ' ') OR regexp_matches(lower(text), '\b' || replace(term, '#', '\#') || '\b'))
+SELECT d.doc_id, min(term) AS term FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def f11_f12_times(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     code = F.when(F.col("event_id") % 3 == 0, F.format_string("%d:%02d.%03d", (F.col("event_id") % 60).cast("int"), (F.col("event_id") % 59).cast("int"), (F.col("event_id") % 1000).cast("int"))).when(
@@ -321,6 +338,7 @@ QUERIES = {
     "f5_search_queries": (f5_search_queries, F5),
     "p3_p5_p6_p7_words": (p3_p5_p6_p7_words, P5),
     "p9_p10_blocked_and_latin": (p9_p10_blocked_and_latin, P9),
+    "p9_blocked_by_long_list": (p9_blocked_by_long_list, P9_LONG),
     "f11_f12_p13_times": (f11_f12_times, F11),
     "f13_f20_scores": (f13_f15_scores, F13),
     "f17_l2_cosine_topk": (f17_cosine_topk, F17),

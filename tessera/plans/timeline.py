@@ -301,6 +301,59 @@ def e3_e4_stage_times(spark, sf_dir):
 E3 = f"WITH {JOBS}, s AS (SELECT stage, (epoch_us(lead(created_at) OVER (PARTITION BY job_id ORDER BY created_at, event_id)) - epoch_us(created_at)) / 1e6 AS seconds FROM je) SELECT stage, count(*) AS n, round(avg(seconds), 2) AS mean, count(seconds) AS n_known FROM s GROUP BY stage"
 
 
+def _stage_events(spark, sf_dir):
+    """Job logs in which stages are skipped, come twice, have a wrong progress, or come after the end."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") * 4 + F.col("event_id") % 4).alias("job_id"), (F.col("user_id") % 10).alias("project_id"), "event_id", F.col("ts").alias("created_at"))
+    kind = F.when(F.col("job_id") % 2 == 0, "render").otherwise("ingest")
+    e = e.withColumn("kind", kind).withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("created_at", "event_id")))
+    names = F.when(F.col("kind") == "render", F.array(*[F.lit(x) for x, *_ in jobs.STAGES["render"]])).otherwise(F.array(*[F.lit(x) for x, *_ in jobs.STAGES["ingest"]]))
+    shift = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    stage = F.when(F.col("event_id") % 23 == 0, "failed").when(F.col("event_id") % 29 == 0, "dancing").otherwise(F.get(names, ((F.col("n") - 1 - F.floor(F.col("n") / 5) + shift) % F.size(names)).cast("int")))
+    rows = e.withColumn("stage", stage)
+    progress = F.when(F.col("event_id") % 31 == 0, 50)
+    status = F.lit("running")
+    for name, state, done in [x for steps in jobs.STAGES.values() for x in steps] + [jobs.FAILED]:
+        status = F.when(F.col("stage") == name, state).otherwise(status)
+        progress = F.coalesce(progress, F.when(F.col("stage") == name, done))
+    return rows.select("job_id", "project_id", "kind", "event_id", "created_at", "stage", status.alias("status"), F.coalesce(progress, F.lit(1)).alias("progress"))
+
+
+def e4_e5_refused_events(spark, sf_dir):
+    return jobs.run_through(_stage_events(spark, sf_dir)).select("job_id", "event_id", F.coalesce("state", F.lit("-")).alias("state"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
+def e4_e5_job_states(spark, sf_dir):
+    return jobs.job_states(_stage_events(spark, sf_dir), 200000.0).withColumn("state", F.coalesce("state", F.lit("-")))
+
+
+STEPS = """RECURSIVE steps(kind, pos, stage, status, progress) AS (VALUES
+  ('render', 0, 'queued', 'queued', 0), ('render', 1, 'running', 'running', 5), ('render', 2, 'build', 'running', 20), ('render', 3, 'render', 'running', 35), ('render', 4, 'complete', 'completed', 100), ('render', 9, 'failed', 'failed', 100),
+  ('ingest', 0, 'queued', 'queued', 0), ('ingest', 1, 'running', 'running', 5), ('ingest', 2, 'download', 'running', 20), ('ingest', 3, 'probe', 'running', 70), ('ingest', 4, 'register', 'running', 85), ('ingest', 5, 'complete', 'completed', 100), ('ingest', 9, 'failed', 'failed', 100)
+), raw AS (
+  SELECT user_id * 4 + event_id % 4 AS job_id, user_id % 10 AS project_id, event_id, ts AS created_at, CASE WHEN (user_id * 4 + event_id % 4) % 2 = 0 THEN 'render' ELSE 'ingest' END AS kind FROM events
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at, event_id) AS n, CASE kind WHEN 'render' THEN ['queued', 'running', 'build', 'render', 'complete'] ELSE ['queued', 'running', 'download', 'probe', 'register', 'complete'] END AS names FROM raw
+), named AS (
+  SELECT *, CASE WHEN event_id % 23 = 0 THEN 'failed' WHEN event_id % 29 = 0 THEN 'dancing' ELSE names[(n - 1 - n // 5 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) % len(names) + 1] END AS stage FROM ranked
+), e AS (
+  SELECT job_id, project_id, n.kind, event_id, created_at, n, n.stage, s.pos, CASE WHEN event_id % 31 = 0 THEN 50 ELSE coalesce(s.progress, 1) END AS progress, s.pos IS NOT NULL AND (event_id % 31 <> 0 OR s.progress = 50) AS fits
+  FROM named n LEFT JOIN steps s ON s.kind = n.kind AND s.stage = n.stage
+), f AS (
+  SELECT job_id, 0::BIGINT AS n, -1 AS pos, '-' AS state, NULL::BIGINT AS event_id, NULL::VARCHAR AS was, NULL::VARCHAR AS error FROM (SELECT DISTINCT job_id FROM e)
+  UNION ALL SELECT f.job_id, e.n, CASE WHEN ok THEN e.pos ELSE f.pos END, CASE WHEN ok THEN e.stage ELSE f.state END, e.event_id, f.state,
+    CASE WHEN ok THEN '-' WHEN e.pos IS NULL THEN 'unknown stage' WHEN NOT e.fits THEN 'wrong status or progress' WHEN f.state IN ('complete', 'failed') THEN 'ended' ELSE 'out of order' END
+  FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1,
+    LATERAL (SELECT e.fits AND (e.pos = f.pos + 1 OR (e.pos = 9 AND f.pos >= 0)) AND f.state NOT IN ('complete', 'failed') AS ok)
+)"""
+E45 = f"WITH {STEPS} SELECT job_id, event_id, was AS state, error FROM f WHERE n > 0"
+E45_STATES = f"""WITH {STEPS}, l AS (SELECT job_id, arg_max(state, n) AS state, count(*) - 1 AS n_events, count(*) FILTER (error <> '-') AS n_refused FROM f GROUP BY job_id),
+p AS (SELECT f.job_id, arg_max(e.progress, f.n) AS progress FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n WHERE error = '-' GROUP BY f.job_id),
+h AS (SELECT job_id, any_value(project_id) AS project_id, any_value(kind) AS kind, max(created_at) AS heard FROM e GROUP BY job_id)
+SELECT l.job_id, project_id, kind, state, CAST(coalesce(progress, 0) AS INTEGER) AS progress, n_events, n_refused,
+  (epoch_us((SELECT max(ts) FROM events)) - epoch_us(heard)) / 1e6 > 200000.0 AND state NOT IN ('complete', 'failed') AS silent
+FROM l JOIN h ON h.job_id = l.job_id LEFT JOIN p ON p.job_id = l.job_id"""
+
+
 def e6_s9_stream_flags(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit('{"has_audio": true}')).when(F.col("event_id") % 3 == 1, F.col("props")).alias("m"), F.when(F.col("event_id") % 2 == 0, F.col("value") > 50).alias("p"))
     return e.select("event_id", jobs.stream_flag(F.col("m"), "has_audio", F.col("p")).alias("has_audio"))
@@ -348,11 +401,11 @@ def s8_s16_k7_f10_files(spark, sf_dir):
     name = tx.file_name_of(F.col("url"))
     mime = F.when(F.col("page_id") % 3 == 0, "Audio/ogg").when(F.col("page_id") % 3 == 1, "x/y")
     file = F.concat(F.lit("f"), F.get(F.array(*map(F.lit, (".MP4", ".wav", ".txt", "", ".gif"))), (F.col("page_id") % 5).cast("int")))
-    return p.select("page_id", ingestible(F.col("url")).alias("ok"), media_type(mime, file).alias("kind"), name.alias("name"), tx.public_path(F.col("page_id").cast("string")).alias("public"))
+    return p.select("page_id", ingestible(F.col("url")).alias("ok"), media_type(mime, file).alias("kind"), name.alias("name"), tx.public_path(F.col("page_id").cast("string")).alias("public"), tx.resolved_path(F.concat(F.when(F.col("page_id") % 2 == 0, "/").otherwise(""), F.col("page_id").cast("string")), "/data/").alias("stored"))
 
 
 S8 = """SELECT page_id, TRUE AS ok, CASE WHEN page_id % 3 = 0 THEN 'audio' ELSE ['video','audio','unknown','unknown','image'][page_id % 5 + 1] END AS kind,
-  (CASE WHEN stem = '' THEN 'broll' ELSE stem END) || '.mp4' AS name, '/static/uploads/' || page_id AS public
+  (CASE WHEN stem = '' THEN 'broll' ELSE stem END) || '.mp4' AS name, '/static/uploads/' || page_id AS public, CASE WHEN page_id % 2 = 0 THEN '/' ELSE '/data/' END || page_id AS stored
 FROM (SELECT page_id, regexp_replace(regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/]*)/*$', 1), '\\.[^.]+$', '') AS stem FROM pages)"""
 
 QUERIES = {
@@ -378,6 +431,8 @@ QUERIES = {
     "e1_k5_active_jobs": (e1_k5_active_jobs, E1),
     "e2_orphans": (e2_orphans, E2),
     "e3_e4_stage_times": (e3_e4_stage_times, E3),
+    "e4_e5_refused_events": (e4_e5_refused_events, E45),
+    "e4_e5_job_states": (e4_e5_job_states, E45_STATES),
     "e6_s9_stream_flags": (e6_s9_stream_flags, E6),
     "s3_latest_per_key": (s3_latest_per_key, S3),
     "s5_s6_json_words": (s6_s5_json_words, S6),
