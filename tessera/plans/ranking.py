@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as num
 from tessera.functions import text as tx
-from tessera.operators import blocklist
+from tessera.operators import blocklist, search
 from tessera.operators import ranking as rk
 from tessera.sources.tables import table
 
@@ -93,6 +95,21 @@ SELECT doc_id, count(*) AS n,
   count(*) FILTER (contains(lower(w), 'th')) AS matches FROM w GROUP BY doc_id"""
 
 
+#: substrings that are looked for, in any case
+SEARCHES = ["the th", "QUE", "xyzzy", "o", "e.", "one and"]
+
+
+def p7_indexed_search(spark, sf_dir):
+    """Turns of conversations that contain each of some substrings, by an index of their trigrams."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    index = search.write_index(turns, ["conv_id", "turn"], "text")
+    hits = [search.found(turns, ["conv_id", "turn"], "text", q, index).select(F.lit(q).alias("query"), "conv_id", "turn") for q in SEARCHES]
+    return reduce(lambda a, b: a.union(b), hits)
+
+
+P7 = f"SELECT q.query, conv_id, turn FROM conversations JOIN (VALUES {', '.join(f'({q!r})' for q in SEARCHES)}) q(query) ON contains(lower(text), lower(q.query))"
+
+
 def p9_p10_blocked_and_latin(spark, sf_dir):
     terms = spark.createDataFrame([("idiot",), ("of the",), ("C++",), (" ",)], "term string")
     found = blocklist.blocked(docs(spark, sf_dir).select("doc_id", "text"), terms)
@@ -337,6 +354,7 @@ QUERIES = {
     "f4_expanded_queries": (f4_queries, F4),
     "f5_search_queries": (f5_search_queries, F5),
     "p3_p5_p6_p7_words": (p3_p5_p6_p7_words, P5),
+    "p7_indexed_search": (p7_indexed_search, P7),
     "p9_p10_blocked_and_latin": (p9_p10_blocked_and_latin, P9),
     "p9_blocked_by_long_list": (p9_blocked_by_long_list, P9_LONG),
     "f11_f12_p13_times": (f11_f12_times, F11),
