@@ -15,6 +15,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each page: its payload in the archive, as read back. Records are known by their places, so pages whose ids
+    repeat or are null each have one; a null html is an empty payload."""
     pages = _read(spark, sf_dir, "pages")
     chunks = warc.record_chunks(pages, "page_id", "url", "html", least_bytes=0)
     manifest = warc.write_warc(chunks, store.new_path(spark, "warc"))
@@ -23,11 +25,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once for each epoch that takes them. A null source is a source; rows that are equal in id,
+    source and number of tokens have one place and are taken together."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"))
     return mixing.mixed(store.written(docs, "token-counts"), mixing.Mix()).select("doc_id", "source", "n_tokens", "mix_epoch", "mix_block", F.round("mix_weight", 9).alias("mix_weight"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, read back from the shards. Null texts are empty; equal texts share a member's values; ids may
+    repeat or be null."""
     docs = _read(spark, sf_dir, "documents")
     rows = media.store_payloads(docs, store.new_path(spark, "shards"), "doc_id", "text")
     places = store.written(media.members(rows), "media-members")
@@ -49,6 +55,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document. Null texts are scored as empty ones; equal texts score alike; a row without an id has a null
+    held_out and is never learned from."""
     docs = _read(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     sample = toxicity.labelled_sample(docs, _read(spark, sf_dir, "labels").filter(~held_out), "doc_id", "toxic", "text")
@@ -58,6 +66,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, known by id and text; null and empty texts have no words and no hits."""
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("mark")
 
 
@@ -65,16 +74,20 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each page; rows that repeat are each judged, and a null url has an empty host and path."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: rows are known by id and text, which may repeat or be null; equal rows have the same spans."""
     docs = _read(spark, sf_dir, "documents")
     return pii.digests(docs, pii.personal_data(docs, "doc_id", "text"), "doc_id", "text")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document. Null and empty texts are one end token; a row without an id has a null held_out and isn't
+    learned from; repeated rows each count."""
     docs = _read(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 7
     rows = interpolation.scored(docs, remainder != 2, "doc_id", "text")
@@ -83,6 +96,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: texts without words are linked with nothing; rows that share an id are one component."""
     return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id", "kept")
 
 
