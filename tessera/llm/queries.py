@@ -96,7 +96,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document: texts without words are linked with nothing; rows that share an id are one component."""
+    """One row for each document. Texts without words are linked with nothing; rows that repeat an id stay separate, and a row
+    without an id belongs to its component but doesn't name it."""
     return neardup.duplicate_classes(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id", "kept")
 
 
