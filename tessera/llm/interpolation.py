@@ -94,7 +94,7 @@ def _bigrams(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each key by its upper 32 bits, so sorted keys lie in bucket order."""
-    return ((keys >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 CHUNKS = "chunk long, held boolean, n_tokens long, ids array<{}>, learned binary, lengths binary, text binary"
@@ -155,7 +155,7 @@ def _texts(row) -> pa.Array:
 def _keys_of(row) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Tokens, cuts, and for words and bigrams the sorted distinct keys with each token's place among them."""
     tokens, cuts = _tokens(_texts(row))
-    return tokens, cuts, [np.unique(k >> np.uint64(8), return_inverse=True) for k in (tokens, _bigrams(tokens, cuts))]
+    return tokens, cuts, [np.unique(k, return_inverse=True) for k in (tokens, _bigrams(tokens, cuts))]
 
 
 def _parts(chunks: DataFrame, buckets: int) -> DataFrame:
