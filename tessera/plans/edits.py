@@ -76,7 +76,7 @@ def v0_project_settings(spark, sf_dir):
 V0_PROJECT = """WITH c AS (SELECT o_orderkey AS project_id, o_orderkey % 8 AS z FROM orders)
 SELECT project_id, CASE z WHEN 0 THEN 1920 WHEN 6 THEN 300 ELSE 1080 END AS width, CASE z WHEN 0 THEN 1080 WHEN 6 THEN 400 ELSE 1920 END AS height, 30 AS fps, CASE WHEN z = 2 THEN 'webm' ELSE 'mp4' END AS format,
   CASE WHEN z = 2 THEN '4k' ELSE '1080p' END AS resolution, CASE WHEN z = 2 THEN 60 ELSE 30 END AS export_fps, CASE WHEN z = 2 THEN 'max' ELSE 'high' END AS quality,
-  'video 1.0 false ' || CASE WHEN z = 5 THEN 'true' ELSE 'false' END || CASE WHEN z = 4 THEN ',audio 0.0 true false' ELSE ',audio 1.0 false false' END || CASE WHEN z = 7 THEN ',overlay 0.3 false false' ELSE '' END AS tracks FROM c"""
+  'video 1.0 false ' || CASE WHEN z = 5 THEN 'true' ELSE 'false' END || CASE WHEN z = 4 THEN ',audio 0.0 true false' ELSE ',audio 1.0 false false' END || CASE WHEN z = 7 THEN ',overlay 0.3 false false' ELSE ',overlay 1.0 false false' END AS tracks FROM c"""
 
 SECOND_OPS = [("trim_clip", {"clip": "1", "start_sec": "5", "end_sec": "2"}), ("delete_clip", {"clip": "99"}), ("dance", {"clip": "1"}), ("split_clip", {"clip": "1", "at_sec": "1.5"})]
 
