@@ -168,17 +168,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 204
     candidate, but other rows with its id are. Vectors meet those with as many components; the empty ones meet each other
     with score 0. Queries without candidates have no rows.
 
-    Blocks of vectors meet groups of about two query blocks in tasks of about span vector blocks: a task holds a group and
+    Blocks of vectors meet groups of about two query blocks in tasks of up to about span vector blocks: a task holds a group and
     one block at a time, and hands on k rows a query. Each vector is sent once for each group. With whole numbers of up to 2**53 scores
     are exact; beyond, too, by slower sums; a score beyond 64 bits fails the query."""
     spark = vectors.sparkSession
     data = store.written(_blocks(vectors, block, True), "vector-blocks")
     asked = store.written(_blocks(queries, query_block, False), "query-blocks")
-    spans, groups = max(1, -(-data.count() // span)), max(1, asked.count() // 2)
+    partitions, blocks = int(spark.conf.get("spark.sql.shuffle.partitions")), data.count()
+    spans, groups = max(1, min(blocks, max(-(-blocks // span), partitions))), max(1, asked.count() // 2)
     number = lambda n: F.pmod(F.xxhash64("n_dims", "block"), F.lit(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     every = asked.withColumns({"g": number(groups), "s": to_all(spans), "kind": F.lit(0)}).unionByName(data.withColumns({"g": to_all(groups), "s": number(spans), "kind": F.lit(1)}))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spans)
+    tasks = max(partitions, spans)
     dealt = every.repartition(tasks, "g", "s").sortWithinPartitions("g", "s", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
