@@ -50,7 +50,7 @@ def failure_counts(docs: DataFrame, failures: dict[str, Column], id_col: str = "
     failure of rows whose whole text some row with a smaller id has, anywhere in the table.
 
     Labels (id_col, and marks that are 1 where they hold) may repeat ids: a mark holds if it does in any. Documents
-    without labels have none. Only ids, digests and bits are shuffled, not texts."""
+    without labels, or without an id, have none. Only ids, digests and bits are shuffled, not texts."""
     flags = [(name, F.coalesce(failed, F.lit(False))) for name, failed in failures.items()]
     slim = docs.select(
         F.col(id_col).alias("id"),
