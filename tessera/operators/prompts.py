@@ -137,19 +137,21 @@ def parsed(prompts: DataFrame, column: str = "prompt") -> DataFrame:
     """Adds op_type, params (map of strings), confidence, error and suggestions to prompts. The first phrase that a
     prompt says decides; one of its timecodes that can't be read is an error, as are empty and unknown prompts (no
     operation, confidence 0), for which there are suggestions."""
-    rows = prompts.withColumn("_p", plain_prompt(F.col(column)))
+    # an array of one is exploded so that later steps read the value instead of repeating its expression
+    once = lambda c: F.explode(F.array(c))
+    rows = prompts.withColumn("_p", once(plain_prompt(F.col(column))))
     every = [compiled(phrase) for phrase, *_ in PHRASES]
     said, params, timed = F.lit(-1), F.lit(None).cast("map<string,string>"), F.lit(True)
     for i, (pattern, _) in reversed(list(enumerate(every))):
         said = F.when(F.col("_p").rlike(pattern), i).otherwise(said)
-    rows = rows.withColumn("_g", said)
+    rows = rows.withColumn("_g", once(said))
     for i, (pattern, slots) in enumerate(every):
         values = {s.name: _value(F.col("_p"), pattern, s) for s in slots} | {k: F.lit(v) for k, v in PHRASES[i][3].items()}
         params = F.when(F.col("_g") == i, F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).otherwise(params)
         for s in slots:
             if s.kind == "time":
                 timed = timed & ~((F.col("_g") == i) & F.col("params")[s.name].isNull())
-    rows = rows.withColumn("params", params)
+    rows = rows.withColumn("params", once(params))
     pick = lambda k, kind: F.get(F.array(*[F.lit(p[k]) for p in PHRASES]), F.col("_g")).cast(kind)
     ok = (F.col("_g") >= 0) & timed
     error = F.when(F.col("_p") == "", "empty prompt").when(F.col("_g") < 0, "unknown command").when(~timed, "invalid timecode")
