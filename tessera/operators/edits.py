@@ -390,6 +390,33 @@ def live_versions(log: DataFrame) -> DataFrame:
     return rows.select("project_id", (F.col("i") + 1).alias("version"), "saved_seq", (F.col("i") + 1 == F.col("head")).alias("is_head"))
 
 
+SAVED = "kind string, version long, state string, op_type string, source string, payload string"
+
+
+def saved(heads: DataFrame, saves: DataFrame) -> DataFrame:
+    """What saves add to a store, as one table: kind, project_id, version, state, op_type, source and payload. A save
+    (project_id, seq, state, op_type, source, payload) is a version, numbered on from its project's head (project_id,
+    head; none: 0), and, if it names an operation, a row of the operation log. Written by one partitioned write, both
+    are there or neither is."""
+    order = Window.partitionBy("project_id").orderBy("seq")
+    rows = saves.join(heads.select("project_id", "head"), "project_id", "left").withColumn("version", F.coalesce("head", F.lit(0)).cast("long") + F.row_number().over(order))
+    none = F.lit(None).cast("string")
+    version = F.struct(F.lit("version").alias("kind"), "version", "state", none.alias("op_type"), none.alias("source"), none.alias("payload"))
+    operation = F.when(F.col("op_type").isNotNull(), F.struct(F.lit("operation").alias("kind"), "version", none.alias("state"), "op_type", F.coalesce("source", F.lit("ui")).alias("source"), "payload"))
+    made = F.filter(F.array(version.cast(f"struct<{_typed(SAVED)}>"), operation.cast(f"struct<{_typed(SAVED)}>")), lambda x: x.isNotNull())
+    return rows.select("project_id", F.explode(made).alias("r")).select("r.kind", "project_id", "r.version", "r.state", "r.op_type", "r.source", "r.payload")
+
+
+def _typed(schema: str) -> str:
+    return ",".join(":".join(field.split(" ")) for field in schema.split(", "))
+
+
+def dropped_versions(versions: DataFrame, heads: DataFrame, saves: DataFrame) -> DataFrame:
+    """The versions (project_id, version) that go with such saves: those over the head of a project that saves."""
+    at = heads.join(saves.select("project_id").distinct(), "project_id", "left_semi")
+    return versions.join(at.select("project_id", "head"), "project_id").filter("version > head").drop("head")
+
+
 def undo_stack(log: DataFrame, depth: int = 80) -> DataFrame:
     """The editor's own stacks after a log (project_id, seq, action: change, undo or redo): project_id, undo and redo
     with the seqs of the changes that can be undone and redone, the latest last. A change empties the redo stack, and

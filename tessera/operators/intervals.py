@@ -239,9 +239,3 @@ def to_edited_time(times: DataFrame, clips: DataFrame) -> DataFrame:
     far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("far"), F.col(f"{c}.o").alias("o"), F.col(f"{c}.e").alias("e"), F.col(f"{c}.to").alias("to")))
     both = near.join(inside, ["key", "t"], "left")
     return both.select("key", "t", F.round(F.coalesce("in.p", F.least(far("back"), far("on")).getField("to")), 3).alias("edited_sec"))
-
-
-def clamp(x: Column | str, low: float, high: float) -> Column:
-    """x within [low, high]; null stays null."""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(x, F.lit(high))))

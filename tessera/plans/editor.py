@@ -8,6 +8,7 @@ from tessera.functions import numeric as num
 from tessera.functions import text as tx
 from tessera.operators import documents
 from tessera.operators import slots as sl
+from tessera.operators.scan import scanned, so_far, spread
 from tessera.operators.transcripts import least_words
 from tessera.plans.intervals import WORDS, durations, silences, words
 from tessera.sources.tables import table
@@ -106,6 +107,19 @@ def u1_u3_u4_sets(spark, sf_dir):
 U1 = f"WITH {WORDS}, u AS (SELECT key, start_sec, end_sec FROM silences UNION SELECT key, start_sec, end_sec FROM words WHERE text = 'error') SELECT (SELECT count(*) FROM u) AS united, count(*) FILTER (word_id % 2 = 0) AS less, count(*) FILTER (word_id % 2 = 1) AS both FROM words WHERE text = 'click'"
 
 
+def u2_ordered_union(spark, sf_dir):
+    """All words, and the errors once more half a second later, in one order."""
+    w = words(spark, sf_dir).select("key", "text", "start_sec", "end_sec")
+    again = w.filter("text = 'error'").withColumns({"start_sec": F.col("start_sec") + 0.5, "end_sec": F.col("end_sec") + 0.5})
+    rows = spread(w.unionByName(again), "start_sec", "end_sec", "text")
+    placed = scanned(rows, ["start_sec", "end_sec", "text"], {"place": so_far("sum", F.lit(1))})
+    return placed.select("key", F.col("place").cast("int").alias("place"), "text", F.round("start_sec", 3).alias("start_sec"))
+
+
+U2 = f"""WITH {WORDS}, u AS (SELECT key, text, start_sec, end_sec FROM words UNION ALL SELECT key, text, start_sec + 0.5, end_sec + 0.5 FROM words WHERE text = 'error')
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY start_sec, end_sec, text) AS INT) AS place, text, round(start_sec, 3) AS start_sec FROM u"""
+
+
 def f8_f9_candidate_text(spark, sf_dir):
     """Events as candidates whose metadata is a document five levels deep around their own properties."""
     e = table(spark, sf_dir, "events")
@@ -170,6 +184,7 @@ W24 = """WITH t AS (SELECT l_orderkey AS p, l_linestatus AS k, max(l_discount) >
 SELECT p AS project_id, k AS track, count(*) AS n, round(sum(CASE WHEN l_tax > 0.06 THEN 0.0 ELSE l_quantity * 0.5 END), 3) AS volume FROM a JOIN lineitem ON l_orderkey = p AND l_linestatus = k WHERE sounds GROUP BY 1, 2"""
 
 QUERIES = {
+    "u2_ordered_union": (u2_ordered_union, U2),
     "s1_s2_scans": (s1_s2_scans, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "s4_projects": (s4_projects, S4),
     "p8_low_confidence": (p8_low_confidence, P8),

@@ -175,6 +175,30 @@ e AS (SELECT p, arg_max(h, k) AS head, arg_max(t, k) AS top FROM f GROUP BY p)
 SELECT f.p AS project_id, f.h AS version, max(f.k) AS saved_seq, f.h = any_value(e.head) AS is_head FROM f JOIN e ON e.p = f.p WHERE f.x = 'save' AND f.h <= e.top GROUP BY f.p, f.h"""
 
 
+def k1_saved(spark, sf_dir):
+    """The large orders of each customer as saves on top of its log, with the operation that half of them name."""
+    o = table(spark, sf_dir, "orders").filter("o_totalprice > 200000")
+    op = F.when(F.col("o_orderkey") % 2 == 0, "trim_clip")
+    saves = o.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("state"), op.alias("op_type"), F.when(F.col("o_orderkey") % 4 == 0, "prompt").alias("source"), F.col("o_orderstatus").alias("payload"))
+    return edits.saved(edits.versions(_log(spark, sf_dir)), saves)
+
+
+def k1_dropped_versions(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    saves = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("project_id"))
+    return edits.dropped_versions(edits.live_versions(log).select("project_id", "version"), edits.versions(log), saves)
+
+
+K1_HEADS = """l AS (SELECT o_custkey AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, CASE WHEN o_orderstatus = 'F' THEN 'undo' WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'redo' ELSE 'save' END AS x FROM orders),
+f AS (SELECT DISTINCT p, 0::BIGINT AS k, 0 AS h, 0 AS t FROM l
+  UNION ALL SELECT f.p, l.k, CASE WHEN x = 'save' THEN h + 1 WHEN x = 'undo' AND h > 0 THEN h - 1 WHEN x = 'redo' AND h < t THEN h + 1 ELSE h END, CASE WHEN x = 'save' THEN h + 1 ELSE t END FROM f JOIN l ON l.p = f.p AND l.k = f.k + 1),
+heads AS (SELECT p AS project_id, arg_max(h, k) AS head, arg_max(t, k) AS top FROM f GROUP BY p)"""
+K1_SAVED = f"""WITH RECURSIVE {K1_HEADS}, s AS (SELECT o_custkey AS project_id, head + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderkey AS k, o_orderpriority, o_orderstatus FROM orders JOIN heads ON project_id = o_custkey WHERE o_totalprice > 200000)
+SELECT 'version' AS kind, project_id, version, o_orderpriority AS state, NULL::VARCHAR AS op_type, NULL::VARCHAR AS source, NULL::VARCHAR AS payload FROM s
+UNION ALL SELECT 'operation', project_id, version, NULL, 'trim_clip', CASE WHEN k % 4 = 0 THEN 'prompt' ELSE 'ui' END, o_orderstatus FROM s WHERE k % 2 = 0"""
+K1_DROPPED = f"WITH RECURSIVE {K1_HEADS} SELECT project_id, unnest(range(head + 1, top + 1))::INT AS version FROM heads WHERE project_id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"
+
+
 def v7_undo_stacks(spark, sf_dir):
     """Stacks of four, so that some overflow."""
     log = _log(spark, sf_dir).withColumn("action", F.when(F.col("action") == "save", "change").otherwise(F.col("action")))
@@ -204,6 +228,8 @@ QUERIES = {
     "v6_batches": (v6_batches, V6),
     "v6_batch_results": (v6_batch_results, V6_RESULTS),
     "k1_live_versions": (k1_live_versions, K1),
+    "k1_saved": (k1_saved, K1_SAVED),
+    "k1_dropped_versions": (k1_dropped_versions, K1_DROPPED),
     "v7_undo_stacks": (v7_undo_stacks, V7),
     "v5_default_timelines": (v5_default_timelines, V5),
 }
