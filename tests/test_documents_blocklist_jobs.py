@@ -234,3 +234,49 @@ def test_import_changes_nothing(spark):
     clips = edits.new_clips(spark.createDataFrame([("p", "video", 1, "c1", "a", 0.0, 2.0, 0.0, 1.0)], "project_id string, track string, ord int, clip_id string, asset_id string, start_sec double, end_sec double, timeline_start_sec double, speed double"))
     op = spark.createDataFrame([("p", "import_media", {"asset_id": "z"})], "project_id string, op_type string, params map<string,string>")
     assert edits.apply_round(clips, op).collect() == clips.collect() and edits.errors(clips, op).count() == 0
+
+
+# ranking and undo
+
+SAMPLES = [
+    (
+        ("Elon Musk shared the next SpaceX launch plan this morning.", "elon musk spacex launch", ["elon", "musk", "spacex", "launch"], 3.2),
+        [
+            ("rocket", "Pexels 112233 - Rocket liftoff", "pexels_video", "https://example.com/rocket-liftoff.mp4", "rocket launch", [], 4.0, 0.64, 0.306),
+            ("office", "office-team-meeting.mp4", "project_asset", None, None, ["team"], 12.0, 0.72, 0.229),
+            ("satellite", "Pixabay 99887 - Satellite in orbit", "pixabay_video", "https://example.com/satellite.mp4", "satellite orbit", [], 3.1, 0.61, 0.247),
+        ],
+    ),
+    (
+        ("We toured the apple orchard during sunrise in Himachal.", "apple orchard himachal sunrise", ["apple", "orchard", "himachal", "sunrise"], 2.5),
+        [
+            ("orchard", "mountain-orchard-broll.mp4", "project_asset", None, None, ["orchard", "mountain"], 6.0, 0.58, 0.275),
+            ("traffic", "Pexels 445566 - busy city traffic", "pexels_video", "https://example.com/city-traffic.mp4", "city lifestyle", [], 2.8, 0.66, 0.259),
+            ("apples", "Pixabay 77661 - Fresh apples on tree", "pixabay_video", "https://example.com/apples-tree.mp4", "apple farm", [], 2.4, 0.55, 0.290),
+        ],
+    ),
+]
+
+
+def test_candidates_are_ranked_again(spark):
+    """G18: without models, the candidate about the slot comes first in both samples."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ranking
+
+    rows = [(*slot, *c[:8]) for slot, candidates in SAMPLES for c in candidates]
+    schema = "slot_text string, concept string, concepts array<string>, slot_sec double, name string, label string, source string, url string, query string, keyword_hits array<string>, duration_sec double, base double"
+    said = tx.candidate_text(F.col("label"), F.col("source"), F.col("query"), F.col("url"), F.col("keyword_hits"))
+    got = {x.name: x.score for x in ranking.reranked(spark.createDataFrame(rows, schema).withColumn("text", said)).collect()}
+    assert got == {c[0]: pytest.approx(c[8], abs=0.0011) for _, candidates in SAMPLES for c in candidates}
+
+
+def test_undo_of_automatic_overlays(spark):
+    """G17: overlays that were added as one version are gone after one undo."""
+    clips = edits.new_clips(spark.createDataFrame([("p", "video", 1, "c1", "a", 0.0, 9.0, 0.0, 1.0)], "project_id string, track string, ord int, clip_id string, asset_id string, start_sec double, end_sec double, timeline_start_sec double, speed double"))
+    op = spark.createDataFrame([("p", "add_broll_clip", {"asset_id": "z", "end_sec": "2"})], "project_id string, op_type string, params map<string,string>")
+    state = {0: clips, 1: edits.apply_round(clips, op)}
+    log = [("p", 1, "save")]
+    head = lambda rows: edits.versions(spark.createDataFrame(rows, "project_id string, seq int, action string")).first()["head"]
+    overlays = lambda rows: state[head(rows)].filter("track = 'overlay'").count()
+    assert overlays(log) == 1 and overlays([*log, ("p", 2, "undo")]) == 0
