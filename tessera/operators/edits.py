@@ -195,6 +195,8 @@ def _captioned(clips: DataFrame, ops: DataFrame) -> DataFrame:
         number("max_words_per_caption", 3, 1, 8.0).cast("int").alias("most_words"), number("max_chars_per_caption", 42, 10, 80.0).cast("int").alias("most_chars"), number("max_gap_sec", 0.55, 0.05).alias("gap"),
         F.when(F.lower(F.trim(_p("style"))).isin(*STYLES), F.lower(F.trim(_p("style")))).otherwise("karaoke").alias("style"),
     ).filter(F.size("said") > 0)
+    if mine.isEmpty():  # captions are walked, which takes jobs of its own
+        return clips
     video = clips.filter("track = 'video'").join(mine, "project_id").filter("of_asset is null or of_asset = asset_id")
     heard = video.select(F.struct("project_id", "clip_id").alias("key"), "start_sec", "end_sec", "most_words", "most_chars", "gap", F.posexplode("said").alias("seq", "w"))
     heard = heard.filter((F.coalesce(F.col("w.end_sec"), F.lit(0.0)) > F.col("start_sec")) & (F.coalesce(F.col("w.start_sec"), F.lit(0.0)) < F.col("end_sec")))
