@@ -117,3 +117,11 @@ def test_toxicity_query(spark, tmp_path):
     held = [(x.predicted, int(x.doc_id % 4 == 0)) for x in got if x.held_out and x.doc_id < 500]
     assert len(held) > 60 and sum(a == b for a, b in held) / len(held) > 0.95
     assert len({x.score for x in got if x.doc_id == 4}) == 1
+
+
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    urls = ["http://a.net/de/1", "http://net/de/", "http://example.net/de/7", "http://example.net/de/8", "http://x.com/en/", "http://example.com/en/7", "http://a.org/es/", "http://a.org/de/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op7_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["allow", "allow", "allow", "block", "block", "allow", "block", "allow"]
+    assert [r.rule for r in got] == ["net/de/", "net/de/", "net/de/", "example.net/de/8", "com/en/", "example.com/en/7", "org/es/", None]
