@@ -64,6 +64,7 @@ def better(first: DataFrame, second: DataFrame, least: int = 30) -> DataFrame:
     both = a.join(b, "key", "full")
     ratio = lambda x: F.col(f"{x}_n_low") / F.greatest(f"{x}_n_scored", F.lit(1))
     scored = (F.col("a_n_scored") >= least) & (F.col("b_n_scored") >= least)
+    # the last bits of a mean hang on the order in which it was summed up, so means are compared to nine places
     rule = (
         F.when(F.col("a_n").isNull(), "second")
         .when(F.col("b_n").isNull(), "first")
@@ -72,7 +73,7 @@ def better(first: DataFrame, second: DataFrame, least: int = 30) -> DataFrame:
         .when(F.col("b_coverage") >= F.col("a_coverage") + 0.08, "second")
         .when(F.col("b_max_gap") + 5.0 <= F.col("a_max_gap"), "second")
         .when(scored & (ratio("b") + 0.05 <= ratio("a")), "second")
-        .when(scored & (ratio("b") <= ratio("a") + 0.01) & (F.col("b_avg_confidence") >= F.col("a_avg_confidence") + 0.03), "second")
+        .when(scored & (ratio("b") <= ratio("a") + 0.01) & (F.round(F.col("b_avg_confidence") - F.col("a_avg_confidence"), 9) >= 0.03), "second")
         .otherwise("first")
     )
     return both.select("key", rule.alias("take"))

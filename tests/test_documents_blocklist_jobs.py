@@ -280,3 +280,12 @@ def test_undo_of_automatic_overlays(spark):
     head = lambda rows: edits.versions(spark.createDataFrame(rows, "project_id string, seq int, action string")).first()["head"]
     overlays = lambda rows: state[head(rows)].filter("track = 'overlay'").count()
     assert overlays(log) == 1 and overlays([*log, ("p", 2, "undo")]) == 0
+
+
+@pytest.mark.parametrize("last_bits", [0.6211666666666665, 0.6211666666666666, 0.6211666666666668])
+def test_means_that_differ_by_just_the_threshold(spark, last_bits):
+    """Means of the same confidences, summed up in different orders."""
+    columns = "key int, n long, n_scored long, n_low long, avg_confidence double, max_gap double, coverage double, low_coverage boolean"
+    first = spark.createDataFrame([(1, 72, 60, 31, 0.5911666666666666, 9.0, 0.5, False)], columns)
+    second = spark.createDataFrame([(1, 59, 54, 28, last_bits, 9.0, 0.5, False)], columns)
+    assert [x["take"] for x in ts.better(first, second).collect()] == ["second"]
