@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as num
 from tessera.functions import text as tx
+from tessera.sources.stored import dealt, written
 
 
 def top_per_group(rows: DataFrame, group: list[str], k: int, order: list[Column]) -> DataFrame:
@@ -35,47 +36,73 @@ def local_scores(slots: DataFrame, assets: DataFrame, k: int = 4) -> DataFrame:
     """The k best assets of a slot's project: slots have project_id, slot_id, concepts, slot_sec and own_asset; assets
     project_id, asset_id, filename, duration_sec and created_at. Newer assets score higher; ties keep that order.
 
-    Only pairs that can be among the k best are formed (see _promising), so the work grows with the slots and the
-    assets, not with their product."""
+    Slots of a project that have the same concepts and length score its assets alike, but for their own, which score less:
+    so the k + 1 best are looked for once for each such kind of slot, and a slot's k best are among them. Only pairs that
+    can be among these are formed (see _promising), so the work grows with the slots and the assets, not with their
+    product. Joins are by shuffling, as files of few bytes may hold many rows."""
     project = Window.partitionBy("project_id")
     newest = project.orderBy(F.desc("created_at"), F.desc("asset_id"))
     sizes = assets.groupBy("project_id").agg(F.count("*").alias("total"))
     placed = assets.withColumns({"place": F.row_number().over(newest) - 1, "terms": F.array_distinct(tx.tokens(F.col("filename")))}).join(sizes, "project_id")
-    pairs = _promising(slots, placed, k).join(slots, ["project_id", "slot_id"]).join(placed, ["project_id", "asset_id"])
-    hits = F.filter("concepts", lambda t: F.array_contains(F.col("terms"), t))
-    semantic = F.when(F.size("concepts") > 0, F.least(F.size("hits") / F.greatest(F.size("concepts"), F.lit(1)) * 0.45, F.lit(0.45))).otherwise(0.0)
-    diverse = F.when(F.col("asset_id").eqNullSafe(F.col("own_asset")), 0.06).otherwise(0.18)
-    long = F.when((F.col("duration_sec") > 0) & (F.col("duration_sec") >= F.greatest("slot_sec", F.lit(1.0))), 0.12).otherwise(0.05)
-    recent = (1 - F.col("place") / F.greatest("total", F.lit(1))) * 0.15
-    scored = pairs.withColumn("hits", hits).withColumn("score", num.clamp(F.round(0.20 + semantic + diverse + long + recent, 3)))
+    placed = written(placed.select("project_id", "asset_id", "filename", "duration_sec", "place", "total", "terms"))
+    known = slots.select("project_id", "slot_id", "own_asset", "concepts", F.coalesce("concepts", F.array().cast("array<string>")).alias("c"), F.coalesce("slot_sec", F.lit(1.0)).alias("sec"))
+    kinds = written(known.select("project_id", "c", "sec").distinct().withColumn("kind", F.monotonically_increasing_id()))
+
+    def score(diverse: Column | float) -> Column:
+        semantic = F.when(F.size("c") > 0, F.least(F.size("hits") / F.greatest(F.size("c"), F.lit(1)) * 0.45, F.lit(0.45))).otherwise(0.0)
+        long = F.when((F.col("duration_sec") > 0) & (F.col("duration_sec") >= F.greatest("sec", F.lit(1.0))), 0.12).otherwise(0.05)
+        recent = (1 - F.col("place") / F.greatest("total", F.lit(1))) * 0.15
+        return num.clamp(F.round(0.20 + semantic + (F.lit(diverse) if isinstance(diverse, float) else diverse) + long + recent, 3))
+
+    as_slots = kinds.select("project_id", F.col("kind").alias("slot_id"), F.col("c").alias("concepts"), F.col("sec").alias("slot_sec"))
+    pairs = _promising(as_slots, placed, k).withColumnRenamed("slot_id", "kind").join(placed.hint("merge"), ["project_id", "asset_id"]).join(kinds.hint("merge"), ["project_id", "kind"])
+    pairs = pairs.withColumn("hits", F.filter("c", lambda t: F.array_contains(F.col("terms"), t))).drop("terms").withColumn("alike", score(0.18))
+    best = top_per_group(pairs, ["kind"], k + 1, [F.desc("alike"), F.col("place")]).drop("rank", "alike", "c", "sec")
+    mine = known.join(kinds.hint("merge"), ["project_id", "c", "sec"]).join(best.hint("merge"), ["project_id", "kind"])
+    scored = mine.withColumn("score", score(F.when(F.col("asset_id").eqNullSafe(F.col("own_asset")), 0.06).otherwise(0.18)))
+    scored = scored.withColumn("hits", F.when(F.col("concepts").isNotNull(), F.col("hits")))
     return top_per_group(scored, ["slot_id"], k, [F.desc("score"), F.col("place")]).select("slot_id", "asset_id", "filename", "duration_sec", "hits", "score", "rank")
 
 
+def _longest_yet(rows: DataFrame, by: list[str], layers: int) -> DataFrame:
+    """rows (place, duration_sec) without those that layers or more others of their group beat, by an earlier place and a
+    duration that isn't shorter. Rows longer than all before them are the first layer, those longer than all others before
+    them the second, and so on: a row beyond the last one is beaten by one of each layer."""
+    line = Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_left": F.lit(True), "_most": F.lit(None).cast("double")})
+    for _ in range(layers):
+        rows = rows.withColumn("_most", F.max(F.when(F.col("_left"), F.col("duration_sec"))).over(line))
+        rows = rows.withColumn("_left", F.col("_left") & F.coalesce(F.col("duration_sec") <= F.col("_most"), F.lit(False)))
+    return rows.filter("not _left").drop("_left", "_most")
+
+
 def _promising(slots: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     """(project_id, slot_id, asset_id), with every asset that may be among a slot's k best.
 
     Take the assets that have all terms of a set S of a slot's concepts, and among them those that are long enough for
     the slot. One that hits just S scores no more than those before it in place, but for the slot's own asset: so it
     is among the first k + 1 of them, or of all that have S if it is too short. These lists are made once for each
-    project and set (and class of length: within the slot's own class all are taken), whatever the number of slots."""
+    project and set, and class of length, whatever the number of slots. Within the slot's own class they are among the
+    assets that less than k + 1 earlier ones equal in length (see _longest_yet): some (k + 1) log n of n."""
     length = lambda seconds: F.floor(8 * F.log2(F.greatest(seconds, F.lit(1.0)))).cast("int")
     sets = lambda items, most: F.filter(F.transform(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(items)) - 1), lambda b: F.filter(items, lambda x, i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(1)) == 1)), lambda s: F.size(s) <= most)
-    known = slots.select("project_id", "slot_id", F.array_sort(F.array_distinct(F.coalesce("concepts", F.array().cast("array<string>")))).alias("c"), length(F.coalesce("slot_sec", F.lit(1.0))).alias("class"))
+    known = slots.select("project_id", "slot_id", F.array_sort(F.array_distinct(F.coalesce("concepts", F.array().cast("array<string>")))).alias("c"), F.coalesce("slot_sec", F.lit(1.0)).alias("sec"), length(F.coalesce("slot_sec", F.lit(1.0))).alias("class"))
     few, many = known.filter(F.size("c") <= CONCEPTS), known.filter(F.size("c") > CONCEPTS)
-    wanted = few.select("project_id", "slot_id", "class", F.explode(sets(F.col("c"), CONCEPTS)).alias("s")).withColumn("s", F.concat_ws("\x01", "s"))
+    wanted = few.select("project_id", "slot_id", "sec", "class", F.explode(sets(F.col("c"), CONCEPTS)).alias("s")).withColumn("s", F.concat_ws("\x01", "s"))
     named = known.select("project_id", F.explode("c").alias("term")).distinct()
-    base = placed.select("project_id", "asset_id", "place", length(F.col("duration_sec")).alias("long"), (F.col("duration_sec") > 0).alias("timed"), "terms")
-    terms = base.select("project_id", "asset_id", F.explode("terms").alias("term")).join(named, ["project_id", "term"]).groupBy("project_id", "asset_id").agg(F.array_sort(F.collect_set("term")).alias("t"))
-    base = base.drop("terms").join(terms, ["project_id", "asset_id"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
-    lists = base.filter(F.size("t") <= TERMS).select("project_id", "asset_id", "place", "timed", "long", F.explode(sets(F.col("t"), CONCEPTS)).alias("s")).withColumn("s", F.concat_ws("\x01", "s"))
-    lists = lists.join(wanted.select("project_id", "s").distinct(), ["project_id", "s"])
+    base = placed.select("project_id", "asset_id", "place", "duration_sec", length(F.col("duration_sec")).alias("long"), (F.col("duration_sec") > 0).alias("timed"), "terms")
+    terms = base.select("project_id", "asset_id", F.explode("terms").alias("term")).join(named.hint("merge"), ["project_id", "term"]).groupBy("project_id", "asset_id").agg(F.array_sort(F.collect_set("term")).alias("t"))
+    base = base.drop("terms").join(terms.hint("merge"), ["project_id", "asset_id"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    lists = base.filter(F.size("t") <= TERMS).select("project_id", "asset_id", "place", "timed", "duration_sec", "long", F.explode(sets(F.col("t"), CONCEPTS)).alias("s")).withColumn("s", F.concat_ws("\x01", "s"))
+    lists = written(lists.join(wanted.select("project_id", "s").distinct().hint("merge"), ["project_id", "s"]))
     first = lambda rows, *by: top_per_group(rows, ["project_id", "s", *by], k + 1, [F.col("place")]).drop("rank")
-    any_length = wanted.join(first(lists).select("project_id", "s", "asset_id"), ["project_id", "s"])
+    any_length = wanted.join(first(lists).select("project_id", "s", "asset_id").hint("merge"), ["project_id", "s"])
     timed = lists.filter("timed")
     classes = wanted.select("project_id", "s", "class").distinct()
-    longer = first(classes.join(first(timed, "long"), ["project_id", "s"]).filter(F.col("long") > F.col("class")), "class").select("project_id", "s", "class", "asset_id")
-    alike = classes.join(timed, (classes["project_id"] == timed["project_id"]) & (classes["s"] == timed["s"]) & (classes["class"] == timed["long"])).select(classes["project_id"], classes["s"], "class", "asset_id")
-    by_length = wanted.join(longer.union(alike), ["project_id", "s", "class"])
+    longer = first(classes.join(first(timed, "long").hint("merge"), ["project_id", "s"]).filter(F.col("long") > F.col("class")), "class").select("project_id", "s", "class", "asset_id")
+    alike = _longest_yet(timed, ["project_id", "s", "long"], k + 1).select("project_id", "s", F.col("long").alias("class"), "asset_id", "duration_sec")
+    at_least = F.col("duration_sec") >= F.greatest("sec", F.lit(1.0))
+    by_length = wanted.join(longer.withColumn("duration_sec", F.lit(float("inf"))).unionByName(alike).hint("merge"), ["project_id", "s", "class"]).filter(at_least)
     out = any_length.select("project_id", "slot_id", "asset_id").union(by_length.select("project_id", "slot_id", "asset_id"))
     out = out.union(many.join(base, "project_id").select("project_id", "slot_id", "asset_id")).union(few.join(base.filter(F.size("t") > TERMS), "project_id").select("project_id", "slot_id", "asset_id"))
     return out.distinct()
@@ -86,7 +113,7 @@ def provider_scores(hits: DataFrame, base: float, limit: int) -> DataFrame:
     the limit best of a slot."""
     size = num.orientation_score(F.col("width"), F.col("height")) + num.resolution_score(F.col("width"), F.col("height"))
     score = F.round(num.clamp(base + num.provider_duration_score(F.col("duration_sec"), F.col("slot_sec")) + size + num.rank_bonus(F.col("place"), F.col("total")), 0.0, 0.99) + 1e-9, 3)
-    scored = best_of_each(hits.withColumn("score", score), ["slot_id", "url"], [-F.col("score"), F.col("place")])
+    scored = best_of_each(dealt(hits.withColumn("score", score), "slot_id"), ["slot_id", "url"], [-F.col("score"), F.col("place")])
     return top_per_group(scored, ["slot_id"], limit, [F.desc("score"), F.col("place"), F.col("url")])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import ranking as rk
 from tessera.operators import segments
+from tessera.sources.stored import written
 
 
 def slots_of(words: DataFrame, least_words: int = 4, most: int = 40) -> DataFrame:
@@ -18,10 +19,11 @@ def slots_of(words: DataFrame, least_words: int = 4, most: int = 40) -> DataFram
     chunks = segments.slot_chunks(words, least_words, most)
     rows = tx.with_concepts(chunks.withColumnRenamed("text", "slot_text"), "slot_text").withColumn("concept", tx.concept_text(F.col("concepts")))
     queries = tx.expanded_queries(F.col("slot_text"), F.col("concept"), F.col("concepts"), tx.entities(F.col("slot_text")))
-    return rows.select(
+    # written, as what suggests to slots comes back to them
+    return written(rows.select(
         F.concat_ws("/", "key", "chunk").alias("slot_id"), F.col("key").alias("project_id"), F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"),
         F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(0.1)).alias("slot_sec"), "slot_text", "concept", "concepts", queries.alias("queries"),
-    )
+    ))
 
 
 def candidates_of(slots: DataFrame, assets: DataFrame, hits: Callable[[DataFrame], DataFrame] | None, per_slot: int = 5, base: float = 0.42, rerank: bool = True) -> DataFrame:
@@ -30,12 +32,12 @@ def candidates_of(slots: DataFrame, assets: DataFrame, hits: Callable[[DataFrame
     found for slots (slot_id, url, place, total, duration_sec, width, height); without it only assets are ranked."""
     own = assets.filter("own").groupBy("project_id").agg(F.min("asset_id").alias("own_asset"))
     local = rk.local_scores(slots.join(own, "project_id", "left"), assets, per_slot).withColumn("url", F.lit(None).cast("string"))
-    found = hits(slots).join(slots.select("slot_id", "slot_sec"), "slot_id") if hits else None
+    found = written(hits(slots).join(slots.select("slot_id", "slot_sec").hint("merge"), "slot_id")) if hits else None
     columns = ["slot_id", "asset_id", "url", "score", "rank"]
     external = rk.provider_scores(found, base, per_slot).withColumn("asset_id", F.lit(None).cast(dict(assets.dtypes)["asset_id"])).select(*columns) if hits else local.select(*columns).limit(0)
-    mixed = rk.mixed(local.select(*columns), external, per_slot)
-    rows = mixed.join(slots, "slot_id").join(assets.select("project_id", "asset_id", F.col("filename").alias("a_name"), F.col("duration_sec").alias("a_sec")), ["project_id", "asset_id"], "left")
-    rows = rows.join(found.groupBy("slot_id", "url").agg(F.max("duration_sec").alias("u_sec")), ["slot_id", "url"], "left") if hits else rows.withColumn("u_sec", F.lit(None).cast("double"))
+    mixed = written(rk.mixed(local.select(*columns), external, per_slot))
+    rows = mixed.join(slots.hint("merge"), "slot_id").join(assets.select("project_id", "asset_id", F.col("filename").alias("a_name"), F.col("duration_sec").alias("a_sec")).hint("merge"), ["project_id", "asset_id"], "left")
+    rows = rows.join(found.groupBy("slot_id", "url").agg(F.max("duration_sec").alias("u_sec")).hint("merge"), ["slot_id", "url"], "left") if hits else rows.withColumn("u_sec", F.lit(None).cast("double"))
     duration = F.coalesce("a_sec", "u_sec")
     if not rerank:
         return rk.not_reranked(rows.withColumn("base", F.col("score"))).select("slot_id", "rank", "asset_id", "url", "score", "confidence", duration.alias("duration_sec"))

@@ -28,3 +28,15 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/tessera-step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: rows of a task where a step holds them all, as sorting does
+TASK_ROWS = 200_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys to as many tasks as its rows ask for, at least spark.sql.shuffle.partitions, so that what a task
+    holds doesn't grow with the table. Rows are counted first. Sizes in bytes would mislead, as columns of equal values
+    are nothing where they are shuffled and much where they are sorted."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)

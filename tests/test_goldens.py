@@ -319,3 +319,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_assets_about_as_long_as_a_slot_are_not_all_compared(spark):
+    """Assets of one class of length: pairs follow the logarithm of their number, and hold the best."""
+    r = random.Random(3)
+    a = spark.createDataFrame([(1, k, f"a{k}.mp4", r.uniform(20, 20.7), r.randint(0, 90)) for k in range(600)], "project_id int, asset_id int, filename string, duration_sec double, created_at int")
+    placed = a.selectExpr("*", "row_number() over (order by created_at desc, asset_id desc) - 1 as place", "cast(array() as array<string>) as terms")
+    s = spark.createDataFrame([(1, k, [], 20 + k / 100, None) for k in range(60)], "project_id int, slot_id int, concepts array<string>, slot_sec double, own_asset int")
+    assert ranking._promising(s, placed, 4).count() < 60 * 60
+    best = {x.slot_id: x.asset_id for x in ranking.local_scores(s, a, 4).filter("rank = 1").collect()}
+    rows = placed.collect()
+    score = lambda x, sec: round(0.2 + 0.18 + (0.12 if x.duration_sec >= sec else 0.05) + (1 - x.place / 600) * 0.15 + 1e-9, 3)
+    assert best == {k: min(rows, key=lambda x: (-score(x, 20 + k / 100), x.place)).asset_id for k in range(60)}
+
+
+def test_slots_are_made_once(spark):
+    w = words(spark, [(i * 0.4, i * 0.4 + 0.3) for i in range(12)], "rocket launch over the sea. apples grow in green orchards. rocket engines".split() + ["x"])
+    plan = suggestions.slots_of(w)._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
