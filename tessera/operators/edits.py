@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import segments
 from tessera.operators.timeline import clip_seconds
+from tessera.sources.stored import TASK_ROWS, dealt
 
 #: settings of a clip and what it starts with
 SETTINGS = {
@@ -62,7 +63,8 @@ def _with_hits(clips: DataFrame, ops: DataFrame) -> DataFrame:
     """Clips with their project's operation, and hit: that the operation is about this clip. A clip is named by its id,
     or by its place among the video clips by time; operations on overlays look there. A volume looks on the track that
     it names first, and where that has no such clip, as others do."""
-    rows = clips.join(ops.select("project_id", "op_type", "params"), "project_id", "left")
+    # a row passes several sorts that a task holds at once
+    rows = dealt(clips, "project_id", rows=TASK_ROWS // 2).join(ops.select("project_id", "op_type", "params"), "project_id", "left")
     overlay = _is("move_broll_clip", "trim_broll_clip", "delete_broll_clip", "set_broll_opacity")
     place = F.row_number().over(Window.partitionBy("project_id", "track").orderBy("timeline_start_sec", "ord"))
     rows = rows.withColumn("place", place.cast("string"))

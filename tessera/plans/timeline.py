@@ -11,6 +11,7 @@ from tessera.operators import intervals as iv
 from tessera.operators import timeline as tl
 from tessera.operators import transcripts as ts
 from tessera.plans.intervals import GAPS, WORDS, durations, rounded, silences, words
+from tessera.sources.stored import dealt
 from tessera.sources.tables import ingestible, media_type, silences_of_log, table, words_of_json
 
 LINES = """lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS k FROM lineitem)"""
@@ -19,7 +20,7 @@ LINES = """lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER
 def clips(spark, sf_dir):
     """An order's lines as clips of one video track."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(order))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("k", F.row_number().over(order))
     return rows.select(F.col("l_orderkey").alias("key"), F.col("k"), F.col("l_partkey").alias("asset_id"), F.lit(0.0).alias("start_sec"), F.col("l_quantity").alias("end_sec"), (1 + F.col("l_discount") * 10).alias("speed"))
 
 

@@ -10,9 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals as iv
-from tessera.operators import scan
+from tessera.operators import edits, scan
 from tessera.operators import segments as sg
 from tessera.operators.timeline import transition_layout
+from tessera.plans import ranking as ranking_plans
+from tessera.plans import timeline as timeline_plans
+from tessera.sources import stored
 from tessera.sources.tables import silences_of_log
 
 
@@ -230,3 +233,29 @@ def test_following_rows(spark):
     got = scan.with_following(spark.createDataFrame(rows, "key int, _at long, t string"), {"next": "t"}, 3, block=5)
     of = {(k, i): t for k, i, t in rows}
     assert {(x.key, x["_at"]): x.next for x in got.collect()} == {(k, i): [of[k, j] for j in range(i + 1, i + 4) if (k, j) in of] for k, i in itertools.chain(of)}
+
+
+def test_tasks_grow_in_number_with_their_rows(spark):
+    """What tasks hold is bounded by rows, not by bytes of a shuffle."""
+    rows = spark.range(4000).selectExpr("id % 500 as k", "'same' as text")
+    few, many = (stored.dealt(rows, "k", rows=n) for n in (10_000, 100))
+    assert few.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and many.rdd.getNumPartitions() == 40
+    assert many.groupBy("k").count().filter("count <> 8").count() == 0
+
+
+def test_clips_are_dealt_by_project(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(edits, "TASK_ROWS", 400)
+    tracks = timeline_plans._tracks(spark, sf_dir)
+    ops = timeline_plans._ops(spark, sf_dir)
+    assert edits._with_hits(tracks, ops).rdd.getNumPartitions() == -(-tracks.count() // 200)
+
+
+def test_sums_of_slices_are_not_broadcast(spark):
+    rows = scan.spread(spark.range(2000).selectExpr("id % 700 as key", "id as at"), "at")
+    plan = scan.scanned(rows, ["at"], {"n": scan.so_far("sum", F.lit(1))})
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_concepts_shuffle_texts_only(spark, sf_dir):
+    plan = ranking_plans.a6_concepts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "token" in x.split("ENSURE")[0]]
