@@ -109,7 +109,8 @@ def scanned(rows: DataFrame, order: Iterable[str], scans: dict[str, Scan], key:
     inside = Window.partitionBy(*parts).orderBy(*order)
     local = rows.withColumns({name: _function(s.how)(s.value).over(inside.rowsBetween(*_FRAMES[s.where])) for name, s in scans.items() if s.where != "all"})
     on = [local[p] == carried[f"_c_{p}"] for p in parts]
-    both = local.join(carried, on)
+    # a key in one slice is a row of carried, too, so it grows with the keys: where rows lie by slice already, it is dealt like them
+    both = local.join(carried if all(s.where == "all" for s in scans.values()) else carried.hint("merge"), on)
     out = {}
     for i, (name, s) in enumerate(scans.items()):
         here, there = F.col(name), F.col(f"_c{i}")
