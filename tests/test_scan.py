@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals as iv
-from tessera.operators import edits, scan
+from tessera.operators import edits, ranking, scan
 from tessera.operators import segments as sg
 from tessera.operators.timeline import transition_layout
 from tessera.plans import ranking as ranking_plans
@@ -259,3 +259,10 @@ def test_sums_of_slices_are_not_broadcast(spark):
 def test_concepts_shuffle_texts_only(spark, sf_dir):
     plan = ranking_plans.a6_concepts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "token" in x.split("ENSURE")[0]]
+
+
+def test_hits_are_dealt_before_they_are_sorted(spark):
+    hits = spark.range(200).selectExpr("id % 50 as slot_id", "cast(id as string) as url", "cast(id % 4 as int) as place", "4 as total", "5D as duration_sec", "100 as width", "200 as height", "4D as slot_sec")
+    plan = ranking.provider_scores(hits, 0.42, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert "Aggregate" not in plan[plan.index("REPARTITION_BY_NUM") :].split("+- Filter")[0]
