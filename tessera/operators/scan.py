@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.stored import written
+from tessera.sources.stored import TASK_ROWS, written
 
 SLICE = "_slice"
 
@@ -58,6 +58,11 @@ def is_spread(rows: DataFrame) -> bool:
     return SLICE in rows.columns
 
 
+def slices_for(rows: DataFrame) -> int:
+    """As many slices as rows ask for, which are counted, at least spark.sql.shuffle.partitions."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 def spread(rows: DataFrame, *order: str, key: str = "key", slices: int | None = None) -> DataFrame:
     """rows from a written table, with a number _slice that rises with (key, order); without it, where a row stands in a
     key is not decided by its slice. Rows without a key belong to none and are left out. Slices number as many as

@@ -7,13 +7,18 @@ is worked on in many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.operators.scan import SLICE, is_spread, kept_step, lag, scanned, so_far, spread, to_come, walked, whole, with_following
+from tessera.operators.scan import SLICE, is_spread, kept_step, lag, scanned, slices_for, so_far, spread, to_come, walked, whole, with_following
+from tessera.sources.stored import written
 
 
 def _split(words: DataFrame, gap: float, size: int, ends: Column) -> DataFrame:
@@ -70,40 +75,144 @@ def _numbered_rows(words: DataFrame, order: list[str]) -> DataFrame:
     return kept_step(rows.withColumn("_at", F.col("_at") - 1))
 
 
-def captions(words: DataFrame, max_words: int | str = 3, max_chars: int | str = 42, max_gap: float | str = 0.55, least: float = 0.12, most: int = 8) -> DataFrame:
-    """Captions of a clip's words (key, seq, text, start_sec, end_sec): key, caption (from 1), text, start_sec and
-    duration_sec. A caption ends before a gap, at max_words, where a word would make it longer than max_chars, after
+def captions(words: DataFrame, max_words: int | str = 3, max_chars: int | str = 42, max_gap: float | str = 0.55, least: float = 0.12, most: int = 8, order: Sequence[str] = ("start_sec", "seq"), slices: int | None = None) -> DataFrame:
+    """Captions of a clip's words (key, text, start_sec, end_sec, and those of order): key, caption (from 1), text, start_sec
+    and duration_sec. A caption ends before a gap, at max_words, where a word would make it longer than max_chars, after
     a sentence end from its second word on, and after a clause mark once it is one short of max_words (two at least).
     A limit can be the name of a column that is the same for all words of a key; max_words is then most at most.
 
-    Where a caption that began at a word would end depends on the few words behind it only. So every word knows where
-    the next caption would begin, and a walk from the first word on tells at which words captions do begin: key by key in
-    many tasks, as the walk is known wherever a gap cuts."""
+    Words are dealt once, in slices along order, and each slice is read once (_captioned). Where a slice's first key began
+    in an earlier slice, the caption that is open there takes none or a few of its words; so captions are formed from each
+    of these words on, until these walks meet, and numbered for each. What the slices hand on is a row or two of each."""
     far = most if isinstance(max_words, str) else max_words
-    limits = [x for x in (max_words, max_chars, max_gap) if isinstance(x, str)]
-    max_words, max_chars, max_gap = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (max_words, max_chars, max_gap))
-    said = words.withColumn("text", F.trim("text")).filter(F.col("text") != "").select("key", "seq", "text", "start_sec", "end_sec", *limits)
-    rows = _numbered_rows(said, ["start_sec", "seq"])
+    said = words.withColumn("text", F.trim("text")).filter((F.col("text") != "") & F.col("key").isNotNull())
+    limits = [(F.col(x) if isinstance(x, str) else F.lit(x)).alias(f"_most{i}") for i, x in enumerate((max_words, max_chars, max_gap))]
+    needed = dict.fromkeys(["key", "text", "start_sec", "end_sec", *order, *[x for x in (max_words, max_chars, max_gap) if isinstance(x, str)]])
+    said = said.select(*needed)
+    rows = said.repartitionByRange(slices or slices_for(said), "key", *order).sortWithinPartitions("key", *order)
     mark = F.when(F.col("text").rlike(ENDS), 2).when(F.col("text").rlike("[,;:—–]$"), 1).otherwise(0)
-    rows = rows.withColumn("_w", F.struct(F.length("text").alias("n"), "start_sec", "end_sec", mark.alias("mark")))
-    rows = with_following(rows, {"_next": "_w"}, far)
-
-    def step(s: Column, x: Column) -> Column:
-        """s: words and characters so far, the last word's end and mark, and whether the caption has ended."""
-        cut = (x.start_sec - s.end > max_gap) | (s.n >= max_words) | (s.chars + 1 + x.n > max_chars) | ((s.n >= 2) & (s.mark == 2)) | ((s.n >= F.greatest(F.lit(2), max_words - 1)) & (s.mark == 1))
-        ended = s.ended | F.coalesce(cut, F.lit(False))
-        grown = lambda a, b: F.when(ended, a).otherwise(b)
-        return F.struct(grown(s.n, s.n + 1).alias("n"), grown(s.chars, s.chars + 1 + x.n).alias("chars"), grown(s.end, x.end_sec).alias("end"), grown(s.mark, x.mark).alias("mark"), ended.alias("ended"))
-
-    one = F.struct(F.lit(1).alias("n"), F.col("_w.n").alias("chars"), F.col("end_sec").alias("end"), F.col("_w.mark").alias("mark"), F.lit(False).alias("ended"))
-    rows = kept_step(rows.withColumn("_to", F.col("_at") + F.aggregate("_next", one, step, lambda s: s.n)).drop("_next", "_w"))
-    begun = kept_step(walked(rows))
-    each = scanned(begun, ["_at"], {"caption": so_far("sum", F.when(F.col("visited"), 1).otherwise(0))})
-    made = each.groupBy("key", "caption").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda x: x.text), " ").alias("text"), F.min_by("start_sec", "_at").alias("start"), F.max_by("end_sec", "_at").alias("end")
-    )
-    long = F.greatest(F.round(F.greatest(F.col("end"), F.col("start") + least) - F.col("start"), 3), F.lit(least))
-    return made.select("key", F.col("caption").cast("int").alias("caption"), "text", F.round("start", 3).alias("start_sec"), long.alias("duration_sec"))
+    rows = rows.select(F.spark_partition_id().alias(SLICE), "key", "text", F.length("text").alias("_n"), mark.alias("_mark"), "start_sec", "end_sec", *limits)
+    kinds = T.StructType([T.StructField(SLICE, T.IntegerType()), T.StructField("key", words.schema["key"].dataType)]).fields
+    kinds = T.StructType([*kinds, *T._parse_datatype_string("_numbers array<int>, text string, _start double, _end double, _edge string").fields])
+    made = written(rows.mapInArrow(lambda batches: _captioned(batches, far), kinds))
+    edges = made.filter("_edge is not null").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(SLICE, "_edge"))).alias("_edges"))
+    handed = written(edges.select("key", F.udf(lambda edges: _handed_on(edges), "entries array<struct<slice:int,entry:int,before:int>>, captions array<struct<caption:int,text:string,_start:double,_end:double>>")("_edges").alias("r")))
+    entries = handed.select(F.col("key").alias("_k"), F.explode("r.entries").alias("e")).select("_k", F.col("e.slice").alias("_s"), "e.entry", "e.before")
+    # a row for each slice at most
+    own = made.filter("_edge is null").join(F.broadcast(entries), (F.col("key") == F.col("_k")) & (F.col(SLICE) == F.col("_s")), "left")
+    number = F.get("_numbers", F.coalesce("entry", F.lit(0))) + F.coalesce("before", F.lit(0)) + 1
+    own = own.select("key", number.alias("caption"), "text", "_start", "_end").filter("caption is not null")
+    out = own.union(handed.select("key", F.explode("r.captions").alias("c")).select("key", "c.caption", "c.text", "c._start", "c._end"))
+    long = F.greatest(F.round(F.greatest(F.col("_end"), F.col("_start") + least) - F.col("_start"), 3), F.lit(least))
+    return out.select("key", F.col("caption").cast("int").alias("caption"), "text", F.round("_start", 3).alias("start_sec"), long.alias("duration_sec"))
+
+
+@dataclass
+class _Open:
+    """A caption that may go on: its words, and its number from 0 for each walk that it is on."""
+
+    texts: list[str]
+    chars: int
+    mark: int
+    start: float | None
+    end: float | None
+    numbers: dict[int, int]
+
+    def ends_before(self, word: tuple) -> bool:
+        _, n, _, start, _, most_words, most_chars, most_gap = word
+        gap = None if start is None or self.end is None else start - self.end
+        # as in SQL, what isn't a number is more than any
+        far = gap is not None and (gap > most_gap or (gap != gap and most_gap == most_gap))
+        size = len(self.texts)
+        return far or size >= most_words or self.chars + 1 + n > most_chars or (size >= 2 and self.mark == 2) or (size >= max(2, most_words - 1) and self.mark == 1)
+
+    def take(self, word: tuple) -> None:
+        self.texts.append(word[0])
+        self.chars, self.mark, self.end = self.chars + 1 + word[1], word[2], word[4]
+
+    @classmethod
+    def of(cls, word: tuple, numbers: dict[int, int]) -> _Open:
+        return cls([word[0]], word[1], word[2], word[3], word[4], numbers)
+
+
+def _captioned(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
+    """The captions of one slice, key by key, as words stream by. In the slice's first key, a walk begins at each of its
+    first words, and walks that begin a caption at the same word are one from there on. The first and the last key have a
+    row with _edge: the first words, which an open caption may take, and the captions that are open at the slice's end."""
+    names = [SLICE, "key", "_numbers", "text", "_start", "_end", "_edge"]
+    kind = here = key = None
+    first, n, head, walks, out = True, 0, [], [], []
+
+    def close(last: bool) -> None:
+        if not last:
+            for x in walks:
+                emit(x)
+        if first or last:
+            opened = [[x.texts, x.chars, x.mark, x.start, x.end, list(x.numbers.items())] for x in walks] if last else None
+            out.append((here, key, None, None, None, None, json.dumps([n, head if first else None, opened])))
+
+    def emit(x: _Open) -> None:
+        numbers = [x.numbers.get(e) for e in range(far)] if first else [x.numbers[0]]
+        out.append((here, key, numbers, " ".join(x.texts), x.start, x.end, None))
+
+    def packed() -> pa.RecordBatch:
+        kinds = [pa.int32(), kind, pa.list_(pa.int32()), pa.string(), pa.float64(), pa.float64(), pa.string()]
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        kind, out = batch.schema.field("key").type, []
+        for place, owner, *word in zip(*[c.to_pylist() if c.null_count else c.to_pandas().tolist() for c in batch.columns], strict=True):
+            if n and owner != key:
+                close(False)
+                first, n, head, walks = False, 0, [], []
+            here, key = place, owner
+            cut: dict[int, int] = {0: 0} if n == 0 else {}
+            if first and 0 < n < far:
+                cut[n] = 0
+            going = []
+            for x in walks:
+                if x.ends_before(word):
+                    emit(x)
+                    cut |= {e: i + 1 for e, i in x.numbers.items()}
+                else:
+                    x.take(word)
+                    going.append(x)
+            walks = [*going, _Open.of(word, cut)] if cut else going
+            if first and n < far - 1:
+                head.append(word)
+            n += 1
+        yield packed()
+    if n:
+        out = []
+        close(True)
+        yield packed()
+
+
+def _handed_on(edges: list) -> tuple[list, list]:
+    """Along a key's slices: at which of its words each is entered and after how many captions, and the captions that
+    were open where a slice ended."""
+    entries, captions, number, going = [], [], 0, None
+    for place, edge in edges:
+        n, head, opened = json.loads(edge)
+        entry = 0
+        if going:
+            while entry < len(head) and not going.ends_before(head[entry]):
+                going.take(head[entry])
+                entry += 1
+        if going and entry < n:
+            number += 1
+            captions.append((number, " ".join(going.texts), going.start, going.end))
+        if head is not None:
+            entries.append((place, entry, number))
+        if entry < n:
+            going = None
+            for *parts, numbers in opened or []:
+                if entry in (on := dict(numbers)):
+                    going, number = _Open(*parts, on), number + on[entry]
+    if going:
+        captions.append((number + 1, " ".join(going.texts), going.start, going.end))
+    return entries, captions
 
 
 def without_doubles(words: DataFrame, near: float = 0.05) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import segments as sg
 from tessera.plans.intervals import WORDS, rounded
 from tessera.plans.intervals import words as timed
-from tessera.sources.tables import conversation_words, mock_words, table
+from tessera.sources.tables import conversation_words, mock_words, table, unnumbered_words
 
 TALK = r"""turns AS (
   SELECT conv_id AS key, turn AS segment, turn * 10.0::DOUBLE AS s, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS parts FROM conversations
@@ -65,7 +65,8 @@ SENT = SPLIT.format(out="sent", src="talk", gap=1.1, size=12, ends=AFTER, least=
 
 
 def w14_captions(spark, sf_dir):
-    return sg.captions(talk(spark, sf_dir))
+    """Captions of conversations; words along the turns have the order of their numbers, which needn't be computed."""
+    return sg.captions(unnumbered_words(table(spark, sf_dir, "conversations")), order=("start_sec", "segment", "i"))
 
 
 W14 = rf"""WITH RECURSIVE {TALK}, o AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY start_sec, seq) AS k, trim(text) AS text, start_sec, end_sec FROM talk),

@@ -41,12 +41,18 @@ def spread_words(segments: DataFrame, key: str, order: str, text: Column, start:
     return rows.select("key", "segment", "i", "text", (F.col("s") + F.col("i") * F.col("step")).alias("start_sec"), (F.col("s") + (F.col("i") + 1) * F.col("step")).alias("end_sec"))
 
 
-def conversation_words(conversations: DataFrame) -> DataFrame:
-    """Words of conversations: turn n begins at ten seconds times n and takes a third of a second a word."""
+def unnumbered_words(conversations: DataFrame) -> DataFrame:
+    """Words of conversations (key, segment, i, text, start_sec, end_sec): turn n begins at ten seconds times n and takes a
+    third of a second a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.col("turn") * F.lit(10.0)
     long = F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")) * F.lit(0.33)
-    rows = spread_words(conversations, "conv_id", "turn", text, start, start + long)
+    return spread_words(conversations, "conv_id", "turn", text, start, start + long)
+
+
+def conversation_words(conversations: DataFrame) -> DataFrame:
+    """Words of conversations, numbered along the turns."""
+    rows = unnumbered_words(conversations)
     rows = scanned(spread(rows, "segment", "i"), ["segment", "i"], {"seq": so_far("sum", F.lit(1))})
     return rows.select("key", F.col("seq").cast("int").alias("seq"), "text", "start_sec", "end_sec", SLICE)
 

@@ -126,6 +126,26 @@ def test_captions_of_long_transcripts(spark, monkeypatch, most, chars):
         assert texts == captioned([(t, s, e) for k, _, t, s, e in rows if k == key], most, chars, 0.55)
 
 
+@pytest.mark.parametrize("slices", [2, 11, 400])
+def test_captions_across_slices(spark, monkeypatch, slices):
+    """Words go through one shuffle, and captions are the same wherever slices end, also in slices of a word or none."""
+    monkeypatch.setattr(sg, "walked", None)
+    r = random.Random(slices)
+    rows, at = [], {}
+    for i in range(700):
+        key = r.choice(["long", "long", "long", "b", "c"] + [f"short {i}"] * (i % 9 == 0))
+        start = at.get(key, 0.0) + r.choice([0.25, 0.25, 0.25, 1.5 if key != "long" else 0.25])
+        at[key] = start
+        rows.append((key, i, r.choice(["a", "bb", "ccc.", "d,", "e" * 15]), start, start + 0.25, 8 if key == "long" else 3))
+    words = spark.createDataFrame(rows, "key string, seq int, text string, start_sec double, end_sec double, most int")
+    got = sg.captions(words, "most", 20, slices=slices).collect()
+    assert {x.key for x in got} == set(at)
+    for key in at:
+        mine = sorted((x for x in got if x.key == key), key=lambda x: x.caption)
+        assert [x.caption for x in mine] == list(range(1, len(mine) + 1))
+        assert [x.text for x in mine] == captioned([(t, s, e) for k, _, t, s, e, _ in rows if k == key], 8 if key == "long" else 3, 20, 0.55)
+
+
 def loops_removed(said, longest=4, repeats=3, least=6):
     keep, i, n = [], 0, len(said)
     while i < n:
