@@ -12,9 +12,9 @@ from tessera.operators import suggestions as su
 from tessera.operators import transcripts as ts
 from tessera.plans.intervals import durations, rounded, words
 from tessera.plans.segments import QUERIES as SEGMENTS
-from tessera.plans.segments import talk
 from tessera.plans.timeline import clips
-from tessera.sources.tables import conversation_words, table
+from tessera.sources.stored import written
+from tessera.sources.tables import conversation_words, table, unnumbered_words
 
 
 def _assets(spark, sf_dir):
@@ -119,9 +119,10 @@ A8 = """SELECT o_custkey, ord, filled FROM (SELECT o_custkey, o_orderkey AS ord,
 
 def a9_e12_subtitles(spark, sf_dir):
     """One-click subtitles of transcripts as one clip each: the number of captions."""
-    w = talk(spark, sf_dir)
-    item = F.struct("seq", "text", "start_sec", "end_sec")
+    w = unnumbered_words(table(spark, sf_dir, "conversations"))
+    item = F.struct("segment", "i", "text", "start_sec", "end_sec")
     said = w.groupBy("key").agg(F.to_json(F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x.text.alias("text"), x.start_sec.alias("start_sec"), x.end_sec.alias("end_sec")))).alias("words"))
+    said = written(said)  # the round reads its operations several times
     video = durations(w).select(F.col("key").alias("project_id"), F.lit("video").alias("track"), F.lit(1).alias("ord"), F.lit("c1").alias("clip_id"), F.lit("a").alias("asset_id"), F.lit(0.0).alias("start_sec"), (F.col("duration_sec") + 1000.0).alias("end_sec"), F.lit(0.0).alias("timeline_start_sec"), F.lit(1.0).alias("speed"))
     ops = said.select(F.col("key").alias("project_id"), F.lit("set_subtitles").alias("op_type"), F.create_map(F.lit("words"), F.col("words")).alias("params"))
     out = edits.apply_round(edits.new_clips(video), ops)

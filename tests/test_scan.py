@@ -286,3 +286,16 @@ def test_hits_are_dealt_before_they_are_sorted(spark):
     plan = ranking.provider_scores(hits, 0.42, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
     assert "Aggregate" not in plan[plan.index("REPARTITION_BY_NUM") :].split("+- Filter")[0]
+
+
+def test_subtitles_make_their_words_once(spark, sf_dir, monkeypatch):
+    """The words of subtitles are put together once, and not for each of the round's readings."""
+    from tessera.plans import suggestions
+
+    stored = []
+    write = suggestions.written
+    monkeypatch.setattr(suggestions, "written", lambda df: stored.append(df.columns) or write(df))
+    monkeypatch.setattr(sg, "walked", None)
+    plan = suggestions.a9_e12_subtitles(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert stored == [["key", "words"]]
+    assert "to_json" not in plan
