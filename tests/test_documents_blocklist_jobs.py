@@ -74,6 +74,14 @@ def test_many_terms_are_one_step_of_the_plan(spark):
     assert {x.id: x.term for x in blocklist.blocked(docs, many).collect()} == {1: "word99999", 2: None, 3: None}
 
 
+def test_a_longer_list_is_held_by_no_task(spark, monkeypatch):
+    monkeypatch.setattr(blocklist, "_found", None)
+    docs = spark.createDataFrame([(1, "so Word9 it is, or word10"), (1, "word99 x"), (2, "a big  word"), (3, None), (4, "word1\nword"), (5, "lead word12")], "id int, text string")
+    terms = spark.range(100).selectExpr("concat('word', id) as term").union(spark.createDataFrame([("g  w",), ("1\nw",), ("ad word1",)], "term string"))
+    got = blocklist.blocked(docs, terms, most=50).collect()
+    assert sorted((x.id, x.term or "") for x in got) == [(1, "word10"), (1, "word99"), (2, "g  w"), (3, ""), (4, "word1"), (5, "ad word1")]
+
+
 # jobs
 
 
