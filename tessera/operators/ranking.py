@@ -108,12 +108,18 @@ def _promising(slots: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     return out.distinct()
 
 
-def provider_scores(hits: DataFrame, base: float, limit: int) -> DataFrame:
+def provider_scores(hits: DataFrame, base: float, limit: int, dealt_by_slot: bool = False) -> DataFrame:
     """Scores of provider hits (slot_id, url, place, total, duration_sec, width, height, slot_sec), each URL once, and
-    the limit best of a slot."""
+    the limit best of a slot. Hits are dealt by slot_id unless they were."""
     size = num.orientation_score(F.col("width"), F.col("height")) + num.resolution_score(F.col("width"), F.col("height"))
     score = F.round(num.clamp(base + num.provider_duration_score(F.col("duration_sec"), F.col("slot_sec")) + size + num.rank_bonus(F.col("place"), F.col("total")), 0.0, 0.99) + 1e-9, 3)
-    scored = best_of_each(dealt(hits.withColumn("score", score), "slot_id"), ["slot_id", "url"], [-F.col("score"), F.col("place")])
+    hits = hits.withColumn("score", score)
+    if dealt_by_slot:
+        # windows keep to the tasks that slots are dealt to; behind a union is another exchange, coalesced by its bytes
+        again = F.row_number().over(Window.partitionBy("slot_id", "url").orderBy(-F.col("score"), F.col("place")))
+        scored = hits.withColumn("_again", again).filter("_again = 1 or slot_id is null or url is null").drop("_again")
+    else:
+        scored = best_of_each(dealt(hits, "slot_id"), ["slot_id", "url"], [-F.col("score"), F.col("place")])
     return top_per_group(scored, ["slot_id"], limit, [F.desc("score"), F.col("place"), F.col("url")])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import ranking as rk
 from tessera.operators import segments
-from tessera.sources.stored import written
+from tessera.sources.stored import dealt, written
 
 
 def slots_of(words: DataFrame, least_words: int = 4, most: int = 40) -> DataFrame:
@@ -34,7 +34,7 @@ def candidates_of(slots: DataFrame, assets: DataFrame, hits: Callable[[DataFrame
     local = rk.local_scores(slots.join(own, "project_id", "left"), assets, per_slot).withColumn("url", F.lit(None).cast("string"))
     found = written(hits(slots).join(slots.select("slot_id", "slot_sec").hint("merge"), "slot_id")) if hits else None
     columns = ["slot_id", "asset_id", "url", "score", "rank"]
-    external = rk.provider_scores(found, base, per_slot).withColumn("asset_id", F.lit(None).cast(dict(assets.dtypes)["asset_id"])).select(*columns) if hits else local.select(*columns).limit(0)
+    external = rk.provider_scores(dealt(found, "slot_id"), base, per_slot, dealt_by_slot=True).withColumn("asset_id", F.lit(None).cast(dict(assets.dtypes)["asset_id"])).select(*columns) if hits else local.select(*columns).limit(0)
     mixed = written(rk.mixed(local.select(*columns), external, per_slot))
     rows = mixed.join(slots.hint("merge"), "slot_id").join(assets.select("project_id", "asset_id", F.col("filename").alias("a_name"), F.col("duration_sec").alias("a_sec")).hint("merge"), ["project_id", "asset_id"], "left")
     rows = rows.join(found.groupBy("slot_id", "url").agg(F.max("duration_sec").alias("u_sec")).hint("merge"), ["slot_id", "url"], "left") if hits else rows.withColumn("u_sec", F.lit(None).cast("double"))

@@ -213,11 +213,16 @@ def r1_local_scores(spark, sf_dir):
 
 
 def _external(spark, sf_dir):
-    hits = _slots(spark, sf_dir).select("slot_id", "slot_sec", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("place"))
+    """Eight hits a slot. Slots are dealt before their hits are made, which then aren't shuffled: a file of few bytes is one
+    task's, and holds many slots."""
+    hits = dealt(_slots(spark, sf_dir).select("slot_id", "slot_sec"), "slot_id", rows=TASK_SLOTS).select("slot_id", "slot_sec", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("place"))
     x = F.col("slot_id") + F.col("place") * 31
     return hits.select("slot_id", "slot_sec", "place", F.lit(8).alias("total"), F.concat(F.lit("https://v.example.com/"), (x % 900).cast("string")).alias("url"), (x % 45).cast("double").alias("duration_sec"), (x % 2000).cast("int").alias("width"), (x % 1700).cast("int").alias("height"))
 
 
+#: slots of a task that holds their hits
+TASK_SLOTS = 12_500
+
 EXT = """hits AS (SELECT slot_id, slot_sec, place, slot_id + place * 31 AS x FROM slots, (SELECT unnest(range(0, 8))::INT AS place)),
 ext0 AS (SELECT slot_id, place, 'https://v.example.com/' || (x % 900)::VARCHAR AS url, round(greatest(0.0, least(0.99, 0.42::DOUBLE
   + CASE WHEN x % 45 <= 0 THEN 0.08 ELSE 0.06 + 0.14 * greatest(0.0, least(1.0, 1 - abs((x % 45)::DOUBLE - greatest(slot_sec, 0.8)) / greatest(greatest(slot_sec, 0.8) * 2.0, 1.0))) END
@@ -229,12 +234,12 @@ ext AS (SELECT slot_id, url, score, row_number() OVER (PARTITION BY slot_id ORDE
 
 
 def r6_provider_scores(spark, sf_dir):
-    return rk.provider_scores(_external(spark, sf_dir), 0.42, 5).select("slot_id", "url", "score", "rank")
+    return rk.provider_scores(_external(spark, sf_dir), 0.42, 5, dealt_by_slot=True).select("slot_id", "url", "score", "rank")
 
 
 def l3_mixed(spark, sf_dir):
     local = rk.local_scores(_slots(spark, sf_dir), _assets(spark, sf_dir), 6).withColumn("url", F.lit(None).cast("string"))
-    external = rk.provider_scores(_external(spark, sf_dir).filter("slot_id % 3 <> 0"), 0.42, 6).withColumn("asset_id", F.lit(None).cast("bigint"))
+    external = rk.provider_scores(_external(spark, sf_dir).filter("slot_id % 3 <> 0"), 0.42, 6, dealt_by_slot=True).withColumn("asset_id", F.lit(None).cast("bigint"))
     return rk.mixed(local, external, 5)
 
 

@@ -299,3 +299,11 @@ def test_subtitles_make_their_words_once(spark, sf_dir, monkeypatch):
     plan = suggestions.a9_e12_subtitles(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert stored == [["key", "words"]]
     assert "to_json" not in plan
+
+
+def test_hits_of_slots_are_made_where_slots_are_dealt(spark, sf_dir):
+    from tessera.plans import ranking
+
+    plan = ranking.r6_provider_scores(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert plan.index("Generate explode") < plan.index("Exchange")
