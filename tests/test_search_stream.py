@@ -36,6 +36,16 @@ def test_index_reads_few_postings(spark, tmp_path):
     assert "PushedFilters: [In(gram" in plan or "PushedFilters: [IsNotNull(gram" in plan
 
 
+def test_index_has_a_list_for_each_trigram(spark, tmp_path):
+    frame = spark.range(0, 300, 1, 2).select("id", F.concat(F.lit("Turn é\U0001f600 "), F.col("id").cast("string")).alias("text"))
+    kept = spark.read.parquet(search.write_index(frame, ["id"], "text", f"file://{tmp_path}/index"))
+    grams = {g for i in range(300) for g in search.trigrams(f"Turn é\U0001f600 {i}")}
+    lists = kept.collect()
+    assert {x.gram for x in lists} == grams
+    assert len(lists) <= len(grams) * spark.sparkContext.defaultParallelism
+    assert sorted(x.id for r in lists if r.gram == "é\U0001f600 " for x in r.ids) == list(range(300))
+
+
 OPS = "project_id string, op_id int, op_type string, params map<string,string>"
 CLIPS = "project_id string, track string, ord int, clip_id string, asset_id string, start_sec double, end_sec double, timeline_start_sec double, speed double"
 
