@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,26 +184,39 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int, query_block: in
         block = F.pmod(F.xxhash64("id"), F.lit(n))
         return df.groupBy(block.alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("x")).select(F.transform("x", lambda x: x.id).alias(f"{out}_ids"), F.transform("x", lambda x: x.v).alias(f"{out}_vecs"))
 
-    def multiplied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def alike(vecs: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each length, the places of its vectors and a matrix of them, which is the batch's memory if all are as long."""
+        sizes = vecs.value_lengths().to_numpy(zero_copy_only=False)
+        flat, ends = vecs.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        if len(sizes) and (sizes == sizes[0]).all():
+            return {int(sizes[0]): (np.arange(len(sizes)), flat.reshape(len(sizes), -1))} if sizes[0] else {}
+        at = {int(s): np.flatnonzero(sizes == s) for s in np.unique(sizes) if s}
+        return {s: (i, flat[(ends[i] - s)[:, None] + np.arange(s)[None, :]]) for s, i in at.items()}
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                sizes = lambda vecs: np.array([len(v) for v in vecs])
-                for size in np.unique(sizes(r.q_vecs)):
-                    q, v = np.flatnonzero(sizes(r.q_vecs) == size), np.flatnonzero(sizes(r.r_vecs) == size)
-                    if not size or not len(v):
+            for r in range(batch.num_rows):
+                q_ids, q_vecs, r_ids, r_vecs = (batch.column(c)[r].values for c in ("q_ids", "q_vecs", "r_ids", "r_vecs"))
+                among = alike(r_vecs)
+                for size, (q, matrix) in alike(q_vecs).items():
+                    if size not in among:
                         continue
-                    ids, own = np.asarray(r.r_ids)[v], np.asarray(r.q_ids)[q]
+                    v, others = among[size]
+                    ids, own = r_ids.to_numpy(zero_copy_only=False)[v], q_ids.to_numpy(zero_copy_only=False)[q]
                     order = np.argsort(ids, kind="stable")
-                    ids, v = ids[order], v[order]
-                    cosine = np.round(np.clip((np.stack(r.q_vecs)[q] if len(q) == len(r.q_vecs) else np.stack([r.q_vecs[i] for i in q])) @ np.stack([r.r_vecs[i] for i in v]).T / 2 + 0.5, 0, 1), 6)
+                    ids = ids[order]
+                    cosine = matrix @ others[order].T
+                    cosine /= 2
+                    cosine += 0.5
+                    np.round(np.clip(cosine, 0, 1, out=cosine), 6, out=cosine)
                     cosine[own[:, None] == ids[None, :]] = -1
                     best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
                     found = np.take_along_axis(cosine, best, axis=1)
                     keep = found >= 0
-                    yield pd.DataFrame({"q_id": np.repeat(own, keep.sum(axis=1)), "vec_id": ids[best][keep], "cosine": found[keep]})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, keep.sum(axis=1)), pa.int64()), pa.array(ids[best][keep], pa.int64()), pa.array(found[keep], pa.float64())], ["q_id", "vec_id", "cosine"])
 
     pairs = blocks(queries, "q_id", query_block, "q").crossJoin(blocks(rows, "vec_id", row_block, "r"))  # of blocks
-    return top_per_group(pairs.mapInPandas(multiplied, "q_id long, vec_id long, cosine double"), ["q_id"], k, [F.desc("cosine"), F.col("vec_id")])
+    return top_per_group(pairs.mapInArrow(multiplied, "q_id long, vec_id long, cosine double"), ["q_id"], k, [F.desc("cosine"), F.col("vec_id")])
 
 
 def not_reranked(rows: DataFrame) -> DataFrame:

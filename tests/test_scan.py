@@ -307,3 +307,10 @@ def test_hits_of_slots_are_made_where_slots_are_dealt(spark, sf_dir):
     plan = ranking.r6_provider_scores(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.index("Generate explode") < plan.index("Exchange")
+
+
+def test_vectors_are_multiplied_in_the_memory_of_batches(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.8, 0.6]), (3, [1.0]), (4, []), (5, None), (6, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    got = ranking.nearest_vectors(rows.filter("vec_id in (0, 3, 4)").withColumnRenamed("vec_id", "q_id"), rows, 2)
+    assert "MapInArrow" in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, got.select("q_id", "rank", "vec_id", "cosine").collect())) == [(0, 1, 2, 0.9), (0, 2, 6, 0.8)]
