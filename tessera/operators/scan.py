@@ -60,17 +60,42 @@ def is_spread(rows: DataFrame) -> bool:
 
 def slices_for(rows: DataFrame) -> int:
     """As many slices as rows ask for, which are counted, at least spark.sql.shuffle.partitions."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    return _slices_of(rows, rows.count())
+
+
+def _slices_of(rows: DataFrame, n: int) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+
+
+def tasks_for(rows: DataFrame) -> int | None:
+    """How many tasks must share spread rows for none to hold more than about TASK_ROWS; None if one may hold them all, or
+    they aren't spread. The slices' column tells how many rows there were when they were spread."""
+    n = rows.schema[SLICE].metadata.get("rows", 0) if is_spread(rows) else 0
+    return _slices_of(rows, n) if n > TASK_ROWS else None
+
+
+def laid(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """rows dealt by keys to this many tasks, or left to Spark, which coalesces tasks by the bytes that it shuffles: these
+    are few for numbers that rise, and many once they are sorted."""
+    return rows.repartition(tasks, *keys) if tasks else rows
 
 
 def spread(rows: DataFrame, *order: str, key: str = "key", slices: int | None = None) -> DataFrame:
     """rows from a written table, with a number _slice that rises with (key, order); without it, where a row stands in a
     key is not decided by its slice. Rows without a key belong to none and are left out. Slices number as many as
-    spark.sql.shuffle.partitions unless told."""
-    slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.drop(SLICE).filter(F.col(key).isNotNull()).repartitionByRange(slices, key, *order)
-    # written, as bounds of ranges are sampled anew whenever they are computed
-    return written(cut.withColumn(SLICE, F.spark_partition_id()))
+    spark.sql.shuffle.partitions unless told, or more if these would have over TASK_ROWS rows each: what is written is
+    counted, and cut anew then."""
+
+    def cut(rows: DataFrame, number: int) -> DataFrame:
+        parts = rows.drop(SLICE).filter(F.col(key).isNotNull()).repartitionByRange(number, key, *order)
+        # written, as bounds of ranges are sampled anew whenever they are computed
+        return written(parts.withColumn(SLICE, F.spark_partition_id()))
+
+    out = cut(rows, slices or _slices_of(rows, 0))
+    n = out.count()
+    if not slices and n > TASK_ROWS * _slices_of(rows, 0):
+        out = cut(out, _slices_of(rows, n))
+    return out.withColumn(SLICE, F.col(SLICE).alias(SLICE, metadata={"rows": n}))
 
 
 def spread_like(rows: DataFrame, other: DataFrame, *order: str, key: str = "key") -> DataFrame:
@@ -112,7 +137,8 @@ def scanned(rows: DataFrame, order: Iterable[str], scans: dict[str, Scan], key:
     outside = {"before": "before", "so_far": "before", "to_come": "after", "after": "after", "all": "all"}
     carried = sums.select(*[F.col(p).alias(f"_c_{p}") for p in parts], *[_function(s.how)(F.col(name)).over(along.rowsBetween(*_FRAMES[outside[s.where]])).alias(f"_c{i}") for i, (name, s) in enumerate(scans.items())])
     inside = Window.partitionBy(*parts).orderBy(*order)
-    local = rows.withColumns({name: _function(s.how)(s.value).over(inside.rowsBetween(*_FRAMES[s.where])) for name, s in scans.items() if s.where != "all"})
+    dealt = rows if all(s.where == "all" for s in scans.values()) else laid(rows, tasks_for(rows), *parts)
+    local = dealt.withColumns({name: _function(s.how)(s.value).over(inside.rowsBetween(*_FRAMES[s.where])) for name, s in scans.items() if s.where != "all"})
     on = [local[p] == carried[f"_c_{p}"] for p in parts]
     # a key in one slice is a row of carried, too, so it grows with the keys: where rows lie by slice already, it is dealt like them
     both = local.join(carried if all(s.where == "all" for s in scans.values()) else carried.hint("merge"), on)
@@ -152,6 +178,7 @@ def with_following(rows: DataFrame, columns: dict[str, str], many: int, at: str
     place = F.col(at)
     number = lambda shift: F.floor((place - shift) / block)
     near = rows.withColumn("_block", F.explode(F.array_distinct(F.array(number(0), number(many)))))
+    near = laid(near, tasks_for(rows), "key", "_block")
     following = Window.partitionBy("key", "_block").orderBy(at).rowsBetween(1, many)
     near = near.withColumns({name: F.collect_list(F.struct(F.col(c).alias("v"))).over(following) for name, c in columns.items()})
     return near.filter(F.col("_block") == number(0)).drop("_block").withColumns({name: F.transform(name, lambda x: x.v) for name in columns})
@@ -163,21 +190,21 @@ def walked(rows: DataFrame, at: str = "_at", to: str = "_to") -> DataFrame:
 
     A row that no earlier row's step passes over is visited for sure, and what comes after it is a walk of its own. So
     only the stretches behind steps that pass over rows are open; their walks are found by pointer jumping: steps are
-    doubled until the longest stretch is crossed, and at each doubling the rows reached so far reach as many again."""
+    doubled until none stays in its stretch, and at each doubling the rows reached so far reach as many again. As a walk
+    comes by a row once, no row is reached twice."""
+    tasks = tasks_for(rows)
     rows = kept_step(scanned(rows, [at], {"_passed": before("max", to)}))
     open_row = F.coalesce(F.col("_passed") > F.col(at), F.lit(False))
     inside = scanned(rows.withColumn("_open", open_row), [at], {"_head": so_far("max", F.when(~open_row, F.col(at)))})
     steps = written(inside.filter(F.col("_open") | (F.col(to) > F.col(at) + 1)).select("key", F.col("_head").alias("head"), F.col(at).alias("a"), F.col(to).alias("b")))
-    longest = steps.select(F.max(F.col("a") - F.col("head"))).first()[0] or 0
-    reached = steps.filter("a = head").select("key", "a")
-    doubled = lambda s: s.join(s.select("key", F.col("a").alias("b"), F.col("b").alias("c")), ["key", "b"], "left").select("key", "a", F.coalesce("c", "b").alias("b"))
-    with_next = lambda r, s: r.union(r.join(s, ["key", "a"]).select("key", F.col("b").alias("a"))).distinct()
-    steps = steps.drop("head")
-    # two doublings at a time, each time written
-    for _ in range(-(-longest.bit_length() // 2)):
-        twice = doubled(steps)
-        reached = written(with_next(with_next(reached, steps), twice))
-        steps = written(doubled(twice))
-    met = reached.select(F.col("key").alias("_k"), F.col("a").alias("_p"), F.lit(True).alias("_met"))
-    out = rows.join(met, (F.col("key") == F.col("_k")) & (F.col(at) == F.col("_p")), "left")
+    reached = steps.filter("a = head").select("key", "head", "a")
+    place, goal = ["key", "head", "a"], ["key", "head", "b"]
+    while not steps.isEmpty():
+        by_place = laid(steps, tasks, *place)
+        reached = written(reached.union(laid(reached, tasks, *place).join(by_place, place).select("key", "head", F.col("b").alias("a"))))
+        further = laid(steps.select("key", "head", F.col("a").alias("b"), F.col("b").alias("c")), tasks, *goal)
+        steps = written(laid(steps, tasks, *goal).join(further, goal).select("key", "head", "a", F.col("c").alias("b")))
+    # a walk ends at a row that isn't open, which is visited anyway
+    met = reached.filter("a > head").select(F.col("key").alias("_k"), F.col("a").alias("_p"), F.lit(True).alias("_met"))
+    out = laid(rows, tasks, "key", at).join(laid(met, tasks, "_k", "_p"), (F.col("key") == F.col("_k")) & (F.col(at) == F.col("_p")) & open_row, "left")
     return out.withColumn("visited", ~open_row | F.coalesce("_met", F.lit(False))).drop("_passed", "_k", "_p", "_met")

@@ -70,8 +70,10 @@ def paragraphs(blocks: DataFrame, gap: float = 1.5, size: int = 3) -> DataFrame:
 
 
 def _numbered_rows(words: DataFrame, order: list[str]) -> DataFrame:
-    """words in slices along order, and _at, their places in the key from 0."""
-    rows = scanned(spread(words, *order), order, {"_at": so_far("sum", F.lit(1))})
+    """words in slices along order, _at, their places in the key from 0, and _n, how many the key has. Slices of words
+    that are spread must rise with order."""
+    words = kept_step(words) if is_spread(words) else spread(words, *order)
+    rows = scanned(words, order, {"_at": so_far("sum", F.lit(1)), "_n": whole("sum", F.lit(1))})
     return kept_step(rows.withColumn("_at", F.col("_at") - 1))
 
 
@@ -250,14 +252,13 @@ def without_doubles(words: DataFrame, near: float = 0.05) -> DataFrame:
 def without_loops(words: DataFrame, longest: int = 4, repeats: int = 3, least_words: int = 6) -> DataFrame:
     """Words (key, seq, ...) without phrase loops: where a phrase of up to longest words comes repeats times or more in
     a row, its first copy stays. Shorter phrases are tried first at each place. Transcripts of fewer than least_words
-    stay as they are.
+    stay as they are. Slices of words that are spread must rise with seq.
 
     For each length k, words that equal the word k later come in runs, and the rest of its run tells how often a phrase
     that begins at a word repeats. So every word has one successor, behind its loop or next to it, and those that the
     rule looks at are those that a walk from the first word on visits."""
-    rows = words.drop(SLICE).withColumn("_said", F.regexp_replace(F.lower("text"), r"^[.,!?]+|[.,!?]+$", ""))
-    rows = scanned(_numbered_rows(rows, ["seq"]), ["_at"], {"_n": whole("sum", F.lit(1))})
-    rows = kept_step(with_following(rows, {"_next": "_said"}, longest))
+    rows = words.withColumn("_said", F.regexp_replace(F.lower("text"), r"^[.,!?]+|[.,!?]+$", ""))
+    rows = kept_step(with_following(_numbered_rows(rows, ["seq"]), {"_next": "_said"}, longest))
     same = lambda k: F.coalesce(F.get("_next", F.lit(k - 1)) == F.col("_said"), F.lit(False))
     ends = {f"_end{k}": to_come("min", F.when(~same(k), F.col("_at"))) for k in range(1, longest + 1)}
     rows = scanned(rows, ["_at"], ends)

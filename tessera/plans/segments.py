@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import segments as sg
+from tessera.operators.scan import SLICE
 from tessera.plans.intervals import WORDS, rounded
 from tessera.plans.intervals import words as timed
 from tessera.sources.tables import conversation_words, mock_words, table, unnumbered_words
@@ -85,7 +86,7 @@ def _loopy(spark, sf_dir):
     seq, key = F.col("seq"), F.col("key")
     letter = lambda k: F.element_at(F.array(*map(F.lit, "abcd")), (seq % k + 1).cast("int"))
     text = F.when((key % 3 == 0) & (seq % 9 < 6), letter(2)).when((key % 3 == 1) & (seq % 13 < 11), F.concat(letter(3), F.lit(","))).when((key % 3 == 2) & (seq % 17 < 14), letter(4)).otherwise(F.col("text"))
-    return timed(spark, sf_dir).select("key", "seq", text.alias("text"))
+    return timed(spark, sf_dir).select("key", "seq", text.alias("text"), SLICE)
 
 
 def w15_loops_collapsed(spark, sf_dir):
@@ -106,7 +107,7 @@ SELECT l.key, l.seq, l.text FROM (SELECT key, unnest(range(i, i + k)) AS seq FRO
 
 
 def w15_single_word_loops(spark, sf_dir):
-    w = timed(spark, sf_dir).select("key", "seq", F.when(F.col("seq") % 7 < 4, F.lit("Um.")).otherwise(F.col("text")).alias("text"))
+    w = timed(spark, sf_dir).select("key", "seq", F.when(F.col("seq") % 7 < 4, F.lit("Um.")).otherwise(F.col("text")).alias("text"), SLICE)
     return sg.without_loops(w, longest=1).select("key", "seq", "text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.scan import SLICE, kept_step, scanned, so_far, spread, whole
+from tessera.operators.scan import SLICE, kept_step, scanned, slices_for, so_far, spread, whole
 
 WORD_ITEM = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start_sec", T.StringType()), T.StructField("end_sec", T.StringType()), T.StructField("confidence", T.StringType())])
 
@@ -28,7 +28,7 @@ def event_words(events: DataFrame, cap: float = 30.0) -> DataFrame:
         F.when(F.col("event_id") % 10 != 0, F.pmod(F.col("event_id") * 37, F.lit(100)) / F.lit(100.0)).alias("confidence"),
     )
     # users differ much in length: words come in slices, so that what runs along them does so in many tasks
-    rows = scanned(spread(rows, "ts", "word_id"), ["ts", "word_id"], {"seq": so_far("sum", F.lit(1)), "_begun": whole("min", "_micros")})
+    rows = scanned(spread(rows, "ts", "word_id", slices=slices_for(events)), ["ts", "word_id"], {"seq": so_far("sum", F.lit(1)), "_begun": whole("min", "_micros")})
     start = (F.col("_micros") - F.col("_begun")) / F.lit(1e6)
     return rows.select("key", F.col("seq").cast("int").alias("seq"), "word_id", "text", start.alias("start_sec"), (start + F.col("_long")).alias("end_sec"), "confidence", SLICE)
 

@@ -263,6 +263,33 @@ def test_tasks_grow_in_number_with_their_rows(spark):
     assert many.groupBy("k").count().filter("count <> 8").count() == 0
 
 
+def test_scans_and_walks_are_dealt_by_rows(spark, monkeypatch):
+    """What a task of a scan or walk holds is bounded by rows, also where shuffled bytes are few, and rows stay the same."""
+    monkeypatch.setattr(scan, "TASK_ROWS", 100)
+    r = random.Random(14)
+    rows, expected = [], []
+    for key, n in ((1, 900), (2, 250), (3, 1)):
+        to = [i + r.choice([1, 1, 2, 3, 40]) for i in range(n)]
+        rows += [(key, i, t) for i, t in enumerate(to)]
+        i = 0
+        while i < n:
+            expected.append((key, i))
+            i = to[i]
+    table = scan.spread(spark.createDataFrame(rows, "key int, _at long, _to long"), "_at")
+    assert table.groupBy(scan.SLICE).count().agg(F.max("count")).first()[0] < 250
+    walk = scan.walked(table)
+    assert sorted((x.key, x._at) for x in walk.filter("visited").collect()) == sorted(expected)
+    for step in (scan.scanned(table, ["_at"], {"n": scan.so_far("sum", F.lit(1))}), scan.with_following(table, {"next": "_to"}, 2, block=50), walk):
+        assert step.rdd.getNumPartitions() == -(-len(rows) // 100)
+
+
+def test_words_in_slices_are_not_spread_again(spark, sf_dir, monkeypatch):
+    from tessera.plans import segments as segment_plans
+
+    monkeypatch.setattr(sg, "spread", None)
+    assert segment_plans.w15_loops_collapsed(spark, sf_dir).count() > 0
+
+
 def test_clips_are_dealt_by_project(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(edits, "TASK_ROWS", 400)
     tracks = timeline_plans._tracks(spark, sf_dir)
