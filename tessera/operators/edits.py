@@ -59,28 +59,41 @@ def _is(*types: str) -> Column:
     return F.col("op_type").isin(*types)
 
 
-def _with_hits(clips: DataFrame, ops: DataFrame) -> DataFrame:
-    """Clips with their project's operation, and hit: that the operation is about this clip. A clip is named by its id,
-    or by its place among the video clips by time; operations on overlays look there. A volume looks on the track that
-    it names first, and where that has no such clip, as others do."""
-    # a row passes several sorts that a task holds at once
-    rows = dealt(clips, "project_id", rows=TASK_ROWS // 2).join(ops.select("project_id", "op_type", "params"), "project_id", "left")
-    overlay = _is("move_broll_clip", "trim_broll_clip", "delete_broll_clip", "set_broll_opacity")
+def _kinds(ops: DataFrame) -> set[str]:
+    """The operations that there are among ops, of those that are known: a round makes only what these need."""
+    return {r.op_type for r in ops.filter(_is(*ON_CLIPS, *OTHER_OPERATIONS)).select("op_type").distinct().collect()}
+
+
+def _with_hits(clips: DataFrame, ops: DataFrame, kinds: set[str] | None = None) -> DataFrame:
+    """Clips with their project's operation, hit: that the operation is about this clip, and place: its place in its track
+    by time. A clip is named by its id, or by its place among the video clips; operations on overlays look there. A volume
+    looks on the track that it names first, and where that has no such clip, as others do."""
+    kinds = _kinds(ops) if kinds is None else kinds
+    # a row passes several sorts that a task holds at once. Places come before the join, whose order is by project then
     place = F.row_number().over(Window.partitionBy("project_id", "track").orderBy("timeline_start_sec", "ord"))
-    rows = rows.withColumn("place", place.cast("string"))
-    named = _p("clip")
+    rows = dealt(clips, "project_id", rows=TASK_ROWS // 2).withColumn("place", place.cast("string"))
+    named, overlay = _p("clip"), _is("move_broll_clip", "trim_broll_clip", "delete_broll_clip", "set_broll_opacity")
+    number = named.rlike("^[0-9]+$")
+    wanted = ops.select(
+        "project_id", "op_type", "params", F.when(number, F.regexp_replace(named, "^0+(?=.)", "")).alias("_place"), F.when(~number, named).alias("_clip"), F.when(overlay, "overlay").alias("_track"),
+        F.when(_is("set_volume"), F.nullif(F.lower(F.trim(_p("track_kind"))), F.lit(""))).alias("_hint"), (named.isNull() & _is("add_text_overlay")).alias("_first"),
+    )
+    rows = rows.join(wanted, "project_id", "left")
 
-    def found(track: Column) -> Column:
+    def found(track: str) -> Column:
         """Whether the clip is named, among those of track (null: any, or the video track for places)."""
-        by_place = named.rlike("^[0-9]+$") & (F.col("track") == F.coalesce(track, F.lit("video"))) & (F.col("place") == F.regexp_replace(named, "^0+(?=.)", ""))
-        return F.coalesce(by_place | (~named.rlike("^[0-9]+$") & (F.col("clip_id") == named) & (track.isNull() | (F.col("track") == track))), F.lit(False))
+        by_place = (F.col("place") == F.col("_place")) & (F.col("track") == F.coalesce(track, F.lit("video")))
+        by_id = (F.col("clip_id") == F.col("_clip")) & (F.col(track).isNull() | (F.col("track") == F.col(track)))
+        return F.coalesce(by_place, F.lit(False)) | F.coalesce(by_id, F.lit(False))
 
-    hinted = F.when(_is("set_volume"), F.nullif(F.lower(F.trim(_p("track_kind"))), F.lit("")))
-    rows = rows.withColumns({"_hinted": found(hinted), "_found": found(F.when(overlay, "overlay"))})
-    there = F.max(F.col("_hinted").cast("int")).over(Window.partitionBy("project_id")) == 1
-    first_video = named.isNull() & _is("add_text_overlay") & (F.col("track") == "video") & (F.col("place") == "1")
-    hit = F.coalesce(first_video, F.lit(False)) | F.when(hinted.isNotNull() & there, F.col("_hinted")).otherwise(F.col("_found"))
-    return rows.withColumn("hit", hit).drop("_hinted", "_found", "place")
+    hit = found("_track")
+    if "set_volume" in kinds:
+        rows = rows.withColumn("_hinted", found("_hint"))
+        there = F.max(F.col("_hinted").cast("int")).over(Window.partitionBy("project_id")) == 1
+        hit = F.when(F.col("_hint").isNotNull() & there, F.col("_hinted")).otherwise(hit)
+    if "add_text_overlay" in kinds:
+        hit = F.coalesce(F.col("_first") & (F.col("track") == "video") & (F.col("place") == "1"), F.lit(False)) | hit
+    return rows.withColumn("hit", hit).drop("_place", "_clip", "_track", "_hint", "_first", "_hinted")
 
 
 def apply_round(clips: DataFrame, ops: DataFrame) -> DataFrame:
@@ -89,13 +102,16 @@ def apply_round(clips: DataFrame, ops: DataFrame) -> DataFrame:
     errors() tells which. Operations on a project's settings are apply_settings'.
 
     A clip is named by its id, or by its place among the video clips (or those of the track that params name), by
-    time. Deleting ripples the track, as do merging and reordering unless told not to."""
-    rows = _with_hits(clips, ops)
+    time. Deleting ripples the track, as do merging and reordering unless told not to. What no operation of the round
+    needs isn't made: most change a column of a clip, and few sort a track."""
+    kinds = _kinds(ops)
+    on = lambda *types: not kinds.isdisjoint(types)
+    rows = _with_hits(clips, ops, kinds).drop("place")
 
     def put(name: str, value: Column, *types: str, given: str | None = None) -> Column:
         """The column with value where a named clip's operation of these types sets it."""
-        on = F.col("hit") & _is(*types) & (F.lit(True) if given is None else _p(given).isNotNull())
-        return F.when(on, value).otherwise(F.col(name))
+        asked = F.col("hit") & _is(*types) & (F.lit(True) if given is None else _p(given).isNotNull())
+        return F.when(asked, value).otherwise(F.col(name))
 
     trim = F.col("hit") & _is("trim_clip", "trim_broll_clip")
     a, b = F.round(F.coalesce(_p("start_sec", "double"), "start_sec"), 3), F.round(F.coalesce(_p("end_sec", "double"), "end_sec"), 3)
@@ -111,51 +127,80 @@ def apply_round(clips: DataFrame, ops: DataFrame) -> DataFrame:
     boxed = F.lit(True)
     for k in ("x", "y", "width", "height"):
         boxed = boxed & _p(k).isNotNull()
-    changed = {
-        "was": F.col("track"),
-        "track": own_track,
-        "start_sec": F.when(trim & (b > a), a).otherwise(F.col("start_sec")),
-        "end_sec": F.when(trim & (b > a), b).otherwise(F.col("end_sec")),
-        "timeline_start_sec": put("timeline_start_sec", moved, "move_clip", "move_broll_clip"),
-        "speed": put("speed", F.greatest(F.lit(0.25), F.least(_p("speed", "double"), F.lit(4.0))), "set_speed"),
-        "volume": put("volume", _p("volume", "double"), "set_volume", given="volume"),
-        "mute": put("mute", _p("mute", "boolean"), "set_volume", given="mute"),
-        "fade_in_sec": put("fade_in_sec", F.greatest(F.lit(0.0), _p("fade_in_sec", "double")), "set_volume", given="fade_in_sec"),
-        "fade_out_sec": put("fade_out_sec", F.greatest(F.lit(0.0), _p("fade_out_sec", "double")), "set_volume", given="fade_out_sec"),
-        "transition": put("transition", off(F.coalesce(_p("type"), F.lit("fade"))), "set_transition"),
-        "transition_sec": put("transition_sec", F.when(~F.lower(F.coalesce(_p("type"), F.lit("fade"))).isin(*OFF), F.coalesce(_p("duration_sec", "double"), F.lit(0.5))), "set_transition"),
-        "rotate": F.when(F.col("hit") & _is("rotate_clip") & _p("degrees", "int").isin(0, 90, 180, 270), _p("degrees", "int")).otherwise(F.col("rotate")),
-        "flip": F.when(F.col("hit") & _is("flip_clip") & F.lower(_p("direction")).isin("horizontal", "vertical", "none", "off", "clear"), off(_p("direction"))).otherwise(F.col("flip")),
-        "preset": put("preset", F.when(~F.lower(_p("preset")).isin(*OFF), _p("preset")), "set_adjustments", given="preset"),
-        "keyframes": put("keyframes", frames, "set_volume", given="keyframes"),
-        "crop": F.when(F.col("hit") & _is("crop_resize") & boxed, box).otherwise(F.col("crop")),
-        "opacity": F.when(F.col("hit") & _is("set_broll_opacity") & opacity.isNotNull(), F.round(unit(opacity), 3)).otherwise(F.col("opacity")),
-        "texts": put("texts", F.concat(F.coalesce("texts", F.array().cast(KINDS["texts"])), F.array(text)), "add_text_overlay"),
-        **{c: put(c, _p(c, "double"), "set_adjustments", given=c) for c in ("brightness", "contrast", "saturation", "exposure", "temperature")},
+    settings = {
+        ("move_clip",): {"track": own_track},
+        ("trim_clip", "trim_broll_clip"): {
+            "start_sec": F.when(trim & (b > a), a).otherwise(F.col("start_sec")),
+            "end_sec": F.when(trim & (b > a), b).otherwise(F.col("end_sec")),
+        },
+        ("move_clip", "move_broll_clip"): {"timeline_start_sec": put("timeline_start_sec", moved, "move_clip", "move_broll_clip")},
+        ("set_speed",): {"speed": put("speed", F.greatest(F.lit(0.25), F.least(_p("speed", "double"), F.lit(4.0))), "set_speed")},
+        ("set_volume",): {
+            "volume": put("volume", _p("volume", "double"), "set_volume", given="volume"),
+            "mute": put("mute", _p("mute", "boolean"), "set_volume", given="mute"),
+            "fade_in_sec": put("fade_in_sec", F.greatest(F.lit(0.0), _p("fade_in_sec", "double")), "set_volume", given="fade_in_sec"),
+            "fade_out_sec": put("fade_out_sec", F.greatest(F.lit(0.0), _p("fade_out_sec", "double")), "set_volume", given="fade_out_sec"),
+            "keyframes": put("keyframes", frames, "set_volume", given="keyframes"),
+        },
+        ("set_transition",): {
+            "transition": put("transition", off(F.coalesce(_p("type"), F.lit("fade"))), "set_transition"),
+            "transition_sec": put("transition_sec", F.when(~F.lower(F.coalesce(_p("type"), F.lit("fade"))).isin(*OFF), F.coalesce(_p("duration_sec", "double"), F.lit(0.5))), "set_transition"),
+        },
+        ("rotate_clip",): {"rotate": F.when(F.col("hit") & _is("rotate_clip") & _p("degrees", "int").isin(0, 90, 180, 270), _p("degrees", "int")).otherwise(F.col("rotate"))},
+        ("flip_clip",): {"flip": F.when(F.col("hit") & _is("flip_clip") & F.lower(_p("direction")).isin("horizontal", "vertical", "none", "off", "clear"), off(_p("direction"))).otherwise(F.col("flip"))},
+        ("crop_resize",): {"crop": F.when(F.col("hit") & _is("crop_resize") & boxed, box).otherwise(F.col("crop"))},
+        ("set_broll_opacity",): {"opacity": F.when(F.col("hit") & _is("set_broll_opacity") & opacity.isNotNull(), F.round(unit(opacity), 3)).otherwise(F.col("opacity"))},
+        ("add_text_overlay",): {"texts": put("texts", F.concat(F.coalesce("texts", F.array().cast(KINDS["texts"])), F.array(text)), "add_text_overlay")},
+        ("set_adjustments",): {
+            "preset": put("preset", F.when(~F.lower(_p("preset")).isin(*OFF), _p("preset")), "set_adjustments", given="preset"),
+            **{c: put(c, _p(c, "double"), "set_adjustments", given=c) for c in ("brightness", "contrast", "saturation", "exposure", "temperature")},
+        },
     }
-    rows = rows.withColumns(changed)
+    rows = rows.withColumns({name: value for types, columns in settings.items() if on(*types) for name, value in columns.items()})
 
     # a split clip becomes two: at a time within its source, else at a time on the timeline
-    at = _p("at_sec", "double")
-    within = F.when((at > F.col("start_sec")) & (at < F.col("end_sec")), at).otherwise(F.col("start_sec") + (at - F.col("timeline_start_sec")) * F.col("speed"))
-    rows = rows.withColumn("cut", F.when(F.col("hit") & _is("split_clip") & (within > F.col("start_sec")) & (within < F.col("end_sec")), F.round(within, 3)))
-    rows = rows.withColumn("half", F.explode(F.when(F.col("cut").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    right = F.col("half") == 1
-    later = F.round(F.col("timeline_start_sec") + clip_seconds("start_sec", "cut", "speed"), 3)
-    rows = rows.withColumns(
-        {
-            "timeline_start_sec": F.when(right, later).otherwise(F.col("timeline_start_sec")),
-            "clip_id": F.when(right, F.concat("clip_id", F.lit("'"))).otherwise(F.col("clip_id")),
-            "end_sec": F.when(F.col("cut").isNotNull() & ~right, F.col("cut")).otherwise(F.col("end_sec")),
-            "start_sec": F.when(right, F.col("cut")).otherwise(F.col("start_sec")),
-        }
-    )
-    replaced = _is("replace_video_track_clips") & ((F.col("track") == "video") | ((F.col("track") == "audio") & F.coalesce(_p("clear_audio_tracks", "boolean"), F.lit(False))))
-    gone = (F.col("hit") & _is("delete_clip", "delete_broll_clip")) | replaced
+    rows = rows.withColumn("half", F.lit(0))
+    if on("split_clip"):
+        at = _p("at_sec", "double")
+        within = F.when((at > F.col("start_sec")) & (at < F.col("end_sec")), at).otherwise(F.col("start_sec") + (at - F.col("timeline_start_sec")) * F.col("speed"))
+        rows = rows.withColumn("cut", F.when(F.col("hit") & _is("split_clip") & (within > F.col("start_sec")) & (within < F.col("end_sec")), F.round(within, 3)))
+        rows = rows.withColumn("half", F.explode(F.when(F.col("cut").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        right = F.col("half") == 1
+        later = F.round(F.col("timeline_start_sec") + clip_seconds("start_sec", "cut", "speed"), 3)
+        rows = rows.withColumns(
+            {
+                "timeline_start_sec": F.when(right, later).otherwise(F.col("timeline_start_sec")),
+                "clip_id": F.when(right, F.concat("clip_id", F.lit("'"))).otherwise(F.col("clip_id")),
+                "end_sec": F.when(F.col("cut").isNotNull() & ~right, F.col("cut")).otherwise(F.col("end_sec")),
+                "start_sec": F.when(right, F.col("cut")).otherwise(F.col("start_sec")),
+            }
+        )
     track = Window.partitionBy("project_id", "track")
-    rows = rows.withColumn("lost", F.max((F.col("hit") & _is("delete_clip", "delete_broll_clip")).cast("int")).over(track) == 1).filter(~F.coalesce(gone, F.lit(False)))
+    if on("delete_clip", "delete_broll_clip"):
+        deleted = F.col("hit") & _is("delete_clip", "delete_broll_clip")
+        rows = rows.withColumn("lost", F.max(deleted.cast("int")).over(track) == 1).filter(~F.coalesce(deleted, F.lit(False)))
+    else:
+        rows = rows.withColumn("lost", F.lit(False))
+    if on("replace_video_track_clips"):
+        replaced = _is("replace_video_track_clips") & ((F.col("track") == "video") | ((F.col("track") == "audio") & F.coalesce(_p("clear_audio_tracks", "boolean"), F.lit(False))))
+        rows = rows.filter(~F.coalesce(replaced, F.lit(False)))
+    by_place = F.row_number().over(track.orderBy("ord", "half"))
+    if on("delete_clip", "delete_broll_clip", "merge_clips", "reorder_clips", "move_clip", "move_broll_clip", "ripple_edit"):
+        rows = _laid_out(rows, track, by_place)
+    else:
+        rows = rows.withColumn("ord", by_place)
+    rows = rows.select(*CLIP)
+    rows = _captioned(rows, ops) if on("set_subtitles") else rows
+    if not on("add_clip", "add_audio_track", "add_broll_clip", "replace_video_track_clips"):
+        return rows
+    # new clips are dealt by their own ids, so that no later join relies on both sides of the union being dealt alike, which
+    # adaptive execution may change on one side only
+    return rows.unionByName(_added(clips, ops).repartition("clip_id"))
+
 
-    # order within the track: listed clips first for a reorder, merged ones together from the first's start
+def _laid_out(rows: DataFrame, track: Window, by_place: Column) -> DataFrame:
+    """Clips (of halves, with their operation, and lost: that their track lost one) in their order within the track: listed
+    clips first for a reorder, merged ones together from the first's start; and laid out anew where that ripples."""
     listed = F.split(F.coalesce(_p("clip_order"), _p("clips"), F.lit("")), r"[,\s]+")
     places = F.row_number().over(Window.partitionBy("project_id", "track").orderBy("timeline_start_sec", "ord", "half")).cast("string")
     listing = F.when(_is("merge_clips"), F.when(F.col("track") == "video", F.greatest(F.array_position(listed, places), F.array_position(listed, F.col("clip_id"))))).when(_is("reorder_clips"), F.when(F.col("track") == F.coalesce(_p("track_kind"), F.lit("video")), F.array_position(listed, F.col("clip_id"))))
@@ -167,9 +212,8 @@ def apply_round(clips: DataFrame, ops: DataFrame) -> DataFrame:
     rows = rows.withColumn("timeline_start_sec", F.when(merge, F.round(begin + together, 3)).otherwise(F.col("timeline_start_sec")))
     reorder = _is("reorder_clips") & (F.col("n_listed") > 0)
     by = [F.when(reorder, F.coalesce("listed", F.lit(1 << 30))).otherwise(0), F.when(reorder, F.col("ord").cast("double")).otherwise(F.col("timeline_start_sec")), F.when(F.col("listed").isNotNull(), 1).otherwise(0), F.col("ord"), F.col("half")]
-    in_place = [F.col("ord"), F.col("half")]
     sorted_now = reorder | (_is("merge_clips") & (F.col("n_listed") >= 2)) | F.coalesce(F.col("lost"), F.lit(False)) | _is("move_clip", "move_broll_clip", "ripple_edit")
-    rows = rows.withColumns({"by_time": F.row_number().over(track.orderBy(*by)), "by_place": F.row_number().over(track.orderBy(*in_place))})
+    rows = rows.withColumns({"by_time": F.row_number().over(track.orderBy(*by)), "by_place": by_place})
     rows = rows.withColumn("ord", F.when(F.coalesce(sorted_now, F.lit(False)), F.col("by_time")).otherwise(F.col("by_place")))
     wish = lambda name, default: F.coalesce(_p(name, "boolean"), F.lit(default))
     touched = F.max(F.col("hit").cast("int")).over(track) == 1
@@ -181,10 +225,7 @@ def apply_round(clips: DataFrame, ops: DataFrame) -> DataFrame:
         | (_is("move_clip") & touched & wish("ripple", False))
     )
     laid = F.round(F.coalesce(F.sum(clip_seconds()).over(track.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 3)
-    rows = rows.withColumn("timeline_start_sec", F.when(F.coalesce(ripple, F.lit(False)), laid).otherwise(F.col("timeline_start_sec")))
-    # new clips are dealt by their own ids, so that no later join relies on both sides of the union being dealt alike, which
-    # adaptive execution may change on one side only
-    return _captioned(rows.select(*CLIP), ops).unionByName(_added(clips, ops).repartition("clip_id"))
+    return rows.withColumn("timeline_start_sec", F.when(F.coalesce(ripple, F.lit(False)), laid).otherwise(F.col("timeline_start_sec")))
 
 
 def _captioned(clips: DataFrame, ops: DataFrame) -> DataFrame:
@@ -261,13 +302,14 @@ def _export_ok() -> Column:
 
 def errors(clips: DataFrame, ops: DataFrame) -> DataFrame:
     """(project_id, error) of the operations, one of each project, that can't be applied."""
-    rows = _with_hits(clips, ops).withColumn("place", F.row_number().over(Window.partitionBy("project_id", "track").orderBy("timeline_start_sec", "ord")).cast("string"))
+    kinds = _kinds(ops)
+    rows = _with_hits(clips, ops, kinds)
     listed = F.array_distinct(F.filter(F.split(F.coalesce(_p("clips"), F.lit("")), r"[,\s]+"), lambda x: x != ""))
     merged = _is("merge_clips") & (F.col("track") == "video") & (F.array_contains(listed, F.col("place")) | F.array_contains(listed, F.col("clip_id")))
     seen = rows.groupBy("project_id").agg(
         F.max("hit").alias("hit"),
         F.count_if(F.col("track") == "video").alias("n_video"),
-        F.count_if(F.coalesce(merged, F.lit(False))).alias("n_merged"),
+        (F.count_if(F.coalesce(merged, F.lit(False))) if "merge_clips" in kinds else F.lit(0)).alias("n_merged"),
         *[F.max(F.when(F.col("hit"), F.col(c))).alias(f"c_{c}") for c in ("start_sec", "end_sec", "timeline_start_sec", "speed")],
     )
     rows = ops.join(seen, "project_id", "left")
@@ -280,28 +322,28 @@ def errors(clips: DataFrame, ops: DataFrame) -> DataFrame:
     few = lambda c: F.coalesce(c, F.lit(False))
     no = lambda c: ~few(c)
     rules = [
-        (~_is(*ON_CLIPS, *OTHER_OPERATIONS), "unsupported operation"),
-        ((_is(*ON_CLIPS) | (_is("set_volume", "add_text_overlay") & _p("clip").isNotNull())) & ~hit, "no such clip"),
-        (_is("add_text_overlay") & few(F.coalesce("n_video", F.lit(0)) == 0), "no clip for the text"),
-        (_is("trim_clip", "trim_broll_clip") & no(trimmed[1] > trimmed[0]), "end before start"),
-        (_is("split_clip") & no((within > F.col("c_start_sec")) & (within < F.col("c_end_sec"))), "split outside the clip"),
-        (_is("set_speed") & _p("speed").try_cast("double").isNull(), "no speed"),
-        (_is("set_transition") & ~F.lower(F.coalesce(_p("type"), F.lit("fade"))).isin(*TRANSITIONS, *OFF[:3]), "unknown transition"),
-        (_is("rotate_clip") & no(_p("degrees").isin("0", "90", "180", "270")), "unknown rotation"),
-        (_is("flip_clip") & no(F.lower(_p("direction")).isin("horizontal", "vertical", *OFF[:3])), "unknown direction"),
-        (_is("set_broll_opacity") & F.coalesce(_p("opacity"), _p("broll_opacity")).isNull(), "no opacity"),
-        (_is("merge_clips") & (F.size(listed) < 2), "merge needs two clips"),
-        (_is("merge_clips") & few(F.coalesce("n_merged", F.lit(0)) < F.size(listed)), "no such clip"),
-        (_is("reorder_clips") & _p("clip_order").isNull(), "no order"),
-        (_is("add_clip", "add_audio_track", "add_broll_clip") & no(end > start), "end before start"),
-        (_is("replace_video_track_clips") & (no(F.trim(_p("asset_id")) != "") | no(F.size(F.from_json(_p("ranges"), RANGES)) > 0)), "no ranges"),
-        (_is("set_subtitles") & no(F.size(F.from_json(_p("words"), "array<struct<text:string>>")) > 0), "no words"),
-        (_is("set_aspect_ratio") & no(F.replace(_p("ratio"), F.lit(" "), F.lit("")).isin(*ASPECTS)), "unknown aspect ratio"),
-        (_is("set_export_settings") & ~_export_ok(), "unknown export setting"),
+        ((*ON_CLIPS, "set_volume", "add_text_overlay"), (_is(*ON_CLIPS) | (_is("set_volume", "add_text_overlay") & _p("clip").isNotNull())) & ~hit, "no such clip"),
+        (("add_text_overlay",), few(F.coalesce("n_video", F.lit(0)) == 0), "no clip for the text"),
+        (("trim_clip", "trim_broll_clip"), no(trimmed[1] > trimmed[0]), "end before start"),
+        (("split_clip",), no((within > F.col("c_start_sec")) & (within < F.col("c_end_sec"))), "split outside the clip"),
+        (("set_speed",), _p("speed").try_cast("double").isNull(), "no speed"),
+        (("set_transition",), ~F.lower(F.coalesce(_p("type"), F.lit("fade"))).isin(*TRANSITIONS, *OFF[:3]), "unknown transition"),
+        (("rotate_clip",), no(_p("degrees").isin("0", "90", "180", "270")), "unknown rotation"),
+        (("flip_clip",), no(F.lower(_p("direction")).isin("horizontal", "vertical", *OFF[:3])), "unknown direction"),
+        (("set_broll_opacity",), F.coalesce(_p("opacity"), _p("broll_opacity")).isNull(), "no opacity"),
+        (("merge_clips",), F.size(listed) < 2, "merge needs two clips"),
+        (("merge_clips",), few(F.coalesce("n_merged", F.lit(0)) < F.size(listed)), "no such clip"),
+        (("reorder_clips",), _p("clip_order").isNull(), "no order"),
+        (("add_clip", "add_audio_track", "add_broll_clip"), no(end > start), "end before start"),
+        (("replace_video_track_clips",), no(F.trim(_p("asset_id")) != "") | no(F.size(F.from_json(_p("ranges"), RANGES)) > 0), "no ranges"),
+        (("set_subtitles",), no(F.size(F.from_json(_p("words"), "array<struct<text:string>>")) > 0), "no words"),
+        (("set_aspect_ratio",), no(F.replace(_p("ratio"), F.lit(" "), F.lit("")).isin(*ASPECTS)), "unknown aspect ratio"),
+        (("set_export_settings",), ~_export_ok(), "unknown export setting"),
     ]
     error = F.lit(None).cast("string")
-    for wrong, said in reversed(rules):
-        error = F.when(few(wrong), said).otherwise(error)
+    for types, wrong, said in reversed(rules):
+        error = error if kinds.isdisjoint(types) else F.when(few(_is(*types) & wrong), said).otherwise(error)
+    error = F.when(few(~_is(*ON_CLIPS, *OTHER_OPERATIONS)), "unsupported operation").otherwise(error)
     return rows.select("project_id", error.alias("error")).filter("error is not null")
 
 
@@ -310,11 +352,14 @@ def apply_batch(clips: DataFrame, log: DataFrame, rounds: int, written=lambda df
     each operation: project_id, seq, op_type, error, and applied, which is false for the failing one and those behind
     it. What was applied before stays."""
     told, stopped = None, None
+    clips = written(clips)  # each round reads them several times
     for k in range(1, rounds + 1):
         ops = log.filter(F.col("seq") == k)
-        going = ops if stopped is None else ops.join(stopped, "project_id", "left_anti")
+        going = written(ops if stopped is None else ops.join(stopped, "project_id", "left_anti"))
         wrong = written(errors(clips, going))
-        clips = written(apply_round(clips, going.join(wrong, "project_id", "left_anti")))
+        # written, as what was joined by project keeps to the tasks of that join, which clips are dealt to more of
+        clips = apply_round(clips, written(going.join(wrong, "project_id", "left_anti")))
+        clips = clips if k == rounds else written(clips)  # of the last round, what is asked for is made
         now = ops.select("project_id", "seq", "op_type").join(wrong, "project_id", "left")
         late = F.lit(False) if stopped is None else F.col("late").isNotNull()
         now = now if stopped is None else now.join(stopped.withColumn("late", F.lit(True)), "project_id", "left")

@@ -341,3 +341,48 @@ def test_vectors_are_multiplied_in_the_memory_of_batches(spark):
     got = ranking.nearest_vectors(rows.filter("vec_id in (0, 3, 4)").withColumnRenamed("vec_id", "q_id"), rows, 2)
     assert "MapInArrow" in got._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, got.select("q_id", "rank", "vec_id", "cosine").collect())) == [(0, 1, 2, 0.9), (0, 2, 6, 0.8)]
+
+
+def tracks_of(spark, projects):
+    rows = [(p, "video", i + 1, f"c{i + 1}", "a", *c) for p in projects for i, c in enumerate([(0.0, 4.0, 0.0, 1.0), (4.0, 6.0, 4.0, 1.0), (0.0, 3.0, 6.0, 1.0)])]
+    return edits.new_clips(spark.createDataFrame(rows, "project_id string, track string, ord int, clip_id string, asset_id string, start_sec double, end_sec double, timeline_start_sec double, speed double"))
+
+
+OPS = "project_id string, seq int, op_type string, params map<string,string>"
+
+
+def test_a_round_sorts_no_more_than_its_operations_need(spark):
+    clips = tracks_of(spark, ["p", "q"])
+    ops = spark.createDataFrame([(p, 1, "set_speed", {"clip": "1", "speed": "2"}) for p in "pq"], OPS)
+    plan = edits.apply_round(clips, ops)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and "Union" not in plan
+
+
+def test_what_others_do_in_a_round_changes_no_clip(spark):
+    said = [
+        ("set_speed", {"clip": "1", "speed": "2"}), ("split_clip", {"clip": "2", "at_sec": "5"}), ("delete_clip", {"clip": "2"}), ("merge_clips", {"clips": "3,1"}),
+        ("set_volume", {"clip": "1", "volume": "0.3", "track_kind": "audio"}), ("add_clip", {"asset_id": "z", "start_sec": "1", "duration_sec": "2"}), ("dance", {}), ("delete_clip", {"clip": "99"}),
+    ]
+    names = [f"p{i:02}" for i in range(len(said) + 1)]
+    ops = [(p, 1, *x) for p, x in zip(names, said, strict=False)]
+    clips = tracks_of(spark, names)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    alone = [x for p in names for x in rows(edits.apply_round(clips.filter(F.col("project_id") == p), spark.createDataFrame([o for o in ops if o[0] == p], OPS)))]
+    assert rows(edits.apply_round(clips, spark.createDataFrame(ops, OPS))) == sorted(alone)
+    wrong = lambda some: {(r.project_id, r.error) for r in edits.errors(clips, spark.createDataFrame(some, OPS)).collect()}
+    assert wrong(ops) == set().union(*[wrong([o]) for o in ops]) == {("p06", "unsupported operation"), ("p07", "no such clip")}
+
+
+def test_a_batch_makes_its_clips_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    clips = tracks_of(spark, ["p", "q"]).withColumn("project_id", F.udf(seen, "string")("project_id"))
+    log = spark.createDataFrame([("p", 1, "set_speed", {"clip": "1", "speed": "2"}), ("p", 2, "dance", {}), ("p", 3, "delete_clip", {"clip": "1"}), ("q", 1, "delete_clip", {"clip": "2"}), ("q", 2, "split_clip", {"clip": "1", "at_sec": "1"})], OPS)
+    left, told = edits.apply_batch(clips, log, 3, stored.written)
+    assert sorted((r.project_id, r.clip_id, r.ord) for r in left.collect()) == [("p", "c1", 1), ("p", "c2", 2), ("p", "c3", 3), ("q", "c1", 1), ("q", "c1'", 2), ("q", "c3", 3)]
+    assert {(r.project_id, r.seq, r.error, r.applied) for r in told.collect()} == {("p", 1, None, True), ("p", 2, "unsupported operation", False), ("p", 3, None, False), ("q", 1, None, True), ("q", 2, None, True)}
+    assert made.value == 6
