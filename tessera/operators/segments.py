@@ -51,11 +51,12 @@ def _numbered(chunks: DataFrame) -> DataFrame:
 ENDS = r"[.!?]$"
 
 
-def slot_chunks(words: DataFrame, least_words: int = 4, most: int = 40, gap: float = 1.1, size: int = 14) -> DataFrame:
+def slot_chunks(words: DataFrame, least_words: int = 4, most: int | None = None, gap: float = 1.1, size: int = 14) -> DataFrame:
     """Chunks for slots: up to size words, split after gaps and sentence ends; those under least_words are dropped,
-    and the first most of a key stay."""
+    and if most is given, the first most of a key stay."""
     found = _gathered(_split(words, gap, size, F.trim("text").rlike(ENDS))).filter(F.col("n") >= least_words)
-    return _numbered(found).filter(F.col("chunk") <= most)
+    numbered = _numbered(found)
+    return numbered if most is None else numbered.filter(F.col("chunk") <= most)
 
 
 def sentences(words: DataFrame, gap: float = 1.1, size: int = 12) -> DataFrame:

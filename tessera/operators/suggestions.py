@@ -13,9 +13,9 @@ from tessera.operators import segments
 from tessera.sources.stored import dealt, written
 
 
-def slots_of(words: DataFrame, least_words: int = 4, most: int = 40) -> DataFrame:
-    """Slots of transcripts (words of each key): slot_id, project_id (the key), start_sec, end_sec, slot_sec, slot_text,
-    concept, concepts and queries."""
+def slots_of(words: DataFrame, least_words: int = 4, most: int | None = None) -> DataFrame:
+    """Slots of whole transcripts (words of each key; if most is given, the first most of each): slot_id, project_id (the
+    key), start_sec, end_sec, slot_sec, slot_text, concept, concepts and queries."""
     chunks = segments.slot_chunks(words, least_words, most)
     rows = tx.with_concepts(chunks.withColumnRenamed("text", "slot_text"), "slot_text").withColumn("concept", tx.concept_text(F.col("concepts")))
     queries = tx.expanded_queries(F.col("slot_text"), F.col("concept"), F.col("concepts"), tx.entities(F.col("slot_text")))

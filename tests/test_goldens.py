@@ -334,6 +334,11 @@ def test_assets_about_as_long_as_a_slot_are_not_all_compared(spark):
     assert best == {k: min(rows, key=lambda x: (-score(x, 20 + k / 100), x.place)).asset_id for k in range(60)}
 
 
+def test_slots_come_of_whole_transcripts(spark):
+    w = words(spark, [(i * 0.4, i * 0.4 + 0.3) for i in range(4 * 55)], "rocket launch over sea.".split() * 55)
+    assert suggestions.slots_of(w).count() == 55 and suggestions.slots_of(w, most=40).count() == 40
+
+
 def test_slots_are_made_once(spark):
     w = words(spark, [(i * 0.4, i * 0.4 + 0.3) for i in range(12)], "rocket launch over the sea. apples grow in green orchards. rocket engines".split() + ["x"])
     plan = suggestions.slots_of(w)._jdf.queryExecution().analyzed().toString()
