@@ -30,6 +30,8 @@ def best_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 #: slots of more concepts, and assets of more terms that some concept names, are compared pair by pair
 CONCEPTS, TERMS = 4, 10
+#: up to so many projects with assets, which are counted, are told to all tasks
+PROJECTS = 10_000
 
 
 def local_scores(slots: DataFrame, assets: DataFrame, k: int = 4) -> DataFrame:
@@ -39,10 +41,13 @@ def local_scores(slots: DataFrame, assets: DataFrame, k: int = 4) -> DataFrame:
     Slots of a project that have the same concepts and length score its assets alike, but for their own, which score less:
     so the k + 1 best are looked for once for each such kind of slot, and a slot's k best are among them. Only pairs that
     can be among these are formed (see _promising), so the work grows with the slots and the assets, not with their
-    product. Joins are by shuffling, as files of few bytes may hold many rows."""
+    product. Slots of projects without assets have none, and are left out first. Joins are by shuffling, as files of few
+    bytes may hold many rows."""
     project = Window.partitionBy("project_id")
     newest = project.orderBy(F.desc("created_at"), F.desc("asset_id"))
-    sizes = assets.groupBy("project_id").agg(F.count("*").alias("total"))
+    sizes = written(assets.groupBy("project_id").agg(F.count("*").alias("total")))
+    there = sizes.select("project_id")
+    slots = slots.join(F.broadcast(there) if sizes.count() <= PROJECTS else there.hint("merge"), "project_id", "left_semi")
     placed = assets.withColumns({"place": F.row_number().over(newest) - 1, "terms": F.array_distinct(tx.tokens(F.col("filename")))}).join(sizes, "project_id")
     placed = written(placed.select("project_id", "asset_id", "filename", "duration_sec", "place", "total", "terms"))
     known = slots.select("project_id", "slot_id", "own_asset", "concepts", F.coalesce("concepts", F.array().cast("array<string>")).alias("c"), F.coalesce("slot_sec", F.lit(1.0)).alias("sec"))
@@ -123,11 +128,11 @@ def provider_scores(hits: DataFrame, base: float, limit: int, dealt_by_slot: boo
     return top_per_group(scored, ["slot_id"], limit, [F.desc("score"), F.col("place"), F.col("url")])
 
 
-def mixed(local: DataFrame, external: DataFrame, limit: int) -> DataFrame:
+def mixed(local: DataFrame, external: DataFrame, limit: int, *kept: str) -> DataFrame:
     """Candidates of a slot from both sources: half of limit local (one at least) and the rest external where there
     are both, filled up with the best left over; then by score, each asset and each URL once, limit at most. Both
-    have slot_id, asset_id, url, score and rank (from 1)."""
-    columns = ["slot_id", "asset_id", "url", "score", "rank"]
+    have slot_id, asset_id, url, score and rank (from 1), and what else is kept."""
+    columns = ["slot_id", "asset_id", "url", "score", "rank", *kept]
     rows = local.select(*columns, F.lit(0).alias("source")).unionByName(external.select(*columns, F.lit(1).alias("source")))
     slot = Window.partitionBy("slot_id")
     both = (F.min("source").over(slot) == 0) & (F.max("source").over(slot) == 1)
@@ -142,7 +147,7 @@ def mixed(local: DataFrame, external: DataFrame, limit: int) -> DataFrame:
         again = F.row_number().over(Window.partitionBy("slot_id", column).orderBy(*order))
         rows = rows.withColumn("again", F.when(F.col(column).isNull(), 1).otherwise(again)).filter("again = 1")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("slot_id").orderBy(*order))).filter(F.col("place") <= limit)
-    return rows.select("slot_id", F.col("place").alias("rank"), "source", "asset_id", "url", "score")
+    return rows.select("slot_id", F.col("place").alias("rank"), "source", "asset_id", "url", "score", *kept)
 
 
 def reranked(rows: DataFrame, weights: tuple[float, float, float, float] = (0.55, 0.20, 0.15, 0.10), vectors: bool = False) -> DataFrame:

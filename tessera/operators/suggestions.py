@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import ranking as rk
 from tessera.operators import segments
+from tessera.operators.scan import kept_step
 from tessera.sources.stored import dealt, written
 
 
 def slots_of(words: DataFrame, least_words: int = 4, most: int | None = None) -> DataFrame:
     """Slots of whole transcripts (words of each key; if most is given, the first most of each): slot_id, project_id (the
     key), start_sec, end_sec, slot_sec, slot_text, concept, concepts and queries."""
-    chunks = segments.slot_chunks(words, least_words, most)
+    chunks = segments.slot_chunks(kept_step(words), least_words, most)
     rows = tx.with_concepts(chunks.withColumnRenamed("text", "slot_text"), "slot_text").withColumn("concept", tx.concept_text(F.col("concepts")))
     queries = tx.expanded_queries(F.col("slot_text"), F.col("concept"), F.col("concepts"), tx.entities(F.col("slot_text")))
     # written, as what suggests to slots comes back to them
@@ -29,21 +30,25 @@ def slots_of(words: DataFrame, least_words: int = 4, most: int | None = None) ->
 def candidates_of(slots: DataFrame, assets: DataFrame, hits: Callable[[DataFrame], DataFrame] | None, per_slot: int = 5, base: float = 0.42, rerank: bool = True) -> DataFrame:
     """Candidates of slots, per_slot at most: slot_id, rank, asset_id, url, score, confidence and duration_sec. assets:
     project_id, asset_id, filename, duration_sec, created_at and own (the transcript's own). hits gives what providers
-    found for slots (slot_id, url, place, total, duration_sec, width, height); without it only assets are ranked."""
+    found for slots (slot_id, url, place, total, duration_sec, width, height); without it only assets are ranked.
+
+    Names and durations ride along with the candidates, so that a slot's text is shuffled once, for the few that are left."""
     own = assets.filter("own").groupBy("project_id").agg(F.min("asset_id").alias("own_asset"))
-    local = rk.local_scores(slots.join(own, "project_id", "left"), assets, per_slot).withColumn("url", F.lit(None).cast("string"))
-    found = written(hits(slots).join(slots.select("slot_id", "slot_sec").hint("merge"), "slot_id")) if hits else None
-    columns = ["slot_id", "asset_id", "url", "score", "rank"]
-    external = rk.provider_scores(dealt(found, "slot_id"), base, per_slot, dealt_by_slot=True).withColumn("asset_id", F.lit(None).cast(dict(assets.dtypes)["asset_id"])).select(*columns) if hits else local.select(*columns).limit(0)
-    mixed = written(rk.mixed(local.select(*columns), external, per_slot))
-    rows = mixed.join(slots.hint("merge"), "slot_id").join(assets.select("project_id", "asset_id", F.col("filename").alias("a_name"), F.col("duration_sec").alias("a_sec")).hint("merge"), ["project_id", "asset_id"], "left")
-    rows = rows.join(found.groupBy("slot_id", "url").agg(F.max("duration_sec").alias("u_sec")).hint("merge"), ["slot_id", "url"], "left") if hits else rows.withColumn("u_sec", F.lit(None).cast("double"))
-    duration = F.coalesce("a_sec", "u_sec")
+    ranked = rk.local_scores(slots.join(own, "project_id", "left"), assets, per_slot)
+    local = ranked.select("slot_id", "asset_id", F.lit(None).cast("string").alias("url"), "score", "rank", F.col("filename").alias("a_name"), "duration_sec")
+    external = local.limit(0)
+    if hits:
+        # hits are dealt by slot before anything is joined to them: what follows keeps to these tasks
+        found = dealt(hits(slots), "slot_id").join(slots.select("slot_id", "slot_sec").hint("merge"), "slot_id")
+        longest = F.max("duration_sec").over(Window.partitionBy("slot_id", "url"))
+        scored = rk.provider_scores(found.withColumn("longest", F.when(F.col("url").isNotNull(), longest)), base, per_slot, dealt_by_slot=True)
+        external = scored.select("slot_id", F.lit(None).cast(dict(assets.dtypes)["asset_id"]).alias("asset_id"), "url", "score", "rank", F.lit(None).cast("string").alias("a_name"), F.col("longest").alias("duration_sec"))
+    rows = written(rk.mixed(local, external, per_slot, "a_name", "duration_sec")).join(slots.hint("merge"), "slot_id")
     if not rerank:
-        return rk.not_reranked(rows.withColumn("base", F.col("score"))).select("slot_id", "rank", "asset_id", "url", "score", "confidence", duration.alias("duration_sec"))
+        return rk.not_reranked(rows.withColumn("base", F.col("score"))).select("slot_id", "rank", "asset_id", "url", "score", "confidence", "duration_sec")
     said = tx.candidate_text(F.col("a_name"), F.when(F.col("source") == 0, "project_asset").otherwise("external"), F.col("concept"), F.col("url"), F.array().cast("array<string>"))
     terms = tx.tokens(F.col("a_name"))
-    rows = rows.select("slot_id", "asset_id", "url", "rank", "slot_text", "concept", "concepts", "slot_sec", said.alias("text"), F.col("score").alias("base"), duration.alias("duration_sec"), F.filter("concepts", lambda t: F.array_contains(terms, t)).alias("keyword_hits"))
+    rows = rows.select("slot_id", "asset_id", "url", "rank", "slot_text", "concept", "concepts", "slot_sec", said.alias("text"), F.col("score").alias("base"), "duration_sec", F.filter("concepts", lambda t: F.array_contains(terms, t)).alias("keyword_hits"))
     again = F.row_number().over(Window.partitionBy("slot_id").orderBy(F.desc("score"), "before"))
     ranked = rk.reranked(rows).withColumnRenamed("rank", "before").withColumn("rank", again)
     return ranked.select("slot_id", "rank", "asset_id", "url", "score", "confidence", "duration_sec")

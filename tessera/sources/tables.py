@@ -53,7 +53,8 @@ def unnumbered_words(conversations: DataFrame) -> DataFrame:
 def conversation_words(conversations: DataFrame) -> DataFrame:
     """Words of conversations, numbered along the turns."""
     rows = unnumbered_words(conversations)
-    rows = scanned(spread(rows, "segment", "i"), ["segment", "i"], {"seq": so_far("sum", F.lit(1))})
+    # counted first, as what is written is else counted and written again
+    rows = scanned(spread(rows, "segment", "i", slices=slices_for(rows)), ["segment", "i"], {"seq": so_far("sum", F.lit(1))})
     return rows.select("key", F.col("seq").cast("int").alias("seq"), "text", "start_sec", "end_sec", SLICE)
 
 

@@ -339,6 +339,27 @@ def test_slots_come_of_whole_transcripts(spark):
     assert suggestions.slots_of(w).count() == 55 and suggestions.slots_of(w, most=40).count() == 40
 
 
+def test_slots_without_assets_are_not_compared(spark, monkeypatch):
+    seen, promising = [], ranking._promising
+    monkeypatch.setattr(ranking, "_promising", lambda slots, placed, k: seen.append({x.project_id for x in slots.collect()}) or promising(slots, placed, k))
+    a = spark.createDataFrame([(1, k, f"red{k}.mp4", 9.0, k) for k in range(3)], "project_id int, asset_id int, filename string, duration_sec double, created_at int")
+    s = spark.createDataFrame([(p, p, ["red"], 2.0, None) for p in (1, 2, 3, None)], "project_id int, slot_id int, concepts array<string>, slot_sec double, own_asset int")
+    got = []
+    for most in (10, 0):
+        monkeypatch.setattr(ranking, "PROJECTS", most)
+        got.append([(x.slot_id, x.asset_id) for x in ranking.local_scores(s, a, 2).orderBy("slot_id", "rank").collect()])
+    assert seen == [{1}, {1}] and got == [[(1, 2), (1, 1)]] * 2
+
+
+def test_a_text_of_a_slot_is_shuffled_once(spark):
+    w = words(spark, [(i * 0.4, i * 0.4 + 0.3) for i in range(12)], "rocket launch over the sea. apples grow in green orchards. rocket engines".split() + ["x"])
+    assets = spark.createDataFrame([("t", "a1", "rocket_launch.mp4", 30.0, 2, False), ("t", "a2", "sea.mp4", None, 3, True)], "project_id string, asset_id string, filename string, duration_sec double, created_at int, own boolean")
+    hits = lambda s: s.select("slot_id", F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(t).alias("duration_sec")) for u, t in [("https://x.org/a", 9.0), ("https://x.org/a", 20.0), (None, 4.0)]])).alias("h")).select("slot_id", "h.*", F.lit(0).alias("place"), F.lit(1).alias("total"), F.lit(1080).alias("width"), F.lit(1920).alias("height"))
+    found = suggestions.candidates_of(suggestions.slots_of(w), assets, hits)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {(r.asset_id, r.url, r.duration_sec) for r in found.collect()} == {("a1", None, 30.0), ("a2", None, None), (None, "https://x.org/a", 20.0), (None, None, None)}
+
+
 def test_slots_are_made_once(spark):
     w = words(spark, [(i * 0.4, i * 0.4 + 0.3) for i in range(12)], "rocket launch over the sea. apples grow in green orchards. rocket engines".split() + ["x"])
     plan = suggestions.slots_of(w)._jdf.queryExecution().analyzed().toString()
