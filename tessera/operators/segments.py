@@ -21,9 +21,11 @@ from tessera.operators.scan import SLICE, is_spread, kept_step, lag, scanned, sl
 from tessera.sources.stored import written
 
 
-def _split(words: DataFrame, gap: float, size: int, ends: Column) -> DataFrame:
-    """Adds the numbers of a chunk, which change after a gap, after a row where ends holds, and after size rows."""
-    rows = scanned(words, ["seq"], {"_ago": lag(F.struct("end_sec", ends.alias("ends"))), "_at": so_far("sum", F.lit(1))})
+def _split(words: DataFrame, gap: float, size: int, ends: Column, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Adds the numbers of a chunk, which change after a gap, after a row where ends holds, and after size rows. Rows in
+    another order than seq get their places in it as seq."""
+    rows = scanned(words, order, {"_ago": lag(F.struct("end_sec", ends.alias("ends"))), "_at": so_far("sum", F.lit(1))})
+    rows = rows if list(order) == ["seq"] else rows.drop(*order).withColumn("seq", F.col("_at"))
     new = F.coalesce((F.col("start_sec") - F.col("_ago.v.end_sec") > gap) | F.col("_ago.v.ends"), F.lit(True))
     rows = scanned(kept_step(rows.withColumn("_new", new).drop("_ago")), ["seq"], {"_part": so_far("max", F.when(F.col("_new"), F.col("_at")))})
     return rows.withColumn("_sub", F.floor((F.col("_at") - F.col("_part")) / size).cast("int"))
@@ -51,10 +53,10 @@ def _numbered(chunks: DataFrame) -> DataFrame:
 ENDS = r"[.!?]$"
 
 
-def slot_chunks(words: DataFrame, least_words: int = 4, most: int | None = None, gap: float = 1.1, size: int = 14) -> DataFrame:
-    """Chunks for slots: up to size words, split after gaps and sentence ends; those under least_words are dropped,
-    and if most is given, the first most of a key stay."""
-    found = _gathered(_split(words, gap, size, F.trim("text").rlike(ENDS))).filter(F.col("n") >= least_words)
+def slot_chunks(words: DataFrame, least_words: int = 4, most: int | None = None, gap: float = 1.1, size: int = 14, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Chunks for slots: up to size words along order, split after gaps and sentence ends; those under least_words are
+    dropped, and if most is given, the first most of a key stay."""
+    found = _gathered(_split(words, gap, size, F.trim("text").rlike(ENDS), order)).filter(F.col("n") >= least_words)
     numbered = _numbered(found)
     return numbered if most is None else numbered.filter(F.col("chunk") <= most)
 

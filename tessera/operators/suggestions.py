@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import ranking as rk
 from tessera.operators import segments
-from tessera.operators.scan import kept_step
 from tessera.sources.stored import dealt, written
 
 
-def slots_of(words: DataFrame, least_words: int = 4, most: int | None = None) -> DataFrame:
-    """Slots of whole transcripts (words of each key; if most is given, the first most of each): slot_id, project_id (the
+def slots_of(words: DataFrame, least_words: int = 4, most: int | None = None, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Slots of whole transcripts (words of each key along order; if most is given, the first most of each): slot_id, project_id (the
     key), start_sec, end_sec, slot_sec, slot_text, concept, concepts and queries."""
-    chunks = segments.slot_chunks(kept_step(words), least_words, most)
+    chunks = segments.slot_chunks(words, least_words, most, order=order)
     rows = tx.with_concepts(chunks.withColumnRenamed("text", "slot_text"), "slot_text").withColumn("concept", tx.concept_text(F.col("concepts")))
     queries = tx.expanded_queries(F.col("slot_text"), F.col("concept"), F.col("concepts"), tx.entities(F.col("slot_text")))
     # written, as what suggests to slots comes back to them

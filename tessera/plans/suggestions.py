@@ -14,7 +14,7 @@ from tessera.plans.intervals import durations, rounded, words
 from tessera.plans.segments import QUERIES as SEGMENTS
 from tessera.plans.timeline import clips
 from tessera.sources.stored import written
-from tessera.sources.tables import conversation_words, table, unnumbered_words
+from tessera.sources.tables import sliced_words, table, unnumbered_words
 
 
 def _assets(spark, sf_dir):
@@ -31,12 +31,12 @@ def _hits(slots):
 
 def r7_suggested(spark, sf_dir):
     """Candidates of all slots of conversations: chunks, concepts, local and provider scores, the mix, and the ranking."""
-    slots = su.slots_of(conversation_words(table(spark, sf_dir, "conversations")))
+    slots = su.slots_of(sliced_words(table(spark, sf_dir, "conversations")), order=["segment", "i"])
     return su.candidates_of(slots, _assets(spark, sf_dir), _hits)
 
 
 def r8_auto_applied(spark, sf_dir):
-    slots = su.slots_of(conversation_words(table(spark, sf_dir, "conversations")))
+    slots = su.slots_of(sliced_words(table(spark, sf_dir, "conversations")), order=["segment", "i"])
     return su.overlays_of(su.chosen_of(su.candidates_of(slots, _assets(spark, sf_dir), _hits), slots, 0.4, fallback=True), 0.8)
 
 

@@ -50,11 +50,16 @@ def unnumbered_words(conversations: DataFrame) -> DataFrame:
     return spread_words(conversations, "conv_id", "turn", text, start, start + long)
 
 
-def conversation_words(conversations: DataFrame) -> DataFrame:
-    """Words of conversations, numbered along the turns."""
+def sliced_words(conversations: DataFrame) -> DataFrame:
+    """Words of conversations in slices along the turns (segment, i)."""
     rows = unnumbered_words(conversations)
     # counted first, as what is written is else counted and written again
-    rows = scanned(spread(rows, "segment", "i", slices=slices_for(rows)), ["segment", "i"], {"seq": so_far("sum", F.lit(1))})
+    return spread(rows, "segment", "i", slices=slices_for(rows))
+
+
+def conversation_words(conversations: DataFrame) -> DataFrame:
+    """Words of conversations, numbered along the turns."""
+    rows = scanned(sliced_words(conversations), ["segment", "i"], {"seq": so_far("sum", F.lit(1))})
     return rows.select("key", F.col("seq").cast("int").alias("seq"), "text", "start_sec", "end_sec", SLICE)
 
 

@@ -339,6 +339,15 @@ def test_slots_come_of_whole_transcripts(spark):
     assert suggestions.slots_of(w).count() == 55 and suggestions.slots_of(w, most=40).count() == 40
 
 
+def test_slots_of_words_that_are_not_numbered(spark):
+    from tessera.sources import tables
+
+    c = spark.createDataFrame([(k, t, f"the rocket {k} flies. over seas and far lands " * (t + k)) for k in range(3) for t in range(4)], "conv_id long, turn long, text string")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    got = rows(suggestions.slots_of(tables.sliced_words(c), order=["segment", "i"]))
+    assert got and got == rows(suggestions.slots_of(tables.conversation_words(c)))
+
+
 def test_slots_without_assets_are_not_compared(spark, monkeypatch):
     seen, promising = [], ranking._promising
     monkeypatch.setattr(ranking, "_promising", lambda slots, placed, k: seen.append({x.project_id for x in slots.collect()}) or promising(slots, placed, k))
